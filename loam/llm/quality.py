@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,9 +203,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
     )  # a fixed size, whatever the input
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[tuple]) -> Iterator:
-        import pandas as pd
-
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = Machine(*shared.value)
         for text, n in batches:
             docs = [(t or "").encode() for t in text]
