@@ -180,3 +180,62 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``fn`` on each group of rows with equal keys: it gets a dict from column name to
+    list and gives one back for ``schema``.
+
+    Groups are brought together by one shuffle, sorted and streamed, so that a task holds
+    one group at a time; callers bound the size of a group by its keys.
+    """
+
+    def run(batches):
+        last, group, out, size = None, None, None, 0
+        for batch in batches:
+            n = len(batch[keys[0]])
+            key = list(zip(*(batch[k] for k in keys)))
+            at = 0
+            while at < n:
+                to = at + 1
+                while to < n and key[to] == key[at]:
+                    to += 1
+                part = {k: v[at:to] for k, v in batch.items()}
+                if group is not None and key[at] == last:
+                    for k, v in part.items():
+                        group[k] += v
+                else:
+                    if group is not None:
+                        out, size = _add(out, fn(group), size)
+                        if size > 10_000:
+                            yield out
+                            out, size = None, 0
+                    last, group = key[at], part
+                at = to
+        if group is not None:
+            out, size = _add(out, fn(group), size)
+        if out is not None:
+            yield out
+
+    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+
+
+def _add(out: dict | None, more: dict, size: int) -> tuple[dict, int]:
+    size += len(next(iter(more.values())))
+    if out is None:
+        return {k: list(v) for k, v in more.items()}, size
+    for k, v in more.items():
+        out[k] += v
+    return out, size
+
+
+def least_labels(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix, the first row that links reach."""
+    n = len(link)
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(link, label[None, :], n).min(axis=1, initial=n))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
