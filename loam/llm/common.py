@@ -15,6 +15,9 @@ WORD_BREAKS = b" \t\n\x0b\x0c\r"
 #: text is hashed in pieces of about this many bytes, so that arrays stay small
 PIECE_BYTES = 1 << 20
 
+#: a null doc_id stands before all others
+NO_ID = -(1 << 63)
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates: ``spark.checkpoint.dir`` of the
@@ -239,3 +242,68 @@ def least_labels(link: np.ndarray) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
+
+
+# --------------------------------------------------------------------------- repeated keys
+
+#: keys that one task groups before the shuffle
+LOCAL_KEYS = 1 << 19
+
+
+def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
+    """The rows, of those that ``emit`` makes of each batch, whose key occurs more than
+    once: ``key`` and ``fields``, all long.  ``emit`` yields pairs of an int64 array of
+    keys and a list of int64 arrays.
+
+    Rows are grouped within a task before the shuffle.  A key that occurs once there
+    travels to the others like it.  Of one that occurs often there it is known already
+    that it repeats: its rows are dealt out evenly, and one bare row tells the other
+    tasks.  So a hot key sends one row per task, and no bucket is larger than others.
+    """
+    names = ["at", "how", "key", *fields]  # how: 0 asks, 1 is known to repeat, 2 tells
+
+    def local(batches):
+        held: list[list[np.ndarray]] = []
+
+        def flush():
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            key = columns[0]
+            _, where, times = np.unique(key, return_inverse=True, return_counts=True)
+            often = times[where] > 1
+            spread = mix((columns[1] ^ (columns[-1] << 20) ^ key).view(np.uint64)).view(np.int64)
+            rows = [np.where(often, spread, key), often.astype(np.int64), *columns]
+            for lo in range(0, len(key), 50_000):
+                yield {n: x[lo : lo + 50_000].tolist() for n, x in zip(names, rows)}
+            told = np.unique(key[often]).tolist()
+            none = [None] * len(told)
+            yield dict(zip(names, (told, [2] * len(told), told, *[none] * len(fields))))
+
+        for batch in batches:
+            for key, columns in emit(batch):
+                held.append([key, *columns])
+            if sum(len(x[0]) for x in held) >= LOCAL_KEYS:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def joined(batches):
+        last = waiting = None
+        for batch in batches:
+            rows = []
+            for at, how, *row in zip(*(batch[n] for n in names)):
+                if how == 1:
+                    rows.append(row)
+                elif at == last:
+                    if waiting is not None:
+                        rows.append(waiting)
+                        waiting = None
+                    if how == 0:
+                        rows.append(row)
+                else:
+                    last, waiting = at, row if how == 0 else None
+            yield {n: list(x) for n, x in zip(names[2:], zip(*rows))} if rows else {n: [] for n in names[2:]}
+
+    types = ", ".join(f"{n} long" for n in names)
+    dealt = map_batches(df, local, types).repartition("at").sortWithinPartitions("at")
+    return map_batches(dealt, joined, ", ".join(f"{n} long" for n in names[2:]))

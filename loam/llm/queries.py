@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, jaccard, lattice, packing, quality, secrets, substring
+from . import chat, decontaminate, html, jaccard, lattice, lines, packing, quality, secrets, substring
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan,
+        op2_line_dedup,
         op3_embedding_lattice,
         op4_chat_format,
         op5_best_fit_packing,

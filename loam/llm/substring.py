@@ -22,15 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_batches, mix, pieces, shingle_hashes, written
+from .common import NO_ID, Words, map_batches, mix, pieces, repeated_keys, shingle_hashes, written
 
 SIZE, RUN = 20, 6
 #: super-k-mers of one minimiser beyond which its windows go one by one
 HOT = 4096
-#: minimisers that one task groups before the shuffle
-LOCAL = 1 << 19
-#: a null doc_id stands before all others
-NO_ID = -(1 << 63)
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -55,73 +51,15 @@ def super_kmers(docs: list[bytes], size: int = SIZE, run: int = RUN) -> tuple[np
     return mix(grams[place[begin]]).view(np.int64), doc[begin], begin - w.first[doc[begin]], count
 
 
-def _minimisers(size: int, run: int):
-    """Super-k-mers of documents, grouped by minimiser within a task before the shuffle.
+def _emit(size: int, run: int):
+    def emit(batch: dict) -> Iterator[tuple]:
+        docs = [(t or "").encode() for t in batch["text"]]
+        ids, hashes = np.array(batch["doc"], np.int64), np.array(batch["text_hash"], np.int64)
+        for i, j in pieces(docs):
+            mini, doc, start, n = super_kmers(docs[i:j], size, run)
+            yield mini, [ids[i:j][doc], hashes[i:j][doc], start, n]
 
-    One that occurs once here travels to its minimiser (``how`` 0).  Of one that occurs
-    often here it is known already that it repeats: its rows are dealt out evenly
-    (``how`` 1), and one bare row tells the others (``how`` 2).
-    """
-
-    def run_(batches: Iterator[dict]) -> Iterator[dict]:
-        held: list[list[np.ndarray]] = []
-
-        def flush() -> Iterator[dict]:
-            mini, doc, text_hash, start, n = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            _, where, times = np.unique(mini, return_inverse=True, return_counts=True)
-            often = times[where] > 1
-            how = often.astype(np.int64)
-            at = np.where(often, mix((doc * 1_000_003 + start).view(np.uint64)).view(np.int64), mini)
-            told = np.unique(mini[often])
-            for lo in range(0, len(mini), 50_000):
-                p = slice(lo, lo + 50_000)
-                yield {k: x[p].tolist() for k, x in zip(_ROW, (at, how, mini, doc, text_hash, start, n))}
-            none = [None] * len(told)
-            yield dict(zip(_ROW, (told.tolist(), [2] * len(told), told.tolist(), none, none, none, none)))
-
-        for batch in batches:
-            docs = [(t or "").encode() for t in batch["text"]]
-            ids, hashes = np.array(batch["doc"], np.int64), np.array(batch["text_hash"], np.int64)
-            for i, j in pieces(docs):
-                mini, doc, start, n = super_kmers(docs[i:j], size, run)
-                held.append([mini, ids[i:j][doc], hashes[i:j][doc], start, n])
-            if sum(len(x[0]) for x in held) >= LOCAL:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    return run_
-
-
-_ROW = ("at", "how", "mini", "doc", "text_hash", "start", "n")
-_ROW_TYPES = "at long, how int, mini long, doc long, text_hash long, start long, n long"
-
-
-def _repeated(batches: Iterator[dict]) -> Iterator[dict]:
-    """Sorted by ``at``: rows whose minimiser occurs more than once."""
-    last = waiting = None
-    names = ("mini", "doc", "text_hash", "start", "n")
-    for batch in batches:
-        out: dict = {k: [] for k in names}
-
-        def add(row: tuple) -> None:
-            for into, x in zip(out.values(), row):  # noqa: B023
-                into.append(x)
-
-        for at, how, *row in zip(*(batch[k] for k in _ROW)):
-            if how == 1:
-                add(row)
-                continue
-            if at == last:
-                if waiting is not None:
-                    add(waiting)
-                    waiting = None
-                if how == 0:
-                    add(row)
-            else:
-                last, waiting = at, tuple(row) if how == 0 else None
-        yield out
+    return emit
 
 
 def _strings(hot: bool, size: int):
@@ -234,11 +172,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN, with_text:
         F.xxhash64("text").alias("text_hash"),
         "text",
     )
-    kmers = map_batches(texts.drop("doc_id"), _minimisers(size, run), _ROW_TYPES)
-    kmers = kmers.repartition("at").sortWithinPartitions("at")
-    kmers = written(
-        map_batches(kmers, _repeated, "mini long, doc long, text_hash long, start long, n long"), "kmers"
-    )
+    kmers = repeated_keys(texts.drop("doc_id"), _emit(size, run), ["doc", "text_hash", "start", "n"])
+    kmers = written(kmers.withColumnRenamed("key", "mini"), "kmers")
     hot = written(kmers.groupBy("mini").count().where(F.col("count") > HOT).select("mini"), "hot")
     per_doc = (
         kmers.join(hot.withColumn("hot", F.lit(True)), "mini", "left")
