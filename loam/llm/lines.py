@@ -177,7 +177,6 @@ def _texts(batches: Iterator[dict]) -> Iterator[dict]:
         yield dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
 
-@F.pandas_udf("n_lines long, n_removed long, kept string")
 def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     rows = []
     for t, g in zip(text, gone):
@@ -224,8 +223,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     marks = marks.groupBy("doc", "text_hash").agg(numbers(F.col("gone"), "gone"), numbers(~F.col("gone"), "close"))
     texts = texts.join(marks, ["doc", "text_hash"], "left")
     # documents that no closer look concerns are settled; the others keep their text
+    cut_udf = F.pandas_udf(_cut, "n_lines long, n_removed long, kept string")
     open_ = F.size(F.coalesce("close", F.array())) > 0
-    cut = _cut("text", F.when(~open_, F.col("gone")))
+    cut = cut_udf("text", F.when(~open_, F.col("gone")))
     seen = texts.withColumn("cut", F.when(~open_, cut)).select(
         "row", "doc", "text_hash", "cut", *[F.when(open_, F.col(c)).alias(c) for c in ("text", "gone", "close")]
     )
@@ -271,7 +271,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set("line").alias("near"))
     )
     gone = F.concat("gone", F.coalesce("near", F.array().cast("array<int>")))
-    rest = todo.join(near, ["doc", "text_hash"], "left").select("row", _cut("text", gone).alias("cut"))
+    rest = todo.join(near, ["doc", "text_hash"], "left").select("row", cut_udf("text", gone).alias("cut"))
     done = seen.where("cut IS NOT NULL").select("row", "cut")
     return done.union(rest).select("row", F.col("cut.kept").alias("text"), "cut.n_lines", "cut.n_removed")
 
