@@ -210,10 +210,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     member = written(
         member.join(blocks, "component").withColumn("mine", mine).drop("size", "n_shingles"), "member"
     )
-    # the texts that are compared, each once per block
+    # the texts that are compared, each once per block; they are sorted and merged at any
+    # size, since the members grow with the documents
     compared = (
         texts.where("doc_id IS NOT NULL")
-        .join(member, ["doc_id", "text_hash"])
+        .join(member.hint("merge"), ["doc_id", "text_hash"])
         .unionByName(texts.where("doc_id IS NULL").drop("doc_id").join(member.where("doc_id IS NULL"), "text_hash"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
