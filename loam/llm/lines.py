@@ -221,7 +221,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         return F.collect_set(F.when(condition, F.col("line"))).alias(name)
 
     marks = marks.groupBy("doc", "text_hash").agg(numbers(F.col("gone"), "gone"), numbers(~F.col("gone"), "close"))
-    texts = texts.join(marks, ["doc", "text_hash"], "left")
+    texts = texts.join(marks.hint("merge"), ["doc", "text_hash"], "left")
     # documents that no closer look concerns are settled; the others keep their text
     cut_udf = F.pandas_udf(_cut, "n_lines long, n_removed long, kept string")
     open_ = F.size(F.coalesce("close", F.array())) > 0

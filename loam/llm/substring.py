@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN, with_text:
     kmer = "array<struct<start:long,n:long,mini:long,hot:boolean>>"
     seen = written(
         map_batches(
-            texts.join(per_doc, ["doc", "text_hash"], "left"),
+            texts.join(per_doc.hint("merge"), ["doc", "text_hash"], "left"),
             _first_pass(with_text),
             "doc_id long, doc long, text_hash long, n_words long, kept_sha256 string, kept string, text string,"
             f" kmers {kmer}",
