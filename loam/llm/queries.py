@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, html, jaccard, lattice, lines, packing, quality, secrets, substring
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +66,3 @@ QUERIES = {
         op10_decontamination,
     )
 }
-
-ORACLES: dict[str, str] = {}
