@@ -261,6 +261,12 @@ def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
     tasks.  So a hot key sends one row per task, and no bucket is larger than others.
     """
     names = ["at", "how", "key", *fields]  # how: 0 asks, 1 is known to repeat, 2 tells
+    types = lambda columns: ", ".join(f"{n} long" for n in columns)
+
+    def batch_of(columns: list[np.ndarray], of: list[str]):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=of)
 
     def local(batches):
         held: list[list[np.ndarray]] = []
@@ -269,41 +275,47 @@ def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
             columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
             key = columns[0]
-            _, where, times = np.unique(key, return_inverse=True, return_counts=True)
-            often = times[where] > 1
+            order = np.argsort(key, kind="stable")
+            new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+            often = np.empty(len(key), bool)
+            often[order] = (np.diff(np.append(np.flatnonzero(new), len(key))) > 1)[np.cumsum(new) - 1]
             spread = mix((columns[1] ^ (columns[-1] << 20) ^ key).view(np.uint64)).view(np.int64)
             rows = [np.where(often, spread, key), often.astype(np.int64), *columns]
             for lo in range(0, len(key), 50_000):
-                yield {n: x[lo : lo + 50_000].tolist() for n, x in zip(names, rows)}
-            told = np.unique(key[often]).tolist()
-            none = [None] * len(told)
-            yield dict(zip(names, (told, [2] * len(told), told, *[none] * len(fields))))
+                yield batch_of([x[lo : lo + 50_000] for x in rows], names)
+            told = np.unique(key[often])
+            yield batch_of([told, np.full(len(told), 2), told, *[np.zeros(len(told), np.int64)] * len(fields)], names)
 
         for batch in batches:
-            for key, columns in emit(batch):
-                held.append([key, *columns])
+            for key, columns in emit({n: batch.column(n).to_pylist() for n in batch.schema.names}):
+                if len(key):
+                    held.append([key, *columns])
             if sum(len(x[0]) for x in held) >= LOCAL_KEYS:
                 yield from flush()
         if held:
             yield from flush()
 
     def joined(batches):
-        last = waiting = None
+        last, pending = None, None  # the key before, and its row if that may yet repeat
         for batch in batches:
-            rows = []
-            for at, how, *row in zip(*(batch[n] for n in names)):
-                if how == 1:
-                    rows.append(row)
-                elif at == last:
-                    if waiting is not None:
-                        rows.append(waiting)
-                        waiting = None
-                    if how == 0:
-                        rows.append(row)
-                else:
-                    last, waiting = at, row if how == 0 else None
-            yield {n: list(x) for n, x in zip(names[2:], zip(*rows))} if rows else {n: [] for n in names[2:]}
-
-    types = ", ".join(f"{n} long" for n in names)
-    dealt = map_batches(df, local, types).repartition("at").sortWithinPartitions("at")
-    return map_batches(dealt, joined, ", ".join(f"{n} long" for n in names[2:]))
+            at, how, *columns = (batch.column(n).to_numpy(zero_copy_only=False) for n in names)
+            known = how == 1
+            asks = np.flatnonzero(~known)
+            take = known.copy()
+            if len(asks):
+                a, h = at[asks], how[asks]
+                same = a[1:] == a[:-1]
+                before = np.concatenate(([last is not None and a[0] == last], same))
+                if before[0] and pending is not None:
+                    yield batch_of(pending, names[2:])
+                take[asks] = (before | np.append(same, False)) & (h == 0)
+                last = a[-1]
+                k = asks[-1]
+                if not before[-1] and h[-1] == 0:
+                    pending = [x[k : k + 1].copy() for x in columns]
+                elif before[-1] or h[-1] == 2:
+                    pending = None
+            yield batch_of([x[take] for x in columns], names[2:])
+
+    dealt = df.mapInArrow(local, types(names)).repartition("at").sortWithinPartitions("at")
+    return dealt.mapInArrow(joined, types(names[2:]))
