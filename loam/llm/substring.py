@@ -62,78 +62,83 @@ def _emit(size: int, run: int):
     return emit
 
 
-def _strings(hot: bool, size: int):
-    """Of the repeated super-k-mers, packed strings by minimiser, or each window's hash."""
+def _strings(size: int):
+    """The repeated super-k-mers as packed strings of words; of a hot minimiser, by the
+    hash of the string."""
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            out: dict = {k: [] for k in ("key", "doc", "text_hash", "start", "words")}
-            for doc, text_hash, text, kmers in zip(batch["doc"], batch["text_hash"], batch["text"], batch["kmers"]):
-                words = None
-                for k in kmers:
-                    if k["hot"] != hot:
-                        continue
-                    words = words if words is not None else _WORD.findall(text.encode())
-                    start, n = k["start"], k["n"]
-                    if hot:
-                        for s in range(start, start + n):
-                            key = hashlib.blake2b(b" ".join(words[s : s + size]), digest_size=16).digest()
-                            for into, x in zip(out.values(), (key, doc, text_hash, s, None)):
-                                into.append(x)
-                    else:
-                        packed = b" ".join(words[start : start + n + size - 1])
-                        for into, x in zip(out.values(), (k["mini"], doc, text_hash, start, packed)):
-                            into.append(x)
-            yield out
+    def run(batches):
+        import pyarrow as pa
 
-    kind = "binary" if hot else "long"
-    return run, f"key {kind}, doc long, text_hash long, start long, words binary"
+        for batch in batches:
+            doc, text_hash = (batch.column(n).to_numpy() for n in ("doc", "text_hash"))
+            kmers = batch.column("kmers")
+            ends = np.cumsum(kmers.value_lengths().to_numpy())
+            start, n, mini, hot = (x.to_numpy(zero_copy_only=False) for x in kmers.flatten().flatten())
+            packed = []
+            for text, lo, hi in zip(batch.column("text").to_pylist(), np.concatenate(([0], ends[:-1])), ends):
+                w = Words([text.encode()])
+                # words as they stand if one space parts them, else joined anew
+                plain = b" ".join(w.data.split())
+                begin = np.concatenate(([0], np.cumsum(w.end - w.start + 1)[:-1]))
+                stop = begin + (w.end - w.start)
+                s = start[lo:hi]
+                packed += [plain[x:y] for x, y in zip(begin[s].tolist(), stop[s + n[lo:hi] + size - 2].tolist())]
+            of = np.repeat(np.arange(len(doc)), np.diff(np.concatenate(([0], ends))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mini), pa.array(doc[of]), pa.array(text_hash[of]), pa.array(start), pa.array(n), pa.array(hot), pa.array(packed, pa.binary())],
+                names=["key", "doc", "text_hash", "start", "n", "hot", "words"],
+            )
+
+    return run, "key long, doc long, text_hash long, start long, n long, hot boolean, words binary"
 
 
 def _seen_before(size: int):
     """Sorted by minimiser, document and start: runs of windows that occurred earlier."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        last, seen = None, {}
+        last, seen, whole = None, {}, {}
         for batch in batches:
-            out: dict = {k: [] for k in ("doc", "text_hash", "from", "to")}
-            for key, doc, text_hash, start, packed in zip(*(batch[k] for k in ("key", "doc", "text_hash", "start", "words"))):
+            spans = []
+            for key, doc, text_hash, start, n, packed in zip(*(batch[k] for k in ("key", "doc", "text_hash", "start", "n", "words"))):
                 if key != last:
-                    last, seen = key, {}
-                ends = [m.end() for m in _WORD.finditer(packed)]
-                begins = [0] + [e + 1 for e in ends[:-1]]
+                    last, seen, whole = key, {}, {}
+                # a string seen before has no window that is new
+                first = whole.setdefault(packed, (doc, start))
+                if first < (doc, start):
+                    spans.append((doc, text_hash, start, start + n + size - 1))
+                    continue
+                words = packed.split(b" ")
+                begins = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
                 since = None
-                for k in range(len(ends) - size + 1):
-                    first = seen.setdefault(packed[begins[k] : ends[k + size - 1]], (doc, start + k))
+                for k in range(n):
+                    first = seen.setdefault(packed[begins[k] : begins[k + size] - 1], (doc, start + k))
                     if first < (doc, start + k):
                         since = k if since is None else since
                     elif since is not None:
-                        for into, x in zip(out.values(), (doc, text_hash, start + since, start + k + size - 1)):
-                            into.append(x)
+                        spans.append((doc, text_hash, start + since, start + k + size - 1))
                         since = None
                 if since is not None:
-                    for into, x in zip(out.values(), (doc, text_hash, start + since, start + len(ends))):
-                        into.append(x)
-            yield out
+                    spans.append((doc, text_hash, start + since, start + n + size - 1))
+            yield dict(zip(("doc", "text_hash", "from", "to"), map(list, zip(*spans)))) if spans else {
+                k: [] for k in ("doc", "text_hash", "from", "to")
+            }
 
     return run
 
 
-def _first_pass(with_text: bool):
-    """Documents without repeated super-k-mers are done; the others keep their text."""
+def _windows(size: int):
+    """Each window of packed strings, by its 128-bit hash."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out: dict = {k: [] for k in ("n_words", "kept_sha256", "kept", "text", "kmers")}
-            for text, kmers in zip(batch["text"], batch["kmers"]):
-                words = _WORD.findall((text or "").encode())
-                kept = b" ".join(words)
-                row = (len(words), None, None, text, kmers)
-                if kmers is None:
-                    row = (len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, None, None)
-                for into, x in zip(out.values(), row):
-                    into.append(x)
-            yield {k: batch[k] for k in ("doc_id", "doc", "text_hash")} | out
+            out: dict = {k: [] for k in ("key", "doc", "text_hash", "start")}
+            for doc, text_hash, start, n, packed in zip(*(batch[k] for k in ("doc", "text_hash", "start", "n", "words"))):
+                words = packed.split(b" ")
+                for k in range(n):
+                    key = hashlib.blake2b(b" ".join(words[k : k + size]), digest_size=16).digest()
+                    for into, x in zip(out.values(), (key, doc, text_hash, start + k)):
+                        into.append(x)
+            yield out
 
     return run
 
@@ -147,7 +152,7 @@ def _cut(with_text: bool):
                 gone = np.zeros(len(words), bool)
                 for s in spans or ():
                     gone[s["from"] : s["to"]] = True
-                kept = b" ".join([w for w, g in zip(words, gone) if not g])
+                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 row = (int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)
                 for into, x in zip(out.values(), row):
                     into.append(x)
@@ -156,6 +161,14 @@ def _cut(with_text: bool):
     return run
 
 
+def _later(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that are not the earliest with their key; the minimum is written, so that a hot key is one skewed side of a join."""
+    place = F.struct("doc", "start")
+    earliest = rows.groupBy(key).agg(F.min(place).alias("first"), F.count("*").alias("_n"))
+    earliest = written(earliest.where("_n > 1").drop("_n"), "earliest")
+    return rows.join(earliest, key).where(F.col("first") < place).drop("first")
+
+
 def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN, with_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text; others are ignored) to ``doc_id``, ``n_words``,
     ``n_removed``, ``kept_sha256`` and, if asked for, the ``kept`` words joined by one
@@ -181,32 +194,43 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN, with_text:
         .agg(F.collect_set(F.struct("start", "n", "mini", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("kmers"))
     )
     kmer = "array<struct<start:long,n:long,mini:long,hot:boolean>>"
-    seen = written(
-        map_batches(
-            texts.join(per_doc.hint("merge"), ["doc", "text_hash"], "left"),
-            _first_pass(with_text),
-            "doc_id long, doc long, text_hash long, n_words long, kept_sha256 string, kept string, text string,"
-            f" kmers {kmer}",
-        ),
-        "seen",
-    )
-    todo = seen.where("kmers IS NOT NULL")
-
-    source = todo.select("doc", "text_hash", "text", "kmers")
-    packed = map_batches(source, *_strings(False, size))
-    packed = packed.repartition("key").sortWithinPartitions("key", "doc", "start")
-    spans = map_batches(packed, _seen_before(size), "doc long, text_hash long, from long, to long")
-
-    windows = map_batches(source.where(F.exists("kmers", lambda k: k["hot"])), *_strings(True, size))
-    windows = windows.select("key", "doc", "text_hash", "start")
-    earliest = windows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
-    earliest = written(earliest.where("n > 1").select("key", "first"), "earliest")
-    later = (
-        windows.join(earliest, "key")
-        .where(F.col("first") < F.struct("doc", "start"))
-        .select("doc", "text_hash", F.col("start").alias("from"), (F.col("start") + size).alias("to"))
+    # documents without such super-k-mers are done; the others keep their text
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    open_ = F.col("kmers").isNotNull()
+    seen = texts.join(per_doc.hint("merge"), ["doc", "text_hash"], "left").withColumn("plain", plain)
+    seen = seen.select(
+        "doc_id", "doc", "text_hash", "kmers",
+        F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "))) + 1)
+        .cast("long").alias("n_words"),
+        F.when(~open_, F.sha2("plain", 256)).alias("kept_sha256"),
+        F.when(~open_ & F.lit(with_text), F.col("plain")).alias("kept"),
+        F.when(open_, F.col("text")).alias("text"),
+    )
+    seen = written(seen, "seen")
+    todo = seen.where(open_)
+
+    run_, types = _strings(size)
+    packed = todo.select("doc", "text_hash", "text", "kmers").mapInArrow(run_, types)
+    cold = packed.where("NOT hot").drop("hot").repartition("key").sortWithinPartitions("key", "doc", "start")
+    span = "doc long, text_hash long, from long, to long"
+    spans = map_batches(cold, _seen_before(size), span)
+
+    # equal strings first: what a third of all documents quote is mostly that
+    of_hot = todo.withColumn("kmers", F.filter("kmers", lambda k: k["hot"])).where(F.size("kmers") > 0)
+    hot_rows = of_hot.select("doc", "text_hash", "text", "kmers").mapInArrow(run_, types)
+    hot_rows = written(hot_rows.withColumn("key", F.unhex(F.md5("words"))).drop("hot"), "hot_rows")
+    again = _later(hot_rows.drop("words"), "key")
+    whole = again.select("doc", "text_hash", F.col("start").alias("from"), (F.col("start") + F.col("n") + size - 1).alias("to"))
+    firsts = hot_rows.join(
+        again.select("doc", "text_hash", "start"), ["doc", "text_hash", "start"], "left_anti"
     )
-    cut = spans.union(later).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    windows = map_batches(firsts.drop("key"), _windows(size), "key binary, doc long, text_hash long, start long")
+    windows = written(windows, "windows")
+    partly = _later(windows, "key")
+    partly = partly.select("doc", "text_hash", F.col("start").alias("from"), (F.col("start") + size).alias("to"))
+
+    spans = spans.union(whole).union(partly)
+    cut = spans.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     done = seen.where("kmers IS NULL").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "kept"
     )
