@@ -178,6 +178,8 @@ def main_text(html: str | None) -> str:
     """The main text of a page: blocks joined by two newlines; empty if there is none."""
     builder = _Builder()
     builder.feed(html or "")
+    if builder.rawdata.startswith("<!--"):  # a comment that is not closed runs to the end
+        builder.rawdata = ""
     builder.close()
     root = builder.root
     _score(root)
