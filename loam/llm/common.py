@@ -260,7 +260,7 @@ def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
     that it repeats: its rows are dealt out evenly, and one bare row tells the other
     tasks.  So a hot key sends one row per task, and no bucket is larger than others.
     """
-    names = ["at", "how", "key", *fields]  # how: 0 asks, 1 is known to repeat, 2 tells
+    names = ["how", "key", *fields]  # how: 0 asks, 1 is known to repeat, 2 tells
     types = lambda columns: ", ".join(f"{n} long" for n in columns)
 
     def batch_of(columns: list[np.ndarray], of: list[str]):
@@ -279,12 +279,11 @@ def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
             new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
             often = np.empty(len(key), bool)
             often[order] = (np.diff(np.append(np.flatnonzero(new), len(key))) > 1)[np.cumsum(new) - 1]
-            spread = mix((columns[1] ^ (columns[-1] << 20) ^ key).view(np.uint64)).view(np.int64)
-            rows = [np.where(often, spread, key), often.astype(np.int64), *columns]
+            rows = [often.astype(np.int64), *columns]
             for lo in range(0, len(key), 50_000):
                 yield batch_of([x[lo : lo + 50_000] for x in rows], names)
             told = np.unique(key[often])
-            yield batch_of([told, np.full(len(told), 2), told, *[np.zeros(len(told), np.int64)] * len(fields)], names)
+            yield batch_of([np.full(len(told), 2), told, *[np.zeros(len(told), np.int64)] * len(fields)], names)
 
         for batch in batches:
             for key, columns in emit({n: batch.column(n).to_pylist() for n in batch.schema.names}):
@@ -298,16 +297,16 @@ def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
     def joined(batches):
         last, pending = None, None  # the key before, and its row if that may yet repeat
         for batch in batches:
-            at, how, *columns = (batch.column(n).to_numpy(zero_copy_only=False) for n in names)
+            how, *columns = (batch.column(n).to_numpy(zero_copy_only=False) for n in names)
             known = how == 1
             asks = np.flatnonzero(~known)
             take = known.copy()
             if len(asks):
-                a, h = at[asks], how[asks]
+                a, h = columns[0][asks], how[asks]
                 same = a[1:] == a[:-1]
                 before = np.concatenate(([last is not None and a[0] == last], same))
                 if before[0] and pending is not None:
-                    yield batch_of(pending, names[2:])
+                    yield batch_of(pending, names[1:])
                 take[asks] = (before | np.append(same, False)) & (h == 0)
                 last = a[-1]
                 k = asks[-1]
@@ -315,7 +314,8 @@ def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
                     pending = [x[k : k + 1].copy() for x in columns]
                 elif before[-1] or h[-1] == 2:
                     pending = None
-            yield batch_of([x[take] for x in columns], names[2:])
+            yield batch_of([x[take] for x in columns], names[1:])
 
-    dealt = df.mapInArrow(local, types(names)).repartition("at").sortWithinPartitions("at")
-    return dealt.mapInArrow(joined, types(names[2:]))
+    place = F.when(F.col("how") == 1, F.xxhash64(*fields)).otherwise(F.col("key"))
+    dealt = df.mapInArrow(local, types(names)).repartition(place).sortWithinPartitions("key")
+    return dealt.mapInArrow(joined, types(names[1:]))

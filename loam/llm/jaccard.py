@@ -189,10 +189,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     near = map_batches(sets.where("sig IS NOT NULL").select("node", "keys"), _local, "key long, a long, b long")
     # edges are dealt by their nodes, so that the rows without a key are no hot one
-    dealt = near.withColumn("at", F.coalesce("key", F.xxhash64("a", "b")))
-    meet = map_batches(
-        dealt.repartition("at").sortWithinPartitions("at", "a").select("key", "a", "b"), _joined, "a long, b long"
-    )
+    dealt = near.repartition(F.coalesce("key", F.xxhash64("a", "b"))).sortWithinPartitions("key", "a")
+    meet = map_batches(dealt, _joined, "a long, b long")
     cluster = connected_components(meet)
     member = nodes.select("node", "doc_id", "text_hash", "size").join(cluster, "node")
     member = written(member, "member")
