@@ -1,0 +1,262 @@
+"""Small literal tables for the jobs, and the laws they keep."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from loam.functions import text as T
+from loam.functions import urls as U
+from loam.operators import audit, blocks, evaluate, frontier, pages, registry, retrieval
+from loam.settings import Settings
+from loam.sources import datasets
+from loam.streaming import jobs
+
+
+def one(df):
+    return df.collect()[0][0]
+
+
+def column(spark, rows, types, expr):
+    return [r[0] for r in spark.createDataFrame(rows, types).select(expr).collect()]
+
+
+def test_settings_hold_together():
+    for bad in ({"rerank_size": 13}, {"evidence_max": 7}, {"chunk_overlap_tokens": 600}, {"chunk_max_tokens": 1600}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
+
+
+def test_heading_paths(spark):
+    flat = [("heading", 1, "A"), ("p", 0, "x"), ("heading", 2, "A"), ("p", 0, "y"), ("heading", 3, "B"), ("p", 0, "z"), ("heading", 2, "C"), ("p", 0, "w"), ("heading", 1, "D"), ("p", 0, "v")]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(flat)], "page_id long, pos int, block_type string, level int, text string")
+    got = {r.text: r.heading_path for r in blocks.heading_paths(df).collect()}
+    assert got == {"x": ["A"], "y": ["A"], "z": ["A", "B"], "w": ["A", "C"], "v": ["D"]}
+
+
+def test_units_keep_every_block(spark):
+    prose = lambda k, n: f"Block {k} says something. " + "words and more words here. " * n
+    rows = [(1, i, "p", prose(i, 40), ["A"], 1) for i in range(8)] + [(1, 8, "code", "y = f(x); " * 500, ["A"], 1), (1, 9, "p", "Home", ["B"], 1), (1, 10, "p", "Short sentence.", ["C"], 1)]
+    df = spark.createDataFrame(rows, "page_id long, pos int, block_type string, text string, heading_path array<string>, heading_level int")
+    kept, rejects = blocks.units(df)
+    units = sorted(kept.collect(), key=lambda u: u.ordinal)
+    assert [u.ordinal for u in units] == list(range(len(units)))
+    assert all(u.tokens <= 1000 or u.oversized for u in units) and sum(u.oversized for u in units) == 1
+    told = "\n\n".join([u.text for u in units] + [r.text for r in rejects.collect()])
+    assert all(r[3].strip() in told for r in rows)
+    assert {r.reason for r in rejects.collect()} == {"navigation_boilerplate", "below_usefulness_floor"}
+    assert not units[0].continued_from_previous and any(u.overlap_tokens > 0 for u in units)
+
+
+def test_gate_and_metadata(spark):
+    rows = [(1, "404 page", "text/html"), (2, "short", "text/html"), (3, "same words again and " * 40, "text/html"), (4, " ".join(f"w{i}" for i in range(90)), None), (5, " ".join(f"w{i}" for i in range(90)), "TEXT/HTML; x"), (6, None, "text/html"), (7, "a", "application/pdf")]
+    got = {r.doc_id: r.reject_reason for r in pages.page_gate(spark.createDataFrame(rows, "doc_id long, text string, ct string"), "doc_id", "text", "ct").collect()}
+    assert got == {1: "error_page", 2: "too_small", 3: "boilerplate_heavy", 4: "missing_content_type", 5: None, 6: "no_content", 7: "non_html_content_type"}
+    page = [(1, "https://x.org/cloud/rest/v3/a-thing/", "<title>How to do</title><link rel='canonical' href='https://c'>")]
+    m = pages.page_metadata(spark.createDataFrame(page, "page_id long, url string, html string")).first()
+    assert (m.title, m.title_confidence, m.category, m.category_confidence, m.page_type, m.canonical_url) == ("How to do", 0.6, "rest-api", 0.95, "api_reference", "https://c")
+
+
+@pytest.mark.parametrize(
+    "url,reason",
+    [
+        ("https://a.com/x", None), ("http://127.0.0.1/", "loopback"), ("ftp://a.com", "non_web_scheme"), ("/rel", "not_absolute"),
+        ("https://u:p@a.com", "embedded_credentials"), ("https://a.com:8080/", "disallowed_port"), ("https://A.com./p", None),
+        ("https://b.com", "not_allowlisted"), ("http://[::1]/", "loopback"), ("http://169.254.169.254/", "cloud_metadata"), ("", "malformed"),
+        ("https://localhost/", "not_allowlisted"), ("http://10.1.2.3", "private_range"), ("http://224.0.0.1", "multicast"), ("http://a.com:99999", "malformed"),
+    ],
+)
+def test_admissibility(spark, url, reason):
+    assert column(spark, [(url,)], "url string", U.admissibility("url", F.array(F.lit("a.com")))) == [reason]
+
+
+def test_urls(spark):
+    hrefs = {"../b.html#x": "https://a.com/d/b.html", "//h.com/z": "https://h.com/z", "/q": "https://a.com/q", "mailto:x": None, "a\\b": None, "#f": "https://a.com/d/e/f.html", "?p=1": "https://a.com/d/e/f.html?p=1", "./c/": "https://a.com/d/e/c/"}
+    got = spark.createDataFrame([(h,) for h in hrefs], "href string").select("href", U.resolved("href", F.lit("https://a.com/d/e/f.html"))).collect()
+    assert {r[0]: r[1] for r in got} == hrefs
+    scope = [("https://a.com/docs/x", "https://a.com/docs/start", True), ("https://a.com/docs-old/x", "https://a.com/docs/start", False), ("https://b.com/docs/x", "https://a.com/docs/start", False), ("https://a.com/d%6Fcs/x/y", "https://a.com/docs/start", True)]
+    assert column(spark, scope, "u string, s string, w boolean", U.in_scope("u", "s") == F.col("w")) == [True] * 4
+    assert column(spark, [("java\tscript:x",), ("//evil",), ("/a",), ("HTTPS://x",), ("",)], "u string", U.is_safe_link("u")) == [False, False, True, True, False]
+
+
+def test_robots_and_frontier(spark):
+    body = "User-agent: *\nDisallow: /p\nAllow: /p/a$\nCrawl-delay: 3\n\nUser-agent: Loam-bot\nUser-agent: x\nDisallow: /z*.html # no\nAllow: /z/\nDisallow:\n"
+    rob = spark.createDataFrame([("o1", 200, body), ("o2", 404, None), ("o3", 500, None), ("o5", 200, body.replace("Loam-bot", "other"))], "origin string, status int, body string")
+    rules = frontier.robots_rules(rob)
+    asked = {("o1", "/p"): True, ("o1", "/z/x.html"): False, ("o1", "/zz.html"): False, ("o1", "/z/x"): True, ("o2", "/a"): True, ("o3", "/a"): False, ("o4", "/a"): False, ("o5", "/p/a"): True, ("o5", "/p/ab"): False}
+    got = frontier.robots_verdicts(spark.createDataFrame(list(asked), "origin string, path string"), rules).collect()
+    assert {(r.origin, r.path): r.robots_allowed for r in got} == asked
+    assert {r.origin: r.delay for r in frontier.crawl_delays(rules).collect()}["o5"] == 3.0
+    start = "https://a.com/docs/start"
+    links = [(start, 0, "b"), (start, 1, "b#x"), (start, 2, "/other"), (start, 3, "mailto:x"), (start, 4, "a")]
+    xml = "<urlset><url><loc>https://a.com/docs/a?x=1&amp;y=2</loc></url><url><loc>https://a.com/more.xml</loc></url></urlset>"
+    found = frontier.candidates(
+        spark.createDataFrame([(start,)], "start_url string"), spark.createDataFrame(links, "start_url string, pos int, href string"),
+        frontier.sitemap_urls(spark.createDataFrame([(start, xml)], "start_url string, xml string")),
+    )
+    judged = frontier.verdicts(found)
+    assert {r.verdict: r["count"] for r in judged.groupBy("verdict").count().collect()} == {"admitted": 4, "duplicate": 1, "out_of_scope": 1, "malformed": 1}
+    small = Settings(crawl_max_pages=2)
+    assert [r.url for r in frontier.frontier(judged, small).orderBy("rank").collect()] == [start, "https://a.com/docs/a"]
+    assert {r.verdict: r["count"] for r in frontier.refusals(judged, small).collect()}["capped"] == 2
+
+
+def test_supersession_and_upsert(spark):
+    types = "document_id string, ordinal int, text_fingerprint string"
+    old = spark.createDataFrame([("d", 0, "a"), ("d", 1, "b"), ("d", 2, "c")], types).withColumn("vector_id", T.vector_id("document_id", "ordinal"))
+    new = spark.createDataFrame([("d", 0, "a"), ("d", 1, "x"), ("e", 0, "n")], types)
+    plan = {(r.document_id, r.ordinal): (r.action, r.vector_id) for r in registry.supersession_plan(old, new).collect()}
+    assert plan == {("d", 0): ("unchanged", "d#0000"), ("d", 1): ("supersede", "d#0001"), ("d", 2): ("orphan", "d#0002"), ("e", 0): ("write", "e#0000")}
+    again = registry.supersession_plan(new.withColumn("vector_id", T.vector_id("document_id", "ordinal")), new)
+    assert {r.action for r in again.collect()} == {"unchanged"}
+    cur, add = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    once = registry.upsert(cur, add, "k")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, registry.upsert(once, add, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    with pytest.raises(ValueError):
+        registry.delete_ids(cur, add.limit(0), "k")
+
+
+def test_registry_rows(spark):
+    docs = spark.createDataFrame([("d1", "processed", None, True), ("d2", "deleted", None, False), ("d3", "processed", None, True)], "document_id string, state string, state_detail string, vectors_live boolean")
+    out = spark.createDataFrame([("d1", False, "timeout"), ("d2", True, None)], "document_id string, ok boolean, code string")
+    got = {r.document_id: (r.state, r.state_detail, r.vectors_live) for r in registry.page_outcomes(docs, out).collect()}
+    assert got == {"d1": ("failed", '{"code":"timeout"}', True), "d2": ("deleted", None, False), "d3": ("processed", None, True)}
+    req = spark.createDataFrame([("s1", "j1", 1), ("s1", "j2", 2), ("s2", "j3", 1)], "source_id string, job_id string, requested_at int")
+    jobs_ = spark.createDataFrame([("s2", "j0", "running"), ("s1", "j9", "failed")], "source_id string, job_id string, state string")
+    assert {r.job_id: (r.admitted, r.running_job) for r in registry.admit_jobs(req, jobs_).collect()} == {"j1": (True, None), "j2": (False, "j1"), "j3": (False, "j0")}
+    cur = spark.createDataFrame([(1, "a", "b")], "k int, x string, y string")
+    patch = spark.createDataFrame([(1, ["y"], "ignored", None)], "k int, set_fields array<string>, x string, y string")
+    assert tuple(registry.patch(cur, patch, "k", ["x", "y"]).first()) == (1, "a", None)
+    bad = registry.violations(docs, "document_id", registry.CHECKS["documents"] | {"tombstone_means_deleted": "true"}, {"state": ["state"]})
+    assert {(r.rule, r.key) for r in bad.collect()} == {("state", "d1")}
+    hist = spark.createDataFrame([("d", 1, "deleted"), ("d", 2, "processed"), ("e", 1, "processed"), ("e", 2, "deleted")], "document_id string, at int, state string")
+    assert [r.document_id for r in registry.bad_transitions(hist).collect()] == ["d"]
+
+
+def test_questions(spark):
+    rows = [("q1", "How do I create X and how can I delete Y?", '{"product":" Jira","confidence":{"product":0.9,"category":"0.2"},"category":"root","entities":["a"," "]}'), ("q2", "jira vs confluence", "x"), ("q3", "rotate a token and revoke it", '{"product":"sap","confidence":{"product":7}}')]
+    an = retrieval.filter_plan(retrieval.normalise_analysis(spark.createDataFrame(rows, "question_id string, question string, raw_json string")))
+    got = {r.question_id: r for r in an.collect()}
+    assert (got["q1"].detected_product, got["q1"].detected_category, got["q1"].filter_reason) == ("jira", None, "confident")
+    assert (got["q2"].filter_reason, got["q2"].named_products) == ("ambiguous", ["jira", "confluence"])
+    assert (got["q3"].detected_product, got["q3"].confidence["product"], got["q3"].filter_reason) == (None, 0.0, "low_confidence")
+    q = [(r.question_id, r.query, r.filter_product) for r in retrieval.scoped_filters(retrieval.rewrites(an)).orderBy("question_id", "rewrite").collect()]
+    assert q == [
+        ("q1", "How do I create X?", "jira"), ("q1", "how can I delete Y?", "jira"), ("q2", "jira vs confluence [scope: jira]", "jira"),
+        ("q2", "jira vs confluence [scope: confluence]", "confluence"), ("q3", "rotate a token and revoke it", None),
+    ]
+
+
+def test_knn_in_blocks_is_the_same(spark, monkeypatch):
+    units = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(60)], "unit_id int, embedding array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "query_id int, embedding array<double>")
+    key = lambda df: sorted((r.query_id, r.rank, r.unit_id) for r in df.collect())
+    whole = key(retrieval.nearest_units(q, units, 4))
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 2)
+    assert key(retrieval.nearest_units(q, units, 4)) == whole and len(whole) == 36
+
+
+def test_evidence(spark):
+    far = ["alpha beta gamma", "delta epsilon zeta", "eta theta iota", "kappa lambda mu", "nu xi omicron", "alpha beta gamma."]
+    rows = [("q", "alpha question", f"u{i}", i + 1, 0.9 - i / 10, "d0" if i < 3 else f"d{i}", "p1" if i == 4 else "p0", far[i], ["H"], "http://x") for i in range(6)]
+    types = "question_id string, question string, unit_id string, pool_rank int, score double, document_id string, product string, text string, heading_path array<string>, source_url string"
+    pool = spark.createDataFrame(rows, types)
+    rr = retrieval.rerank(pool, score=F.col("score"))
+    order = lambda df: [r.unit_id for r in retrieval.select_evidence(df).orderBy("evidence_rank").collect()]
+    assert order(rr) == ["u0", "u1", "u3", "u4"]  # a third unit of d0 and a near duplicate are passed over
+    assert order(rr.withColumn("required_groups", F.array(F.lit("p1")))) == ["u4", "u0", "u1", "u3"]
+    assert order(rr.withColumn("prefer_group", F.lit("p1"))) == ["u4", "u0", "u1"]
+    gate = retrieval.evidence_gate(rr, retrieval.select_evidence(rr), Settings(min_rerank_score=0.95)).first()
+    assert gate.refused and gate.gate_reason == "BELOW_MIN_RERANK_SCORE"
+    none = spark.createDataFrame([], "question_id string, index int, score double")
+    assert [r.unit_id for r in retrieval.rerank(pool, none).orderBy("rerank_rank").collect()] == [f"u{i}" for i in range(6)]
+    assert retrieval.refusal_leads(rr).count() == 3
+
+
+def test_claims(spark):
+    answer = "How to? [1] The quick brown fox jumps high [2]. [E3] Second claim here is very long indeed. no."
+    df = spark.createDataFrame([(answer, ["quick brown foxes jumps high again"])], "a string, q array<string>")
+    r = df.select(T.substantive_sentences("a").alias("s"), T.uncited_claims("a").alias("u"), T.faithfulness("a", "q").alias("f")).first()
+    assert r.s == ["The quick brown fox jumps high [2]. [E3]", "Second claim here is very long indeed."]
+    assert r.u == ["Second claim here is very long indeed."] and r.f == 0.5
+    m = audit.resolve_markers(spark.createDataFrame([("x [E2] y [E9] z [E1][E2].", ["a", "b"])], "answer string, served array<string>")).first()
+    assert (m.resolved_text, m.cited_ids, m.rejected_markers) == ("x [1] y z [2][1].", ["b", "a"], ["E9"])
+    raw = ['{"answer":"x","answerable":true,"citations":[{"evidence_id":"a"}]}', "[1]", '{"answer":1,"answerable":true}', '{"answer":"x","answerable":true,"citations":[{"source_url":"u"}]}', '{"answer":"x","answerable":true,"citations":3}', "no"]
+    got = [x.malformed for x in audit.parse_answers(spark.createDataFrame([(x,) for x in raw], "raw_json string")).collect()]
+    assert got == [None, "no_json_object", "malformed_answer", "citation_without_id", "malformed_citations", "no_json_object"]
+
+
+def test_citations(spark):
+    cited = spark.createDataFrame([("a", 0, "e1", "u1"), ("a", 1, "e2", ""), ("a", 2, "e3", "bad"), ("a", 3, "nope", "x"), ("a", 4, "e1", "other")], "answer_id string, pos int, evidence_id string, link string")
+    served = spark.createDataFrame([("a", f"e{i}", f"u{i}") for i in range(1, 5)], "answer_id string, evidence_id string, source_url string")
+    v = audit.validate_citations(cited, served)
+    assert {r.evidence_id: r.state for r in v.collect()} == {"e1": "valid", "e2": "repaired", "e3": "repaired", "nope": "rejected"}
+    assert tuple(audit.validation_counts(v).first()) == ("a", 1, 1, 2, 1)
+
+
+def test_events(spark):
+    rows = [("ok", i + 1, n) for i, n in enumerate(audit.EVENT_ORDER)] + [("err", 1, "query_received"), ("err", 2, "error"), ("bad", 1, "query_analyzed"), ("two", 1, "error"), ("two", 2, "error"), ("open", 1, "query_received")]
+    df = spark.createDataFrame(rows, "request_id string, sequence int, name string")
+    assert {r.request_id: r.ok for r in audit.event_order(df).collect()} == {"ok": True, "err": True, "bad": False, "two": False, "open": False}
+
+
+def test_gate_and_tripwire(spark):
+    def result(i, bad):
+        return ("run", f"q{i}", *[0.0 if bad else 1.0] * 6, int(bad), int(bad), 9000 if bad else 10, bad, bad, ["a", "b"], "cross_product", False)
+
+    types = "run_id string, question_id string, recall_at_5 double, precision_at_5 double, mrr double, citation_validity double, claim_coverage double, faithfulness double, fabricated_fact_count int, invalid_citation_count int, latency_ms int, refused boolean, error boolean, searched_products array<string>, category string, is_unsupported boolean"
+    good = evaluate.run_metrics(spark.createDataFrame([result(i, False) for i in range(4)], types), ["run_id"])
+    worse = evaluate.run_metrics(spark.createDataFrame([result(i, i == 0) for i in range(4)], types), ["run_id"])
+    assert evaluate.gate_outcome(good, "run_id").first().outcome == "pass"
+    failed = {r.gate for r in evaluate.gate(worse, ["run_id"]).collect()}
+    assert {"fabricated_fact_count", "invalid_citation_count", "p95_latency_ms", "citation_validity"} <= failed
+    gold = spark.createDataFrame([("q1", False), ("q2", True), ("q3", False)], "question_id string, is_unsupported boolean")
+    ranked = spark.createDataFrame([("q1", 1, False), ("q1", 2, True), ("q2", 1, True)], "question_id string, place int, good boolean")
+    g = {r.question_id: tuple(r)[1:] for r in evaluate.retrieval_grades(gold, ranked, F.col("good")).collect()}
+    assert g == {"q1": (1.0, 0.5, 0.5), "q2": (None, None, None), "q3": (0.0, 0.0, 0.0)}
+    paths = [(["A", "C"], ["a", "B!", "c"], True), (["C", "A"], ["A", "C"], False), ([], ["A"], False)]
+    assert column(spark, paths, "e array<string>, a array<string>, w boolean", T.heading_covers("e", "a") == F.col("w")) == [True] * 3
+
+
+def test_scrubbing(spark):
+    rows = [("x postgres://u:pw@h/db Bearer abcdefghijklmnopqrstu api_key='abcdefghijklmn' ok",)]
+    assert column(spark, rows, "t string", T.redact("t")) == ["x [REDACTED]h/db [REDACTED] [REDACTED]' ok"]
+    assert column(spark, [("a​b<Script> < c",)], "t string", T.scrub("t")) == ["ab&lt;Script> < c"]
+    assert column(spark, [('{"a":{"Reasoning":1},"b":[{"my_thoughts":2}]}',)], "t string", T.reasoning_keys("t")) == [["Reasoning", "my_thoughts"]]
+    assert column(spark, [("So my reasoning is this",)], "t string", T.deliberation_marker("t")) == ["my reasoning is"]
+    assert column(spark, [("fn main",)], "t string", T.token_estimate("t", F.lit("code"))) == [7]
+
+
+def test_datasets(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"manifest_version":"1","sources":[{"name":"a","start_url":"https://x/","allowed_domains":["x"],"max_pages":5,"max_depth":1,"delay_seconds":1,"enabled":true},{"name":"","start_url":"http://y","allowed_domains":[],"max_pages":0,"max_depth":1,"delay_seconds":0}]}')
+    rows = datasets.read_manifest(spark, str(tmp_path / "m.json"))
+    assert {(r.pos, r.field) for r in datasets.manifest_violations(rows).collect()} == {(1, f) for f in ("name", "start_url", "allowed_domains", "max_pages")}
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "x int, y string")
+    mark = lambda d: datasets.dataset_fingerprint(d).first()[0]
+    assert mark(df) == mark(df.select("y", "x").repartition(3)) != mark(df.distinct())
+
+
+def test_streams(spark, tmp_path):
+    from loam.streaming.runs import run_available
+
+    at = dt.datetime(2026, 1, 1)
+    rows = [("r1", i + 1, n, at) for i, n in enumerate(audit.EVENT_ORDER)] + [("r2", 1, "query_received", at), ("r2", 2, "error", at), ("r3", 2, "error", at), ("r3", 1, "query_analyzed", at)]
+    spark.createDataFrame(rows, "request_id string, sequence int, name string, ts timestamp").repartition(1).write.parquet(f"{tmp_path}/e")
+    schema = spark.read.parquet(f"{tmp_path}/e").schema
+    out = run_available(jobs.event_order_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/e")), "order")
+    assert {r.request_id: (r.ok, r.ended) for r in out.collect()} == {"r1": (True, True), "r2": (True, True), "r3": (False, True)}
+    seen = jobs.first_seen_urls(spark.readStream.schema(schema).parquet(f"{tmp_path}/e").select(F.col("request_id").alias("url"), "ts"))
+    assert sorted(r.url for r in run_available(seen, "seen").collect()) == ["r1", "r2", "r3"]
+
+
+def test_ingest_batch(spark):
+    body = "<html><body><h1>T</h1>" + "".join(f"<p>Paragraph {i} tells of thing number {i * 7}, and then of {i * 11} others, at length.</p>" for i in range(12)) + "</body></html>"
+    batch = spark.createDataFrame([(1, "u1", body), (2, "u2", "<p>tiny"), (3, "u3", body.replace("thing", "stone"))], "page_id long, url string, html string")
+    docs = spark.createDataFrame([], "source_id string, url string, fingerprint string")
+    stored = spark.createDataFrame([], "document_id string, ordinal int, vector_id string, text_fingerprint string")
+    out = jobs.ingest_batch(batch, docs, stored)
+    assert {r.page_id: r.reason for r in out["rejects"].collect()} == {2: "too_small"}
+    assert {r.action for r in out["plan"].collect()} == {"write"}
+    known = out["changes"].select("source_id", "url", "fingerprint")
+    again = jobs.ingest_batch(batch, known, stored)
+    assert {r.change for r in again["changes"].collect()} == {"unchanged"} and again["units"].count() == 0
