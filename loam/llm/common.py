@@ -35,7 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs nothing but the tasks it ran."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables from which all that is needed has been written since."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,17 +80,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     edges = written(edges, "edges")
     while not _is_stars(edges):
+        old = [edges]
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = written(
             both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low"
         )
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a != b").distinct(), "large")
+        old += [low, large]
         # small star: a > b in every row now
         low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a != b").union(low.select("a", F.col("m").alias("b")))
         edges = written(small.distinct(), "edges")
+        discard(*old, low)
     centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(centres)
 

@@ -78,6 +78,14 @@ def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle_hashes(w.hash[a:b], n))
 
 
+def _signature(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def _short(signature: bytes) -> int:
+    return int.from_bytes(signature[:6], "big")
+
+
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Equal keys: the first node of each key, and the others' edges to it."""
     order = np.argsort(keys, kind="stable")
@@ -88,7 +96,7 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[new], nodes[new], edges[:, 0], edges[:, 1]
 
 
-def _local(batches: Iterator[dict]) -> Iterator[dict]:
+def _local(batches: Iterator[list]) -> Iterator[dict]:
     """Before the shuffle: of the nodes with one key in this task, one travels for all;
     the others are tied to it at once.  Rows with a null key are edges."""
     keys: list[np.ndarray] = []
@@ -103,9 +111,8 @@ def _local(batches: Iterator[dict]) -> Iterator[dict]:
             yield {"key": k[part].tolist(), "a": first[part].tolist(), "b": [None] * len(k[part])}
         yield {"key": [None] * len(a), "a": a.tolist(), "b": b.tolist()}
 
-    for batch in batches:
-        for node, blob in zip(batch["node"], batch["keys"]):
-            k = np.frombuffer(blob, "<i8")
+    for some in batches:
+        for node, k in some:
             keys.append(k)
             nodes.append(np.full(len(k), node, np.int64))
         if sum(map(len, keys)) >= LOCAL_KEYS:
@@ -167,32 +174,41 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     def read(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            size, sig, keys = [], [], []
-            for s in gram_sets(batch["text"], n):
-                size.append(len(s))
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(fragment_keys(s, percent, low).view(np.int64).tobytes() if len(s) else b"")
-            yield {
-                "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": size, "sig": sig, "keys": keys
-            }
+            sets = list(gram_sets(batch["text"], n))
+            yield {k: batch[k] for k in ("doc_id", "text_hash")} | {
+                "n_shingles": [len(s) for s in sets],
+                "sig": [_signature(s) if len(s) else None for s in sets],
+            }
+
+    def keyed(batches: Iterator[dict]) -> Iterator[dict]:
+        # 48 bits of keys and signatures are enough here: what they confuse is only compared
+        shift = np.uint64(16)
+        return _local(
+            [
+                (_short(_signature(s)), (fragment_keys(s, percent, low) >> shift).view(np.int64))
+                for s in gram_sets(batch["text"], n)
+                if len(s)
+            ]
+            for batch in batches
+        )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    sets = map_batches(texts, read, "doc_id long, text_hash long, n_shingles long, sig binary, keys binary")
-    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = written(map_batches(texts, read, "doc_id long, text_hash long, n_shingles long, sig binary"), "sets")
 
     # one node stands for all rows with its set
-    first = F.min(F.struct("node", "doc_id", "text_hash")).alias("first")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
     nodes = sets.where("sig IS NOT NULL").groupBy("sig").agg(
         first, F.min("doc_id").alias("low"), F.max("n_shingles").alias("size")
     ).select("sig", "low", "size", "first.*")
-    nodes = written(nodes, "nodes")
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    near = map_batches(sets.where("sig IS NOT NULL").select("node", "keys"), _local, "key long, a long, b long")
+    near = map_batches(texts.select("text"), keyed, "key long, a long, b long")
     # edges are dealt by their nodes, so that the rows without a key are no hot one
     dealt = near.repartition(F.coalesce("key", F.xxhash64("a", "b"))).sortWithinPartitions("key", "a")
     meet = map_batches(dealt, _joined, "a long, b long")
-    cluster = connected_components(meet)
-    member = nodes.select("node", "doc_id", "text_hash", "size").join(cluster, "node")
+    cluster = connected_components(meet).withColumnRenamed("node", "short")
+    short = F.conv(F.hex(F.substring("sig", 1, 6)), 16, 10).cast("long").alias("short")
+    member = nodes.select("node", "doc_id", "text_hash", "size", short).join(cluster, "short").drop("short")
     member = written(member, "member")
     blocks = written(
         member.groupBy("component")
@@ -206,7 +222,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     )
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     member = written(
-        member.join(blocks, "component").withColumn("mine", mine).drop("size", "n_shingles"), "member"
+        member.join(blocks, "component").withColumn("mine", mine).drop("size"), "member"
     )
     # the texts that are compared, each once per block; they are sorted and merged at any
     # size, since the members grow with the documents

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_batches, mix, powers, repeated_keys, written
+from .common import NO_ID, discard, map_batches, mix, powers, repeated_keys, written
 
 #: lines of fewer code points are left alone
 SHORTEST = 20
@@ -230,6 +230,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "row", "doc", "text_hash", "cut", *[F.when(open_, F.col(c)).alias(c) for c in ("text", "gone", "close")]
     )
     seen = written(seen, "seen")
+    discard(first)
     todo = seen.where("cut IS NULL").drop("cut")
 
     fine = repeated_keys(
@@ -270,6 +271,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .groupBy("doc", "text_hash")
         .agg(F.collect_set("line").alias("near"))
     )
+    near = written(near, "near")
+    discard(candidates, variants, groups)
     gone = F.concat("gone", F.coalesce("near", F.array().cast("array<int>")))
     rest = todo.join(near, ["doc", "text_hash"], "left").select("row", cut_udf("text", gone).alias("cut"))
     done = seen.where("cut IS NOT NULL").select("row", "cut")
