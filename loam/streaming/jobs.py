@@ -63,7 +63,7 @@ class EventOrder(StatefulProcessor):
     reported by a timer.  Events of one batch are taken by sequence number.
     """
 
-    def __init__(self, timeout_ms: int = 60_000):
+    def __init__(self, timeout_ms: int | None = None):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -84,7 +84,7 @@ class EventOrder(StatefulProcessor):
                 at, over = where, where == len(EVENT_ORDER)
         if over and not (self.place.exists() and self.place.get()[2]):
             yield pd.DataFrame({"request_id": [key[0]], "ok": [bool(ok)], "ended": [True]})
-        elif not over:
+        elif not over and self.timeout_ms:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
@@ -99,12 +99,13 @@ class EventOrder(StatefulProcessor):
         pass
 
 
-def event_order_stream(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """A stream of (request_id, sequence, name) to requests that ended or timed out.  Needs
-    the RocksDB state store."""
+def event_order_stream(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """A stream of (request_id, sequence, name) to requests that ended, well or not; with a
+    timeout, which a stream that is run to its end cannot have, also to those that did not
+    end in time.  Needs the RocksDB state store."""
     return events.groupBy("request_id").transformWithStateInPandas(
         statefulProcessor=EventOrder(timeout_ms),
         outputStructType="request_id string, ok boolean, ended boolean",
         outputMode="append",
-        timeMode="processingTime",
+        timeMode="processingTime" if timeout_ms else "none",
     )
