@@ -62,9 +62,19 @@ def _emit(size: int, run: int):
     return emit
 
 
+def _again(keys: list, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which keys stand at a later place than an equal one among them."""
+    out = np.zeros(len(keys), bool)
+    first: dict = {}
+    for i in np.lexsort((starts, docs)).tolist():
+        place = docs[i], starts[i]
+        out[i] = first.setdefault(keys[i], place) != place
+    return out
+
+
 def _strings(size: int):
-    """The repeated super-k-mers as packed strings of words; of a hot minimiser, by the
-    hash of the string."""
+    """The repeated super-k-mers as packed strings of words; those of hot minimisers that
+    this batch has at an earlier place are ``again``, and need not travel."""
 
     def run(batches):
         import pyarrow as pa
@@ -84,12 +94,15 @@ def _strings(size: int):
                 s = start[lo:hi]
                 packed += [plain[x:y] for x, y in zip(begin[s].tolist(), stop[s + n[lo:hi] + size - 2].tolist())]
             of = np.repeat(np.arange(len(doc)), np.diff(np.concatenate(([0], ends))))
+            again = np.zeros(len(packed), bool)
+            some = np.flatnonzero(hot)
+            again[some] = _again([packed[i] for i in some], doc[of][some], start[some])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mini), pa.array(doc[of]), pa.array(text_hash[of]), pa.array(start), pa.array(n), pa.array(hot), pa.array(packed, pa.binary())],
-                names=["key", "doc", "text_hash", "start", "n", "hot", "words"],
+                [pa.array(mini), pa.array(doc[of]), pa.array(text_hash[of]), pa.array(start), pa.array(n), pa.array(hot), pa.array(again), pa.array(packed, pa.binary())],
+                names=["key", "doc", "text_hash", "start", "n", "hot", "again", "words"],
             )
 
-    return run, "key long, doc long, text_hash long, start long, n long, hot boolean, words binary"
+    return run, "key long, doc long, text_hash long, start long, n long, hot boolean, again boolean, words binary"
 
 
 def _seen_before(size: int):
@@ -138,7 +151,8 @@ def _windows(size: int):
                     key = hashlib.blake2b(b" ".join(words[k : k + size]), digest_size=16).digest()
                     for into, x in zip(out.values(), (key, doc, text_hash, start + k)):
                         into.append(x)
-            yield out
+            again = _again(out["key"], np.array(out["doc"], np.int64), np.array(out["start"], np.int64))
+            yield out | {"again": again.tolist()}
 
     return run
 
@@ -211,7 +225,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN, with_text:
 
     run_, types = _strings(size)
     packed = todo.select("doc", "text_hash", "text", "kmers").mapInArrow(run_, types)
-    cold = packed.where("NOT hot").drop("hot").repartition("key").sortWithinPartitions("key", "doc", "start")
+    cold = packed.where("NOT hot").drop("hot", "again").repartition("key").sortWithinPartitions("key", "doc", "start")
     span = "doc long, text_hash long, from long, to long"
     spans = map_batches(cold, _seen_before(size), span)
 
@@ -219,15 +233,24 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN, with_text:
     of_hot = todo.withColumn("kmers", F.filter("kmers", lambda k: k["hot"])).where(F.size("kmers") > 0)
     hot_rows = of_hot.select("doc", "text_hash", "text", "kmers").mapInArrow(run_, types)
     hot_rows = written(hot_rows.withColumn("key", F.unhex(F.md5("words"))).drop("hot"), "hot_rows")
-    again = _later(hot_rows.drop("words"), "key")
-    whole = again.select("doc", "text_hash", F.col("start").alias("from"), (F.col("start") + F.col("n") + size - 1).alias("to"))
-    firsts = hot_rows.join(
-        again.select("doc", "text_hash", "start"), ["doc", "text_hash", "start"], "left_anti"
+    travel = hot_rows.where("NOT again")
+    again = _later(travel.select("key", "doc", "text_hash", "start", "n"), "key")
+    end = (F.col("start") + F.col("n") + size - 1).alias("to")
+    whole = (
+        hot_rows.where("again").select("doc", "text_hash", F.col("start").alias("from"), end)
+        .union(again.select("doc", "text_hash", F.col("start").alias("from"), end))
+    )
+    firsts = travel.join(again.select("doc", "text_hash", "start"), ["doc", "text_hash", "start"], "left_anti")
+    windows = map_batches(
+        firsts.select("doc", "text_hash", "start", "n", "words"),
+        _windows(size),
+        "key binary, doc long, text_hash long, start long, again boolean",
     )
-    windows = map_batches(firsts.drop("key"), _windows(size), "key binary, doc long, text_hash long, start long")
     windows = written(windows, "windows")
-    partly = _later(windows, "key")
-    partly = partly.select("doc", "text_hash", F.col("start").alias("from"), (F.col("start") + size).alias("to"))
+    partly = _later(windows.where("NOT again").drop("again"), "key").select("doc", "text_hash", "start")
+    partly = partly.union(windows.where("again").select("doc", "text_hash", "start")).select(
+        "doc", "text_hash", F.col("start").alias("from"), (F.col("start") + size).alias("to")
+    )
 
     spans = spans.union(whole).union(partly)
     cut = spans.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
