@@ -36,7 +36,7 @@ DEFAULT_CHARS_PER_TOKEN = 3.17
 MIN_CONTENT_CHARS = 200
 MAX_TOP_GRAM_SHARE = 0.08
 MARKER = r"\[E?\d+\]"
-#: ends of what can be said aloud; the third group is kept
+#: shapes of credentials, tried in this order
 SECRET_SHAPES = (
     r"gsk_[A-Za-z0-9]{20,}",
     r"pcsk_[A-Za-z0-9]{20,}",
