@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions alone.
 
-A mask ignores fixed positions of a run of words, so that a substituted word there does
-not break the match.  Hashes of the masked runs of the benchmark are joined with those of
-all documents; a hit gives a document, an item and the shift between their words.  Along
-each shift the words are compared, and the best stretch, with substitutions allowed,
-decides.
+A mask looks at three words of a run and ignores those between, so that a substituted
+word there does not break the match.  Hashes of the masked runs of the benchmark are
+joined with those of all documents; a hit gives a document, an item and the shift between
+their words.  Along each shift with enough hits the words are compared, and the best
+stretch, with substitutions allowed, decides.  No overlap is lost: every pattern of
+substitutions that scores enough has that many hits, which a test enumerates.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: 1 looks at a word, 0 ignores it
-MASKS = ("1011011011", "1101101101", "1110110111")
-SPAN = len(MASKS[0])
+#: 1 looks at a word, 0 ignores it.  A stretch gains 3 - g at a gap g between shared words,
+#: so one that scores has neighbouring gaps of five in sum at most, which makes ten masks;
+#: these are the fewest of them that no stretch that scores enough can avoid
+MASKS = ("111", "1101", "11001", "110001", "1011", "10101", "101001")
+#: hits that a stretch that scores enough has at least, by the item's words; of more words, HITS
+SHORT_HITS = {5: 3, 6: 4, 7: 9, 8: 10, 9: 9}
+HITS = 11
 #: items of fewer words are too short to tell anything
 SHORTEST = 5
 #: words that a stretch has to share, or two thirds of a shorter item
 OVERLAP = 13
-#: distinct seed hashes (8 bytes each) up to which they are broadcast
+#: seeds of the benchmark (some 50 bytes each) up to which they are broadcast
 BROADCAST_SEEDS = 1_000_000
 
 _APART = r"[^\p{L}\p{N}]+"
@@ -34,18 +39,18 @@ def words(text: str) -> Column:
     return F.split(F.lower(trimmed), _APART)
 
 
-def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+def _seeds(df: DataFrame) -> DataFrame:
     """Rows of ``df`` (with ``words``) by position and mask: its other columns, ``at`` and ``seed``."""
-    shortest = min(map(len, masks))
+    shortest = min(map(len, MASKS))
     size = F.size("words")
-    at = df.withColumn("at", F.explode(F.when(size >= shortest, F.sequence(F.lit(0), size - shortest))))
+    hashed = df.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))  # each word once
+    at = hashed.withColumn("at", F.explode(F.when(size >= shortest, F.sequence(F.lit(0), size - shortest))))
 
     def seed(k: int, mask: str) -> Column:
         looked = [F.get("words", F.col("at") + i) for i, x in enumerate(mask) if x == "1"]
-        hashed = F.xxhash64(F.lit(k if "0" in mask else -len(mask)), *looked)
-        return F.when(F.col("at") + len(mask) <= size, hashed)
+        return F.when(F.col("at") + len(mask) <= size, F.xxhash64(F.lit(k), *looked))
 
-    out = at.withColumn("seed", F.explode(F.array(*[seed(k, m) for k, m in enumerate(masks)])))
+    out = at.withColumn("seed", F.explode(F.array(*[seed(k, m) for k, m in enumerate(MASKS)])))
     return out.where("seed IS NOT NULL").drop("words")
 
 
@@ -56,8 +61,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int =
 
     A stretch scores 2 for a word shared and -1 for one substituted; a pair overlaps if
     its best stretch scores at least 2 ``overlap``, or two thirds of twice the item's
-    words where that is less.  Items shorter than a mask are sought whole; items of
-    fewer than ``SHORTEST`` words, null and empty texts match nothing.  Repeated rows
+    words where that is less.  Items of fewer than ``SHORTEST`` words, null and empty
+    texts match nothing.  Repeated rows
     count once; a null doc_id or item_id is a value like others.
     """
     items = (
@@ -66,24 +71,21 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int =
         .distinct()
     )
     items = written(items.withColumn("number", F.monotonically_increasing_id()), "items")
-    # at most SPAN - SHORTEST lengths
-    short = [r[0] for r in items.select(F.size("item")).where(F.size("item") < SPAN).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
-    of_items = _seeds(items.select("number", F.col("item").alias("words"), F.size("item").alias("n")), masks)
-    # a long item is not sought by the short items' masks
-    of_items = of_items.select("seed", "number", F.col("at").alias("from"))
-    of_items = written(of_items.distinct(), "seeds")
-    seeds = of_items.select("seed").distinct()
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
+    n = F.size("item")
+    least = F.lit(HITS)
+    for size, hits in SHORT_HITS.items():
+        least = F.when(n == size, hits).otherwise(least)
+    of_items = _seeds(items.select("number", F.col("item").alias("words"), least.alias("least")))
+    of_items = written(of_items.withColumnRenamed("at", "from"), "seeds")
+    seeds = F.broadcast(of_items) if of_items.count() <= BROADCAST_SEEDS else of_items
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    of_docs = _seeds(texts.select("doc_id", "text_hash", words("text").alias("words")), masks)
-    hits = written(of_docs.join(seeds, "seed").select("doc_id", "text_hash", "at", "seed"), "hits")
+    of_docs = _seeds(texts.select("doc_id", "text_hash", words("text").alias("words")))
     shifts = (
-        hits.join(of_items, "seed")
-        .select("doc_id", "text_hash", "number", (F.col("at") - F.col("from")).alias("shift"))
-        .distinct()
+        of_docs.join(seeds, "seed")
+        .groupBy("doc_id", "text_hash", "number", "least", (F.col("at") - F.col("from")).alias("shift"))
+        .agg(F.count("*").alias("hits"))  # of repeated rows more, which only costs a comparison
+        .where("hits >= least")
     )
     found = written(shifts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("number", "shift")).alias("shifts")), "shifts")
     same_id = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash"))

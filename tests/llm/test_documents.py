@@ -200,6 +200,54 @@ def test_decontaminate(monkeypatch, spark, docs, none, broadcast):
     assert decontaminate.digest(small, bench.limit(0)).where("contaminated").count() == 0
 
 
+def needed(n):
+    return min(26, -(-n * 4 // 3))
+
+
+def test_masks_lose_nothing():
+    """Over all patterns of shared and substituted words: the least seed hits of one that scores enough."""
+    looked = [sum(1 << (len(m) - 1 - i) for i, x in enumerate(m) if x == "1") for m in decontaminate.MASKS]
+    full = (1 << max(map(len, decontaminate.MASKS)) - 1) - 1
+    start, now, least = (0, 0), {(0, 0): 0}, {}
+    for n in range(1, 1000):
+        then = {}
+        for (last, run), hits in now.items():
+            less, more = ((last << 1) & full, run - 1), (((last << 1) | 1) & full, min(26, run + 2))
+            if run > 1:
+                then[less] = min(hits, then.get(less, hits))
+            hits += sum(((last << 1) | 1) & x == x for x in looked)
+            then[more] = min(hits, then.get(more, hits))
+        for (_, run), hits in then.items():
+            least[run] = min(hits, least.get(run, hits))
+        now = then | {start: 0}
+        if n >= decontaminate.SHORTEST:
+            fewest = min(h for run, h in least.items() if run >= needed(n))
+            assert fewest >= decontaminate.SHORT_HITS.get(n, decontaminate.HITS), n
+
+
+def substituted(spark, broken):
+    """Documents that hold an item each, with the words at some places replaced; which items are found."""
+    items = {k: [f"w{k}x{i}" for i in range(n)] for k, (n, _) in enumerate(broken)}
+    docs = [(k, "before it " + " ".join("zz" if at(i) else w for i, w in enumerate(items[k])) + " after it") for k, (_, at) in enumerate(broken)]
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = collected(decontaminate.digest(spark.createDataFrame(docs, "doc_id long, text string"), bench))
+    score = [overlap(items[k], tokens(t)) for k, t in docs]
+    want = [[k] if x >= needed(len(items[k])) else [] for k, x in enumerate(score)]
+    assert [r["item_ids"] for r in got] == want
+    assert [r["score"] for r in got] == [x if w else 0 for x, w in zip(score, want)]
+    return sum(map(len, want))
+
+
+def test_decontaminate_substitutions(spark):
+    broken = [(n, lambda i, p=p: i % p == p - 1) for n in (19, 40, 200) for p in (2, 3, 4, 5)]
+    broken += [(200, lambda i: i % 5 not in (0, 1)), (200, lambda i: i % 5 not in (0, 3))]
+    rng = random.Random(8)
+    for n in (10, 11, 14, 20, 30, 60):
+        for share in (0.2, 0.25, 0.4):
+            broken += [(n, {i for i in range(n) if rng.random() < share}.__contains__) for _ in range(8)]
+    assert substituted(spark, broken) > 80
+
+
 def test_packing(spark, docs, rows, none):
     extra = spark.createDataFrame([(99, "<|endoftext|>a  b\n\n c<|endoftext|>")], "doc_id long, text string")
     got = [r.asDict() for r in packing.pack_documents(docs.select("doc_id", "text").union(extra)).collect()]
