@@ -2,8 +2,9 @@
 
 The global order of n-grams is the order of their hashes, and a document's set is cut
 into fragments of that order.  Sets that link differ in at most H n-grams, H depending on
-their sizes; with H + 1 fragments one fragment at least is equal in both, so documents
-that share no whole fragment need never meet.  Those that do share one are gathered in
+their sizes; with H + 1 fragments or more one at least is equal in both, so documents
+that share no whole fragment need never meet.  An empty fragment says nothing and is left
+out where enough others are left.  Those that do share one are gathered in
 blocks, where overlaps are counted fragment by fragment and summed for each pair.
 Nothing is estimated: the result is the one of comparing all pairs.
 """
@@ -47,11 +48,13 @@ def size_classes(percent: int, largest: int) -> list[int]:
 
 
 def fragment_keys(grams: np.ndarray, percent: int, low: list[int]) -> np.ndarray:
-    """Keys of all fragments of a sorted set: those of its class and of the one below.
+    """Keys of the fragments of a sorted set: those of its class and of the one below.
 
     At level k the smaller set of a pair has fewer than ``low[k + 1]`` n-grams, the two
     differ in no more than H = (low[k + 1] - 1) (100 - percent) / percent of them, and
-    the order is cut into H + 1 fragments.
+    the order is cut into about 1.15 (H + 1) fragments.  If H + 1 of a set are not empty,
+    one of them is equal in any set that links with it, and the empty ones have no key;
+    two sets with fewer have keys of all, one of which is equal.
     """
     k = bisect_right(low, len(grams)) - 1
     if len(low) < k + 2:
@@ -60,12 +63,15 @@ def fragment_keys(grams: np.ndarray, percent: int, low: list[int]) -> np.ndarray
     top = grams >> np.uint64(32)
     out = []
     for level in (k, k - 1) if k else (k,):
-        n = (low[level + 1] - 1) * (100 - percent) // percent + 1
+        least = (low[level + 1] - 1) * (100 - percent) // percent + 1
+        n = least + -(-3 * (least - 1) // 20)
         # a fragment starts at the first hash whose upper half times n passes a whole 2^32
         cuts = ((np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n)
         at = np.searchsorted(top, cuts)
         name = mix(np.arange(n, dtype=np.uint64) + (np.uint64(level + 1) << np.uint64(40)))
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ name))
+        keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ name)
+        full = at[1:] > at[:-1]
+        out.append(keys[full] if full.sum() >= least else keys)
     return np.concatenate(out)
 
 

@@ -141,6 +141,23 @@ def test_jaccard(monkeypatch, docs, rows, none, n, percent, chunk):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_fragments(percent):
+    """Sets that link share a key; others share none for being empty in a place."""
+    rng, low = np.random.default_rng(3), jaccard.size_classes(percent, 1 << 22)
+    some = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+    for size in [*range(1, 80), *(s for s in low if 80 < s < 3000), 500, 2000]:
+        a = some(size)
+        for gone in (0, (100 - percent) * size // 100, (100 - percent) * size // 200):
+            new = ((100 - percent) * size - 100 * gone) // percent  # the most that still link
+            b = np.unique(np.concatenate((rng.permutation(a)[gone:], some(new))))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= percent * (len(a) + len(b) - both)
+            assert np.intersect1d(*(jaccard.fragment_keys(x, percent, low) for x in (a, b))).size, (size, gone)
+    keys = np.concatenate([np.unique(jaccard.fragment_keys(some(500), percent, low)) for _ in range(200)])
+    assert len(np.unique(keys)) > 0.999 * len(keys)
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_substring(monkeypatch, docs, rows, none, hot):
     monkeypatch.setattr(substring, "HOT", hot)
