@@ -56,9 +56,9 @@ def fragment_keys(grams: np.ndarray, percent: int, low: list[int]) -> np.ndarray
     one of them is equal in any set that links with it, and the empty ones have no key;
     two sets with fewer have keys of all, one of which is equal.
     """
+    while low[-1] <= len(grams):  # the same classes, whatever was met before
+        low.append(low[-1] * 100 // percent + 1)
     k = bisect_right(low, len(grams)) - 1
-    if len(low) < k + 2:
-        low += [low[-1] * 100 // percent + 1]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams))))
     top = grams >> np.uint64(32)
     out = []

@@ -158,6 +158,13 @@ def test_fragments(percent):
     assert len(np.unique(keys)) > 0.999 * len(keys)
 
 
+def test_sets_above_the_classes():
+    rng, low = np.random.default_rng(3), jaccard.size_classes(90, 10)
+    for grams in (np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (3000, 3000, 20)):
+        want = jaccard.fragment_keys(grams, 90, jaccard.size_classes(90, 1 << 22))
+        assert (jaccard.fragment_keys(grams, 90, low) == want).all()
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_substring(monkeypatch, docs, rows, none, hot):
     monkeypatch.setattr(substring, "HOT", hot)
