@@ -40,9 +40,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id."""
-    found = jaccard.jaccard_components(docs, n=5, percent=80)
-    return _without(docs, found.where("NOT (doc_id <=> component_id)"))
+    """Of each group of near duplicates (five words, 0.8) one row: the first by doc_id
+    (null ids last), hash of the text and the row itself.  Null and empty texts are in no
+    group and stay."""
+    found = written(jaccard.jaccard_components(docs, n=5, percent=80), "found")
+    firsts = _without(docs, found.where("NOT (doc_id <=> component_id AND text_hash = first_hash)"))
+    again = found.where("n_shingles > 0 AND doc_id <=> component_id AND text_hash = first_hash")
+    again = written(again.groupBy("doc_id", "text_hash").count().where("count > 1"), "again")
+    same = firsts["doc_id"].cast("long").eqNullSafe(again["doc_id"]) & (F.xxhash64(firsts["text"]) == again["text_hash"])
+    repeated = firsts.join(again, same, "left_semi").select(F.struct("*").alias("row"))
+    repeated = repeated.groupBy(F.col("row.doc_id"), F.xxhash64("row.text")).agg(F.min("row").alias("row"))
+    return _without(firsts, again).unionByName(repeated.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

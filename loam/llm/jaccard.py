@@ -168,12 +168,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text; others are ignored) to ``doc_id``, ``text_hash``,
-    ``n_shingles`` and ``component_id``, one row per row.
+    ``n_shingles``, ``component_id`` and ``first_hash``, one row per row.
 
     Two documents link when 100 |intersection| >= percent |union| of their sets of n-word
     runs; a text of fewer words is one run.  Null and empty texts have an empty set and
     link with nothing.  A component's id is the smallest doc_id reached, null only if no
-    member has one.  Equal sets are one node, so that copies cost nothing; repeated rows
+    member has one; of the members with this id ``first_hash`` is the smallest text_hash, so
+    that both name one document.  Equal sets are one node, so that copies cost nothing; repeated rows
     are copies.  No rows give no rows.
     """
     low = size_classes(percent, 1 << 22)
@@ -203,8 +204,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # one node stands for all rows with its set
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    low_key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # null ids last
     nodes = sets.where("sig IS NOT NULL").groupBy("sig").agg(
-        first, F.min("doc_id").alias("low"), F.max("n_shingles").alias("size")
+        first, F.min(low_key).alias("low"), F.max("n_shingles").alias("size")
     ).select("sig", "low", "size", "first.*")
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -261,15 +263,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         nodes.select("sig", "node", "low")
         .join(reached, "node", "left")
         .join(least, "component", "left")
-        .select("sig", F.coalesce("least", "low").alias("component_id")),
+        .select("sig", F.coalesce("least", "low").alias("least")),
         "known",
     )
     return (
         sets.select("doc_id", "text_hash", "n_shingles", "sig")
         .join(known, "sig", "left")
-        .select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select(
+            "doc_id",
+            "text_hash",
+            "n_shingles",
+            F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+            F.coalesce("least.text_hash", "text_hash").alias("first_hash"),
+        )
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs, n=3, percent=90).drop("text_hash")
+    return jaccard_components(docs, n=3, percent=90).drop("text_hash", "first_hash")

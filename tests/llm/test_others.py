@@ -146,3 +146,20 @@ def test_pipeline(spark, tmp_path):
     assert kept[2] - kept[3] == {15}
     out = p.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").collect()} == kept[3]
+
+
+def test_pipeline_keeps_one_of_a_group(spark):
+    import corpus_pipeline as p
+
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, say(1), "a"), (1, say(1), "b"), (1, say(1), "a")]  # repeated rows
+    rows += [(2, say(2), "a"), (2, say(2) + " more", "a"), (3, say(2), "a")]  # one id, two near texts
+    rows += [(None, say(4), "a"), (None, say(4), "a"), (None, say(5), "a")]  # null ids only
+    rows += [(6, say(6), "a"), (None, say(6), "a"), (7, say(7), "a"), (7, say(8), "a")]
+    rows += [(9, None, "a"), (9, None, "a"), (9, "", "a")]  # in no group
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted(map(tuple, p.ngram_jaccard(spark, df, "").collect()), key=str)
+    two = [r for r in got if r[0] == 2]
+    assert len(two) == 1 and two[0] in rows
+    want = [rows[0], rows[6], rows[8], rows[9], *rows[11:]]
+    assert sorted((r for r in got if r[0] != 2), key=str) == sorted(want, key=str)
