@@ -272,6 +272,12 @@ def test_decontaminate_substitutions(spark):
     assert substituted(spark, broken) > 80
 
 
+def test_decontaminate_short_items(spark):
+    """Items of 5 to 11 words with every one word, and every two words, replaced."""
+    broken = [(n, {i, j}.__contains__) for n in range(5, 12) for i in range(n) for j in range(i, n)]
+    assert substituted(spark, broken) > 100
+
+
 def test_packing(spark, docs, rows, none):
     extra = spark.createDataFrame([(99, "<|endoftext|>a  b\n\n c<|endoftext|>")], "doc_id long, text string")
     got = [r.asDict() for r in packing.pack_documents(docs.select("doc_id", "text").union(extra)).collect()]
