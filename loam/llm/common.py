@@ -263,10 +263,10 @@ def least_labels(link: np.ndarray) -> np.ndarray:
 LOCAL_KEYS = 1 << 19
 
 
-def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
+def repeated_keys(df: DataFrame, emit, fields: list[str], distinct: bool = False) -> DataFrame:
     """The rows, of those that ``emit`` makes of each batch, whose key occurs more than
     once: ``key`` and ``fields``, all long.  ``emit`` yields pairs of an int64 array of
-    keys and a list of int64 arrays.
+    keys and a list of int64 arrays.  With ``distinct``, equal rows of a task are one.
 
     Rows are grouped within a task before the shuffle.  A key that occurs once there
     travels to the others like it.  Of one that occurs often there it is known already
@@ -287,6 +287,11 @@ def repeated_keys(df: DataFrame, emit, fields: list[str]) -> DataFrame:
         def flush():
             columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
+            if distinct:
+                order = np.lexsort(columns[::-1])
+                columns = [x[order] for x in columns]
+                new = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+                columns = [x[np.append(True, new)] for x in columns]
             key = columns[0]
             order = np.argsort(key, kind="stable")
             new = np.concatenate(([True], key[order][1:] != key[order][:-1]))

@@ -1,78 +1,43 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is the order of their hashes, and a document's set is cut
-into fragments of that order.  Sets that link differ in at most H n-grams, H depending on
-their sizes; with H + 1 fragments or more one at least is equal in both, so documents
-that share no whole fragment need never meet.  An empty fragment says nothing and is left
-out where enough others are left.  Those that do share one are gathered in
-blocks, where overlaps are counted fragment by fragment and summed for each pair.
-Nothing is estimated: the result is the one of comparing all pairs.
+The n-grams of all documents have one global order, from rare to frequent, which is cut
+into fragments.  Two sets that link share one of their first n-grams in this order, so
+that only those are indexed, and what many documents share comes last and is hardly ever
+looked up.  The overlap of a pair that meets there is counted in each fragment
+separately, as a join of the two sets' parts of that fragment, and summed over the
+fragments.  Nothing is estimated: the result is the one of comparing all pairs.
+
+Sets that share an indexed n-gram are first compared with two of its sets alone.  What
+links so is one component, and after that only sets of different components meet, so that
+a large group of near copies costs a few comparisons for each of them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
+    NO_ID,
     Words,
     connected_components,
-    least_labels,
+    discard,
     map_batches,
-    map_groups,
-    mix,
     pieces,
+    repeated_keys,
     shingle_hashes,
     written,
 )
 
-#: documents, and n-grams, that one block of a cluster holds about
-CHUNK_DOCS, CHUNK_GRAMS = 512, 1 << 20
-#: n-grams counted at once in a block
-FRAGMENT = 4096
-#: keys that one task groups before the shuffle
-LOCAL_KEYS = 1 << 20
-
-
-def size_classes(percent: int, largest: int) -> list[int]:
-    """Least set sizes of classes such that linked sets are in one class or neighbours."""
-    low = [1]
-    while low[-1] <= largest:
-        low.append(low[-1] * 100 // percent + 1)
-    return low
-
-
-def fragment_keys(grams: np.ndarray, percent: int, low: list[int]) -> np.ndarray:
-    """Keys of the fragments of a sorted set: those of its class and of the one below.
-
-    At level k the smaller set of a pair has fewer than ``low[k + 1]`` n-grams, the two
-    differ in no more than H = (low[k + 1] - 1) (100 - percent) / percent of them, and
-    the order is cut into about 1.15 (H + 1) fragments.  If H + 1 of a set are not empty,
-    one of them is equal in any set that links with it, and the empty ones have no key;
-    two sets with fewer have keys of all, one of which is equal.
-    """
-    while low[-1] <= len(grams):  # the same classes, whatever was met before
-        low.append(low[-1] * 100 // percent + 1)
-    k = bisect_right(low, len(grams)) - 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams))))
-    top = grams >> np.uint64(32)
-    out = []
-    for level in (k, k - 1) if k else (k,):
-        least = (low[level + 1] - 1) * (100 - percent) // percent + 1
-        n = least + -(-3 * (least - 1) // 20)
-        # a fragment starts at the first hash whose upper half times n passes a whole 2^32
-        cuts = ((np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n)
-        at = np.searchsorted(top, cuts)
-        name = mix(np.arange(n, dtype=np.uint64) + (np.uint64(level + 1) << np.uint64(40)))
-        keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ name)
-        full = at[1:] > at[:-1]
-        out.append(keys[full] if full.sum() >= least else keys)
-    return np.concatenate(out)
+#: n-grams are counted by the upper bits of their hashes, in so many buckets; the counts
+#: only make the order, which may be any, so that this fixed size loses nothing
+BUCKETS = 1 << 16
+#: parts that the order is cut into
+FRAGMENTS = 8
 
 
 def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -84,86 +49,65 @@ def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle_hashes(w.hash[a:b], n))
 
 
-def _signature(grams: np.ndarray) -> bytes:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-
-
-def _short(signature: bytes) -> int:
-    return int.from_bytes(signature[:6], "big")
-
-
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Equal keys: the first node of each key, and the others' edges to it."""
-    order = np.argsort(keys, kind="stable")
-    keys, nodes = keys[order], nodes[order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    centre = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-    edges = np.unique(np.stack((nodes, centre), 1)[nodes != centre], axis=0)
-    return keys[new], nodes[new], edges[:, 0], edges[:, 1]
-
-
-def _local(batches: Iterator[list]) -> Iterator[dict]:
-    """Before the shuffle: of the nodes with one key in this task, one travels for all;
-    the others are tied to it at once.  Rows with a null key are edges."""
-    keys: list[np.ndarray] = []
-    nodes: list[np.ndarray] = []
-
-    def flush() -> Iterator[dict]:
-        k, first, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
-        keys.clear()
-        nodes.clear()
-        for lo in range(0, len(k), 50_000):
-            part = slice(lo, lo + 50_000)
-            yield {"key": k[part].tolist(), "a": first[part].tolist(), "b": [None] * len(k[part])}
-        yield {"key": [None] * len(a), "a": a.tolist(), "b": b.tolist()}
-
-    for some in batches:
-        for node, k in some:
-            keys.append(k)
-            nodes.append(np.full(len(k), node, np.int64))
-        if sum(map(len, keys)) >= LOCAL_KEYS:
-            yield from flush()
-    if keys:
-        yield from flush()
-
-
-def _joined(batches: Iterator[dict]) -> Iterator[dict]:
-    """Sorted by key: edges pass, and nodes with one key are tied to its first."""
-    last = centre = None
-    for batch in batches:
-        a, b = [], []
-        for key, x, y in zip(batch["key"], batch["a"], batch["b"]):
-            if y is not None:
-                a.append(x)
-                b.append(y)
-            elif key == last:
-                if x != centre:
-                    a.append(x)
-                    b.append(centre)
-            else:
-                last, centre = key, x
-        if a:
-            edges = np.unique(np.stack((a, b), 1), axis=0)
-            yield {"a": edges[:, 0].tolist(), "b": edges[:, 1].tolist()}
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many n-grams each pair of sets shares: partial overlaps of the fragments of
-    the order, counted one after another and summed.  What only one set has is left out."""
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    grams, gram, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(n > 1) - 1
-    some = n[gram] > 1
-    doc, gram = doc[some], number[gram[some]]
-    order = np.argsort(gram, kind="stable")
-    doc, gram = doc[order], gram[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2^24
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, FRAGMENT):
-        a, b = np.searchsorted(gram, (lo, lo + FRAGMENT))
-        has = np.zeros((len(sets), FRAGMENT), np.float32)
-        has[doc[a:b], gram[a:b] - lo] = 1
-        total += has @ has.T
-    return total.astype(np.int64)
+def _node(grams: np.ndarray) -> int:
+    """What stands for a set: 64 bits of a hash."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
+def ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """N-grams renamed by their place in the global order: their bucket's rank comes first."""
+    place = rank[(grams >> np.uint64(48)).astype(np.int64)].astype(np.uint64)
+    return place << np.uint64(48) | grams & np.uint64((1 << 48) - 1)
+
+
+def prefix_size(size: int, percent: int) -> int:
+    """So many first n-grams of a set hold one of those shared with any set it links with:
+    at least percent / 100 of its n-grams are shared."""
+    return size - -(-size * percent // 100) + 1
+
+
+def fragment_cuts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's rank, by its count, and the ranks at which the order is cut into
+    fragments that hold about as many n-grams each."""
+    by_rank = np.argsort(counts, kind="stable")
+    rank = np.empty(len(counts), np.int64)
+    rank[by_rank] = np.arange(len(counts))
+    upto = np.cumsum(counts[by_rank])
+    return rank, np.searchsorted(upto, upto[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
+
+
+def needed(a: str | Column, b: str | Column, percent: int) -> Column:
+    """The least overlap of two linked sets of these sizes."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.ceil((a + b) * percent / F.lit(100 + percent))
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two sets with a shared n-gram at their places can link, if it is the first
+    they share: so many are left in both."""
+    left = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
+    return left >= needed(f"{x}.size", f"{y}.size", percent)
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Each pair once: ``a`` > ``b``, and their sizes."""
+    a, b = (F.struct(F.col(f"{k}.node"), F.col(f"{k}.size")) for k in (x, y))
+    return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs that link, as ``a`` and ``b``: partial overlaps of each fragment,
+    summed for each pair.  A set that stands in many pairs is a skewed key of a
+    sort-merge join, which adaptive execution splits."""
+    mine = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
+    other = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
+    flat = pairs.select(
+        F.col("a.node").alias("a"), F.col("b.node").alias("b"), needed("a.size", "b.size", percent).alias("needed")
+    )
+    both = flat.join(mine.hint("merge"), "a").join(other.hint("merge"), ["b", "fragment"])
+    partial = both.select("a", "b", "needed", F.size(F.array_intersect("grams_a", "grams_b")).alias("partial"))
+    total = partial.groupBy("a", "b", "needed").agg(F.sum("partial").alias("overlap"))
+    return total.where("overlap >= needed").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -174,110 +118,130 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     runs; a text of fewer words is one run.  Null and empty texts have an empty set and
     link with nothing.  A component's id is the smallest doc_id reached, null only if no
     member has one; of the members with this id ``first_hash`` is the smallest text_hash, so
-    that both name one document.  Equal sets are one node, so that copies cost nothing; repeated rows
-    are copies.  No rows give no rows.
+    that both name one document.  N-grams and sets are known by hashes of 64 bits.  Equal
+    sets are one node, so that copies cost nothing; repeated rows are copies.  No rows
+    give no rows.
     """
-    low = size_classes(percent, 1 << 22)
 
     def read(batches: Iterator[dict]) -> Iterator[dict]:
+        counts = np.zeros(BUCKETS, np.int64)
+        names = ("doc_id", "text_hash", "n_shingles", "node", "bucket", "count")
         for batch in batches:
-            sets = list(gram_sets(batch["text"], n))
-            yield {k: batch[k] for k in ("doc_id", "text_hash")} | {
-                "n_shingles": [len(s) for s in sets],
-                "sig": [_signature(s) if len(s) else None for s in sets],
-            }
-
-    def keyed(batches: Iterator[dict]) -> Iterator[dict]:
-        # 48 bits of keys and signatures are enough here: what they confuse is only compared
-        shift = np.uint64(16)
-        return _local(
-            [
-                (_short(_signature(s)), (fragment_keys(s, percent, low) >> shift).view(np.int64))
-                for s in gram_sets(batch["text"], n)
-                if len(s)
-            ]
-            for batch in batches
-        )
+            size, node = [], []
+            for s in gram_sets(batch["text"], n):
+                counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                size.append(len(s))
+                node.append(_node(s) if len(s) else None)
+            none = [None] * len(size)
+            yield dict(zip(names, (batch["doc_id"], batch["text_hash"], size, node, none, none)))
+        some = np.flatnonzero(counts)
+        none = [None] * len(some)
+        yield dict(zip(names, (none, none, none, none, some, counts[some])))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    sets = written(map_batches(texts, read, "doc_id long, text_hash long, n_shingles long, sig binary"), "sets")
+    schema = "doc_id long, text_hash long, n_shingles long, node long, bucket int, count long"
+    sets = written(map_batches(texts, read, schema), "sets")
+    counts = np.ones(BUCKETS, np.int64)
+    for bucket, count in sets.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count")).collect():
+        counts[bucket] += count
+    order = docs.sparkSession.sparkContext.broadcast(fragment_cuts(counts))  # a fixed size
+    sets = sets.where("bucket IS NULL").drop("bucket", "count")
+
+    # the first n-grams of each set, as far as two sets share them
+    def emit(batch: dict) -> Iterator[tuple]:
+        rank, _ = order.value
+        seen, found = set(), []
+        for s in gram_sets(batch["text"], n):
+            node = _node(s)
+            if len(s) and node not in seen:
+                seen.add(node)
+                found.append((node, len(s), np.sort(ordered(s, rank))[: prefix_size(len(s), percent)]))
+        if found:
+            many = [len(p) for *_, p in found]
+            yield np.concatenate([p for *_, p in found]).view(np.int64), [
+                np.repeat(np.array([x[0] for x in found], np.int64), many),
+                np.repeat(np.array([x[1] for x in found], np.int64), many),
+                np.concatenate([np.arange(k) for k in many]),
+            ]
 
-    # one node stands for all rows with its set
-    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    postings = written(repeated_keys(texts.select("text"), emit, ["node", "size", "place"], distinct=True), "postings")
+    own = F.struct("node", "size", "place")
+    ends = postings.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high"))
+    ends = written(ends.where("low.node != high.node"), "ends")
+    shared = written(postings.join(ends.hint("merge"), "key").select("key", own.alias("own"), "low", "high"), "shared")
+    discard(postings, ends)
+
+    # the sets in question, cut into fragments
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_hash")).alias("first")
     low_key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # null ids last
-    nodes = sets.where("sig IS NOT NULL").groupBy("sig").agg(
-        first, F.min(low_key).alias("low"), F.max("n_shingles").alias("size")
-    ).select("sig", "low", "size", "first.*")
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    near = map_batches(texts.select("text"), keyed, "key long, a long, b long")
-    # edges are dealt by their nodes, so that the rows without a key are no hot one
-    dealt = near.repartition(F.coalesce("key", F.xxhash64("a", "b"))).sortWithinPartitions("key", "a")
-    meet = map_batches(dealt, _joined, "a long, b long")
-    cluster = connected_components(meet).withColumnRenamed("node", "short")
-    short = F.conv(F.hex(F.substring("sig", 1, 6)), 16, 10).cast("long").alias("short")
-    member = nodes.select("node", "doc_id", "text_hash", "size", short).join(cluster, "short").drop("short")
-    member = written(member, "member")
-    blocks = written(
-        member.groupBy("component")
-        .agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
-        .where("n > 1")
-        .select(
-            "component",
-            F.ceil(F.greatest(F.col("n") / CHUNK_DOCS, F.col("grams") / CHUNK_GRAMS)).cast("int").alias("chunks"),
-        ),
-        "blocks",
-    )
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    member = written(
-        member.join(blocks, "component").withColumn("mine", mine).drop("size"), "member"
-    )
-    # the texts that are compared, each once per block; they are sorted and merged at any
-    # size, since the members grow with the documents
-    compared = (
-        texts.where("doc_id IS NOT NULL")
-        .join(member.hint("merge"), ["doc_id", "text_hash"])
-        .unionByName(texts.where("doc_id IS NULL").drop("doc_id").join(member.where("doc_id IS NULL"), "text_hash"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "text"
-        )
-    )
+    nodes = sets.where("node IS NOT NULL").groupBy("node").agg(first, F.min(low_key).alias("low"))
+    nodes = written(nodes.select("node", "low", "first.*"), "nodes")
+    asked = nodes.join(shared.select("own.node").distinct(), "node").select("node", "doc", "text_hash")
+    asked = texts.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(asked.hint("merge"), ["doc", "text_hash"])
+
+    def cut(batches: Iterator[dict]) -> Iterator[dict]:
+        rank, cuts = order.value
+        for batch in batches:
+            node, fragment, grams = [], [], []
+            for k, s in zip(batch["node"], gram_sets(batch["text"], n)):
+                o = np.sort(ordered(s, rank))
+                at = np.concatenate(([0], np.searchsorted((o >> np.uint64(48)).astype(np.int64), cuts), [len(o)]))
+                for f in np.flatnonzero(np.diff(at)).tolist():
+                    node.append(k)
+                    fragment.append(f)
+                    grams.append(o[at[f] : at[f + 1]].view(np.int64))
+            yield {"node": node, "fragment": fragment, "grams": grams}
+
+    asked = asked.select("node", "text").dropDuplicates(["node"])
+    segments = written(map_batches(asked, cut, "node long, fragment int, grams array<long>"), "segments")
+
+    # each set against the first and the last one with the same n-gram
+    stars = [
+        _pairs(shared.where(F.col("own.node") != F.col(f"{end}.node")).where(_may_link("own", end, percent)), "own", end)
+        for end in ("low", "high")
+    ]
+    stars = written(stars[0].union(stars[1]).distinct(), "stars")
+    links = written(linked(stars, segments, percent), "links")
+    found = written(connected_components(links), "found")
+
+    # then all sets with the same n-gram that are not yet in one component
+    posted = shared.select("key", "own", F.col("own.node").alias("node")).distinct()
+    posted = posted.join(found.hint("merge"), "node", "left")
+    posted = written(posted.select("key", "own", F.coalesce("component", "node").alias("component")), "posted")
+    open_ = posted.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("another"))
+    posted = written(posted.join(written(open_.where("one != another"), "open"), "key").select("key", "own", "component"), "posted")
+    x, y = (posted.select("key", F.col("own").alias(k), F.col("component").alias(f"c{k}")) for k in "xy")
+    meet = x.join(y.hint("merge"), "key").where("cx != cy AND x.node > y.node").where(_may_link("x", "y", percent))
+    rest = written(_pairs(meet, "x", "y").join(stars, ["a", "b"], "left_anti"), "rest")
+    links = links.union(written(linked(rest, segments, percent), "links"))
+    discard(segments, shared)
 
-    def verify(group: dict) -> dict:
-        by_node = dict(zip(group["node"], group["text"]))  # repeated rows are one
-        node = np.array(list(by_node), np.int64)
-        found = list(gram_sets(list(by_node.values()), n))
-        both = overlaps(found)
-        size = np.array([len(s) for s in found])
-        label = least_labels(100 * both >= percent * (size[:, None] + size - both))
-        moved = np.flatnonzero(label != np.arange(len(node)))
-        return {"a": node[moved].tolist(), "b": node[label[moved]].tolist()}
-
-    links = map_groups(compared, ["component", "i", "j"], verify, "a long, b long")
     reached = written(connected_components(links), "reached")
     least = written(
         reached.join(nodes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least")), "least"
     )
+    known = reached.join(least, "component").select("node", F.col("least.doc_id").alias("least_id"), F.col("least.text_hash").alias("least_hash"))
     known = written(
-        nodes.select("sig", "node", "low")
-        .join(reached, "node", "left")
-        .join(least, "component", "left")
-        .select("sig", F.coalesce("least", "low").alias("least")),
+        nodes.select("node", "low")
+        .join(known, "node", "left")
+        .select(
+            "node",
+            F.when(F.col("least_hash").isNotNull(), F.col("least_id")).otherwise(F.col("low.doc_id")).alias("component_id"),
+            F.coalesce("least_hash", "low.text_hash").alias("first_hash"),
+        ),
         "known",
     )
-    return (
-        sets.select("doc_id", "text_hash", "n_shingles", "sig")
-        .join(known, "sig", "left")
-        .select(
-            "doc_id",
-            "text_hash",
-            "n_shingles",
-            F.coalesce("least.doc_id", "doc_id").alias("component_id"),
-            F.coalesce("least.text_hash", "text_hash").alias("first_hash"),
-        )
+    return sets.join(known.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        F.when(F.col("known").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("first_hash", "text_hash").alias("first_hash"),
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """Sets of three words and links from 90 % on: ``doc_id``, ``n_shingles`` and
+    ``component_id``.  Null and empty texts have no shingles and are a component of their
+    own; repeated rows give a row each; no rows give no rows."""
     return jaccard_components(docs, n=3, percent=90).drop("text_hash", "first_hash")

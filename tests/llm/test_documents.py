@@ -114,13 +114,7 @@ def test_lines(docs, rows, none):
     assert lines.digest(none).count() == 0
 
 
-@pytest.mark.parametrize("n,percent,chunk", [(3, 90, 512), (5, 80, 4)])
-def test_jaccard(monkeypatch, docs, rows, none, n, percent, chunk):
-    monkeypatch.setattr(jaccard, "CHUNK_DOCS", chunk)
-    sets = {}
-    for i, t in unique(rows).items():
-        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
-        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+def brute_components(sets, percent):
     root = {i: i for i in sets}
 
     def find(i):
@@ -128,41 +122,95 @@ def test_jaccard(monkeypatch, docs, rows, none, n, percent, chunk):
             i = root[i]
         return i
 
+    links = 0
     for a in sorted(sets):
         for b in sorted(sets):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
+                links += 1
+    return {i: find(i) for i in sets}, links
+
+
+def word_sets(texts, n):
+    out = {}
+    for i, t in texts.items():
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        out[i] = frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+    return out
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_jaccard(docs, rows, none, n, percent):
+    sets = word_sets(unique(rows), n)
+    want, _ = brute_components(sets, percent)
     got = collected(jaccard.jaccard_components(docs, n, percent))
     assert len(got) == len(rows)
     for r in got:
-        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]))
-    assert len({find(i) for i in sets}) < len(sets) - 5
+        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
+    assert len(set(want.values())) < len(sets) - 5
     assert jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_jaccard_families(monkeypatch, spark, n, percent):
+    """Families of copies with more and more words replaced, at and around the threshold,
+    and texts that share a passage: the result is that of comparing all, and the pairs
+    that are compared stay near those that link."""
+    rng = random.Random(n)
+    say = lambda k: [f"w{rng.randrange(4000)}" for _ in range(k)]
+    passage, texts = say(40), {}
+    for _ in range(12):
+        base = say(rng.choice([1, 2, 6, 20, 60, 150]))
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randrange(0, 2 + len(w) // 12)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(4000)}"
+            texts[len(texts)] = " ".join(w)
+    for _ in range(60):
+        texts[len(texts)] = " ".join(say(5) + passage + say(15))
+    for k in range(30):  # a chain: neighbours link, its ends do not
+        texts[len(texts)] = " ".join(f"c{j}" for j in range(2 * k, 2 * k + 60))
+    sets, compared = word_sets(texts, n), []
+    count = jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, *a: compared.append(pairs.count()) or count(pairs, *a))
+    df = spark.createDataFrame([(k * 3, v) for k, v in texts.items()], "doc_id long, text string").repartition(5)
+    want, links = brute_components(sets, percent)
+    got = {r.doc_id // 3: r.component_id // 3 for r in jaccard.jaccard_components(df, n, percent).collect()}
+    assert got == want
+    assert len(set(want.values())) > 60 and sum(compared) < 2 * links
+
+
+def test_jaccard_compares_little(monkeypatch, spark):
+    compared, found = [], []
+    count = jaccard.linked
+
+    def counted(pairs, *a):
+        compared.append(pairs.count())
+        found.append((out := count(pairs, *a).cache()).count())
+        return out
+
+    monkeypatch.setattr(jaccard, "linked", counted)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    jaccard.jaccard_components(docs, 5, 80).count()
+    assert 0 < sum(compared) < 3 * sum(found) + docs.count() // 10
+
+
 @pytest.mark.parametrize("percent", [80, 90])
-def test_fragments(percent):
-    """Sets that link share a key; others share none for being empty in a place."""
-    rng, low = np.random.default_rng(3), jaccard.size_classes(percent, 1 << 22)
+def test_prefixes(percent):
+    """Sets that link share one of their first n-grams, whatever the order."""
+    rng = np.random.default_rng(3)
     some = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64))
-    for size in [*range(1, 80), *(s for s in low if 80 < s < 3000), 500, 2000]:
-        a = some(size)
+    for size in [*range(1, 80), 500, 2000]:
+        a, rank = some(size), rng.permutation(jaccard.BUCKETS)
         for gone in (0, (100 - percent) * size // 100, (100 - percent) * size // 200):
             new = ((100 - percent) * size - 100 * gone) // percent  # the most that still link
             b = np.unique(np.concatenate((rng.permutation(a)[gone:], some(new))))
             both = len(np.intersect1d(a, b))
             assert 100 * both >= percent * (len(a) + len(b) - both)
-            assert np.intersect1d(*(jaccard.fragment_keys(x, percent, low) for x in (a, b))).size, (size, gone)
-    keys = np.concatenate([np.unique(jaccard.fragment_keys(some(500), percent, low)) for _ in range(200)])
-    assert len(np.unique(keys)) > 0.999 * len(keys)
-
-
-def test_sets_above_the_classes():
-    rng, low = np.random.default_rng(3), jaccard.size_classes(90, 10)
-    for grams in (np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (3000, 3000, 20)):
-        want = jaccard.fragment_keys(grams, 90, jaccard.size_classes(90, 1 << 22))
-        assert (jaccard.fragment_keys(grams, 90, low) == want).all()
+            x, y = (np.sort(jaccard.ordered(s, rank))[: jaccard.prefix_size(len(s), percent)] for s in (a, b))
+            assert np.intersect1d(x, y).size, (size, gone)
+    assert len(np.unique(jaccard.ordered(some(5000), rank))) == 5000
 
 
 @pytest.mark.parametrize("hot", [4096, 3])
