@@ -1,8 +1,9 @@
 """Main-text extraction by tree scoring.
 
 A page becomes a light tree.  Paragraphs give points, for being there, for length and
-for commas, to their ancestors, less by distance and by link density; the container with
-most points is kept together with those siblings that score like content.
+for commas, to their ancestors, less by distance and by link density.  If the container
+with most points stands in an ``article`` or ``main``, all of that is kept; else the
+container is kept together with the siblings of it and of its ancestors that are content.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import map_batches
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: never part of a text
 _DROPPED = frozenset(
-    "script style head nav header footer aside form noscript template svg math iframe object canvas audio video"
+    "script style head title nav header footer aside form noscript template svg iframe object canvas audio video"
     " button select textarea input dialog menu".split()
 )
 _BLOCK = frozenset(
@@ -28,7 +29,7 @@ _BLOCK = frozenset(
 )
 #: an opening tag of the second set ends an open element of the first, inside the third
 _ENDS = (
-    (frozenset({"p"}), _BLOCK | _DROPPED - {"button", "script", "svg", "math"}, frozenset({"td", "th", "table"})),
+    (frozenset({"p"}), _BLOCK | _DROPPED - {"button", "script", "svg"}, frozenset({"td", "th", "table"})),
     (frozenset({"li"}), frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
     (frozenset({"dt", "dd"}), frozenset({"dt", "dd"}), frozenset({"dl"})),
     (frozenset({"td", "th"}), frozenset({"td", "th", "tr", "tbody", "tfoot"}), frozenset({"table"})),
@@ -43,23 +44,41 @@ _ASIDE = frozenset(
     " skip copyright hidden".split()
 )
 _COMMENT = frozenset("comment comments commentlist disqus respond reply replies".split())
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: words that may stand beside those: a name like alert-level or social-history marks nothing
+_BESIDE = frozenset(
+    "area bar block bottom box button buttons container content form global group inner item items left link links list"
+    " main message msg outer page panel post posts primary right row section site slot text top unit wrap wrapper".split()
+)
+_MARKED = ("article", "main")
+_HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"})
+_WORDS = re.compile(r"[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}")
+
+
+def _names(name: str, kinds: frozenset) -> bool:
+    """Whether a whole class, id or role, like ``ad-box``, says one of the kinds."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return not words.isdisjoint(kinds) and words <= _ASIDE | _BESIDE
+
+
 _PARAGRAPH = frozenset({"p", "pre", "blockquote", "li", "td", "dd", "div", "section", "article", "main", "body"})
 _OWN_POINTS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "ul": -3.0, "ol": -3.0, "table": -3.0}
 
 
 class Node:
-    __slots__ = ("tag", "aside", "comment", "hidden", "parent", "children", "points", "holds_main")
+    __slots__ = ("tag", "aside", "comment", "hidden", "parent", "children", "points", "holds_main", "inside", "left_out")
 
     def __init__(self, tag: str, attrs: list, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
-        self.aside = self.comment = self.hidden = self.holds_main = False
+        self.aside = self.comment = self.hidden = self.holds_main = self.left_out = False
+        self.inside = parent is not None and (parent.inside or parent.tag in _MARKED)
         self.points: float | None = None
+        # the head of an article is part of it
+        kinds = _ASIDE - {"header", "masthead"} if self.inside else _ASIDE
         for k, v in attrs:
             if k in ("class", "id", "role"):
-                words = {w.lower() for w in _WORDS.findall(v or "")}
-                self.aside |= not words.isdisjoint(_ASIDE)
-                self.comment |= not words.isdisjoint(_COMMENT)
+                for name in (v or "").split():
+                    self.aside |= _names(name, kinds)
+                    self.comment |= _names(name, _COMMENT)
             elif k == "hidden" or k == "aria-hidden" and v == "true":
                 self.hidden = True
             elif k == "style" and re.search(r"display\s*:\s*none", v or "", re.I):
@@ -79,7 +98,7 @@ class _Builder(HTMLParser):
                 self._close(ended, inside)
         node = Node(tag, attrs, self.at)
         self.at.children.append(node)
-        if tag in ("article", "main") and not node.comment:
+        if tag in _MARKED and not node.comment:
             up = self.at
             while up is not None and not up.holds_main:
                 up.holds_main = True
@@ -107,11 +126,13 @@ class _Builder(HTMLParser):
 
 
 def _kept(node: Node) -> bool:
-    if node.tag in _DROPPED or node.hidden:
+    if node.tag in _DROPPED and not (node.tag == "header" and node.inside or node.tag == "form" and node.holds_main):
+        return False
+    if node.hidden or node.left_out:
         return False
     if node.comment:
         return node.tag == "body"
-    return not node.aside or node.tag in ("body", "article", "main") or node.holds_main
+    return not node.aside or node.tag == "body" or node.tag in _MARKED or node.holds_main
 
 
 def _walk(top: Node) -> Iterator[tuple[Node | str, bool]]:
@@ -174,8 +195,42 @@ def _blocks(top: Node) -> list[str]:
     return out
 
 
+def _sizes(top: Node) -> tuple[int, int]:
+    """Characters below ``top``, and those of them in links."""
+    size = linked = depth = 0
+    for node, after in _walk(top):
+        if isinstance(node, str):
+            n = len(" ".join(node.split()))
+            size += n
+            linked += n if depth else 0
+        elif node.tag == "a":
+            depth += -1 if after else 1
+    return size, linked
+
+
+def _is_content(node: Node, best: Node, marked: bool, beside: bool) -> bool:
+    """Whether a sibling of the best container (``beside``) or of one of its ancestors
+    belongs to the text.  ``marked``: an article or main stands around the container."""
+    if marked:  # other articles, and headings of the main part
+        same = node.tag == "article" and (node.points or 0) >= 0.2 * best.points
+        return same or node.inside and node.tag in _HEADINGS
+    if node.tag not in _BLOCK:
+        return True
+    size, linked = _sizes(node)
+    if 2 * linked > size:
+        return False
+    return beside or node.tag in _HEADINGS or (node.points or 0) >= max(3.0, 0.05 * best.points)
+
+
 def main_text(html: str | None) -> str:
-    """The main text of a page: blocks joined by two newlines; empty if there is none."""
+    """The main text of a page: blocks joined by two newlines; empty if there is none.
+
+    Of what an article or main holds, only the kinds that the contract names are left
+    out, by their tag or by a class, id or role that as a whole names one; the head of an
+    article (its title) is part of it.  Without such an element, blocks beside the best
+    container stay unless more than half of their text is in links; blocks further out
+    have to be headings or to score as well.
+    """
     builder = _Builder()
     builder.feed(html or "")
     if builder.rawdata.startswith("<!--"):  # a comment that is not closed runs to the end
@@ -190,15 +245,18 @@ def main_text(html: str | None) -> str:
                 best = node
     if best is None:
         return "\n\n".join(_blocks(root))
-    parts = []
-    for node in best.parent.children if best.parent is not None else [best]:
-        if isinstance(node, str) or not _kept(node):
-            continue
-        if node is best or (node.points or 0) >= max(10.0, 0.2 * best.points):
-            parts += _blocks(node)
-        elif node.tag == "p" or node.tag in ("h1", "h2") and best.tag not in ("article", "main"):
-            parts += _blocks(node)
-    return "\n\n".join(parts)
+    top = best
+    while top is not None and top.tag not in _MARKED:
+        top = top.parent
+    marked = top is not None
+    node = top if marked else best
+    beside = True
+    while node.parent is not None and node.tag not in ("main", "body"):
+        for other in node.parent.children:
+            if other is not node and not isinstance(other, str) and _kept(other):
+                other.left_out = not _is_content(other, best, marked, beside)
+        node, beside = node.parent, False
+    return "\n\n".join(_blocks(node))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

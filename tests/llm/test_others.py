@@ -98,6 +98,58 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+LONG = "Some prose, and more of it, said at length. " * 12
+KEPT = [  # pages, and the blocks that are their article
+    (f"<main><section><p>{LONG}</p></section><section><p>Short.</p></section></main>", [LONG, "Short."]),
+    (f"<article><header><h1>Title</h1></header><p>{LONG}</p></article>", ["Title", LONG]),
+    (f"<body><div><p>{LONG}</p></div><div>More</div><blockquote>Said</blockquote><ul><li>item</ul><pre>code</pre>", [LONG, "More", "Said", "item", "code"]),
+    (f"<body><h1>Head</h1><div><p>{LONG}</p></div><h3>Sub</h3><ul><li>one<li>two</ul>", ["Head", LONG, "Sub", "one", "two"]),
+    (f'<article><div class="alert-level">High</div><p>{LONG}</p><p class="social-history">Past</p><section id="search-results"><p>Found</p></section></article>', ["High", LONG, "Past", "Found"]),
+    (f'<body><div id=content><section>{"".join(f"<p>{LONG}</p>" for _ in range(3))}</section><section><h2>End</h2><p>One short line.</p></section></div>', [LONG, LONG, LONG, "End", "One short line."]),
+    (f'<article><p>{LONG}</p><div class="ad-box">Buy</div><div class="share-buttons">Share</div><p>End</p></article>', [LONG, "End"]),
+    (f'<article><p>{LONG}</p><div class="related-posts"><p>Other</p></div><section class="comments"><p>I agree</p></section></article>', [LONG]),
+    (f'<article><p>{LONG}</p></article><div id="comments"><article class="comment"><p>{LONG * 3}</p></article></div>', [LONG]),
+    (f'<header><h1>Site</h1></header><main><h1>Title</h1><article><p>{LONG}</p></article></main><footer>Foot</footer>', ["Title", LONG]),
+    (f'<body><h1>Site</h1><article><h1>Title</h1><p>{LONG}</p></article>', ["Title", LONG]),
+    (f'<body><div class="site-header">Site</div><div class="wrapper"><p>{LONG}</p><p>End</p></div><div class="page-footer">Foot</div>', [LONG, "End"]),
+    (f'<body><div><div><p>{LONG}</p></div></div><div><p><a href=x>a link, long enough to count as one</a></p></div>', [LONG]),
+    (f'<body><form id=all><article><p>{LONG}</p><form><p>Mail?</p></form><p>End</p></article></form>', [LONG, "End"]),
+    (f'<article><p>{LONG}</p><aside>Side</aside><figure><img src=x><figcaption>A figure</figcaption></figure></article>', [LONG, "A figure"]),
+    (f'<article><p>{LONG}</p><dl><dt>Term<dd>Meaning</dl><details><summary>Sum</summary>More</details></article>', [LONG, "Term", "Meaning", "Sum", "More"]),
+    (f'<article class="post hidden-gems"><p>{LONG}</p><p hidden>Not seen</p><p style="display: none">Nor this</p></article>', [LONG]),
+    (f'<div class="with-sidebar"><div class="text"><p>{LONG}</p></div><div class="sidebar"><p>{LONG}</p><p>{LONG}</p></div></div>', [LONG]),
+    (f'<article><p>{LONG}</p><ul>{"".join(f"<li><a href={k}>source {k}</a>" for k in range(3))}</ul></article>', [LONG, "source 0", "source 1", "source 2"]),
+    (f'<article><p>{LONG}</p></article><article><p>{LONG}</p></article>', [LONG, LONG]),
+    (f'<article>Bare text <b>bold</b> and <a href=x>link</a><br>next<p>{LONG}</article>', ["Bare text bold and link next", LONG]),
+    (f'<article><p>a &lt;b&gt; &#233; &eacute; &amp;amp;</p><p>{LONG}</p><script>"<p>no</p>"</script><style>p{{}}</style><!-- no --></article>', ["a <b> é é &amp;", LONG]),
+    (f'<body role=main><p>{LONG}</p><div role="navigation">Menu</div><p>End</p>', [LONG, "End"]),
+    ("<article><p>ok</p></article>", ["ok"]),
+    (f'<article><table><tr><th>k<th>v<tr><td>a<td>b</table><p>{LONG}</p><div class="cookie-notice">Cookies</div></article>', ["k v", "a b", LONG]),
+]
+
+
+@pytest.mark.parametrize("page,blocks", KEPT)
+def test_html_keeps_the_article(page, blocks):
+    assert html.main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
+
+
+def test_html_against_the_marked_article(spark):
+    """Over the whole table: what stands between the article's tags, read by patterns alone."""
+    import re
+    from html import unescape
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) > 100
+    for r in rows:
+        inner = re.search(r"(?s)<article[^>]*>(.*?)</article>", r.html)[1]
+        inner = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", inner)
+        blocks = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|section|blockquote|pre)\b[^>]*>", inner)
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in blocks]
+        assert got[r.page_id] == "\n\n".join(b for b in blocks if b), r.page_id
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(i, j) for i, j in rng.integers(200, 400, (120, 2)).tolist()]
