@@ -7,9 +7,10 @@ looked up.  The overlap of a pair that meets there is counted in each fragment
 separately, as a join of the two sets' parts of that fragment, and summed over the
 fragments.  Nothing is estimated: the result is the one of comparing all pairs.
 
-Sets that share an indexed n-gram are first compared with two of its sets alone.  What
-links so is one component, and after that only sets of different components meet, so that
-a large group of near copies costs a few comparisons for each of them.
+Of the sets with one indexed n-gram, a few are compared all with all.  Many are first
+compared with one of them; what links so is one component, and after that only sets of
+different components meet, so that a large group of near copies costs a few comparisons
+for each of them.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ from .common import (
 BUCKETS = 1 << 16
 #: parts that the order is cut into
 FRAGMENTS = 8
+#: sets with one indexed n-gram that are compared all with all at once
+FEW = 64
+#: bits of the filter that keeps texts not asked for from being sent; a fixed size, and
+#: what passes it wrongly is sorted out by the join behind it
+FILTER_BITS = 1 << 22
 
 
 def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -76,10 +82,9 @@ def fragment_cuts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, np.searchsorted(upto, upto[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
 
 
-def needed(a: str | Column, b: str | Column, percent: int) -> Column:
+def needed(a: str, b: str, percent: int) -> Column:
     """The least overlap of two linked sets of these sizes."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.ceil((a + b) * percent / F.lit(100 + percent))
+    return F.ceil((F.col(a) + F.col(b)) * percent / F.lit(100 + percent))
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -90,9 +95,47 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 
 
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Each pair once: ``a`` > ``b``, and their sizes."""
+    """Each pair once: nodes ``a`` > ``b``, and their sizes."""
     a, b = (F.struct(F.col(f"{k}.node"), F.col(f"{k}.size")) for k in (x, y))
-    return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    rows = rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    return rows.select(*[F.col(f"{k}.{n}").alias(f"{n}_{k}") for k in "ab" for n in ("node", "size")]).distinct()
+
+
+PAIRS = ("node_a", "size_a", "node_b", "size_b")
+
+
+def _near(few: DataFrame, percent: int) -> DataFrame:
+    """All pairs that may link of sets with the same key, a few for each key."""
+
+    def pairs(key, node, size, place) -> dict:
+        found = []
+        for d in range(1, len(key)):
+            at = np.flatnonzero(key[d:] == key[:-d])
+            if not len(at):
+                break
+            x, y = at + d, at
+            left = np.minimum(size[x] - place[x], size[y] - place[y])
+            ok = (left >= -(-(size[x] + size[y]) * percent // (100 + percent))) & (node[x] != node[y])
+            x, y = x[ok], y[ok]
+            a, b = np.where(node[x] > node[y], x, y), np.where(node[x] > node[y], y, x)
+            found.append(np.stack((node[a], size[a], node[b], size[b]), 1))
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+        return dict(zip(PAIRS, rows.T))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            new = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "node", "size", "place")]
+            held = [np.concatenate(x) for x in zip(held, new)]
+            last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last key may go on
+            yield pa.RecordBatch.from_pydict(pairs(*[x[:last] for x in held]))
+            held = [x[last:] for x in held]
+        yield pa.RecordBatch.from_pydict(pairs(*held))
+
+    dealt = few.repartition("key").sortWithinPartitions("key")
+    return dealt.select("key", "node", "size", "place").mapInArrow(run, ", ".join(f"{n} long" for n in PAIRS)).distinct()
 
 
 def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -102,7 +145,7 @@ def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     mine = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     other = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
     flat = pairs.select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"), needed("a.size", "b.size", percent).alias("needed")
+        F.col("node_a").alias("a"), F.col("node_b").alias("b"), needed("size_a", "size_b", percent).alias("needed")
     )
     both = flat.join(mine.hint("merge"), "a").join(other.hint("merge"), ["b", "fragment"])
     partial = both.select("a", "b", "needed", F.size(F.array_intersect("grams_a", "grams_b")).alias("partial"))
@@ -165,56 +208,69 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             ]
 
     postings = written(repeated_keys(texts.select("text"), emit, ["node", "size", "place"], distinct=True), "postings")
-    own = F.struct("node", "size", "place")
-    ends = postings.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high"))
-    ends = written(ends.where("low.node != high.node"), "ends")
-    shared = written(postings.join(ends.hint("merge"), "key").select("key", own.alias("own"), "low", "high"), "shared")
-    discard(postings, ends)
+    tally = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("one"), F.max("node").alias("another"))
+    tally = tally.where("one != another").select("key", (F.col("n") > FEW).alias("many"))
+    shared = written(postings.join(tally.hint("merge"), "key"), "shared")
+    discard(postings)
 
-    # the sets in question, cut into fragments
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_hash")).alias("first")
     low_key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # null ids last
     nodes = sets.where("node IS NOT NULL").groupBy("node").agg(first, F.min(low_key).alias("low"))
     nodes = written(nodes.select("node", "low", "first.*"), "nodes")
-    asked = nodes.join(shared.select("own.node").distinct(), "node").select("node", "doc", "text_hash")
-    asked = texts.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(asked.hint("merge"), ["doc", "text_hash"])
-
-    def cut(batches: Iterator[dict]) -> Iterator[dict]:
-        rank, cuts = order.value
-        for batch in batches:
-            node, fragment, grams = [], [], []
-            for k, s in zip(batch["node"], gram_sets(batch["text"], n)):
-                o = np.sort(ordered(s, rank))
-                at = np.concatenate(([0], np.searchsorted((o >> np.uint64(48)).astype(np.int64), cuts), [len(o)]))
-                for f in np.flatnonzero(np.diff(at)).tolist():
-                    node.append(k)
-                    fragment.append(f)
-                    grams.append(o[at[f] : at[f + 1]].view(np.int64))
-            yield {"node": node, "fragment": fragment, "grams": grams}
-
-    asked = asked.select("node", "text").dropDuplicates(["node"])
-    segments = written(map_batches(asked, cut, "node long, fragment int, grams array<long>"), "segments")
-
-    # each set against the first and the last one with the same n-gram
-    stars = [
-        _pairs(shared.where(F.col("own.node") != F.col(f"{end}.node")).where(_may_link("own", end, percent)), "own", end)
-        for end in ("low", "high")
-    ]
-    stars = written(stars[0].union(stars[1]).distinct(), "stars")
-    links = written(linked(stars, segments, percent), "links")
-    found = written(connected_components(links), "found")
-
-    # then all sets with the same n-gram that are not yet in one component
-    posted = shared.select("key", "own", F.col("own.node").alias("node")).distinct()
-    posted = posted.join(found.hint("merge"), "node", "left")
-    posted = written(posted.select("key", "own", F.coalesce("component", "node").alias("component")), "posted")
-    open_ = posted.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("another"))
-    posted = written(posted.join(written(open_.where("one != another"), "open"), "key").select("key", "own", "component"), "posted")
-    x, y = (posted.select("key", F.col("own").alias(k), F.col("component").alias(f"c{k}")) for k in "xy")
-    meet = x.join(y.hint("merge"), "key").where("cx != cy AND x.node > y.node").where(_may_link("x", "y", percent))
-    rest = written(_pairs(meet, "x", "y").join(stars, ["a", "b"], "left_anti"), "rest")
-    links = links.union(written(linked(rest, segments, percent), "links"))
-    discard(segments, shared)
+    placed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    slot = F.pmod(F.xxhash64("doc", "text_hash"), F.lit(FILTER_BITS)).alias("slot")
+
+    def segments(pairs: DataFrame) -> DataFrame:
+        """The sets of the pairs, cut into fragments."""
+        asked = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b")).distinct()
+        asked = written(nodes.join(asked, "node").select("node", "doc", "text_hash"), "asked")
+        bits = np.zeros(FILTER_BITS, bool)
+        words = asked.select(slot).groupBy(F.shiftright("slot", 6).alias("w")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")
+        )
+        for w, some in words.collect():  # FILTER_BITS / 64 rows at most
+            bits[w * 64 : w * 64 + 64] = [some >> k & 1 for k in range(64)]
+        passed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+        def cut(batches: Iterator[dict]) -> Iterator[dict]:
+            rank, cuts = order.value
+            wanted = np.unpackbits(passed.value)
+            for batch in batches:
+                on = np.flatnonzero(wanted[np.array(batch["slot"], np.int64)]).tolist()
+                out: dict = {k: [] for k in ("doc", "text_hash", "fragment", "grams")}
+                for i, s in zip(on, gram_sets([batch["text"][i] for i in on], n)):
+                    o = np.sort(ordered(s, rank))
+                    at = np.concatenate(([0], np.searchsorted((o >> np.uint64(48)).astype(np.int64), cuts), [len(o)]))
+                    for f in np.flatnonzero(np.diff(at)).tolist():
+                        row = batch["doc"][i], batch["text_hash"][i], f, o[at[f] : at[f + 1]].view(np.int64)
+                        for column, x in zip(out.values(), row):
+                            column.append(x)
+                yield out
+
+        schema = "doc long, text_hash long, fragment int, grams array<long>"
+        parts = map_batches(placed.select("doc", "text_hash", "text", slot), cut, schema)
+        parts = parts.join(asked.hint("merge"), ["doc", "text_hash"]).select("node", "fragment", "grams")
+        return written(parts.dropDuplicates(["node", "fragment"]), "segments")  # repeated rows are one
+
+    # a few sets with the same n-gram: all pairs; many: each with the first one
+    many = shared.where("many").select("key", F.struct("node", "size", "place").alias("own")).distinct()
+    low = written(many.groupBy("key").agg(F.min("own").alias("low")), "low")
+    stars = many.join(low.hint("merge"), "key").where("own.node != low.node").where(_may_link("own", "low", percent))
+    pairs = _near(shared.where("NOT many"), percent).union(_pairs(stars, "own", "low")).distinct()
+    pairs = written(pairs, "pairs")
+    links = written(linked(pairs, segments(pairs), percent), "links")
+
+    if not low.isEmpty():  # then all of the many that are not yet in one component
+        found = connected_components(links).withColumnRenamed("node", "known")
+        many = many.join(found.hint("merge"), F.col("own.node") == F.col("known"), "left")
+        many = written(many.select("key", "own", F.coalesce("component", "own.node").alias("component")), "many")
+        open_ = many.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("another"))
+        many = written(many.join(written(open_.where("one != another").select("key"), "open").hint("merge"), "key"), "many")
+        x, y = (many.select("key", F.col("own").alias(k), F.col("component").alias(f"c{k}")) for k in "xy")
+        meet = x.join(y.hint("merge"), "key").where("cx != cy AND x.node > y.node").where(_may_link("x", "y", percent))
+        rest = written(_pairs(meet, "x", "y").join(pairs, list(PAIRS), "left_anti"), "rest")
+        links = links.union(written(linked(rest, segments(rest), percent), "links"))
+    discard(shared)
 
     reached = written(connected_components(links), "reached")
     least = written(
