@@ -22,7 +22,7 @@ MASKS = ("111", "1101", "11001", "110001", "1011", "10101", "101001")
 #: hits that a stretch that scores enough has at least, by the item's words; of more words, HITS
 SHORT_HITS = {5: 3, 6: 4, 7: 9, 8: 10, 9: 9}
 HITS = 11
-#: items of fewer words are too short to tell anything
+#: items of fewer words have no room for a stretch: they match texts of the same words alone
 SHORTEST = 5
 #: words that a stretch has to share, or two thirds of a shorter item
 OVERLAP = 13
@@ -54,6 +54,19 @@ def _seeds(df: DataFrame) -> DataFrame:
     return out.where("seed IS NOT NULL").drop("words")
 
 
+def _score(shift: Column) -> Column:
+    """The best stretch of ``item`` laid on ``words`` at a shift."""
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state: Column, i: Column) -> Column:
+        there = i + shift
+        same = F.when(there >= 0, F.get("words", there) == F.get("item", i))
+        run = F.greatest(F.lit(0), state["run"] + F.when(same, 2).otherwise(-1))
+        return F.struct(run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size("item") - 1), start, step)["best"]
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` (doc_id, text) and ``benchmark`` (item_id, text), other columns being
     ignored, to one row per pair that overlaps: ``doc_id``, ``text_hash``, ``item_id`` and
@@ -61,13 +74,14 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int =
 
     A stretch scores 2 for a word shared and -1 for one substituted; a pair overlaps if
     its best stretch scores at least 2 ``overlap``, or two thirds of twice the item's
-    words where that is less.  Items of fewer than ``SHORTEST`` words, null and empty
-    texts match nothing.  Repeated rows
-    count once; a null doc_id or item_id is a value like others.
+    words where that is less.  An item of fewer than ``SHORTEST`` words overlaps a text
+    that consists of the same words and nothing else.  Items and texts without a word
+    match nothing.  Repeated rows count once; a null doc_id or item_id is a value like
+    others; no rows give no rows.
     """
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("item"))
-        .where(F.size("item") >= SHORTEST)
+        .where("item[0] != ''")
         .distinct()
     )
     items = written(items.withColumn("number", F.monotonically_increasing_id()), "items")
@@ -75,7 +89,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int =
     least = F.lit(HITS)
     for size, hits in SHORT_HITS.items():
         least = F.when(n == size, hits).otherwise(least)
-    of_items = _seeds(items.select("number", F.col("item").alias("words"), least.alias("least")))
+    of_items = _seeds(items.where(n >= SHORTEST).select("number", F.col("item").alias("words"), least.alias("least")))
     of_items = written(of_items.withColumnRenamed("at", "from"), "seeds")
     seeds = F.broadcast(of_items) if of_items.count() <= BROADCAST_SEEDS else of_items
 
@@ -87,31 +101,19 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int =
         .agg(F.count("*").alias("hits"))  # of repeated rows more, which only costs a comparison
         .where("hits >= least")
     )
-    found = written(shifts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("number", "shift")).alias("shifts")), "shifts")
+    # a pair has no more shifts than words, and its words are held once for all of them
+    found = written(shifts.groupBy("doc_id", "text_hash", "number").agg(F.collect_list("shift").alias("shifts")), "shifts")
     same_id = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash"))
-    pairs = (
-        texts.alias("d")
-        .join(found.alias("s"), same_id)
-        .select("d.doc_id", "d.text_hash", words("text").alias("words"), F.explode("shifts").alias("hit"))
-        .select("doc_id", "text_hash", "words", F.col("hit.number").alias("number"), F.col("hit.shift").alias("shift"))
-        .join(items, "number")
-    )
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(state: Column, i: Column) -> Column:
-        there = i + F.col("shift")
-        same = F.when(there >= 0, F.get("words", there) == F.get("item", i))
-        run = F.greatest(F.lit(0), state["run"] + F.when(same, 2).otherwise(-1))
-        return F.struct(run.alias("run"), F.greatest(state["best"], run).alias("best"))
-
-    score = F.aggregate(F.sequence(F.lit(0), F.size("item") - 1), start, step)["best"]
-    needed = F.least(F.lit(2 * overlap), F.ceil(F.size("item") * 4 / 3))
-    return (
-        pairs.withColumn("score", score)
-        .where(F.col("score") >= needed)
-        .groupBy("doc_id", "text_hash", "item_id")
-        .agg(F.max("score").cast("long").alias("score"))
-    )
+    pairs = texts.alias("d").join(found.alias("s"), same_id)
+    pairs = pairs.select("d.doc_id", "d.text_hash", words("text").alias("words"), "number", "shifts").join(items, "number")
+    scored = pairs.select(
+        "doc_id", "text_hash", "item_id", "item", F.array_max(F.transform("shifts", _score)).alias("score")
+    )
+    long = scored.where(F.col("score") >= F.least(F.lit(2 * overlap), F.ceil(n * 4 / 3))).drop("item")
+
+    brief = texts.select("doc_id", "text_hash", words("text").alias("item")).where(n < SHORTEST)
+    brief = brief.join(items.where(n < SHORTEST), "item").select("doc_id", "text_hash", "item_id", (2 * n).alias("score"))
+    return long.union(brief).groupBy("doc_id", "text_hash", "item_id").agg(F.max("score").cast("long").alias("score"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

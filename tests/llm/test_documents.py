@@ -239,14 +239,21 @@ def tokens(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
+def needed(n):
+    return min(26, -(-n * 4 // 3))
+
+
 def overlap(item, words):
-    """Best stretch over all shifts, by the definition."""
-    best = 0
-    for shift in range(-len(item), len(words) + 1):
-        run = 0
-        for q, x in enumerate(item):
-            run = max(0, run + (2 if 0 <= q + shift < len(words) and words[q + shift] == x else -1))
-            best = max(best, run)
+    """Best stretch over all shifts, by the definition; a short item is all or nothing."""
+    if len(item) < 5:
+        return 2 * len(item) * (item == words)
+    best, words = 0, np.array(words, object)
+    for_shift = np.zeros(len(words) + len(item), np.int64)  # of shift - len(item), all at once
+    padded = np.concatenate((np.full(len(item), None), words, np.full(len(item), None)))
+    for q, x in enumerate(item):
+        same = padded[q : q + len(for_shift)] == x
+        for_shift = np.maximum(0, for_shift + np.where(same, 2, -1))
+        best = max(best, int(for_shift.max()))
     return best
 
 
@@ -258,22 +265,18 @@ def test_decontaminate(monkeypatch, spark, docs, none, broadcast):
     swapped = [("zz" if k in (4, 11, 17) else w) for k, w in enumerate(long)]
     items = {1: " ".join(long), 2: " ".join(swapped), 3: None, 4: "", 5: "ab cd", 6: "one two three four five six", 7: "totally unlike anything said before in here, ever and ever so"}
     items |= {8: " ".join(source[33].split()[5:13]).upper()}  # shorter than a mask
+    items |= {9: "and again " * 15, 10: "again and again and again", 11: "One; TWO!", 12: source[27][5000:5200], 13: "x" * 100_000}
     bench = spark.createDataFrame([(k, v, "x") for k, v in items.items()], "item_id long, text string, score string")
-    small = docs.where("doc_id < 26 OR doc_id > 28")
-    got = collected(decontaminate.digest(small, bench))
-    assert len(got) == small.count()
+    got = collected(decontaminate.digest(docs, bench))
+    assert len(got) == docs.count()
     for r in got:
         words = tokens(source[r["doc_id"]])
-        want = [k for k, v in items.items() if len(tokens(v)) >= 5 and overlap(tokens(v), words) >= min(26, -(-len(tokens(v)) * 4 // 3))]
-        assert r["item_ids"] == want, (r, want)
+        want = [k for k, v in items.items() if tokens(v) and overlap(tokens(v), words) >= needed(len(tokens(v)))]
+        assert r["item_ids"] == want, (r["doc_id"], r["item_ids"], want)
     by = {r["doc_id"]: r["item_ids"] for r in got}
-    assert by[15] == [1, 2] and by[33] == [8]
+    assert by[15] == [1, 2] and by[33] == [8] and by[26] == [9, 10] and by[4] == by[5] == [11] and by[28] == [13] and 12 in by[27]
     assert decontaminate.digest(none, bench).count() == 0
-    assert decontaminate.digest(small, bench.limit(0)).where("contaminated").count() == 0
-
-
-def needed(n):
-    return min(26, -(-n * 4 // 3))
+    assert decontaminate.digest(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
 def test_masks_lose_nothing():
