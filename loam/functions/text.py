@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..settings import DEFAULTS, Settings
 
@@ -155,18 +156,22 @@ def language_guess(text: Column | str) -> Column:
     words among the first 300 words of over two letters."""
     text = _c(text)
     words = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0), lambda w: F.length(w) > 2)
-    sample = F.slice(words, 1, 300)
-    hits = F.size(F.filter(sample, lambda w: F.lower(w).isin(LANGUAGE_STOP_WORDS)))
-    stop = hits / F.size(sample)
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     ascii_share = F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / letters
     result = lambda lang, c: F.struct(F.lit(lang).alias("language"), F.lit(c).alias("confidence"))
-    return (
-        F.when(F.size(words) <= 0, result("unknown", 0.3))
-        .when((ascii_share > 0.9) & (stop >= 0.08), result("en", 0.95))
-        .when((ascii_share > 0.7) & (stop >= 0.03), result("en", 0.6))
-        .otherwise(result("unknown", 0.3))
-    )
+
+    def shares(sample: Column) -> Column:
+        hits = F.size(F.filter(sample, lambda w: F.lower(w).isin(LANGUAGE_STOP_WORDS)))
+        return F.struct(F.size(sample).alias("n"), F.when(F.size(sample) > 0, hits / F.size(sample)).alias("stop"), ascii_share.alias("ascii"))
+
+    def decided(s: Column) -> Column:
+        return (
+            F.when((s["n"] > 0) & (s["ascii"] > 0.9) & (s["stop"] >= 0.08), result("en", 0.95))
+            .when((s["n"] > 0) & (s["ascii"] > 0.7) & (s["stop"] >= 0.03), result("en", 0.6))
+            .otherwise(result("unknown", 0.3))
+        )
+
+    return let(let(F.slice(words, 1, 300), shares), decided)
 
 
 # -- H4 to H14 -------------------------------------------------------------------------
@@ -316,17 +321,32 @@ def set_jaccard(a: Column, b: Column) -> Column:
 
 
 def redact(text: Column | str) -> Column:
-    """Credentials replaced; of a connection string only the password goes first."""
-    out = F.regexp_replace(_c(text), CREDENTIAL_IN_URL, rf"$1{REDACTED}$3")
-    return reduce(lambda t, p: F.regexp_replace(t, p, REDACTED), SECRET_SHAPES, out)
-
-
-def redact_map(values: Column | str) -> Column:
-    return F.transform_values(F.transform_keys(_c(values), lambda k, _: redact(k)), lambda _, v: redact(v))
-
-
-def redact_array(values: Column | str) -> Column:
-    return F.transform(_c(values), redact)
+    """Credentials replaced; of a connection string only the password goes first.  A text
+    in which no shape occurs is left alone after one look."""
+    text = _c(text)
+    out = F.regexp_replace(text, CREDENTIAL_IN_URL, rf"$1{REDACTED}$3")
+    out = reduce(lambda t, p: F.regexp_replace(t, p, REDACTED), SECRET_SHAPES, out)
+    some = "|".join(f"(?:{p})" for p in (CREDENTIAL_IN_URL, *SECRET_SHAPES))
+    return F.when(text.rlike(some), out).otherwise(text)
+
+
+def redact_value(value: Column | str, kind: DataType, depth: int = 4) -> Column:
+    """Every string in a nested value redacted, down to ``depth`` levels of structs, arrays
+    and maps; what lies deeper, and what is no text, stays as it is."""
+    value = _c(value)
+    if isinstance(kind, StringType):
+        return redact(value)
+    if depth <= 0:
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact_value(x, kind.elementType, depth - 1))
+    if isinstance(kind, MapType):
+        keys = F.transform_keys(value, lambda k, _: redact_value(k, kind.keyType, depth - 1))
+        return F.transform_values(keys, lambda _, v: redact_value(v, kind.valueType, depth - 1))
+    if isinstance(kind, StructType):
+        fields = [redact_value(value[f.name], f.dataType, depth - 1).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
 
 
 def scrub(text: Column | str) -> Column:
@@ -343,11 +363,39 @@ def verdict(value: Column | str) -> Column:
     return F.when(_c(value).isin("SUPPORTED", "UNSUPPORTED", "PARTIAL"), _c(value)).otherwise("UNSUPPORTED")
 
 
-def reasoning_keys(payload: Column | str) -> Column:
-    """Keys of a JSON text, at any depth, that name a reasoning channel."""
-    keys = F.regexp_extract_all(_c(payload), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1)
+def reasoning_keys(payload: Column | str, depth: int = 8) -> Column:
+    """Paths, like ``$.a[1].thought``, of the keys of a JSON text that name a reasoning
+    channel, down to ``depth`` levels below the root.
+
+    One fold over the text's brackets, commas and strings; a string is a key only if a
+    colon follows it, so that what a value says is never taken for one.
+    """
+    tokens = F.regexp_extract_all(_c(payload), F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?|[{}\[\],]'), 0)
     pattern = "(?i)reasoning|thought|chain_of_thought|deliberation|reflection|scratchpad"
-    return F.filter(keys, lambda k: k.rlike(pattern))
+    start = F.struct(
+        F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("at"), F.lit("$").alias("next"),
+        F.array().cast("array<string>").alias("found"),
+    )
+
+    def step(s: Column, t: Column) -> Column:
+        def state(path: Column = s["path"], at: Column = s["at"], then: Column = s["next"], found: Column = s["found"]) -> Column:
+            return F.struct(path.alias("path"), at.alias("at"), then.alias("next"), found.alias("found"))
+
+        top = F.get(s["at"], F.size(s["at"]) - 1)  # the place in an array, -1 in an object
+        own = F.when(top >= 0, F.concat(F.lit("["), top.cast("string"), F.lit("]"))).otherwise(s["next"])
+        less = lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))
+        name = F.concat(F.lit("."), F.regexp_replace(t, r'^"|"\s*:$', ""))
+        named = name.rlike(pattern) & (F.size(s["path"]) <= depth + 1)
+        found = F.when(named, F.concat(s["found"], F.array(F.concat(F.array_join(s["path"], ""), name)))).otherwise(s["found"])
+        return (
+            F.when(t.isin("{", "["), state(F.concat(s["path"], F.array(own)), F.concat(s["at"], F.array(F.when(t == "[", 0).otherwise(-1)))))
+            .when(t.isin("}", "]"), state(less(s["path"]), less(s["at"])))
+            .when((t == ",") & (top >= 0), state(at=F.concat(less(s["at"]), F.array(top + 1))))
+            .when(F.endswith(t, F.lit(":")), state(then=name, found=found))
+            .otherwise(s)
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: s["found"])
 
 
 def deliberation_marker(text: Column | str) -> Column:
@@ -411,3 +459,19 @@ def answer_segments(answer: Column | str) -> Column:
             p.alias("text"), F.when(p.rlike(r"^\[\d+\]$"), F.regexp_extract(p, r"\d+", 0).cast("int")).alias("rank")
         ),
     )
+
+
+# -- H31 -------------------------------------------------------------------------------
+
+
+def latency_ms(start: Column | str, end: Column | str) -> Column:
+    """Whole milliseconds from one timestamp to another; null if either is."""
+    return F.floor((F.unix_micros(_c(end)) - F.unix_micros(_c(start))) / 1000).cast("long")
+
+
+def iso_text(at: Column | str) -> Column:
+    """A timestamp (in a UTC session) as ISO text, with microseconds only where it has any."""
+    at = _c(at)
+    micros = F.pmod(F.unix_micros(at), F.lit(1_000_000))
+    part = F.when(micros != 0, F.format_string(".%06d", micros)).otherwise("")
+    return F.when(at.isNotNull(), F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00")))

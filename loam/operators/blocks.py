@@ -81,8 +81,8 @@ def units(blocks: DataFrame, key: str = "page_id", settings: Settings = DEFAULTS
     token and byte ceilings; the last blocks of a unit are carried into the next while
     they fit the overlap, and the carry is dropped if the unit would not fit with it.  A
     block that alone exceeds the ceiling is a unit of its own, at its place.  Units under
-    the floor are rejected.  Sections are small (a heading's blocks), so that the fold
-    over one section's array stays in the JVM.
+    the floor are rejected.  A section is folded as one array with running sums, in the
+    JVM; it holds no more than its page's text.
     """
     stripped = T.stripped("text")
     live = blocks.where(stripped != "").withColumn("_nav", is_navigation("text", settings))
@@ -106,14 +106,16 @@ def units(blocks: DataFrame, key: str = "page_id", settings: Settings = DEFAULTS
     kind = "struct<pos:int,text:string,kind:string,tokens:int,chars:int,bytes:int>"
     table = F.create_map(*[F.lit(x) for pair in T.CHARS_PER_TOKEN.items() for x in pair])
 
+    def fit(kind_: Column, chars: Column, bytes_: Column) -> Column:
+        divisor = F.coalesce(F.try_element_at(table, kind_), F.lit(T.DEFAULT_CHARS_PER_TOKEN))
+        return (F.floor(chars / divisor) <= settings.chunk_max_tokens) & (bytes_ <= settings.send_ceiling)
+
     def total(bs: Column, name: str, gap: int) -> Column:
         return F.aggregate(bs, F.lit(0), lambda s, b: s + b[name]) + gap * F.greatest(F.size(bs) - 1, F.lit(0))
 
     def fits(bs: Column) -> Column:
         # joined by a blank line: one space when collapsed, two bytes when sent
-        divisor = F.coalesce(F.try_element_at(table, bs[0]["kind"]), F.lit(T.DEFAULT_CHARS_PER_TOKEN))
-        small = F.floor(total(bs, "chars", 1) / divisor) <= settings.chunk_max_tokens
-        return small & (total(bs, "bytes", 2) <= settings.send_ceiling)
+        return fit(bs[0]["kind"], total(bs, "chars", 1), total(bs, "bytes", 2))
 
     empty = F.array().cast(f"array<{kind}>")
 
@@ -132,19 +134,30 @@ def units(blocks: DataFrame, key: str = "page_id", settings: Settings = DEFAULTS
         kept = F.aggregate(F.reverse(bs), start, step, lambda s: s["kept"])
         return F.when(F.lit(settings.chunk_overlap_tokens > 0), kept).otherwise(empty)
 
+    def state_of(done: Column, now: Column, chars: Column, bytes_: Column) -> Column:
+        return F.struct(done.alias("done"), now.alias("now"), chars.alias("chars"), bytes_.alias("bytes"))
+
     def fill(state: Column, b: Column) -> Column:
+        # sums of the open unit run along, so that a block costs the same however many came before
         alone, now = F.array(b), state["now"]
-        grown = F.concat(now, alone)
-        carried = F.concat(tail(now), alone)
-        closed = F.when(F.size(now) > 0, F.concat(state["done"], F.array(now))).otherwise(state["done"])
-        too_big = ~fits(alone)
-        done = F.when(too_big, F.concat(closed, F.array(alone))).when((F.size(now) > 0) & ~fits(grown), closed)
-        then = F.when(too_big, empty).when(
-            (F.size(now) > 0) & ~fits(grown), F.when(fits(carried), carried).otherwise(alone)
+        some = F.size(now) > 0
+        chars = state["chars"] + b["chars"] + F.when(some, 1).otherwise(0)
+        bytes_ = state["bytes"] + b["bytes"] + F.when(some, 2).otherwise(0)
+        closed = F.when(some, F.concat(state["done"], F.array(now))).otherwise(state["done"])
+
+        def split(t: Column) -> Column:
+            carried = F.concat(t, alone)
+            return F.when(
+                fits(carried), state_of(closed, carried, total(carried, "chars", 1), total(carried, "bytes", 2))
+            ).otherwise(state_of(closed, alone, b["chars"], b["bytes"]))
+
+        return (
+            F.when(~fit(b["kind"], b["chars"], b["bytes"]), state_of(F.concat(closed, F.array(alone)), empty, F.lit(0), F.lit(0)))
+            .when(some & ~fit(F.get(now, 0)["kind"], chars, bytes_), T.let(tail(now), split))
+            .otherwise(state_of(state["done"], F.concat(now, alone), chars, bytes_))
         )
-        return F.struct(F.coalesce(done, state["done"]).alias("done"), F.coalesce(then, grown).alias("now"))
 
-    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("done"), empty.alias("now"))
+    start = state_of(F.array().cast(f"array<array<{kind}>>"), empty, F.lit(0), F.lit(0))
     filled = F.aggregate(
         "blocks", start, fill,
         lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]),

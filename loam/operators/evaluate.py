@@ -98,23 +98,55 @@ def citation_grades(counts: DataFrame) -> DataFrame:
     )
 
 
+def _same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """The two joined by their key columns, nulls being equal, the keys once."""
+    there = right.select(*[F.col(c).alias(f"_{c}") if c in by else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & left[c].eqNullSafe(there[f"_{c}"])
+    return left.join(there, cond, how).drop(*[f"_{c}" for c in by])
+
+
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
+    """Nearest-rank percentiles of ``value`` by the key columns, a column for each share;
+    nulls are ignored, and a key without a value has no row.
+
+    Ranks are found in two steps, so that no task gathers a key's values: counts in bins
+    between a key's least and greatest value tell in which bin a rank lies, and only the
+    values of that bin are counted one by one.
+    """
+    some = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = some.groupBy(*by).agg(F.min("_v").cast("double").alias("_low"), F.max("_v").cast("double").alias("_high"), F.count("*").alias("_n"))
+    v = F.col("_v").cast("double")
+    place = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(bins - 1), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)))
+    binned = _same(some, ends, by).withColumn("_bin", F.coalesce(place, F.lit(0)).cast("int"))
+    counts = binned.groupBy(*by, "_n", "_bin").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*by).orderBy("_bin")
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in shares.items()])).alias("_q")
+    counts = counts.withColumn("_upto", F.sum("_c").over(upto)).select("*", asked)
+    rank = F.greatest(F.ceil(F.col("_q.p") * F.col("_n")), F.lit(1)) - (F.col("_upto") - F.col("_c"))
+    wanted = counts.withColumn("_rest", rank).where("_rest BETWEEN 1 AND _c").select(*by, "_bin", "_rest", F.col("_q.name").alias("_name"))
+    close = _same(binned.select(*by, "_bin", "_v"), wanted, [*by, "_bin"]).groupBy(*by, "_name", "_rest", "_v").agg(F.count("*").alias("_c"))
+    close = close.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_name").orderBy("_v"))).where("_upto >= _rest")
+    return close.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
+
+
 def run_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The 13 aggregates of a run; means ignore nulls, percentiles are nearest-rank."""
+    by = by or []
     share = lambda cond, of: F.avg(F.when(of, cond.cast("int")))
     cross = F.size(F.array_distinct("searched_products")) >= 2
-    rows = results.groupBy(*(by or []))
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ms)")
-    return rows.agg(
+    plain = results.groupBy(*by).agg(
         *[F.avg(m).alias(m) for m in ("recall_at_5", "precision_at_5", "mrr")],
         share(cross, F.col("category") == "cross_product").alias("cross_product_domain_coverage"),
         *[F.avg(m).alias(m) for m in ("citation_validity", "claim_coverage", "faithfulness")],
         share(F.col("refused"), F.col("is_unsupported")).alias("unsupported_refusal_rate"),
         F.sum("fabricated_fact_count").alias("fabricated_fact_count"),
         F.sum("invalid_citation_count").alias("invalid_citation_count"),
-        p(0.5).alias("p50_latency_ms"),
-        p(0.95).alias("p95_latency_ms"),
         F.avg(F.col("error").cast("int")).alias("error_rate"),
     )
+    ranks = nearest_ranks(results, by, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95})
+    return _same(plain, ranks, by, "left").select(*by, *METRICS)
 
 
 def gate(metrics: DataFrame, by: list[str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:

@@ -26,35 +26,35 @@ def scan_pages(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def top_gram_share(docs: DataFrame, key: str, text: str = "text", n: int = 4) -> DataFrame:
-    """``key`` and ``top_share``: how many of a text's word n-grams are its commonest one.
-
-    Grams are grouped by key and gram first, so that a long text is no single row, and
-    only their counts come together by key.  Texts without an n-gram have no row.
-    """
-    words = F.split(F.lower(T.collapsed(text)), " ")
-    rows = docs.select(key, words.alias("w"))
-    at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
-    grams = rows.select(key, "w", F.explode(at).alias("i")).select(
-        key, F.xxhash64(F.array_join(F.slice("w", F.col("i"), F.lit(n)), " ")).alias("gram")
+def top_gram_share(text: Column | str, n: int = 4) -> Column:
+    """How many of a text's word n-grams are its commonest one, as a share; null without an
+    n-gram.  The grams of a row are counted in the row: their hashes are sorted, and one
+    fold finds the longest run."""
+    grams = lambda w: F.when(
+        F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
     )
-    counts = grams.groupBy(key, "gram").count()
-    return counts.groupBy(key).agg((F.max("count") / F.sum("count")).alias("top_share"))
+    start = F.struct(F.lit(None).cast("long").alias("gram"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, g: Column) -> Column:
+        run = F.when(g == s["gram"], s["run"] + 1).otherwise(1)
+        return F.struct(g.alias("gram"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    share = lambda g: F.aggregate(g, start, step)["best"] / F.size(g)
+    return T.let(F.sort_array(T.let(F.split(F.lower(T.collapsed(text)), " "), grams)), share)
 
 
-def page_gate(docs: DataFrame, key: str, text: str = "text", content_type: str | None = None) -> DataFrame:
+def page_gate(docs: DataFrame, text: str = "text", content_type: str | None = None) -> DataFrame:
     """``docs`` with ``reject_reason``: the first of content type, no text, error page, too
-    small, boilerplate; null if the page is kept."""
-    shares = top_gram_share(docs, key, text)
+    small, boilerplate; null if the page is kept.  Every row is judged by itself."""
     first = T.content_type_reason(content_type) if content_type else F.lit(None).cast("string")
     reason = F.coalesce(
         first,
         F.when(T.stripped(F.coalesce(F.col(text), F.lit(""))) == "", "no_content"),
         F.when(T.is_error_page(text), "error_page"),
         F.when(T.is_too_small(text), "too_small"),
-        F.when(F.col("top_share") >= T.MAX_TOP_GRAM_SHARE, "boilerplate_heavy"),
+        F.when(top_gram_share(text) >= T.MAX_TOP_GRAM_SHARE, "boilerplate_heavy"),
     )
-    return docs.join(shares, key, "left").withColumn("reject_reason", reason)
+    return docs.withColumn("reject_reason", reason)
 
 
 def page_metadata(pages: DataFrame, text: Column | None = None) -> DataFrame:

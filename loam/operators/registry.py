@@ -62,16 +62,29 @@ def bad_transitions(history: DataFrame) -> DataFrame:
 # -- snapshots -------------------------------------------------------------------------
 
 
+def _one_per_key(rows: DataFrame, key: list[str], *first: Column) -> DataFrame:
+    """Of the rows with one key one, by ``first`` and then by all they hold as text."""
+    w = Window.partitionBy(*key).orderBy(*first, F.to_json(F.struct(*rows.columns)))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str | list[str], newest: str | None = None) -> DataFrame:
     """The current rows that no new row replaces, and of the new rows with one key the one
-    with the greatest ``newest``.  Applied twice it gives the same."""
+    with the greatest ``newest``, ties being broken by what the rows hold.  Applied twice
+    it gives the same."""
     key = [key] if isinstance(key, str) else key
-    if newest:
-        w = Window.partitionBy(*key).orderBy(F.col(newest).desc())
-        new = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    new = _one_per_key(new, key, *([F.col(newest).desc()] if newest else []))
     return current.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
+def upsert_counts(new: DataFrame, key: str | list[str], newest: str | None = None) -> DataFrame:
+    """One row: how many records were ``submitted``, and how many an upsert has ``written``."""
+    key = [key] if isinstance(key, str) else key
+    return new.groupBy(*key).agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("submitted"), F.count("*").alias("written")
+    )
+
+
 def delete_ids(current: DataFrame, ids: DataFrame, key: str = "vector_id") -> DataFrame:
     """Current rows without those ids.  An empty list of ids is refused."""
     if ids.isEmpty():
@@ -79,6 +92,11 @@ def delete_ids(current: DataFrame, ids: DataFrame, key: str = "vector_id") -> Da
     return current.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def delete_count(current: DataFrame, ids: DataFrame, key: str = "vector_id") -> DataFrame:
+    """One row: how many rows ``delete_ids`` takes away."""
+    return current.join(ids.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("deleted"))
+
+
 def fetch_ids(current: DataFrame, ids: DataFrame, key: str = "vector_id") -> DataFrame:
     return current.join(ids.select(key).distinct(), key, "left_semi")
 
@@ -126,14 +144,14 @@ def cascade_delete(documents: DataFrame, units: DataFrame, sources: DataFrame, a
 
 
 def register_new(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key is not there yet, once each."""
-    return new.dropDuplicates(key).join(current.select(*key), key, "left_anti")
+    """Rows whose key is not there yet, once each; of several the first by what they hold."""
+    return _one_per_key(new, key).join(current.select(*key), key, "left_anti")
 
 
 def admit_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Requests (source_id, job_id, requested_at) with ``admitted`` and, if refused, the
     ``running_job``: a source has one active job at most."""
-    active = jobs.where(F.col("state").isin("queued", "running")).groupBy("source_id").agg(F.min("job_id").alias("running"))
+    active = jobs.where(F.col("status").isin("queued", "running")).groupBy("source_id").agg(F.min("job_id").alias("running"))
     w = Window.partitionBy("source_id").orderBy("requested_at", "job_id")
     rows = requests.withColumn("_first", F.first("job_id").over(w)).join(active, "source_id", "left")
     admitted = F.col("running").isNull() & (F.col("job_id") == F.col("_first"))
@@ -181,13 +199,39 @@ def skip_reasons(skips: DataFrame, job: str = "job_id") -> DataFrame:
 
 
 def job_status(counters: DataFrame) -> DataFrame:
-    status = F.when(F.col("failed") == 0, "completed").when(F.col("processed") > 0, "partial").otherwise("failed")
-    return counters.withColumn("status", status)
+    """A finished job's ``status``: completed, with errors if any page failed."""
+    return counters.withColumn("status", F.when(F.col("failed") == 0, "completed").otherwise("completed_with_errors"))
 
 
-def source_status(enabled: Column, last: Column) -> Column:
-    known = last.isin("idle", "queued", "crawling", "ready", "error")
-    return F.when(~enabled, "disabled").when(known, last).otherwise("error")
+def source_status(enabled: Column, stored: Column) -> Column:
+    """The status shown: disabling wins, and an unknown stored value is an error."""
+    known = stored.isin("active", "disabled", "error")
+    return F.when(~enabled, "disabled").when(known, stored).otherwise("error")
+
+
+def after_crawl(sources: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``sources`` with the ``status`` and ``last_crawl_at`` that their last finished job
+    (source_id, job_id, status, indexed, finished_at) leaves: error if it failed or indexed
+    nothing, else active unless the source is disabled.  Without a job nothing changes."""
+    last = latest_per(jobs.where("finished_at IS NOT NULL"), "source_id", "finished_at", "job_id")
+    last = last.select("source_id", F.col("status").alias("_job"), F.col("indexed").alias("_indexed"), F.col("finished_at").alias("_at"))
+    bad = (F.col("_job") == "failed") | (F.coalesce("_indexed", F.lit(0)) == 0)
+    status = F.when(F.col("_at").isNull() | (~bad & (F.col("status") == "disabled")), F.col("status")).otherwise(
+        F.when(bad, "error").otherwise("active")
+    )
+    kept = [c for c in sources.columns if c not in ("status", "last_crawl_at")]
+    return sources.join(last, "source_id", "left").select(
+        *kept, status.alias("status"),
+        (F.coalesce("_at", "last_crawl_at") if "last_crawl_at" in sources.columns else F.col("_at")).alias("last_crawl_at"),
+    )
+
+
+def source_overview(sources: DataFrame, documents: DataFrame, units: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Sources with live counts, their status as shown, and their latest job or null."""
+    last = latest_per(jobs, "source_id", "requested_at", "job_id")
+    last = last.select("source_id", F.col("job_id").alias("latest_job"), F.col("status").alias("latest_status"))
+    shown = live_counts(sources, documents, units).withColumn("status", source_status(F.col("enabled"), F.col("status")))
+    return shown.join(last, "source_id", "left")
 
 
 def live_counts(sources: DataFrame, documents: DataFrame, units: DataFrame) -> DataFrame:
@@ -219,13 +263,14 @@ def latest_per(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def listing(rows: DataFrame, at: str, tie: str, offset: int, limit: int, **equals) -> tuple[DataFrame, DataFrame]:
-    """One page, newest first, of the rows that match, and how many match in all."""
+def listing(rows: DataFrame, at: str, tie: str, offset: int, limit: int, ascending: bool = False, **equals) -> tuple[DataFrame, DataFrame]:
+    """One page of the rows that match, newest first or in ascending order, and how many
+    match in all."""
     for name, value in equals.items():
         if value is not None:
             rows = rows.where(F.col(name) == value)
-    page = rows.orderBy(F.col(at).desc(), F.col(tie).desc()).offset(offset).limit(limit)
-    return page, rows.agg(F.count("*").alias("total"))
+    order = [F.col(c).asc() if ascending else F.col(c).desc() for c in (at, tie)]
+    return rows.orderBy(*order).offset(offset).limit(limit), rows.agg(F.count("*").alias("total"))
 
 
 def source_documents(documents: DataFrame, source_id, include_deleted: bool = False) -> DataFrame:
@@ -268,23 +313,56 @@ CHECKS = {
         "tokens_positive": "token_count > 0",
         "overlap_not_negative": "overlap_tokens >= 0",
     },
+    "crawl_jobs": {
+        "status_known": "status IN ('queued', 'running', 'completed', 'completed_with_errors', 'failed', 'cancelled')",
+    },
+    "query_logs": {
+        "outcome_known": "outcome IN ('answered', 'refused', 'error')",
+        "outcome_payload": "CASE outcome WHEN 'answered' THEN answer IS NOT NULL AND refusal_reason IS NULL"
+        " WHEN 'refused' THEN answer IS NULL AND refusal_reason IS NOT NULL WHEN 'error' THEN answer IS NULL ELSE false END",
+        "latency_not_negative": "total_latency_ms >= 0",
+    },
     "citations": {
         "rank_positive": "rank > 0",
         "state_known": "validation_state IN ('valid', 'stripped', 'repaired')",
         "quote_not_empty": "length(quote) > 0",
         "scores_in_range": "retrieval_score BETWEEN 0 AND 1 AND rerank_score BETWEEN 0 AND 1",
     },
-    "questions": {"unsupported_refuses": "NOT is_unsupported OR must_refuse"},
+    "questions": {
+        "category_known": "category IN ('simple_lookup', 'multi_part', 'cross_product', 'troubleshooting', 'permissions',"
+        " 'api', 'ambiguous', 'unsupported')",
+        "difficulty_known": "difficulty IN ('easy', 'medium', 'hard')",
+        "topics_not_empty": "size(topics) > 0",
+        "question_not_empty": "question != ''",
+        "unsupported_refuses": "NOT is_unsupported OR must_refuse",
+    },
+    "runs": {
+        "gate_known": "gate_outcome IN ('pass', 'fail')",
+        "status_known": "status IN ('queued', 'running', 'completed', 'failed')",
+        "count_not_negative": "question_count >= 0",
+        "time_order": "finished_at >= started_at",
+    },
+    "results": {
+        "fabricated_not_negative": "fabricated_fact_count >= 0",
+        "invalid_not_negative": "invalid_citation_count >= 0",
+        "latency_not_negative": "latency_ms >= 0",
+    },
 }
 UNIQUE = {
     "sources": {"start_url": ["start_url"]},
     "documents": {"source_url": ["source_id", "url"]},
     "units": {"vector_id": ["vector_id"], "document_ordinal": ["document_id", "ordinal"]},
+    "crawl_jobs": {"one_active_job": ["CASE WHEN status IN ('queued', 'running') THEN source_id END"]},
     "citations": {"log_rank": ["log_id", "rank"]},
     "results": {"run_question": ["run_id", "question_id"]},
 }
 
 
+def registry_violations(name: str, rows: DataFrame, key: str) -> DataFrame:
+    """Violations of a registry table's own rules."""
+    return violations(rows, key, CHECKS[name], UNIQUE.get(name))
+
+
 def violations(rows: DataFrame, key: str, checks: dict[str, str], unique: dict[str, list[str]] | None = None) -> DataFrame:
     """``rule`` and ``key`` of every row that breaks a rule; the key of a uniqueness rule is
     the smallest of the rows that share the values."""
@@ -292,7 +370,7 @@ def violations(rows: DataFrame, key: str, checks: dict[str, str], unique: dict[s
     key_text = F.col(key).cast("string").alias("key")
     out = rows.select(F.explode(failed).alias("rule"), key_text)
     for name, columns in (unique or {}).items():
-        some = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
-        twice = some.groupBy(*columns).agg(F.min(key).cast("string").alias("key"), F.count("*").alias("n")).where("n > 1")
+        some = rows.where(" AND ".join(f"({c}) IS NOT NULL" for c in columns))
+        twice = some.groupBy(*[F.expr(c) for c in columns]).agg(F.min(key).cast("string").alias("key"), F.count("*").alias("n")).where("n > 1")
         out = out.union(twice.select(F.lit(name).alias("rule"), "key"))
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
+from .components import connected_components
 
 # Vocabularies and the names that questions use.
 PRODUCTS = ("jira", "confluence", "jsm", "developer")
@@ -33,8 +34,8 @@ VERBS = (
 )
 
 MAX_QUESTION = 2000
-#: rows that a broadcast side may have
-BROADCAST_ROWS = 10_000
+#: rows, and numbers in their vectors, that a broadcast side may have
+BROADCAST_ROWS, BROADCAST_NUMBERS = 10_000, 4_000_000
 
 
 # -- questions -------------------------------------------------------------------------
@@ -163,19 +164,20 @@ def nearest_units(queries: DataFrame, units: DataFrame, k: int, constraint: Colu
     """Exact top ``k`` units per query by inner product, ties by unit id.
 
     ``queries`` (query_id, embedding, ...) is a stated query set: it is compared with all
-    units in blocks.  A set of at most BROADCAST_ROWS rows is broadcast, and every task
-    keeps the best ``k`` per query before the shuffle; a larger one is cut into blocks of
-    that size that are dealt over the units, with the same result.
+    units in blocks.  A set of at most BROADCAST_ROWS rows and BROADCAST_NUMBERS numbers is
+    broadcast, and every task keeps the best ``k`` per query before the shuffle; a larger
+    one is cut into blocks of that size that are dealt over the units, with the same
+    result.
     """
     q = queries.withColumnRenamed("embedding", "_qe")
-    n = queries.count()
+    n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
+    blocks = max(math.ceil(n / BROADCAST_ROWS), math.ceil(numbers / BROADCAST_NUMBERS))
     dot = F.aggregate(
         F.zip_with("_qe", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x
     )
-    if n <= BROADCAST_ROWS:
+    if blocks <= 1:
         pairs = units.join(F.broadcast(q), constraint if constraint is not None else F.lit(True))
         return _top(pairs.withColumn("score", dot), k, "query_id").drop("_qe", "embedding")
-    blocks = math.ceil(n / BROADCAST_ROWS)
     q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     spread = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = spread.join(q, "_block")
@@ -272,7 +274,7 @@ def select_evidence(reranked: DataFrame, settings: Settings = DEFAULTS) -> DataF
         (-composite).alias("neg"),
         F.col("rerank_rank").alias("r"),
         F.col("unit_id").alias("unit_id"),
-        F.coalesce("document_id", "unit_id").alias("doc"),
+        F.coalesce(F.col("document_id").cast("string"), F.col("unit_id").cast("string")).alias("doc"),
         group.alias("grp"),
         T.trigrams("text").alias("grams"),
     )
@@ -348,26 +350,40 @@ def evidence_prompt(evidence: DataFrame) -> DataFrame:
 
 
 def near_duplicate_pairs(texts: DataFrame, group: str, key: str, threshold: float = 0.6) -> DataFrame:
-    """Pairs in one group whose trigram sets have a Jaccard over ``threshold``.
+    """Pairs of different texts of one group whose trigram sets have a Jaccard over
+    ``threshold``: ``group``, ``a``, ``b``, the least keys of either text, and ``jaccard``.
 
     Sets are joined on their trigrams, rarest first: a pair over the threshold shares one
-    of the first n - ceil(threshold n) + 1 of them, so only those are exploded.
+    of the first n - ceil(threshold n) + 1 of them, so only those are exploded.  Groups
+    and keys that are null take no part.
     """
-    rows = texts.select(group, key, F.explode(T.trigrams("text")).alias("g"))
+    some = texts.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col("text").isNotNull())
+    some = some.groupBy(F.col(group).alias("grp"), "text").agg(F.min(key).alias("key"))
+    rows = some.select("grp", "key", F.explode(T.trigrams("text")).alias("g"))
     df = rows.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = rows.join(df, "g").groupBy(group, key).agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
-    sets = ordered.select(group, key, F.transform("s", lambda x: x["g"]).alias("grams"))
+    ordered = rows.join(df, "g").groupBy("grp", "key").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
+    sets = ordered.select("grp", "key", F.transform("s", lambda x: x["g"]).alias("grams"))
     n = F.size("grams")
     prefix = F.slice("grams", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)
-    keyed = sets.select(group, key, F.explode(prefix).alias("g"), n.alias("n"))
+    keyed = sets.select("grp", "key", F.explode(prefix).alias("g"), n.alias("n"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    cond = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.g") == F.col("b.g")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    near = cond & (F.least("a.n", "b.n") > threshold * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, near).select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
-    one = sets.select(group, F.col(key).alias("a"), F.col("grams").alias("ga"))
-    two = sets.select(group, F.col(key).alias("b"), F.col("grams").alias("gb"))
-    joined = pairs.join(one, [group, "a"]).join(two, [group, "b"])
-    return joined.withColumn("jaccard", T.set_jaccard(F.col("ga"), F.col("gb"))).where(F.col("jaccard") > threshold).drop("ga", "gb")
+    near = F.expr("a.grp = b.grp AND a.g = b.g AND a.key < b.key") & (F.least("a.n", "b.n") > threshold * F.greatest("a.n", "b.n"))
+    pairs = a.join(b, near).select("a.grp", F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    one = sets.select("grp", F.col("key").alias("a"), F.col("grams").alias("ga"))
+    two = sets.select("grp", F.col("key").alias("b"), F.col("grams").alias("gb"))
+    scored = pairs.join(one, ["grp", "a"]).join(two, ["grp", "b"]).withColumn("jaccard", T.set_jaccard(F.col("ga"), F.col("gb")))
+    return scored.where(F.col("jaccard") > threshold).select(F.col("grp").alias(group), "a", "b", "jaccard")
+
+
+def near_duplicate_classes(texts: DataFrame, group: str, key: str, threshold: float = 0.6) -> DataFrame:
+    """``group``, ``key`` and ``class_id`` of every text: the least key that near duplicates
+    and equal texts of the group reach.  ``key`` is long and of one group."""
+    texts = texts.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col("text").isNotNull())
+    pairs = near_duplicate_pairs(texts, group, key, threshold)
+    found = connected_components(pairs.select("a", "b"))
+    first = texts.groupBy(group, "text").agg(F.min(key).alias("node"))
+    known = first.join(found, "node", "left").select(group, "text", F.coalesce("component", "node").alias("class_id"))
+    return texts.join(known, [group, "text"]).select(group, key, "class_id")
 
 
 def with_history(turns: DataFrame, last: int = 10) -> DataFrame:

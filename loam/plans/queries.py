@@ -1,55 +1,33 @@
-"""Registered queries: each operator over whole driver tables, with its SQL where there is one.
-
-Floating results are rounded to six places on both sides.
-"""
+"""Registered queries: each operator over whole driver tables, with its SQL where there is one."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import audit, blocks, evaluate, frontier, pages, registry, retrieval
-from ..sources import datasets
-from ..streaming import jobs
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def big(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
-
-
-def listed(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
-
-#: white space, and the text with it collapsed, in RE2
-WS = r"[\s\v]+"
-SQL_COLLAPSED = rf"trim(regexp_replace({{}}, '{WS}', ' ', 'g'))"
-SQL_CONTENT = (
-    f"list_filter(regexp_split_to_array(lower({{}}), '[^a-z0-9]+'), lambda t: t != '' AND t NOT IN ({listed(T.CONTENT_STOP_WORDS)}))"
-)
+from ..streaming import jobs, runs
+from .base import (
+    ORACLES,
+    QUERIES,
+    SQL_COLLAPSED,
+    SQL_CONTENT,
+    SQL_GATE,
+    SQL_INNER_TEXT,
+    big,
+    listed,
+    query,
+    r6,
+    read,
+    sql_grams,
+    stream,
+)
+
+__all__ = ["ORACLES", "QUERIES"]
 
 # -- nearest units ---------------------------------------------------------------------
 
@@ -89,31 +67,16 @@ def retrieval_grades(spark, d):
 
 # -- text gates ------------------------------------------------------------------------
 
-_SQL_GRAMS = """
-WITH w AS (SELECT doc_id, string_split(lower(%s), ' ') AS w FROM documents),
-g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS gram FROM w WHERE len(w) >= 4),
-c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2),
-s AS (SELECT doc_id, max(n) / sum(n) AS share FROM c GROUP BY 1)
-""" % SQL_COLLAPSED.format("text")
-_SQL_ERROR = " OR ".join(
-    "contains(lower(left(trim(text, E' \\n\\t\\r'), 400)), '" + m.replace("'", "''") + "')" for m in T.ERROR_MARKERS
-)
-
-
+_SQL_GRAMS = sql_grams("documents", "doc_id")
 @query(_SQL_GRAMS + "SELECT doc_id, round(share, 6) AS top_share FROM s")
 def boilerplate_share(spark, d):
-    s = pages.top_gram_share(read(spark, d, "documents"), "doc_id")
-    return s.select("doc_id", r6("top_share").alias("top_share"))
+    rows = read(spark, d, "documents").select("doc_id", r6(pages.top_gram_share("text")).alias("top_share"))
+    return rows.where("top_share IS NOT NULL")
 
 
-@query(
-    _SQL_GRAMS
-    + f"""SELECT d.doc_id, CASE WHEN trim(coalesce(text, ''), E' \\n\\t\\r') = '' THEN 'no_content' WHEN {_SQL_ERROR} THEN 'error_page'
-    WHEN length(trim(text, E' \\n\\t\\r')) < 200 THEN 'too_small' WHEN share >= 0.08 THEN 'boilerplate_heavy' END AS reject_reason
-    FROM documents d LEFT JOIN s USING (doc_id)"""
-)
+@query(_SQL_GRAMS + f"SELECT d.doc_id, {SQL_GATE} AS reject_reason FROM documents d LEFT JOIN s USING (doc_id)")
 def page_gate(spark, d):
-    return pages.page_gate(read(spark, d, "documents"), "doc_id").select("doc_id", "reject_reason")
+    return pages.page_gate(read(spark, d, "documents")).select("doc_id", "reject_reason")
 
 
 @query(
@@ -230,12 +193,7 @@ def page_scan(spark, d):
     return pages.scan_pages(read(spark, d, "pages")).select("page_id", big(F.octet_length("html")).alias("n_bytes"), "fetch_outcome")
 
 
-_SQL_TEXT = "trim(regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '[\\s\\v]+', ' ', 'g'))"
-for _n, _ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _SQL_TEXT = f"replace({_SQL_TEXT}, '{_n}', '{_ch}')"
-
-
-@query(f"SELECT page_id, {_SQL_TEXT.format("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")} AS title FROM pages")
+@query(f"SELECT page_id, {SQL_INNER_TEXT.format("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")} AS title FROM pages")
 def page_title(spark, d):
     return read(spark, d, "pages").select("page_id", T.page_title("html", "url")["title"].alias("title"))
 
@@ -424,7 +382,7 @@ def _outcomes(spark, d) -> DataFrame:
     SELECT job_id, count(*) AS discovered, count(*) FILTER (o IN ('processed', 'unchanged')) AS processed, count(*) FILTER (o = 'unchanged') AS unchanged,
     count(*) FILTER (o = 'skipped') AS skipped, count(*) FILTER (o = 'failed') AS failed, sum(rejected)::BIGINT AS rejected, sum(vectors)::BIGINT AS vectors,
     count(*) FILTER (o = 'processed') AS indexed,
-    CASE WHEN count(*) FILTER (o = 'failed') = 0 THEN 'completed' WHEN count(*) FILTER (o IN ('processed', 'unchanged')) > 0 THEN 'partial' ELSE 'failed' END AS status
+    CASE WHEN count(*) FILTER (o = 'failed') = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
     FROM o GROUP BY 1"""
 )
 def job_counters(spark, d):
@@ -557,8 +515,9 @@ def text_scrub(spark, d):
     round(avg(value), 6) AS mean FROM events GROUP BY 1"""
 )
 def latency_percentiles(spark, d):
-    p = lambda q, n: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(n)
-    return read(spark, d, "events").groupBy("event_type").agg(p(0.5, "p50"), p(0.95, "p95"), r6(F.avg("value")).alias("mean"))
+    e = read(spark, d, "events").select("event_type", "value")
+    mean = e.groupBy("event_type").agg(r6(F.avg("value")).alias("mean"))
+    return evaluate.nearest_ranks(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).join(mean, "event_type")
 
 
 def _results(spark, d) -> DataFrame:
@@ -609,53 +568,53 @@ def run_gate(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT user_id AS request_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
-    SELECT request_id, bool_and(CASE WHEN event_type = 'purchase' THEN before IS NULL OR before != 'purchase' ELSE n = 1 OR before != 'purchase' END) AS in_order,
+    """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+    q AS (SELECT user_id, n // 8 AS part, n % 8 + 1 AS n, event_type FROM r)
+    SELECT user_id, part, bool_and(CASE WHEN event_type = 'purchase' THEN before IS NULL OR before != 'purchase' ELSE n = 1 OR before != 'purchase' END) AS in_order,
     count(*) FILTER (event_type = 'purchase' OR n = 8) AS n_terminal
-    FROM (SELECT *, lag(event_type) OVER (PARTITION BY request_id ORDER BY n) AS before FROM r WHERE n <= 8) GROUP BY 1"""
+    FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id, part ORDER BY n) AS before FROM q) GROUP BY 1, 2"""
 )
 def event_order_check(spark, d):
+    """A user's whole log as requests of eight events each."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     names = F.array(*[F.lit(n) for n in audit.EVENT_ORDER])
-    rows = read(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n <= 8")
-    name = F.when(F.col("event_type") == "purchase", "error").otherwise(F.element_at(names, F.col("n").cast("int")))
-    out = audit.event_order(rows.select(F.col("user_id").alias("request_id"), F.col("n").alias("sequence"), name.alias("name")))
-    return out.select("request_id", "in_order", "n_terminal")
+    rows = read(spark, d, "events").withColumn("n", F.row_number().over(w) - 1)
+    name = F.when(F.col("event_type") == "purchase", "error").otherwise(F.element_at(names, (F.col("n") % 8 + 1).cast("int")))
+    request = F.struct("user_id", F.floor(F.col("n") / 8).alias("part")).alias("request_id")
+    out = audit.event_order(rows.select(request, (F.col("n") % 8 + 1).alias("sequence"), name.alias("name")))
+    return out.select("request_id.user_id", "request_id.part", "in_order", "n_terminal")
+
+
+_SQL_NEAR = r"""WITH RECURSIVE n AS (SELECT source, doc_id, trim(regexp_replace(lower(text), '[^\pL\pN_]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT source, doc_id, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda j: substring(t, j, 3))) ELSE [t] END AS g FROM n),
+e AS (SELECT source, doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.source = b.source AND a.g = b.g AND a.doc_id != b.doc_id GROUP BY 1, 2, 3, a.n, b.n
+  HAVING count(*) / (a.n + b.n - count(*)) > 0.6),
+r AS (SELECT source, doc_id AS n, doc_id AS c FROM n UNION SELECT r.source, p.b, r.c FROM r JOIN p ON p.a = r.n AND p.source = r.source)
+SELECT source, n AS doc_id, min(c) AS class_id FROM r GROUP BY 1, 2
+"""
 
 
-@query()
+@query(_SQL_NEAR)
 def near_duplicates(spark, d):
     docs = read(spark, d, "documents").select("source", "doc_id", "text")
-    return retrieval.near_duplicate_pairs(docs, "source", "doc_id")
-
-
-@query()
-def dataset_fingerprint(spark, d):
-    return datasets.dataset_fingerprint(read(spark, d, "benchmark"))
+    return retrieval.near_duplicate_classes(docs, "source", "doc_id")
 
 
 # -- streams ---------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream, by the files that Spark lists for it."""
-    path = f"{d}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    base, glob = (path, None) if spark.read.parquet(path).inputFiles()[0].count(f"{name}.parquet/") else (d, f"{name}.parquet")
-    reader = spark.readStream.schema(schema)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(base)
-
-
 @query(
     f"""SELECT date_trunc('hour', ts) AS window_start, user_id AS job_id, {_OUTCOME} AS outcome, count(*) AS n FROM events GROUP BY 1, 2, 3"""
 )
 def stream_counters(spark, d):
-    """All of the stream that is there, run to its end and read from its sink's table."""
-    import uuid
-
-    from ..streaming.runs import run_available
-
-    s = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """All of the stream that is there, run to its end in update mode: a window's state goes
+    when the watermark passes it, and its last counts stand in the sink's table."""
+    s = stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = s.select("ts", F.col("user_id").alias("job_id"), F.expr(_OUTCOME).alias("outcome"))
-    out = run_available(jobs.running_counters(rows), f"counters-{uuid.uuid4().hex}", "complete")
+    keys = ["window_start", "job_id", "outcome"]
+    out = runs.run_available(jobs.running_counters(rows), f"counters-{uuid.uuid4().hex}", keys)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "job_id", "outcome", "n")
+
+
+from . import ask, ingest  # noqa: E402, F401  (more queries, registered by being imported)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..settings import DEFAULTS, Settings
 
@@ -21,11 +22,11 @@ SCHEMAS = {
     "sources": "source_id string, name string, start_url string, sitemap_url string, scope_prefix string, product_domain string, allowed_domains array<string>, max_pages int, max_depth int, delay_seconds double, enabled boolean, status string, created_at timestamp",
     "documents": "document_id string, source_id string, url string, canonical_url string, title string, product string, category string, page_type string, language string, fingerprint string, state string, state_detail string, vectors_live boolean, tombstoned_at timestamp, created_at timestamp",
     "units": "document_id string, ordinal int, vector_id string, text string, text_fingerprint string, heading_path array<string>, block_types array<string>, token_count int, overlap_tokens int",
-    "crawl_jobs": "job_id string, source_id string, state string, requested_at timestamp, started_at timestamp, finished_at timestamp, discovered bigint, processed bigint, unchanged bigint, skipped bigint, failed bigint, skipped_reasons map<string,bigint>",
-    "query_logs": "log_id string, request_id string, question string, outcome string, refusal_reason string, stage_latency_ms map<string,int>, trace string, created_at timestamp",
+    "crawl_jobs": "job_id string, source_id string, status string, requested_at timestamp, started_at timestamp, finished_at timestamp, discovered bigint, processed bigint, unchanged bigint, skipped bigint, failed bigint, skipped_reasons map<string,bigint>",
+    "query_logs": "log_id string, request_id string, question string, answer string, outcome string, refusal_reason string, total_latency_ms int, stage_latency_ms map<string,int>, trace string, created_at timestamp",
     "citations": "log_id string, rank int, evidence_id string, source_url string, quote string, validation_state string, retrieval_score double, rerank_score double",
     "questions": "question_id string, question string, category string, difficulty string, is_unsupported boolean, must_refuse boolean, want_product string, want_heading_path array<string>, topics array<string>",
-    "runs": "run_id string, dataset_fingerprint string, status string, metrics map<string,double>, thresholds map<string,double>, started_at timestamp",
+    "runs": "run_id string, dataset_fingerprint string, status string, gate_outcome string, question_count int, metrics map<string,double>, thresholds map<string,double>, started_at timestamp, finished_at timestamp",
     "results": "run_id string, question_id string, recall_at_5 double, precision_at_5 double, mrr double, citation_validity double, claim_coverage double, faithfulness double, fabricated_fact_count int, invalid_citation_count int, latency_ms int, refused boolean, error boolean, searched_products array<string>",
 }
 
@@ -58,6 +59,17 @@ def manifest_violations(sources: DataFrame) -> DataFrame:
     return sources.select("pos", F.explode(failed).alias("field"))
 
 
+def unknown_fields(spark: SparkSession, path: str) -> DataFrame:
+    """``field``s of manifest files, of the whole (``$``) and of each source, that the
+    schema does not name."""
+    whole = spark.read.option("wholetext", True).text(path).select("value", F.from_json("value", "sources array<string>").alias("m"))
+    top = whole.select(F.lit(-1).alias("pos"), F.explode(F.json_object_keys("value")).alias("field"))
+    each = whole.select(F.posexplode("m.sources").alias("pos", "s")).select("pos", F.explode(F.json_object_keys("s")).alias("field"))
+    known = StructType.fromDDL(MANIFEST)
+    inner = known["sources"].dataType.elementType.names
+    return top.where(~F.col("field").isin(known.names)).union(each.where(~F.col("field").isin(inner)))
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold questions flattened to one row each."""
     rows = spark.read.schema(GOLD).option("multiLine", True).json(path)
@@ -71,8 +83,8 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 def dataset_fingerprint(rows: DataFrame) -> DataFrame:
     """One hash of all rows, whatever the order of rows and columns.
 
-    Rows are hashed each, then hashed together by the first byte of their hash and those
-    256 hashes once more, so that no task gathers the dataset.
+    Rows are hashed each, then hashed together by the first two bytes of their hash and
+    those 65,536 hashes at most once more, so that no task gathers the dataset.
     """
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])), 256)
     counted = rows.select(row.alias("h")).groupBy("h").count()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +14,7 @@ from ..functions import text as T
 from ..operators import blocks, pages, registry
 from ..operators.audit import EVENT_ORDER
 from ..settings import DEFAULTS, Settings
+from ..storage import versions
 
 
 def ingest_batch(batch: DataFrame, documents: DataFrame, stored_units: DataFrame, settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
@@ -21,7 +23,7 @@ def ingest_batch(batch: DataFrame, documents: DataFrame, stored_units: DataFrame
     unchanged pages are not cut into units."""
     fetched = pages.scan_pages(batch, settings)
     body = T.inner_text(F.regexp_replace("html", r"(?is)<(script|style|nav|footer)\b.*?</\1>", " "))
-    gated = pages.page_gate(fetched.withColumn("text", body), "page_id")
+    gated = pages.page_gate(fetched.withColumn("text", body))
     reason = F.when(F.col("fetch_outcome") != "ok", F.col("fetch_outcome")).otherwise(F.col("reject_reason"))
     gated = gated.withColumn("reason", reason)
     rejects = gated.where("reason IS NOT NULL").select("page_id", "url", "reason")
@@ -36,9 +38,57 @@ def ingest_batch(batch: DataFrame, documents: DataFrame, stored_units: DataFrame
     return {"changes": changes, "units": new, "plan": plan, "rejects": rejects, "unit_rejects": unit_rejects}
 
 
-def stream_ingest(pages_stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Each micro-batch of pages is handed to ``apply``, which writes a new snapshot."""
-    return pages_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+REGISTRY = {
+    "documents": "document_id string, source_id string, url string, fingerprint string",
+    "units": "document_id string, ordinal int, vector_id string, text string, text_fingerprint string",
+}
+
+
+def latest_version(spark: SparkSession, root: str) -> int:
+    """The last whole snapshot of a registry, 0 before the first."""
+    return max(versions(spark, f"{root}/documents"), default=0)
+
+
+def read_snapshot(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
+    if not version:
+        return spark.createDataFrame([], REGISTRY[name])
+    return spark.read.schema(REGISTRY[name]).parquet(f"{root}/{name}/version={version}")
+
+
+def ingest_pages(pages_stream: DataFrame, root: str, checkpoint: str, settings: Settings = DEFAULTS) -> None:
+    """Ingest all available pages (page_id, url, html) into the registry below ``root``.
+
+    Each micro-batch is held against the last whole snapshot and writes the next one:
+    ``changes`` and ``rejects`` of the batch, then ``units``, and last ``documents``, whose
+    mark of success makes the version whole.  A batch that failed on the way leaves no
+    whole version and is written again; one whose pages are known already changes nothing.
+    Of several rows with one url in a batch one counts.
+    """
+    spark = pages_stream.sparkSession
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        before = latest_version(spark, root)
+        documents, units = (read_snapshot(spark, root, n, before) for n in ("documents", "units"))
+        batch = registry.upsert(batch.limit(0), batch.where("url IS NOT NULL"), "url")
+        out = ingest_batch(batch, documents, units, settings)
+
+        def write(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(f"{root}/{name}/version={before + 1}")
+
+        changes = out["changes"].withColumn("document_id", F.col("page_id").cast("string"))
+        write(changes.select("document_id", "source_id", "url", "fingerprint", "change"), "changes")
+        changes = spark.read.parquet(f"{root}/changes/version={before + 1}")
+        write(out["rejects"], "rejects")
+        moved = changes.where("change = 'supersede'").select("document_id")
+        names = [f.split()[0] for f in REGISTRY["units"].split(", ")]
+        new = out["units"].withColumn("vector_id", T.vector_id("document_id", "ordinal")).select(names)
+        write(units.join(moved, "document_id", "left_anti").select(names).union(new), "units")
+        write(registry.upsert(documents, changes.select(documents.columns), ["source_id", "url"]), "documents")
+
+    (
+        pages_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start().awaitTermination()
+    )
 
 
 def first_seen_urls(urls: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -71,13 +121,15 @@ class EventOrder(StatefulProcessor):
         self.place = handle.getValueState("place", "at int, ok boolean, over boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows)).sort_values("sequence")
+        # of an event only its number and place are kept: some ten bytes each
+        places = {name: i + 1 for i, name in enumerate(EVENT_ORDER)} | {"error": -1}
+        got = [(r["sequence"].to_numpy(), r["name"].map(places).fillna(0).to_numpy("int8")) for r in rows]
+        number, where_all = (np.concatenate(x) for x in zip(*got))
         at, ok, over = self.place.get() if self.place.exists() else (0, True, False)
-        for name in got["name"]:
-            where = EVENT_ORDER.index(name) + 1 if name in EVENT_ORDER else 0
+        for where in where_all[np.argsort(number, kind="stable")].tolist():
             if over:
                 ok = False
-            elif name == "error":
+            elif where == -1:
                 over = True
             else:
                 ok = ok and where > 0 and (where == at + 1 or where == at == 6)

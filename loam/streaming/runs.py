@@ -2,37 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..storage import scratch_dir
 
+__all__ = ["run_available", "scratch_dir"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset, a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loam-checkpoint-"))
-    return sc.getCheckpointDir()
 
-
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """The stream's result after all available input, read back from Parquet.
 
-    In complete mode each batch writes a whole new version, and the last one counts.
+    With ``keys`` the stream runs in update mode, and of the rows with one key that of the
+    last batch counts; else in append mode.  A batch that is run again replaces its rows.
     """
     root = f"{scratch_dir(stream.sparkSession)}/{name}"
-    last = {}
+    batches = []
 
     def write(batch: DataFrame, epoch: int) -> None:
-        last["path"] = f"{root}/batch={epoch}"
-        batch.write.mode("overwrite").parquet(last["path"])
+        batch.write.mode("overwrite").parquet(f"{root}/batch={epoch}")
+        batches.append(epoch)
 
     spark = stream.sparkSession
     (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
+        stream.writeStream.outputMode("update" if keys else "append").foreachBatch(write)
         .option("checkpointLocation", f"{root}-state").trigger(availableNow=True).start().awaitTermination()
     )
-    if not last:
+    if not batches:
         return spark.createDataFrame([], stream.schema)
-    path = last["path"] if mode == "complete" else f"{root}/*"
-    return spark.read.schema(stream.schema).parquet(path)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(root)
+    if not keys:
+        return rows.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns])

@@ -50,7 +50,7 @@ def test_units_keep_every_block(spark):
 
 def test_gate_and_metadata(spark):
     rows = [(1, "404 page", "text/html"), (2, "short", "text/html"), (3, "same words again and " * 40, "text/html"), (4, " ".join(f"w{i}" for i in range(90)), None), (5, " ".join(f"w{i}" for i in range(90)), "TEXT/HTML; x"), (6, None, "text/html"), (7, "a", "application/pdf")]
-    got = {r.doc_id: r.reject_reason for r in pages.page_gate(spark.createDataFrame(rows, "doc_id long, text string, ct string"), "doc_id", "text", "ct").collect()}
+    got = {r.doc_id: r.reject_reason for r in pages.page_gate(spark.createDataFrame(rows, "doc_id long, text string, ct string"), "text", "ct").collect()}
     assert got == {1: "error_page", 2: "too_small", 3: "boilerplate_heavy", 4: "missing_content_type", 5: None, 6: "no_content", 7: "non_html_content_type"}
     page = [(1, "https://x.org/cloud/rest/v3/a-thing/", "<title>How to do</title><link rel='canonical' href='https://c'>")]
     m = pages.page_metadata(spark.createDataFrame(page, "page_id long, url string, html string")).first()
@@ -122,7 +122,7 @@ def test_registry_rows(spark):
     got = {r.document_id: (r.state, r.state_detail, r.vectors_live) for r in registry.page_outcomes(docs, out).collect()}
     assert got == {"d1": ("failed", '{"code":"timeout"}', True), "d2": ("deleted", None, False), "d3": ("processed", None, True)}
     req = spark.createDataFrame([("s1", "j1", 1), ("s1", "j2", 2), ("s2", "j3", 1)], "source_id string, job_id string, requested_at int")
-    jobs_ = spark.createDataFrame([("s2", "j0", "running"), ("s1", "j9", "failed")], "source_id string, job_id string, state string")
+    jobs_ = spark.createDataFrame([("s2", "j0", "running"), ("s1", "j9", "failed")], "source_id string, job_id string, status string")
     assert {r.job_id: (r.admitted, r.running_job) for r in registry.admit_jobs(req, jobs_).collect()} == {"j1": (True, None), "j2": (False, "j1"), "j3": (False, "j0")}
     cur = spark.createDataFrame([(1, "a", "b")], "k int, x string, y string")
     patch = spark.createDataFrame([(1, ["y"], "ignored", None)], "k int, set_fields array<string>, x string, y string")
@@ -222,7 +222,7 @@ def test_scrubbing(spark):
     rows = [("x postgres://u:pw@h/db Bearer abcdefghijklmnopqrstu api_key='abcdefghijklmn' ok",)]
     assert column(spark, rows, "t string", T.redact("t")) == ["x [REDACTED]h/db [REDACTED] [REDACTED]' ok"]
     assert column(spark, [("a​b<Script> < c",)], "t string", T.scrub("t")) == ["ab&lt;Script> < c"]
-    assert column(spark, [('{"a":{"Reasoning":1},"b":[{"my_thoughts":2}]}',)], "t string", T.reasoning_keys("t")) == [["Reasoning", "my_thoughts"]]
+    assert column(spark, [('{"a":{"Reasoning":1},"b":[{"my_thoughts":2}]}',)], "t string", T.reasoning_keys("t")) == [["$.a.Reasoning", "$.b[0].my_thoughts"]]
     assert column(spark, [("So my reasoning is this",)], "t string", T.deliberation_marker("t")) == ["my reasoning is"]
     assert column(spark, [("fn main",)], "t string", T.token_estimate("t", F.lit("code"))) == [7]
 
@@ -260,3 +260,207 @@ def test_ingest_batch(spark):
     known = out["changes"].select("source_id", "url", "fingerprint")
     again = jobs.ingest_batch(batch, known, stored)
     assert {r.change for r in again["changes"].collect()} == {"unchanged"} and again["units"].count() == 0
+
+
+def brute_paths(flat):
+    """Heading paths by a stack, and the blocks that they stand over."""
+    out, stack = [], []
+    for pos, kind, level, text in flat:
+        if kind != "heading":
+            path = []
+            for _, t in stack:
+                if not path or path[-1] != t:
+                    path.append(t)
+            out.append((pos, kind, text, path))
+        elif " ".join(text.split()):
+            level = max(1, min(6, level))
+            stack = [h for h in stack if h[0] < level] + [(level, " ".join(text.split()))]
+    return out
+
+
+def brute_units(rows, settings):
+    """Units of one page's blocks (pos, kind, text, path) by the rules, block after block."""
+    divisor = lambda kind: T.CHARS_PER_TOKEN.get(kind, T.DEFAULT_CHARS_PER_TOKEN)
+    size = lambda text, kind: int(len(" ".join(text.split())) / divisor(kind))
+
+    def fits(bs):
+        chars = sum(len(" ".join(t.split())) for _, t in bs) + len(bs) - 1
+        sent = sum(len(t.strip().encode()) for _, t in bs) + 2 * (len(bs) - 1)
+        return int(chars / divisor(bs[0][0])) <= settings.chunk_max_tokens and sent <= settings.send_ceiling
+
+    def tail(bs):
+        kept, spent = [], 0
+        for kind, t in reversed(bs):
+            if kept and spent + size(t, kind) > settings.chunk_overlap_tokens:
+                break
+            kept, spent = [(kind, t)] + kept, spent + size(t, kind)
+        return kept
+
+    def furniture(text):
+        lines = [x for x in text.replace("\r", "\n").split("\n") if x.strip()]
+        words = len(text.split())
+        few = words < settings.navigation_min_words or words / len(lines) < settings.navigation_words_per_line
+        return not any(x.rstrip()[-1] in ".!?:;" for x in lines) and few
+
+    sections, rejected, last = [], [], None
+    for _, kind, text, path in rows:
+        if not text.strip():
+            continue
+        if furniture(text):
+            rejected.append((text, "navigation_boilerplate"))
+        elif last is not None and path == last:
+            sections[-1][1].append((kind, text.strip()))
+        else:
+            sections.append((path, [(kind, text.strip())]))
+            last = path
+    units = []
+    for path, bs in sections:
+        done, now = [], []
+        for b in bs if not fits(bs) else []:
+            if not fits([b]):
+                done += ([now] if now else []) + [[b]]
+                now = []
+            elif now and not fits(now + [b]):
+                done.append(now)
+                carried = tail(now) + [b]
+                now = carried if fits(carried) else [b]
+            else:
+                now = now + [b]
+        for bs_ in [bs] if fits(bs) else done + ([now] if now else []):
+            text = "\n\n".join(t for _, t in bs_)
+            if size(text, bs_[0][0]) < settings.chunk_floor_tokens and fits(bs_):
+                rejected.append((text, "below_usefulness_floor"))
+            else:
+                units.append((path, bs_, text, not fits(bs_)))
+    out = []
+    for i, (path, bs_, text, big) in enumerate(units):
+        near = lambda j: 0 <= j < len(units) and units[j][0] == path and bool({t for _, t in units[j][1]} & {t for _, t in bs_})
+        again = {t for _, t in units[i - 1][1]} if i else set()
+        overlap = sum(size(t, k) for k, t in bs_ if t in again)
+        out.append((i, path, text, sorted({k for k, _ in bs_}), size(text, bs_[0][0]), big, near(i - 1), near(i + 1), overlap))
+    return out, sorted(rejected)
+
+
+def test_units_against_brute_force(spark):
+    import random
+
+    rng, pages_ = random.Random(4), {}
+    say = lambda k: " ".join(rng.choice("so the small river ran on, past houses. And then; slowly".split()) for _ in range(k))
+    for page in range(30):
+        flat = []
+        for pos in range(rng.randrange(1, 60)):
+            if rng.random() < 0.25:
+                flat.append((pos, "heading", rng.randrange(1, 8), rng.choice(["A", "B  b", "C", " ", "D"])))
+            else:
+                kind = rng.choice(["p", "p", "list", "code", "quote", "table"])
+                flat.append((pos, kind, 0, rng.choice([say(3), say(30), say(200), say(900) if rng.random() < 0.3 else say(5), "Home", "", "é " * 400 + "."])))
+        pages_[page] = flat
+    rows = [(p, *b) for p, flat in pages_.items() for b in flat]
+    df = spark.createDataFrame(rows, "page_id long, pos int, block_type string, level int, text string").repartition(3)
+    paths = blocks.heading_paths(df)
+    got = {(r.page_id, r.pos): r.heading_path for r in paths.collect()}
+    want = {(p, b[0]): b[3] for p, flat in pages_.items() for b in brute_paths(flat)}
+    assert got == want and len({tuple(x) for x in want.values()}) > 10
+    for settings in (Settings(), Settings(chunk_max_tokens=300, chunk_min_tokens=200, chunk_overlap_tokens=120, chunk_floor_tokens=20)):
+        kept, rejects = blocks.units(paths, "page_id", settings)
+        kept, rejects = kept.collect(), rejects.collect()
+        for p, flat in pages_.items():
+            units, rejected = brute_units(brute_paths(flat), settings)
+            mine = sorted((u for u in kept if u.page_id == p), key=lambda u: u.ordinal)
+            assert [
+                (u.ordinal, u.heading_path, u.text, u.block_types, u.tokens, u.oversized, u.continued_from_previous, u.continues_into_next, u.overlap_tokens)
+                for u in mine
+            ] == units, p
+            assert sorted((r.text, r.reason) for r in rejects if r.page_id == p) == rejected
+    assert any(u.oversized for u in kept) and any(u.overlap_tokens for u in kept)
+
+
+def test_gate_judges_rows(spark):
+    rows = [(1, "w " * 300), (1, " ".join(f"x{i}" for i in range(900))), (None, "z " * 300), (2, None), (2, "one two three")]
+    got = pages.page_gate(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert [r.reject_reason for r in got] == ["boilerplate_heavy", None, "boilerplate_heavy", "no_content", "too_small"]
+
+
+def test_nearest_ranks(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+    values = {None: [3.0], "one": [5.0] * 7, "skewed": [rng.random() ** 30 for _ in range(2000)] + [1e6], "few": [1.0, 2.0]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    want = {k: tuple(sorted(vs)[max(1, math.ceil(p * len(vs))) - 1] for p in shares.values()) for k, vs in values.items()}
+    for bins in (1024, 3):
+        got = {r.k: tuple(r)[1:] for r in evaluate.nearest_ranks(df, ["k"], "v", shares, bins).collect()}
+        assert got == want
+    assert evaluate.nearest_ranks(df.where("k = 'few'").drop("k"), [], "v", {"p50": 0.5}).collect()[0].p50 == 1.0
+
+
+def test_near_duplicate_classes(spark):
+    base = "the quick brown fox jumps over the lazy dog near the river"
+    rows = [(1, "a", base), (2, "a", base), (3, "a", base + " bank"), (4, "b", base), (5, "a", "nothing of that kind at all"), (6, "a", None), (7, "a", ""), (8, "a", ""), (9, None, base), (None, "a", base)]
+    got = retrieval.near_duplicate_classes(spark.createDataFrame(rows, "k long, g string, text string"), "g", "k").collect()
+    assert {r.k: r.class_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 7: 7, 8: 7}
+    assert retrieval.near_duplicate_pairs(spark.createDataFrame(rows, "k long, g string, text string"), "g", "k").count() == 1
+
+
+def test_counts_and_ties(spark):
+    cur = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (2, "b"), (2, "b"), (None, "n"), (3, None)], "k int, v string")
+    for rows in (new, new.repartition(3)):
+        assert sorted(map(str, registry.upsert(cur, rows, "k").collect())) == sorted(map(str, registry.upsert(registry.upsert(cur, rows, "k"), rows.where("k IS NOT NULL"), "k").collect()))
+        assert {r.k: r.v for r in registry.register_new(cur, rows.where("k = 2"), ["k"]).collect()} == {2: "b"}
+    assert tuple(registry.upsert_counts(new, "k").first()) == (5, 3)
+    assert registry.delete_count(cur, new.union(cur), "k").first().deleted == 1
+    sources = spark.createDataFrame([(1, True, "active"), (2, True, "disabled"), (3, True, "error"), (4, True, "active")], "source_id int, enabled boolean, status string")
+    done = [(1, 1, "failed", 5, 2), (1, 2, "completed", 5, 1), (2, 3, "completed", 1, 1), (3, 4, "completed_with_errors", 2, 1), (3, 5, "running", None, None)]
+    jobs_ = spark.createDataFrame(done, "source_id int, job_id int, status string, indexed int, finished_at int")
+    got = {r.source_id: (r.status, r.last_crawl_at) for r in registry.after_crawl(sources, jobs_).collect()}
+    assert got == {1: ("error", 2), 2: ("disabled", 1), 3: ("active", 1), 4: ("active", None)}
+    assert column(spark, [(True, "odd"), (False, "active"), (True, "error")], "e boolean, s string", registry.source_status(F.col("e"), F.col("s"))) == ["error", "disabled", "error"]
+
+
+def test_unknown_fields(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"manifest_version":"1","extra":1,"sources":[{"name":"a"},{"name":"b","colour":"red","notes":"x"}]}')
+    assert {tuple(r) for r in datasets.unknown_fields(spark, str(tmp_path / "m.json")).collect()} == {(-1, "extra"), (1, "colour")}
+
+
+def test_redacts_nested_values(spark):
+    key = "sk-" + "a" * 24
+    df = spark.createDataFrame([({key: [key]}, [[[[[key]]]]], (key, 1)), (None, None, None)], "m map<string,array<string>>, d array<array<array<array<array<string>>>>>, s struct<t:string,n:int>")
+    whole = F.struct("*").alias("v")
+    rows = df.select(whole)
+    got = rows.select(T.redact_value("v", rows.schema["v"].dataType, 5).alias("v")).collect()
+    assert got[0].v.asDict(True) == {"m": {"[REDACTED]": ["[REDACTED]"]}, "d": [[[[[key]]]]], "s": {"t": "[REDACTED]", "n": 1}}
+    assert got[1].v.asDict(True) == {"m": None, "d": None, "s": None}
+
+
+def test_ingest_stream_in_versions(spark, tmp_path):
+    body = lambda word: "<html><body><h1>T</h1>" + "".join(f"<p>Paragraph {i} tells of {word} number {i * 7}, and then of {i * 11} others, at length.</p>" for i in range(12)) + "</body></html>"
+    types = "page_id long, url string, html string"
+    root, pages_ = f"{tmp_path}/registry", f"{tmp_path}/pages"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), types).write.mode("append").parquet(pages_)
+        jobs.ingest_pages(spark.readStream.schema(types).parquet(pages_), root, f"{tmp_path}/state")
+        return jobs.latest_version(spark, root)
+
+    assert arrive((1, "u1", body("thing")), (2, "u2", "<p>tiny"), (3, "u3", body("stone")), (9, None, "x")) == 1
+    assert arrive((1, "u1", body("thing")), (3, "u3", body("stones"))) == 2
+    change = {r.document_id: r.change for r in spark.read.parquet(f"{root}/changes/version=2").collect()}
+    assert change == {"1": "unchanged", "3": "supersede"}
+    units = jobs.read_snapshot(spark, root, "units", 2).collect()
+    assert {u.document_id for u in units} == {"1", "3"} and all("stones" in u.text for u in units if u.document_id == "3")
+    spark.createDataFrame([], types).write.parquet(f"{root}/documents/version=3/half")  # a version without its mark
+    assert jobs.latest_version(spark, root) == 2
+    assert arrive((4, "u4", body("tree"))) == 3
+    assert {r.url for r in jobs.read_snapshot(spark, root, "documents", 3).collect()} == {"u1", "u3", "u4"}
+
+
+def test_sql_functions(spark):
+    from loam.functions import sql
+
+    assert len(sql.register(spark)) == len(sql.register(spark)) == len(sql.FUNCTIONS)
+    r = spark.sql("SELECT loam_tokens(' a  b ' || repeat('x', 20)), loam_citation_validity(1, 1, 0), loam_set_jaccard(array('a', 'b'), array('b', 'c')), loam_answer_relevance('the cat', 'a cat'), loam_fingerprint('a  b')").first()
+    assert tuple(r)[:4] == (7, 0.5, 1 / 3, 1.0) and r[4] == spark.range(1).select(T.unit_fingerprint(F.lit("a b"))).first()[0]
