@@ -104,8 +104,14 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
 PAIRS = ("node_a", "size_a", "node_b", "size_b")
 
 
-def _near(few: DataFrame, percent: int) -> DataFrame:
-    """All pairs that may link of sets with the same key, a few for each key."""
+def _near(few: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """All pairs that may link of sets with the same key, a few for each key.
+
+    The overlap of the first n-grams is counted here: what two sets share is at most
+    that, what lies behind the first n-grams of one of them, and no more than what lies
+    behind the last one they share.  ``apart`` (node, n) has how many of a set's first
+    n-grams are left out, as many sets have them; so many more may be shared.
+    """
 
     def pairs(key, node, size, place) -> dict:
         found = []
@@ -114,13 +120,13 @@ def _near(few: DataFrame, percent: int) -> DataFrame:
             if not len(at):
                 break
             x, y = at + d, at
-            left = np.minimum(size[x] - place[x], size[y] - place[y])
-            ok = (left >= -(-(size[x] + size[y]) * percent // (100 + percent))) & (node[x] != node[y])
+            ok = (np.minimum(size[x], size[y]) >= -(-(size[x] + size[y]) * percent // (100 + percent))) & (node[x] != node[y])
             x, y = x[ok], y[ok]
             a, b = np.where(node[x] > node[y], x, y), np.where(node[x] > node[y], y, x)
-            found.append(np.stack((node[a], size[a], node[b], size[b]), 1))
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
-        return dict(zip(PAIRS, rows.T))
+            behind = np.minimum(size[a] - place[a], size[b] - place[b]) - 1
+            found.append(np.stack((node[a], size[a], node[b], size[b], behind), 1))
+        rows = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+        return dict(zip((*PAIRS, "behind"), rows.T))
 
     def run(batches):
         import pyarrow as pa
@@ -134,20 +140,30 @@ def _near(few: DataFrame, percent: int) -> DataFrame:
             held = [x[last:] for x in held]
         yield pa.RecordBatch.from_pydict(pairs(*held))
 
-    dealt = few.repartition("key").sortWithinPartitions("key")
-    return dealt.select("key", "node", "size", "place").mapInArrow(run, ", ".join(f"{n} long" for n in PAIRS)).distinct()
+    dealt = few.repartition("key").sortWithinPartitions("key").select("key", "node", "size", "place")
+    met = dealt.mapInArrow(run, ", ".join(f"{n} long" for n in (*PAIRS, "behind")))
+    met = met.groupBy(*PAIRS).agg(F.count("*").alias("shared"), F.min("behind").alias("behind"))
+    for k in "ab":
+        met = met.join(apart.select(F.col("node").alias(f"node_{k}"), F.col("n").alias(f"apart_{k}")), f"node_{k}", "left")
+    left_out = F.least(*[F.coalesce(f"apart_{k}", F.lit(0)) for k in "ab"])
+    # the size less the first n-grams is the least that a set shares less one
+    further = F.greatest(*[F.ceil(F.col(f"size_{k}") * percent / F.lit(100)) - 1 for k in "ab"])
+    most = F.col("shared") + left_out + F.least("behind", further)
+    return met.where(most >= needed("size_a", "size_b", percent)).select(*PAIRS)
 
 
 def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs that link, as ``a`` and ``b``: partial overlaps of each fragment,
     summed for each pair.  A set that stands in many pairs is a skewed key of a
     sort-merge join, which adaptive execution splits."""
-    mine = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    other = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    flat = pairs.select(
-        F.col("node_a").alias("a"), F.col("node_b").alias("b"), needed("size_a", "size_b", percent).alias("needed")
+    mine, other = (
+        segments.select(F.col("node").alias(k), "fragment", F.col("grams").alias(f"grams_{k}")).hint("merge") for k in "ab"
     )
-    both = flat.join(mine.hint("merge"), "a").join(other.hint("merge"), ["b", "fragment"])
+    flat = pairs.select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b"), needed("size_a", "size_b", percent).alias("needed"),
+        F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"),
+    )
+    both = flat.join(mine, ["a", "fragment"]).join(other, ["b", "fragment"])
     partial = both.select("a", "b", "needed", F.size(F.array_intersect("grams_a", "grams_b")).alias("partial"))
     total = partial.groupBy("a", "b", "needed").agg(F.sum("partial").alias("overlap"))
     return total.where("overlap >= needed").select("a", "b")
@@ -248,15 +264,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                 yield out
 
         schema = "doc long, text_hash long, fragment int, grams array<long>"
-        parts = map_batches(placed.select("doc", "text_hash", "text", slot), cut, schema)
-        parts = parts.join(asked.hint("merge"), ["doc", "text_hash"]).select("node", "fragment", "grams")
-        return written(parts.dropDuplicates(["node", "fragment"]), "segments")  # repeated rows are one
-
-    # a few sets with the same n-gram: all pairs; many: each with the first one
-    many = shared.where("many").select("key", F.struct("node", "size", "place").alias("own")).distinct()
+        parts = map_batches(placed.select("doc", "text_hash", "text", slot), cut, schema).repartition("doc", "text_hash")
+        parts = parts.dropDuplicates(["doc", "text_hash", "fragment"])  # repeated rows are one
+        parts = parts.join(asked.hint("merge"), ["doc", "text_hash"])
+        return written(parts.select("node", "fragment", "grams"), "segments")
+
+    # a few sets with the same n-gram: all pairs; many: each with one, the set that has the
+    # fewest n-grams before it in the order, so the fewest of its own: of copies the least changed
+    many = shared.where("many").select("key", F.struct("place", "node", "size").alias("own")).distinct()
     low = written(many.groupBy("key").agg(F.min("own").alias("low")), "low")
     stars = many.join(low.hint("merge"), "key").where("own.node != low.node").where(_may_link("own", "low", percent))
-    pairs = _near(shared.where("NOT many"), percent).union(_pairs(stars, "own", "low")).distinct()
+    apart = shared.where("many").groupBy("node").agg(F.count("*").alias("n"))
+    pairs = _near(shared.where("NOT many"), apart, percent).union(_pairs(stars, "own", "low")).distinct()
     pairs = written(pairs, "pairs")
     links = written(linked(pairs, segments(pairs), percent), "links")
 
