@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, discard, map_batches, mix, powers, repeated_keys, written
 
-#: lines of fewer code points are left alone
+#: lines of fewer code points are removed only if an earlier one is equal: one edit in so
+#: few may change what a line says
 SHORTEST = 20
+#: a line of nothing else is blank
+BLANK = " \t\r\x0b\x0c"
 COARSE, FINE = 2, 16
 #: lines that one task groups before the shuffle
 LOCAL_LINES = 1 << 17
@@ -68,7 +71,7 @@ def variant_keys(line: str, spans: list[tuple[int, int]]) -> tuple[int, np.ndarr
         return own, mix(less ^ size[1]), mix(less ^ mix(2 * at.astype(np.uint64) + np.uint64(1)))
 
 
-def _first_lines(batches: Iterator[dict]) -> Iterator[dict]:
+def _first_lines(batches: Iterator[dict], shortest: int) -> Iterator[dict]:
     """Lines by a 128-bit hash; of equal ones in this task only the earliest travels, and
     the others are gone already (``how`` 1, dealt out evenly)."""
     first: dict[bytes, tuple] = {}
@@ -94,12 +97,12 @@ def _first_lines(batches: Iterator[dict]) -> Iterator[dict]:
         gone = []
         for doc, text_hash, text in zip(batch["doc"], batch["text_hash"], batch["text"]):
             for i, line in enumerate((text or "").split("\n")):
-                if len(line) < SHORTEST:
+                if not line.strip(BLANK):
                     continue
                 place, key = (doc, text_hash, i), xxhash.xxh3_128_digest(line.encode())
                 had = first.get(key)
                 if had is None or place < had[0]:
-                    first[key] = place, had[1] if had else rest_keys(line, COARSE)
+                    first[key] = place, had[1] if had else rest_keys(line, COARSE) if len(line) >= shortest else []
                     if had:
                         gone.append(out_of(had[0]))
                 elif place != had[0]:
@@ -187,15 +190,15 @@ def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_lines", "n_removed", "kept"])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` (doc_id, text, and any others) to ``row``, a struct of all columns but the
     text, ``text`` without the removed lines, ``n_lines`` and ``n_removed``; one row per
     row.
 
-    Lines end with a newline.  A line of at least ``SHORTEST`` code points is removed if
-    an earlier one, by doc_id and then by its number, is equal or one edit away (one
-    character put in, left out or replaced); lines are judged on the input, not on what
-    is left.  A null text stays null and has one empty line; a null doc_id stands before
+    Lines end with a newline.  A line is removed if an earlier one, by doc_id and then by
+    its number, is equal, or, both having at least ``shortest`` code points, one edit away
+    (one character put in, left out or replaced).  Lines of white space alone stay.  Lines
+    are judged on the input, not on what is left.  A null text stays null and has one empty line; a null doc_id stands before
     all others; rows repeated with id and text are one document and treated alike; no
     rows give no rows.
     """
@@ -207,7 +210,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     place = "doc long, text_hash long, line int"
     first = map_batches(
-        texts.drop("row"), _first_lines, f"at long, key2 long, how int, {place}, rests array<long>"
+        texts.drop("row"), lambda batches: _first_lines(batches, shortest), f"at long, key2 long, how int, {place}, rests array<long>"
     )
     first = first.repartition("at").sortWithinPartitions("at", "key2", *_PLACE)
     first = written(map_batches(first, _settle_equal, f"{place}, gone boolean, rests array<long>"), "first")
@@ -280,6 +283,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_lines``, ``n_removed`` and ``kept_sha256`` of each row.  A null text
+    counts as empty, which is one line; repeated rows give a row each; no rows give none."""
     return dedup_lines(docs.select("doc_id", "text")).select(
         "row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
