@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     first by a hash of the id, a bound that makes what reaches the driver a constant.
 
     Null labels and ids are left out; a document with several labels takes their mean,
-    rounded up; without any label the score is 1/2.
+    rounded up; of several texts with one id the first by its hash and itself counts;
+    without any label the score is 1/2.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -180,8 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield out
 
     # at most ``sample`` ids and labels are broadcast
-    joined = _prepared(docs).join(F.broadcast(chosen), "doc_id").select("text", "n_chars", "quality")
-    got = map_batches(joined, run, "quality int, index binary, value binary").limit(2 * sample).collect()
+    joined = _prepared(docs).join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text"), "text", "n_chars", "quality")).alias("one")
+    joined = joined.groupBy("doc_id").agg(one).select("one.text", "one.n_chars", "one.quality")
+    got = map_batches(joined, run, "quality int, index binary, value binary").collect()  # no more rows than ids
     got = sorted((r["index"], r["value"], r["quality"]) for r in got)
     x = [
         Features(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float), np.array([0, len(i) // 4]))
@@ -215,5 +218,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of each row, null and empty
+    texts included; a null id is of neither fold; no rows give none."""
     scored = score_quality(_prepared(docs), train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
