@@ -1,14 +1,16 @@
-"""Helpers that the corpus operators share: written tables, components, word hashes."""
+"""Helpers that the corpus operators share: word hashes, row batches, repeated keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
+from ..storage import discard, scratch_dir, written
+
+__all__ = ["connected_components", "discard", "scratch_dir", "written"]
+
 #: bytes that separate words: space, tab, newline, vertical tab, form feed, return
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
 
@@ -19,85 +21,10 @@ PIECE_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: ``spark.checkpoint.dir`` of the
-    session; only where that is unset, a temporary folder of this machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loam-checkpoint-")
-        )
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage is cut,
-    and a lost executor costs nothing but the tasks it ran."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables from which all that is needed has been written since."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --------------------------------------------------------------------------- components
-
-
-def _is_stars(edges: DataFrame) -> bool:
-    """Every node hangs on one smaller centre, and no centre hangs on another."""
-    if not edges.groupBy("a").count().where("count > 1").isEmpty():
-        return False
-    centres = edges.select(F.col("b").alias("a")).distinct()
-    return edges.join(centres, "a", "left_semi").isEmpty()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of an undirected graph, by alternating large-star and small-star steps.
-
-    ``edges`` has long columns ``a`` and ``b``; the result has one row
-    ``(node, component)`` per node with an edge to another node, ``component`` being
-    the smallest node reached.  Rows with a null and loops are ignored; no edges give
-    no rows.  Neighbour lists are never gathered: each step is a grouped minimum that
-    is joined back, and the minimum is written first, so that a hot centre is one
-    skewed side of a sort-merge join that adaptive execution splits.
-    """
-    edges = (
-        edges.where("a != b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    edges = written(edges, "edges")
-    while not _is_stars(edges):
-        old = [edges]
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(
-            both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low"
-        )
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a != b").distinct(), "large")
-        old += [low, large]
-        # small star: a > b in every row now
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.where("a != b").union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.distinct(), "edges")
-        discard(*old, low)
-    centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(centres)
-
-
 # --------------------------------------------------------------------------- word hashes
 
 _rng = np.random.default_rng(20)

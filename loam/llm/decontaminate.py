@@ -117,7 +117,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int =
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every document: whether it is contaminated, and by which items."""
+    """Every document: whether it is contaminated, and by which items.  Null and empty
+    texts are not; repeated rows give a row each; no documents give no rows."""
     pairs = contaminated_documents(docs, benchmark)
     per_doc = pairs.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("score").alias("score")

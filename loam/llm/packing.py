@@ -71,7 +71,8 @@ def token_ids(text: str, ranks_path: str | None = None) -> list[int]:
 def pieces_of(docs: DataFrame, size: int = SIZE, ranks_path: str | None = None) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece`` from 0, ``start``, ``length``,
     ``ids_crc32``.  Only documents of more than ``size`` ids are cut; their first piece
-    has what the full ones leave.  A null text is empty and has the end id alone."""
+    has what the full ones leave.  A null text is empty and has the end id alone; null ids
+    are carried as they are; repeated rows give their pieces each; no rows give none."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -185,12 +186,14 @@ def _pack_round(items: DataFrame, groups: int, round_: int, size: int) -> DataFr
 
 def pack(pieces: DataFrame, size: int = SIZE, per_partition: int = PER_PARTITION, rounds: int = 6) -> DataFrame:
     """``pieces`` (any columns, ``length`` from 1 to ``size`` among them) with
-    ``sequence_id`` and ``offset``; no rows give no rows.
+    ``sequence_id`` and ``offset``, which replace columns of these names; no rows give no
+    rows.
 
     Offsets in a sequence run on from 0 without gaps.  Rows are told apart by an id of
     their own, so that repeated rows are packed each for itself.  A round's result is
     taken only if it needs fewer bins for the pooled pieces than they had.
     """
+    pieces = pieces.drop("sequence_id", "offset").select(F.struct("*").alias("piece"), F.col("length").cast("long").alias("length"))
     pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == size).select(
         "row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
@@ -211,7 +214,7 @@ def pack(pieces: DataFrame, size: int = SIZE, per_partition: int = PER_PARTITION
         placed_before = placed.union(packed.where("settled").select("row", "sequence_id", "offset"))
         placed = placed.union(packed.select("row", "sequence_id", "offset"))
         pool, had = packed.where("NOT settled").select("row", "length"), open_bins
-    return pieces.join(placed, "row").drop("row")
+    return pieces.join(placed, "row").select("piece.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE, ranks_path: str | None = None) -> DataFrame:

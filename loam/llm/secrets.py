@@ -161,6 +161,8 @@ def listed(spans: str) -> F.Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """Counts and digests of each row's spans.  A null text counts as empty and has none;
+    repeated rows give a row each; no rows give none."""
     found = scan_secrets(docs)
     count = lambda k: F.size(F.filter("strong", lambda s: s["kind"] == k)).cast("long")
     return found.select(

@@ -191,7 +191,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN, with_text:
     Removed is each word covered by a window whose words also start earlier, in a smaller
     doc_id or in the same document; windows are judged on the input.  A null text has no
     words; a null doc_id stands before all others; rows repeated with id and text are
-    one document and treated alike; texts shorter than a window stay whole.
+    one document and treated alike; texts shorter than a window stay whole; no rows give
+    no rows.
     """
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -267,4 +268,5 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN, with_text:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The rows of ``remove_repeats`` without the texts; no rows give none."""
     return remove_repeats(docs, with_text=False)

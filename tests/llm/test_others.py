@@ -215,3 +215,27 @@ def test_pipeline_keeps_one_of_a_group(spark):
     assert len(two) == 1 and two[0] in rows
     want = [rows[0], rows[6], rows[8], rows[9], *rows[11:]]
     assert sorted((r for r in got if r[0] != 2), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_stages_take_any_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, clashing columns and no rows."""
+    import corpus_pipeline as p
+
+    types = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, score string, predicted int, kept string"
+    good = lambda i: " ".join(f"w{i}x{k}" for k in range(9)) + "\n" + " ".join(f"v{i}y{k}" for k in range(9))
+    rows = [(i, good(i), "en", None, 80, "r", i, "s", 1, None) for i in range(12)]
+    rows += [rows[0], rows[0], (None, good(77), None, "s", None, None, None, None, None, "k"), (None, None, None, None, None, None, None, None, None, None), (13, "", "en", "s", 0, "r", 1, "s", 0, "k")]
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "words of an item that stand in no document at all here"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = spark.createDataFrame(rows, types).repartition(3)
+    for name, stage in p.STAGES:
+        out = stage(spark, whole, str(tmp_path))
+        got = out.collect()
+        assert stage(spark, whole.limit(0), str(tmp_path)).count() == 0, name
+        if name != p.STAGES[-1][0]:
+            assert out.columns == whole.columns
+        ids = [r.doc_id for r in got]
+        lost = {"n-gram Jaccard join": 2}.get(name, 0)  # of three equal rows one stays
+        if name != "best-fit packing":
+            assert len(ids) == len(rows) - lost, name
+        assert {*range(12), None, 13} == set(ids), name
