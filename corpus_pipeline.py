@@ -24,7 +24,9 @@ def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a machine trained on their labels predicts to be good."""
+    """Documents that a machine trained on their labels predicts to be good.  Null and
+    empty texts and null ids are scored like others, repeated rows each for itself; no
+    rows give no rows; any columns pass."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
     n_chars = docs["n_chars"] if "n_chars" in docs.columns else F.lit(None).cast("long").alias("n_chars")
     rows = docs.select("doc_id", "text", n_chars, F.struct("*").alias("row"))
@@ -33,7 +35,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier, and n_chars of what is left.  A document
-    goes if lines were removed and nothing but white space is left."""
+    goes if lines were removed and nothing but white space is left.  A null text stays
+    null, a null id stands before all others, repeated rows are one document and treated
+    alike; no rows give no rows; any columns pass."""
     out = lines.dedup_lines(docs).where(r"n_removed = 0 OR text RLIKE '\\S'")
     kept = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
     return out.select(*[kept[c].alias(c) if c in kept else F.col("row")[c].alias(c) for c in docs.columns])
@@ -41,8 +45,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) one row: the first by doc_id
-    (null ids last), hash of the text and the row itself.  Null and empty texts are in no
-    group and stay."""
+    (null ids last), hash of the text and the row itself; of repeated rows one stays.
+    Null and empty texts are in no group and stay; no rows give no rows; any columns
+    pass."""
     found = written(jaccard.jaccard_components(docs, n=5, percent=80), "found")
     firsts = _without(docs, found.where("NOT (doc_id <=> component_id AND text_hash = first_hash)"))
     again = found.where("n_shingles > 0 AND doc_id <=> component_id AND text_hash = first_hash")
@@ -54,12 +59,15 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
+    """Documents that overlap no benchmark item.  Null and empty texts overlap none and
+    stay, repeated rows go or stay together, a null id is a value like others; no rows give
+    no rows; any columns pass."""
     return _without(docs, decontaminate.contaminated_documents(docs, table(spark, sf_dir, "benchmark")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed."""
+    """The documents' pieces, packed: a row for each piece, of a null or empty text the end
+    id alone, of repeated rows each; no rows give no rows; other columns play no part."""
     return packing.pack_documents(docs)
 
 
