@@ -377,7 +377,9 @@ def near_duplicate_pairs(texts: DataFrame, group: str, key: str, threshold: floa
 
 def near_duplicate_classes(texts: DataFrame, group: str, key: str, threshold: float = 0.6) -> DataFrame:
     """``group``, ``key`` and ``class_id`` of every text: the least key that near duplicates
-    and equal texts of the group reach.  ``key`` is long and of one group."""
+    and equal texts of the group reach.  ``key`` is long and of one group.  A group is what
+    one question or conversation holds; in a group of many thousand texts of one language
+    most share their trigrams, and what is compared grows with the square of it."""
     texts = texts.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col("text").isNotNull())
     pairs = near_duplicate_pairs(texts, group, key, threshold)
     found = connected_components(pairs.select("a", "b"))

@@ -183,7 +183,35 @@ def page_unit_rejects(spark, d):
     return rejects
 
 
-@query()
+_FIRST = "nullif({}, '')"
+_SQL_H1, _SQL_TITLE = (_FIRST.format(SQL_INNER_TEXT.format(f"regexp_extract(html, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1)")) for t in ("h1", "title"))
+_SQL_PRODUCT = " ".join(f"WHEN contains(path, '{piece}') THEN '{name}'" for piece, name in U.PRODUCT_BY_PATH)
+_SQL_CATEGORY = "MAP {" + ", ".join(f"'{part}': '{name}'" for part, name in U.CATEGORY_BY_SEGMENT) + "}"
+_SQL_HOW_TO = " OR ".join(f"starts_with(lower(title), '{o}')" for o in U.HOW_TO_OPENINGS)
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, url, html, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host,
+      {_SQL_H1} AS h1, {_SQL_TITLE} AS tt, trim(regexp_replace(regexp_extract(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '([^/]*)/*$', 1), '[-_]+', ' ', 'g')) AS slug,
+      {SQL_INNER_TEXT.format("html")} AS body FROM pages),
+    w AS (SELECT *, coalesce(h1, tt, slug) AS title, list_filter(string_split(path, '/'), lambda x: x != '') AS parts,
+      list_filter(regexp_extract_all(body, '[A-Za-z]+'), lambda x: length(x) > 2) AS w FROM p),
+    k AS (SELECT *, list_filter(list_transform(parts, lambda x: {_SQL_CATEGORY}[x]), lambda x: x IS NOT NULL)[1] AS known,
+      len(list_filter(w[1:300], lambda x: lower(x) IN ({listed(T.LANGUAGE_STOP_WORDS)}))) / len(w[1:300]) AS stop,
+      length(regexp_replace(body, '[^A-Za-z]', '', 'g')) / length(regexp_replace(body, '[^\\pL]', '', 'g')) AS ascii FROM w)
+    SELECT page_id, title, CASE WHEN h1 IS NOT NULL THEN 0.95 WHEN tt IS NOT NULL THEN 0.6 ELSE 0.3 END::DOUBLE AS title_confidence,
+      CASE {_SQL_PRODUCT} WHEN host IN ('support.atlassian.com', 'developer.atlassian.com') THEN 'jira' ELSE 'unknown' END AS product,
+      CASE WHEN CASE {_SQL_PRODUCT} END IS NOT NULL THEN 0.95 ELSE 0.3 END::DOUBLE AS product_confidence,
+      CASE WHEN len(parts) = 0 THEN 'root' WHEN list_contains(parts, 'rest') THEN 'rest-api' ELSE coalesce(known, 'general') END AS category,
+      CASE WHEN len(parts) > 0 AND list_contains(parts, 'rest') THEN 0.95 WHEN known IS NOT NULL THEN 0.6 ELSE 0.3 END::DOUBLE AS category_confidence,
+      CASE WHEN contains(path, '/rest/') OR contains(path, '/api/') THEN 'api_reference' WHEN {_SQL_HOW_TO} THEN 'how_to'
+        WHEN contains(lower(title), 'what') OR contains(lower(title), 'about') THEN 'concept' ELSE 'guide' END AS page_type,
+      CASE WHEN contains(path, '/rest/') OR contains(path, '/api/') THEN 0.95 WHEN {_SQL_HOW_TO} OR contains(lower(title), 'what') OR contains(lower(title), 'about') THEN 0.6
+        ELSE 0.3 END::DOUBLE AS page_type_confidence,
+      CASE WHEN len(w) > 0 AND ascii > 0.7 AND stop >= 0.03 THEN 'en' ELSE 'unknown' END AS language,
+      CASE WHEN len(w) > 0 AND ascii > 0.9 AND stop >= 0.08 THEN 0.95 WHEN len(w) > 0 AND ascii > 0.7 AND stop >= 0.03 THEN 0.6 ELSE 0.3 END::DOUBLE AS language_confidence,
+      coalesce(nullif(trim(regexp_extract(html, '(?i)<link\\s+[^>]*rel=["''][^>]*canonical[^>]*href=["'']([^"'']+)', 1)), ''), url) AS canonical_url FROM k"""
+)
 def page_metadata(spark, d):
     return pages.page_metadata(read(spark, d, "pages"))
 
@@ -585,22 +613,31 @@ def event_order_check(spark, d):
     return out.select("request_id.user_id", "request_id.part", "in_order", "n_terminal")
 
 
-_SQL_NEAR = r"""WITH RECURSIVE n AS (SELECT source, doc_id, trim(regexp_replace(lower(text), '[^\pL\pN_]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
-s AS (SELECT source, doc_id, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda j: substring(t, j, 3))) ELSE [t] END AS g FROM n),
-e AS (SELECT source, doc_id, len(g) AS n, unnest(g) AS g FROM s),
-p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.source = b.source AND a.g = b.g AND a.doc_id != b.doc_id GROUP BY 1, 2, 3, a.n, b.n
+def _sql_near(table: str, group: str, key: str) -> str:
+    """All pairs of a group by their trigram sets, and the least key that links reach."""
+    return rf"""WITH RECURSIVE n AS (SELECT {group}, {key}, trim(regexp_replace(lower(text), '[^\pL\pN_]+', ' ', 'g')) AS t FROM {table} WHERE text IS NOT NULL),
+s AS (SELECT {group}, {key}, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda j: substring(t, j, 3))) ELSE [t] END AS g FROM n),
+e AS (SELECT {group}, {key}, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.{group}, a.{key} AS a, b.{key} AS b FROM e a JOIN e b ON a.{group} = b.{group} AND a.g = b.g AND a.{key} != b.{key} GROUP BY 1, 2, 3, a.n, b.n
   HAVING count(*) / (a.n + b.n - count(*)) > 0.6),
-r AS (SELECT source, doc_id AS n, doc_id AS c FROM n UNION SELECT r.source, p.b, r.c FROM r JOIN p ON p.a = r.n AND p.source = r.source)
-SELECT source, n AS doc_id, min(c) AS class_id FROM r GROUP BY 1, 2
+r AS (SELECT {group}, {key} AS n, {key} AS c FROM n UNION SELECT r.{group}, p.b, r.c FROM r JOIN p ON p.a = r.n AND p.{group} = r.{group})
+SELECT {group}, n AS {key}, min(c) AS class_id FROM r GROUP BY 1, 2
 """
 
 
-@query(_SQL_NEAR)
+@query(_sql_near("documents", "source", "doc_id"))
 def near_duplicates(spark, d):
     docs = read(spark, d, "documents").select("source", "doc_id", "text")
     return retrieval.near_duplicate_classes(docs, "source", "doc_id")
 
 
+@query(_sql_near("(SELECT conv_id, conv_id * 100000 + turn AS turn_id, text FROM conversations)", "conv_id", "turn_id"))
+def turn_duplicates(spark, d):
+    """Near duplicates among the turns of a conversation."""
+    turns = read(spark, d, "conversations").select("conv_id", (F.col("conv_id") * 100_000 + F.col("turn")).alias("turn_id"), "text")
+    return retrieval.near_duplicate_classes(turns, "conv_id", "turn_id")
+
+
 # -- streams ---------------------------------------------------------------------------
 
 
