@@ -17,6 +17,9 @@ WORD_BREAKS = b" \t\n\x0b\x0c\r"
 #: text is hashed in pieces of about this many bytes, so that arrays stay small
 PIECE_BYTES = 1 << 20
 
+#: rows that a task takes up at once; what Spark hands over in one batch may be much more
+ROWS = 1024
+
 #: a null doc_id stands before all others
 NO_ID = -(1 << 63)
 
@@ -107,9 +110,17 @@ def shingle_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:
 # --------------------------------------------------------------------------- row batches
 
 
+def _lists(batches):
+    """Dicts from column name to list of at most ROWS rows, from Arrow batches."""
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            part = b.slice(lo, ROWS)
+            yield {n: part.column(n).to_pylist() for n in part.schema.names}
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``df.mapInArrow`` in plain lists: ``fn`` gets an iterator of dicts from column name
-    to list, one per Arrow batch, and yields dicts of lists for ``schema``.  Integers
+    to list, some rows each, and yields dicts of lists for ``schema``.  Integers
     stay integers beside nulls, which pandas would turn into floats."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -119,7 +130,7 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for out in fn({n: b.column(n).to_pylist() for n in b.schema.names} for b in batches):
+        for out in fn(_lists(batches)):
             yield pa.RecordBatch.from_pydict(out, schema=target)
 
     return df.mapInArrow(run, schema)
@@ -187,7 +198,7 @@ def least_labels(link: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- repeated keys
 
 #: keys that one task groups before the shuffle
-LOCAL_KEYS = 1 << 19
+LOCAL_KEYS = 1 << 18
 
 
 def repeated_keys(df: DataFrame, emit, fields: list[str], distinct: bool = False) -> DataFrame:
@@ -230,8 +241,8 @@ def repeated_keys(df: DataFrame, emit, fields: list[str], distinct: bool = False
             told = np.unique(key[often])
             yield batch_of([np.full(len(told), 2), told, *[np.zeros(len(told), np.int64)] * len(fields)], names)
 
-        for batch in batches:
-            for key, columns in emit({n: batch.column(n).to_pylist() for n in batch.schema.names}):
+        for batch in _lists(batches):
+            for key, columns in emit(batch):
                 if len(key):
                     held.append([key, *columns])
             if sum(len(x[0]) for x in held) >= LOCAL_KEYS:

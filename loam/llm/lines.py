@@ -31,7 +31,7 @@ SHORTEST = 20
 BLANK = " \t\r\x0b\x0c"
 COARSE, FINE = 2, 16
 #: lines that one task groups before the shuffle
-LOCAL_LINES = 1 << 17
+LOCAL_LINES = 1 << 16
 
 _M = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_M, -1, 1 << 64))
