@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and the helpers they share.
+"""Training-data operators: thirteen of them and the helpers they share.
 
 Nothing outside this subpackage imports it.
 """

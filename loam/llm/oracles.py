@@ -65,3 +65,24 @@ c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY
 a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS g, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
 SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a ON a.doc_id = w.doc_id
 """
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))))"""
+ORACLES["op13_periodic_runs"] = f"""
+WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, {_CRC32} AS h FROM documents),
+u AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM t),
+v AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM u),
+i AS (SELECT doc_id, n, w, h, a, p, unnest(range(n)) AS i FROM v),
+x AS (SELECT doc_id, n, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM i),
+e AS (SELECT b.doc_id, c.i - b.i AS q, b.i FROM x b JOIN x c ON b.doc_id = c.doc_id AND b.word = c.word AND c.i > b.i AND c.i - b.i <= b.n // 2),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM e),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i WHERE gone.i IS NULL GROUP BY 1),
+b AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || E'\n', '' ORDER BY start, period) AS runs,
+  arg_max(struct_pack(start, length, period), [length, -start, -period]) AS best FROM r GROUP BY 1)
+SELECT t.doc_id, coalesce(b.n, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
+"""

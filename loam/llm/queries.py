@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, jaccard, lattice, lines, packing, quality, secrets, substring
+from . import chat, decontaminate, html, jaccard, lattice, lines, packing, periodic, quality, secrets, substring
 from .common import table
 from .oracles import ORACLES
 
@@ -51,6 +51,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,5 +68,6 @@ QUERIES = {
         op8_substring_dedup,
         op9_quality_classifier,
         op10_decontamination,
+        op13_periodic_runs,
     )
 }
