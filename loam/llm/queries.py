@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html, jaccard, lattice, lines, packing, periodic, quality, secrets, substring
+from . import (
+    chat, covertree, decontaminate, html, jaccard, lattice, lines, packing, periodic, quality, secrets, substring, whitening,
+)
 from .common import table
 from .oracles import ORACLES
 
@@ -51,6 +53,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(table(spark, sf_dir, "documents"))
 
@@ -68,6 +78,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_quality_classifier,
         op10_decontamination,
+        op11_whitening,
+        op12_cover_tree,
         op13_periodic_runs,
     )
 }
