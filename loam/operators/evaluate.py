@@ -107,28 +107,66 @@ def _same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner")
     return left.join(there, cond, how).drop(*[f"_{c}" for c in by])
 
 
-def nearest_ranks(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
+def nearest_ranks(
+    rows: DataFrame, by: list[str], value: str, shares: dict[str, float], few: int = 1_000_000, cuts: int = 64
+) -> DataFrame:
     """Nearest-rank percentiles of ``value`` by the key columns, a column for each share;
     nulls are ignored, and a key without a value has no row.
 
-    Ranks are found in two steps, so that no task gathers a key's values: counts in bins
-    between a key's least and greatest value tell in which bin a rank lies, and only the
-    values of that bin are counted one by one.
+    No task gathers more than about ``few`` values of a key.  While a key has more, a
+    sketch of its values gives cut points, exact counts between them tell between which
+    two a rank lies, and only what lies there goes on; a rank that falls on a cut point is
+    found.  The cut points follow the values, so outliers and infinite values move none.
     """
     some = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    ends = some.groupBy(*by).agg(F.min("_v").cast("double").alias("_low"), F.max("_v").cast("double").alias("_high"), F.count("*").alias("_n"))
-    v = F.col("_v").cast("double")
-    place = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(bins - 1), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)))
-    binned = _same(some, ends, by).withColumn("_bin", F.coalesce(place, F.lit(0)).cast("int"))
-    counts = binned.groupBy(*by, "_n", "_bin").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_bin")
     asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in shares.items()])).alias("_q")
-    counts = counts.withColumn("_upto", F.sum("_c").over(upto)).select("*", asked)
-    rank = F.greatest(F.ceil(F.col("_q.p") * F.col("_n")), F.lit(1)) - (F.col("_upto") - F.col("_c"))
-    wanted = counts.withColumn("_rest", rank).where("_rest BETWEEN 1 AND _c").select(*by, "_bin", "_rest", F.col("_q.name").alias("_name"))
-    close = _same(binned.select(*by, "_bin", "_v"), wanted, [*by, "_bin"]).groupBy(*by, "_name", "_rest", "_v").agg(F.count("*").alias("_c"))
-    close = close.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_name").orderBy("_v"))).where("_upto >= _rest")
-    return close.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
+    total = some.groupBy(*by).agg(F.count("*").alias("_n"))
+    rest = F.greatest(F.ceil(F.col("_q.p") * F.col("_n")), F.lit(1)).alias("_rest")
+    open_ = total.select(*by, "_n", asked).select(*by, F.col("_q.name").alias("_name"), rest, "_n")
+    most = total.agg(F.max("_n")).first()[0] or 0
+    names = [*by, "_name"]
+    found = None
+    if most > few:
+        nothing = F.lit(None).cast(some.schema["_v"].dataType)
+        open_ = open_.select("*", nothing.alias("_low"), nothing.alias("_high"))
+        while most > few:
+            at = F.array(*[F.lit(i / cuts) for i in range(cuts + 1)])
+            points = _same(some, open_, by).where(_between("_v")).groupBy(*names).agg(
+                F.array_sort(F.array_distinct(F.percentile_approx("_v", at, F.lit(cuts * 32)))).alias("_cuts")
+            )
+            # even places are the cut points, odd ones what lies after them
+            ranges = written(_same(open_, points, names), "ranges")
+            under = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+            equal = F.get("_cuts", under) == F.col("_v")
+            placed = _same(some, ranges, by).where(_between("_v"))
+            placed = placed.select(*names, F.when(equal, 2 * under).otherwise(2 * under - 1).alias("_bin"))
+            counts = placed.groupBy(*names, "_bin").agg(F.count("*").alias("_c"))
+            upto = F.sum("_c").over(Window.partitionBy(*names).orderBy("_bin"))
+            counts = _same(counts.withColumn("_upto", upto), ranges, names)
+            hit = counts.where((F.col("_rest") <= F.col("_upto")) & (F.col("_rest") > F.col("_upto") - F.col("_c")))
+            i = F.floor(F.col("_bin") / 2).cast("int")
+            exact = F.col("_bin") % 2 == 0
+            hit = written(hit.select(
+                *names, (F.col("_rest") - F.col("_upto") + F.col("_c")).alias("_rest"), F.col("_c").alias("_n"),
+                F.get("_cuts", i).alias("_low"), F.get("_cuts", F.when(exact, i).otherwise(i + 1)).alias("_high"), exact.alias("_exact"),
+            ), "hit")
+            done = hit.where("_exact").select(*names, F.col("_low").alias("_v"))
+            found = done if found is None else found.unionByName(done)
+            open_ = hit.where("NOT _exact").drop("_exact")
+            most = open_.agg(F.max("_n")).first()[0] or 0
+        close = _same(some, open_, by).where(_between("_v"))
+    else:
+        close = _same(some, open_, by)
+    close = close.groupBy(*names, "_rest", "_v").agg(F.count("*").alias("_c"))
+    close = close.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*names).orderBy("_v"))).where("_upto >= _rest")
+    close = close.groupBy(*names).agg(F.min("_v").alias("_v"))
+    found = close if found is None else found.unionByName(close)
+    return found.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
+
+
+def _between(value: str) -> Column:
+    """Strictly between two cut points; a bound that is null is none."""
+    return (F.col("_low").isNull() | (F.col(value) > F.col("_low"))) & (F.col("_high").isNull() | (F.col(value) < F.col("_high")))
 
 
 def run_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:

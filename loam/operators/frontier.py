@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..settings import DEFAULTS, Settings
+from ..storage import scratch_dir
 
 
 def robots_rules(robots: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -117,10 +120,13 @@ def candidates(starts: DataFrame, page_links: DataFrame, sitemap: DataFrame) ->
     return start.unionByName(smap).unionByName(found)
 
 
-def verdicts(found: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Candidates with ``url`` and ``verdict``: malformed, out_of_scope, disallowed, duplicate
-    or admitted, tested in this order; the first seen of equal URLs is no duplicate."""
-    rows = found.withColumn("url", U.resolved("href", "start_url"))
+def verdicts(
+    found: DataFrame, rules: DataFrame | None = None, base: str = "start_url", seen_by: tuple[str, ...] = ("depth", "seq", "via")
+) -> DataFrame:
+    """Candidates with ``url``, resolved against the column ``base``, and ``verdict``: malformed,
+    out_of_scope, disallowed, duplicate or admitted, tested in this order; the first seen of
+    equal URLs, by the columns ``seen_by``, is no duplicate."""
+    rows = found.withColumn("url", U.resolved("href", base))
     rows = rows.withColumn("origin", F.concat(U.scheme("url"), F.lit("://"), U.authority("url")))
     rows = rows.withColumn("path", U.path("url"))
     rows = robots_verdicts(rows, rules) if rules is not None else rows.withColumn("robots_allowed", F.lit(True))
@@ -128,7 +134,7 @@ def verdicts(found: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         ~F.col("robots_allowed"), "disallowed"
     )
     rows = rows.withColumn("verdict", first)
-    w = Window.partitionBy("start_url", "url", F.col("verdict").isNull()).orderBy("depth", "seq", "via")
+    w = Window.partitionBy("start_url", "url", F.col("verdict").isNull()).orderBy(*seen_by)
     again = F.when(F.row_number().over(w) > 1, "duplicate").otherwise("admitted")
     return rows.withColumn("verdict", F.coalesce("verdict", again)).drop("origin", "path", "robots_allowed")
 
@@ -173,3 +179,49 @@ def crawl_candidates(pages: DataFrame, tombstones: DataFrame, settings: Settings
         .where(F.col("rank") <= settings.crawl_max_pages)
         .join(dead, ["source_id", "url"], "left")
     )
+
+
+def crawl(
+    starts: DataFrame, links: DataFrame, rules: DataFrame | None = None, depth: int | None = None, settings: Settings = DEFAULTS
+) -> tuple[DataFrame, DataFrame]:
+    """Follow links from the start pages, over as many hops as ``depth`` (else the setting) allows.
+
+    ``starts`` has start_url, ``links`` has url, href and pos: what each known page links to.  A
+    round joins the pages found last with their links, judges each target as ``verdicts``
+    does, and keeps those of a source that it has not visited; each round's pages
+    are written, and the visited set is the table of all rounds.  It ends when nothing new
+    comes.  Of the links that reach a page first, the one with the least parent and place counts.
+
+    Returns the visited pages, ``start_url``, ``url``, ``depth`` and ``parent``, and the refused links
+    of every round, ``start_url``, ``url``, ``depth`` and ``verdict`` (malformed, out_of_scope, disallowed
+    or duplicate), one row per link.
+    """
+    spark = starts.sparkSession
+    top = f"{scratch_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    most = settings.crawl_max_depth if depth is None else depth
+    pages = "start_url string, url string, parent string, depth int"
+    refused = "start_url string, url string, verdict string, depth int"
+    first = candidates(starts, links.limit(0).select(F.col("url").alias("start_url"), "href", "pos"), sitemap_urls(starts.select("start_url", F.lit("").alias("xml"))))
+    judged = verdicts(first.dropDuplicates(["start_url"]), rules).withColumn("parent", F.lit(None).cast("string"))
+    for hop in range(most + 1):
+        judged = judged.withColumn("depth", F.lit(hop))
+        judged.write.parquet(f"{top}/judged/hop={hop}")
+        judged = spark.read.parquet(f"{top}/judged/hop={hop}")
+        judged.where("verdict = 'admitted'").select("start_url", "url", "parent", "depth").write.mode("append").parquet(f"{top}/visited")
+        judged.where("verdict != 'admitted'").select("start_url", "url", "verdict", "depth").write.mode("append").parquet(f"{top}/refused")
+        visited = spark.read.schema(pages).parquet(f"{top}/visited")
+        last = visited.where(F.col("depth") == hop)
+        if hop == most or last.isEmpty():
+            break
+        found = last.select("start_url", F.col("url").alias("parent")).join(links.select(F.col("url").alias("parent"), "href", "pos"), "parent")
+        found = found.withColumn("via", F.lit("link")).withColumn("seq", F.col("pos").cast("long")).withColumn("depth", F.lit(hop + 1))
+        judged = _beyond(verdicts(found, rules, base="parent", seen_by=("parent", "seq")), visited)
+    return visited, spark.read.schema(refused).parquet(f"{top}/refused")
+
+
+def _beyond(judged: DataFrame, visited: DataFrame) -> DataFrame:
+    """Admitted links to pages that were visited in an earlier round are duplicates."""
+    before = visited.select("start_url", "url", F.lit(True).alias("_seen"))
+    rows = judged.join(before, ["start_url", "url"], "left")
+    seen = (F.col("verdict") == "admitted") & F.col("_seen").isNotNull()
+    return rows.withColumn("verdict", F.when(seen, "duplicate").otherwise(F.col("verdict"))).drop("_seen")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
+from ..storage import scratch_dir
 from .components import connected_components
 
 # Vocabularies and the names that questions use.
@@ -166,8 +168,9 @@ def nearest_units(queries: DataFrame, units: DataFrame, k: int, constraint: Colu
     ``queries`` (query_id, embedding, ...) is a stated query set: it is compared with all
     units in blocks.  A set of at most BROADCAST_ROWS rows and BROADCAST_NUMBERS numbers is
     broadcast, and every task keeps the best ``k`` per query before the shuffle; a larger
-    one is cut into blocks of that size that are dealt over the units, with the same
-    result.
+    one is cut into blocks of that size.  These are searched one after the other, each
+    broadcast to all units, so that the units stay spread over all tasks however many blocks
+    there are; what a block found is written, a table of ``k`` rows per query.
     """
     q = queries.withColumnRenamed("embedding", "_qe")
     n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
@@ -175,14 +178,18 @@ def nearest_units(queries: DataFrame, units: DataFrame, k: int, constraint: Colu
     dot = F.aggregate(
         F.zip_with("_qe", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x
     )
-    if blocks <= 1:
-        pairs = units.join(F.broadcast(q), constraint if constraint is not None else F.lit(True))
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = units.join(F.broadcast(block), constraint if constraint is not None else F.lit(True))
         return _top(pairs.withColumn("score", dot), k, "query_id").drop("_qe", "embedding")
-    q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    spread = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = spread.join(q, "_block")
-    pairs = pairs.where(constraint) if constraint is not None else pairs
-    return _top(pairs.withColumn("score", dot), k, "query_id").drop("_qe", "embedding", "_block")
+
+    if blocks <= 1:
+        return best(q)
+    to = f"{scratch_dir(queries.sparkSession)}/nearest-{uuid.uuid4().hex}"
+    for block in range(blocks):
+        found = best(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block))
+        found.write.mode("append").parquet(to)
+    return queries.sparkSession.read.schema(found.schema).parquet(to)
 
 
 def widened(filtered: DataFrame, unfiltered: DataFrame, plans: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

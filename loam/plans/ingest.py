@@ -565,40 +565,40 @@ def sql_functions_query(spark, d):
 # -- streams ---------------------------------------------------------------------------
 
 
-@query("SELECT user_id % 50 || '/' || event_type AS url, min(ts) AS ts FROM events GROUP BY 1")
+@query("SELECT user_id % 50 || '/' || event_type AS url, min(ts) AS ts FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1")
 def stream_first_seen(spark, d):
-    """URLs of the event stream, each once: the stream is read to its end, and the window
-    of the watermark is longer than it."""
-    s = stream(spark, d, "events").select(
-        F.concat_ws("/", F.col("user_id") % 50, "event_type").alias("url"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    seen = runs.run_available(jobs.first_seen_urls(s, "3650 days"), f"seen-{uuid.uuid4().hex}")
-    first = read(spark, d, "events").groupBy(F.concat_ws("/", F.col("user_id") % 50, "event_type").alias("url")).agg(F.min("ts").alias("ts"))
-    return seen.select("url").join(first, "url")
+    """URLs of the event stream, each with its first time, from the stream's own state."""
+    url = F.concat(F.col("user_id") % 50, F.lit("/"), "event_type")
+    s = stream(spark, d, "events").select(url.alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    with runs.rocksdb(spark):
+        seen = runs.run_available(jobs.first_seen_urls(s), f"seen-{uuid.uuid4().hex}", ["url"])
+    return seen.select("url", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(
-    """SELECT conv_id::VARCHAR AS request_id, count(*) = 4 AND conv_id % 3 != 0 AS ok, true AS ended FROM (SELECT conv_id, turn FROM conversations WHERE turn < 4) GROUP BY conv_id
-    HAVING count(*) = 4"""
+    """WITH c AS (SELECT conv_id, max(turn) AS last, min(turn) FILTER (turn >= 3 AND (conv_id + turn) % 3 = 0) AS ends, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1)
+    SELECT conv_id::VARCHAR AS request_id, coalesce(ends = last AND n = last + 1 AND conv_id % 3 != 0, false) AS ok, ends IS NOT NULL AS ended FROM c"""
 )
 def stream_event_order(spark, d):
-    """Requests whose events follow the order, two events for each of the first four turns;
-    every third has two of them exchanged."""
+    """Whole conversations as requests, two events for each turn: the first three turns give the
+    first six events of the order, later ones more generated text or, every third, the two last
+    events.  Every third request has two events exchanged.  What comes after an end is an error;
+    requests without an end are reported when their time is over."""
     names = F.array(*[F.lit(n) for n in jobs.EVENT_ORDER])
-    s = stream(spark, d, "conversations").where("turn < 4").select(
-        F.col("conv_id").cast("string").alias("request_id"), F.col("conv_id"), F.explode(F.array(F.col("turn") * 2 + 1, F.col("turn") * 2 + 2)).alias("sequence")
-    )
-    swapped = F.when(F.col("sequence") == 3, 4).when(F.col("sequence") == 4, 3).otherwise(F.col("sequence"))
-    place = F.when(F.col("conv_id") % 3 == 0, swapped).otherwise(F.col("sequence")).cast("int")
-    events = s.select("request_id", F.col("sequence").cast("int").alias("sequence"), F.element_at(names, place).alias("name"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    s = stream(spark, d, "conversations").where("conv_id IS NOT NULL").select(
+        "conv_id", "turn", F.explode(F.array(F.lit(1), F.lit(2))).alias("half")
     )
-    try:
-        return runs.run_available(jobs.event_order_stream(events), f"order-{uuid.uuid4().hex}")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    plain = F.col("turn") * 2 + F.col("half")
+    # the second and the third event of the order
+    first = F.when((F.col("conv_id") % 3 == 0) & plain.isin(2, 3), 5 - plain).otherwise(plain)
+    later = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, 6 + F.col("half")).otherwise(6)
+    place = F.when(F.col("turn") < 3, first).otherwise(later).cast("int")
+    events = s.select(
+        F.col("conv_id").cast("string").alias("request_id"), plain.cast("int").alias("sequence"),
+        F.element_at(names, place).alias("name"), F.timestamp_seconds(1_700_000_000 + F.col("conv_id") % 1000 + F.col("turn")).alias("ts"),
+    )
+    with runs.rocksdb(spark):
+        return runs.run_closed(events, f"order-{uuid.uuid4().hex}", lambda e: jobs.event_order_stream(e, "5 minutes"))
 
 
 _SQL_BODY = "html"

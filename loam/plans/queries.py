@@ -654,4 +654,4 @@ def stream_counters(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "job_id", "outcome", "n")
 
 
-from . import ask, ingest  # noqa: E402, F401  (more queries, registered by being imported)
+from . import ask, ingest, stored  # noqa: E402, F401  (more queries, registered by being imported)

@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _at(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
     """A path and the file system that it is on."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -42,15 +42,5 @@ def _at(spark: SparkSession, path: str):
 def discard(*tables: DataFrame) -> None:
     """Delete written tables from which all that is needed has been written since."""
     for df in tables:
-        path, fs = _at(df.sparkSession, df.written_to)
+        path, fs = located(df.sparkSession, df.written_to)
         fs.delete(path, True)
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the whole versions, ``version=N`` with its mark of success, below a path."""
-    top, fs = _at(spark, path)
-    if not fs.exists(top):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(top)]
-    found = [n for n in names if n.startswith("version=") and fs.exists(_at(spark, f"{path}/{n}/_SUCCESS")[0])]
-    return sorted(int(n.removeprefix("version=")) for n in found)
