@@ -49,13 +49,26 @@ def _encoders(ranks_path: str, pattern: str):
 
 
 _SPACES = re.compile(r"\s\s")
+#: runs of white space of this length go to the tokenizer file itself: the pattern's
+#: look-ahead costs the other encoder stack for each character of a run
+_GAP = re.compile(r"\s{4096}")
 
 
-def token_ids(text: str, ranks_path: str | None = None) -> list[int]:
+@lru_cache(1)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(text: str, ranks_path: str | None = None, file_path: str | None = None) -> list[int]:
     """Ids as the byte-level tokenizer file gives them without special tokens added; the
-    special token's own string in a text is its id, as that file has it."""
+    special token's own string in a text is its id, as that file has it.  A text of any
+    length and of anything is taken."""
     import public_tokenizers as vocabulary
 
+    if _GAP.search(text):
+        return _tokenizer(file_path or vocabulary.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
     full, plain = _encoders(ranks_path or vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN)
     encode = (full if _SPACES.search(text) else plain).encode_ordinary
     if SPECIAL not in text:
@@ -218,5 +231,11 @@ def pack(pieces: DataFrame, size: int = SIZE, per_partition: int = PER_PARTITION
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE, ranks_path: str | None = None) -> DataFrame:
-    """All documents (doc_id, text; others are ignored) as packed pieces."""
+    """All documents (doc_id, text; others are ignored) as packed pieces: ``doc_id``,
+    ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``.
+
+    A null or empty text is one piece of the end id; null ids are carried as they are;
+    repeated rows are packed each for itself; pieces of one length may change places; no rows
+    give no rows.
+    """
     return pack(pieces_of(docs, size, ranks_path), size)
