@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -41,23 +42,51 @@ _ASIDE = frozenset(
     " menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo header masthead cookie cookies consent"
     " gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related"
     " recommended comment comments commentlist disqus respond reply replies toolbar pagination pager widget search"
-    " skip copyright hidden".split()
+    " skip copyright hidden sidenav topnav".split()
 )
 _COMMENT = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: words that may stand beside those: a name like alert-level or social-history marks nothing
 _BESIDE = frozenset(
-    "area bar block bottom box button buttons container content form global group inner item items left link links list"
-    " main message msg outer page panel post posts primary right row section site slot text top unit wrap wrapper".split()
+    "area articles bar block bottom box button buttons container content discussion form global google group inner item"
+    " items left link links list main message msg outer page panel post posts primary reader readers right row section"
+    " site slot stories text thread top unit user users wrap wrapper".split()
 )
+#: a name that ends so marks comments, whatever stands before, but for words that say where they are
+_COMMENTS_LAST = frozenset("comments commentlist disqus replies".split())
+_SAYS_WHERE = frozenset("has have with no without show hide".split())
 _MARKED = ("article", "main")
 _HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"})
 _WORDS = re.compile(r"[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}")
 
 
-def _names(name: str, kinds: frozenset) -> bool:
-    """Whether a whole class, id or role, like ``ad-box``, says one of the kinds."""
-    words = {w.lower() for w in _WORDS.findall(name)}
-    return not words.isdisjoint(kinds) and words <= _ASIDE | _BESIDE
+def _words(name: str) -> list[str]:
+    """The words of a class, id or role; two that are one known word, like side-bar, count as that."""
+    out: list[str] = []
+    for w in _WORDS.findall(name):
+        if out and out[-1] + w.lower() in _ASIDE:
+            out[-1] += w.lower()
+        else:
+            out.append(w.lower())
+    return out
+
+
+def _names(words: list[str], kinds: frozenset) -> bool:
+    """Whether a whole name, like ``ad-box``, says one of the kinds."""
+    return not kinds.isdisjoint(words) and _ASIDE.union(_BESIDE).issuperset(words)
+
+
+def _names_comments(words: list[str]) -> bool:
+    return _names(words, _COMMENT) or words[-1:] != [] and words[-1] in _COMMENTS_LAST and words[0] not in _SAYS_WHERE
+
+
+@lru_cache(1 << 14)
+def _marks(name: str, inside: bool) -> tuple[bool, bool]:
+    """Whether a name marks what is not the article, and whether it marks comments.  The head
+    of an article is part of it, that of the page is not."""
+    words = _words(name)
+    comment = _names_comments(words)
+    kinds = _ASIDE - {"header", "masthead"} if inside else _ASIDE
+    return comment or _names(words, kinds) or words in (["page", "header"], ["site", "header"]), comment
 
 
 _PARAGRAPH = frozenset({"p", "pre", "blockquote", "li", "td", "dd", "div", "section", "article", "main", "body"})
@@ -65,20 +94,22 @@ _OWN_POINTS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "ul":
 
 
 class Node:
-    __slots__ = ("tag", "aside", "comment", "hidden", "parent", "children", "points", "holds_main", "inside", "left_out")
+    __slots__ = (
+        "tag", "aside", "comment", "hidden", "parent", "children", "points", "far", "holds_main", "inside", "left_out",
+    )
 
     def __init__(self, tag: str, attrs: list, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
         self.aside = self.comment = self.hidden = self.holds_main = self.left_out = False
         self.inside = parent is not None and (parent.inside or parent.tag in _MARKED)
         self.points: float | None = None
-        # the head of an article is part of it
-        kinds = _ASIDE - {"header", "masthead"} if self.inside else _ASIDE
+        self.far = 0.0  # points from paragraphs so far below that all above share them alike
         for k, v in attrs:
             if k in ("class", "id", "role"):
                 for name in (v or "").split():
-                    self.aside |= _names(name, kinds)
-                    self.comment |= _names(name, _COMMENT)
+                    aside, comment = _marks(name, self.inside)
+                    self.aside |= aside
+                    self.comment |= comment
             elif k == "hidden" or k == "aria-hidden" and v == "true":
                 self.hidden = True
             elif k == "style" and re.search(r"display\s*:\s*none", v or "", re.I):
@@ -86,9 +117,15 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """``path`` holds the open elements and ``where`` the places in it of each tag's, so that
+    what an element closes is found at once however deep a page is."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", [], None)
+        self.root = Node("html", [], None)
+        self.path = [self.root]
+        self.where: dict[str, list[int]] = {}
+        self.nodes = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
@@ -96,15 +133,18 @@ class _Builder(HTMLParser):
         for ended, by, inside in _ENDS:
             if tag in by:
                 self._close(ended, inside)
-        node = Node(tag, attrs, self.at)
-        self.at.children.append(node)
+        at = self.path[-1]
+        node = Node(tag, attrs, at)
+        at.children.append(node)
+        self.nodes.append(node)
         if tag in _MARKED and not node.comment:
-            up = self.at
+            up = at
             while up is not None and not up.holds_main:
                 up.holds_main = True
                 up = up.parent
         if tag not in _VOID:
-            self.at = node
+            self.where.setdefault(tag, []).append(len(self.path))
+            self.path.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # only void elements close themselves in HTML
@@ -114,15 +154,17 @@ class _Builder(HTMLParser):
             self._close((tag,), frozenset() if tag in _BLOCK or tag in _DROPPED else _BLOCK)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.path[-1].children.append(data)
+
+    def _last(self, tags) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
 
     def _close(self, tags, inside) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in inside:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
+        place = self._last(tags)
+        if place and place > self._last(inside):
+            for node in self.path[place:]:
+                self.where[node.tag].pop()
+            del self.path[place:]
 
 
 def _kept(node: Node) -> bool:
@@ -147,8 +189,16 @@ def _walk(top: Node) -> Iterator[tuple[Node | str, bool]]:
             stack += [(c, False) for c in reversed(node.children) if isinstance(c, str) or _kept(c)]
 
 
-def _score(root: Node) -> None:
-    """Give points to containers; ``points`` stays None where no paragraph is below."""
+def _give(node: Node, points: float) -> None:
+    if node.points is None:
+        node.points = _OWN_POINTS.get(node.tag, 0.0)
+    node.points += points
+
+
+def _score(root: Node, nodes: list[Node]) -> None:
+    """Give points to containers; ``points`` stays None where no paragraph is below.  The
+    nearest four levels get theirs at once, what all above get is handed up once for
+    each node (``nodes`` in page order)."""
     open_: list[list] = []  # of paragraph candidates: node, characters, in links, commas
     link = 0
     for node, after in _walk(root):
@@ -169,11 +219,20 @@ def _score(root: Node) -> None:
             points = (1 + commas + min(size / 100, 3)) * (1 - linked / size)
             # text of its own makes a container a paragraph of itself
             up, level = (node.parent if node.tag in ("p", "pre", "blockquote", "li", "td", "dd") else node), 0
-            while up is not None:
-                if up.points is None:
-                    up.points = _OWN_POINTS.get(up.tag, 0.0)
-                up.points += points / (1, 2, 6, 9, 12)[min(level, 4)]
+            while up is not None and level < 4:
+                _give(up, points / (1, 2, 6, 9)[level])
                 up, level = up.parent, level + 1
+            if up is not None:
+                if up.points is None:
+                    _give(up, 0.0)
+                up.far += points
+    for node in reversed(nodes):
+        if node.points is not None:
+            node.points += node.far / 12
+            if node.parent is not None:
+                if node.parent.points is None:
+                    _give(node.parent, 0.0)
+                node.parent.far += node.far
 
 
 def _blocks(top: Node) -> list[str]:
@@ -237,7 +296,7 @@ def main_text(html: str | None) -> str:
         builder.rawdata = ""
     builder.close()
     root = builder.root
-    _score(root)
+    _score(root, builder.nodes)
     best = None
     for node, after in _walk(root):
         if not after and not isinstance(node, str) and node.points is not None:
