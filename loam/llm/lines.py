@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, discard, map_batches, mix, powers, repeated_keys, written
 
-#: lines of fewer code points are removed only if an earlier one is equal: one edit in so
-#: few may change what a line says
-SHORTEST = 20
+#: an edit among so many code points leaves a similarity of 0.8; among fewer, less
+SHORTEST = 5
 #: a line of nothing else is blank
 BLANK = " \t\r\x0b\x0c"
 COARSE, FINE = 2, 16
@@ -196,8 +195,8 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     row.
 
     Lines end with a newline.  A line is removed if an earlier one, by doc_id and then by
-    its number, is equal, or, both having at least ``shortest`` code points, one edit away
-    (one character put in, left out or replaced).  Lines of white space alone stay.  Lines
+    its number, is equal, or one edit away (one character put in, left out or replaced) and
+    similar to 0.8 or more: both have at least ``shortest`` code points.  Lines of white space alone stay.  Lines
     are judged on the input, not on what is left.  A null text stays null and has one empty line; a null doc_id stands before
     all others; rows repeated with id and text are one document and treated alike; no
     rows give no rows.

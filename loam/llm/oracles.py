@@ -14,7 +14,7 @@ ORACLES["op2_line_dedup"] = r"""
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS lines FROM documents),
 l AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM s),
 u AS (SELECT line, min(struct_pack(d := doc_id, i := i)) AS first FROM l WHERE regexp_matches(line, '[^ \t\r\v\f]') GROUP BY 1),
-k AS (SELECT line, first, length(line) - x AS t FROM u, (SELECT unnest([0, 1]) AS x) WHERE length(line) >= 20),
+k AS (SELECT line, first, length(line) - x AS t FROM u, (SELECT unnest([0, 1]) AS x) WHERE length(line) >= 5),
 h AS (SELECT *, left(line, t // 2) AS a, right(line, t - t // 2) AS b FROM k),
 p AS (SELECT x.line, y.first AS other, x.first, y.line AS line2 FROM h x JOIN h y ON x.t = y.t AND x.a = y.a WHERE y.first < x.first
   UNION SELECT x.line, y.first, x.first, y.line FROM h x JOIN h y ON x.t = y.t AND x.b = y.b WHERE y.first < x.first),
