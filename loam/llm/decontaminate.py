@@ -22,7 +22,7 @@ MASKS = ("111", "1101", "11001", "110001", "1011", "10101", "101001")
 #: hits that a stretch that scores enough has at least, by the item's words; of more words, HITS
 SHORT_HITS = {5: 3, 6: 4, 7: 9, 8: 10, 9: 9}
 HITS = 11
-#: items of fewer words have no room for a stretch: they match texts of the same words alone
+#: items of fewer words have no room for masks: they are sought as whole runs of words
 SHORTEST = 5
 #: words that a stretch has to share, or two thirds of a shorter item
 OVERLAP = 13
@@ -74,8 +74,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int =
 
     A stretch scores 2 for a word shared and -1 for one substituted; a pair overlaps if
     its best stretch scores at least 2 ``overlap``, or two thirds of twice the item's
-    words where that is less.  An item of fewer than ``SHORTEST`` words overlaps a text
-    that consists of the same words and nothing else.  Items and texts without a word
+    words where that is less.  An item of fewer than ``SHORTEST`` words overlaps every text
+    that holds its words in one run, wherever it stands, and scores 2 for each; an item
+    of one common word thus meets very many texts.  Items and texts without a word
     match nothing.  Repeated rows count once; a null doc_id or item_id is a value like
     others; no rows give no rows.
     """
@@ -111,9 +112,26 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, overlap: int =
     )
     long = scored.where(F.col("score") >= F.least(F.lit(2 * overlap), F.ceil(n * 4 / 3))).drop("item")
 
-    brief = texts.select("doc_id", "text_hash", words("text").alias("item")).where(n < SHORTEST)
-    brief = brief.join(items.where(n < SHORTEST), "item").select("doc_id", "text_hash", "item_id", (2 * n).alias("score"))
-    return long.union(brief).groupBy("doc_id", "text_hash", "item_id").agg(F.max("score").cast("long").alias("score"))
+    short = items.where(n < SHORTEST).select("item_id", n.alias("size"), F.array_join("item", " ").alias("run"))
+    found = long.unionByName(_whole_runs(texts, short)) if not short.isEmpty() else long
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(F.max("score").cast("long").alias("score"))
+
+
+def _whole_runs(texts: DataFrame, short: DataFrame) -> DataFrame:
+    """Texts that hold the run of a short item (item_id, size, run): each text's distinct runs of the
+    sizes that occur, joined with the items' as text, which no word's letters can mimic."""
+    sizes = sorted(r.size_ for r in short.select(F.col("size").alias("size_")).distinct().collect())  # 1 to 4
+    n = F.size("words")
+
+    def runs(k: int) -> Column:
+        at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("words", i, k), " ")))
+
+    few = short.count() <= BROADCAST_SEEDS
+    held = texts.select("doc_id", "text_hash", words("text").alias("words")).where("words[0] != ''")
+    held = held.select("doc_id", "text_hash", F.explode(F.flatten(F.array(*[runs(k) for k in sizes]))).alias("run"))
+    met = held.join(F.broadcast(short) if few else short, "run")
+    return met.select("doc_id", "text_hash", "item_id", (2 * F.col("size")).alias("score"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
