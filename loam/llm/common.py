@@ -20,10 +20,21 @@ PIECE_BYTES = 1 << 20
 #: rows that a task takes up at once; what Spark hands over in one batch may be much more
 ROWS = 1024
 
+#: bytes that Spark hands a task at once, unless the session says less; a longer row is one batch
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: a null doc_id stands before all others
 NO_ID = -(1 << 63)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that Python tasks get: with whole texts in them, ten
+    thousand rows are a lot, on both sides of the pipe."""
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -126,6 +137,7 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
+    small_batches(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -272,6 +284,7 @@ def repeated_keys(df: DataFrame, emit, fields: list[str], distinct: bool = False
                     pending = None
             yield batch_of([x[take] for x in columns], names[1:])
 
+    small_batches(df.sparkSession)
     place = F.when(F.col("how") == 1, F.xxhash64(*fields)).otherwise(F.col("key"))
     dealt = df.mapInArrow(local, types(names)).repartition(place).sortWithinPartitions("key")
     return dealt.mapInArrow(joined, types(names[1:]))

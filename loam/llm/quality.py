@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_batches, pieces
+from .common import Words, map_batches, pieces, small_batches
 
 #: words are hashed to so many features
 WORD_FEATURES = 1 << 14
@@ -201,6 +201,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
     columns named score or predicted are replaced; no rows give no rows.
     """
     docs = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(
         (machine.bias, machine.weight.astype(np.float32), machine.factor.astype(np.float32))
     )  # a fixed size, whatever the input
