@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
+from ..storage import written
 
 #: metrics that must be zero, and metrics where less is better
 ABSOLUTE = ("fabricated_fact_count", "invalid_citation_count")
@@ -148,7 +149,8 @@ def nearest_ranks(
             exact = F.col("_bin") % 2 == 0
             hit = written(hit.select(
                 *names, (F.col("_rest") - F.col("_upto") + F.col("_c")).alias("_rest"), F.col("_c").alias("_n"),
-                F.get("_cuts", i).alias("_low"), F.get("_cuts", F.when(exact, i).otherwise(i + 1)).alias("_high"), exact.alias("_exact"),
+                F.coalesce(F.get("_cuts", i), "_low").alias("_low"), F.coalesce(F.get("_cuts", i + 1), "_high").alias("_high"),
+                exact.alias("_exact"),
             ), "hit")
             done = hit.where("_exact").select(*names, F.col("_low").alias("_v"))
             found = done if found is None else found.unionByName(done)

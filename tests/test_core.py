@@ -1,15 +1,16 @@
 """Small literal tables for the jobs, and the laws they keep."""
 
 import datetime as dt
+import glob
 
 import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.functions import urls as U
-from loam.operators import audit, blocks, evaluate, frontier, pages, registry, retrieval
+from loam.operators import audit, blocks, evaluate, frontier, index, pages, registry, retrieval
 from loam.settings import Settings
-from loam.sources import datasets
+from loam.sources import datasets, tables
 from loam.streaming import jobs
 
 
@@ -245,8 +246,101 @@ def test_streams(spark, tmp_path):
     schema = spark.read.parquet(f"{tmp_path}/e").schema
     out = run_available(jobs.event_order_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/e")), "order")
     assert {r.request_id: (r.ok, r.ended) for r in out.collect()} == {"r1": (True, True), "r2": (True, True), "r3": (False, True)}
-    seen = jobs.first_seen_urls(spark.readStream.schema(schema).parquet(f"{tmp_path}/e").select(F.col("request_id").alias("url"), "ts"))
-    assert sorted(r.url for r in run_available(seen, "seen").collect()) == ["r1", "r2", "r3"]
+
+
+def test_first_seen_by_state(spark, tmp_path):
+    from loam.streaming.runs import rocksdb, run_available
+
+    at = lambda hours: dt.datetime(2026, 1, 1) + dt.timedelta(hours=hours)
+    schema = "url string, ts timestamp"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).repartition(1).write.mode("append").parquet(f"{tmp_path}/u")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/u")
+        with rocksdb(spark):
+            return {r.url: r.ts for r in run_available(jobs.first_seen_urls(stream, "2 days", "1 day"), "first-seen-test", ["url"]).collect()}
+
+    assert arrive(("a", at(3)), ("a", at(2)), ("b", at(5)), (None, at(0)), ("c", None)) == {"a": at(2), "b": at(5)}
+    # an earlier time counts, a later one does not
+    assert arrive(("a", at(1)), ("b", at(9)), ("d", at(1))) == {"a": at(1), "b": at(5), "d": at(1)}
+    # long after, the url is new again
+    arrive(("z", at(24 * 30)))
+    assert arrive(("b", at(24 * 30)))["b"] == at(24 * 30)
+
+
+def test_requests_that_never_end(spark, tmp_path):
+    from loam.streaming.runs import rocksdb, run_closed
+
+    at = dt.datetime(2026, 1, 1)
+    names = audit.EVENT_ORDER
+    rows = [("done", i + 1, n, at) for i, n in enumerate(names)] + [("open", 1, names[0], at), ("open", 2, names[1], at + dt.timedelta(minutes=2))]
+    rows += [("failed", 1, "error", at), ("bad", 1, names[3], at)]
+    schema = "request_id string, sequence int, name string, ts timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/e")
+    events = spark.readStream.schema(schema).parquet(f"{tmp_path}/e")
+    with rocksdb(spark):
+        out = run_closed(events, "closed-test", lambda e: jobs.event_order_stream(e, "5 minutes"))
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [("bad", False, False), ("done", True, True), ("failed", True, True), ("open", False, False)]
+
+
+def test_partitions_are_dropped(spark, tmp_path):
+    import os
+
+    path = f"{tmp_path}/t"
+    rows = spark.range(300).selectExpr("id", "concat('n ', id % 3) AS namespace")
+    tables.write_partitioned(rows, path, "namespace")
+    kept = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith("parquet") and not d.endswith("1")}
+    assert tables.partition_values(spark, path, "namespace") == ["n 0", "n 1", "n 2"]
+    assert tables.drop_namespace(spark, path, "n 1") and not tables.drop_namespace(spark, path, "n 1")
+    left = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith("parquet")}
+    assert left == kept
+    read = spark.read.parquet(path)
+    assert read.count() == 200 and "PartitionFilters: [isnotnull" in read.where("namespace = 'n 2'")._jdf.queryExecution().toString()
+
+
+def test_index(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(30, 16)) * 4
+    x = centre[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(5000, None), (5001, [])]
+    units = spark.createDataFrame(rows, "unit_id long, embedding array<double>")
+    made = index.build_index(units, f"{tmp_path}/index", cells=24, sample=500)
+    assert made.size.sum() == 3000
+    asked = units.where("unit_id % 30 = 0").withColumnRenamed("unit_id", "query_id")
+    best = {i: sorted(range(3000), key=lambda j: (-(x[i] @ x[j]), j))[:5] for i in range(0, 3000, 30)}
+
+    def found(**how):
+        got = {}
+        for r in index.search(made, asked, 5, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.unit_id)
+        return got
+
+    assert found(exact=True, probes=2) == best
+    some = found(probes=4)
+    recall = sum(len(set(some[i]) & set(best[i])) for i in best) / (5 * len(best))
+    assert recall >= 0.95
+    alone = found(exact=True, not_self=True)
+    assert all(i not in v and len(v) == 5 for i, v in alone.items())
+    plan = index.cells_read(made, spark, [1, 2])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    nothing = index.build_index(units.limit(0), f"{tmp_path}/none")
+    assert index.search(nothing, asked, 5).count() == 0 and index.search(made, asked.limit(0), 5).count() == 0
+
+
+def test_crawl(spark):
+    links = [("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "d", 0), ("d", "a", 0), ("d", "e", 1), ("e", "f", 0), ("a", "mailto:x", 2), ("a", "https://other.example.com/x", 3), ("b", "d", 1)]
+    url = lambda p: p if ":" in p else f"https://h.example.com/d/{p}"
+    table = spark.createDataFrame([(url(a), url(b), i) for a, b, i in links], "url string, href string, pos int")
+    starts = spark.createDataFrame([(url("a"),), (url("e"),)], "start_url string")
+    visited, refused = frontier.crawl(starts, table, depth=3)
+    got = {(r.start_url[-1], r.url[-1]): (r.depth, r.parent and r.parent[-1]) for r in visited.collect()}
+    assert got == {("a", "a"): (0, None), ("a", "b"): (1, "a"), ("a", "c"): (1, "a"), ("a", "d"): (2, "b"), ("a", "e"): (3, "d"), ("e", "e"): (0, None), ("e", "f"): (1, "e")}
+    counts = {(r.start_url[-1], r.verdict, r.depth): r["count"] for r in refused.groupBy("start_url", "verdict", "depth").count().collect()}
+    assert counts == {("a", "malformed", 1): 1, ("a", "out_of_scope", 1): 1, ("a", "duplicate", 2): 2, ("a", "duplicate", 3): 1}
+    assert frontier.crawl(starts.limit(0), table)[0].count() == 0
 
 
 def test_ingest_batch(spark):
@@ -391,12 +485,34 @@ def test_nearest_ranks(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     want = {k: tuple(sorted(vs)[max(1, math.ceil(p * len(vs))) - 1] for p in shares.values()) for k, vs in values.items()}
-    for bins in (1024, 3):
-        got = {r.k: tuple(r)[1:] for r in evaluate.nearest_ranks(df, ["k"], "v", shares, bins).collect()}
+    for few in (1_000_000, 1024, 3):
+        got = {r.k: tuple(r)[1:] for r in evaluate.nearest_ranks(df, ["k"], "v", shares, few, 8).collect()}
         assert got == want
     assert evaluate.nearest_ranks(df.where("k = 'few'").drop("k"), [], "v", {"p50": 0.5}).collect()[0].p50 == 1.0
 
 
+def test_nearest_ranks_of_uneven_values(monkeypatch, spark):
+    """With an outlier and infinite values, what lies between two cut points is a twentieth of the rows at most."""
+    rng = __import__("random").Random(2)
+    values = [rng.random() for _ in range(4000)] + [1e12, float("inf"), float("-inf")] + [0.5] * 900
+    sizes = []
+
+    def spy(df, name):
+        out = written(df, name)
+        if name == "hit":
+            sizes.extend(r[0] for r in out.where("NOT _exact").select("_n").collect())
+        return out
+
+    written = evaluate.written
+    monkeypatch.setattr(evaluate, "written", spy)
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    shares = {f"p{i}": i / 20 for i in range(21)}
+    got = tuple(evaluate.nearest_ranks(df, ["k"], "v", shares, few=400).first())[1:]
+    ordered = sorted(values)
+    assert got == tuple(ordered[max(1, -(-len(ordered) * i // 20)) - 1] for i in range(21))
+    assert sizes and max(sizes) <= len(values) / 20
+
+
 def test_near_duplicate_classes(spark):
     base = "the quick brown fox jumps over the lazy dog near the river"
     rows = [(1, "a", base), (2, "a", base), (3, "a", base + " bank"), (4, "b", base), (5, "a", "nothing of that kind at all"), (6, "a", None), (7, "a", ""), (8, "a", ""), (9, None, base), (None, "a", base)]
@@ -452,10 +568,20 @@ def test_ingest_stream_in_versions(spark, tmp_path):
     assert change == {"1": "unchanged", "3": "supersede"}
     units = jobs.read_snapshot(spark, root, "units", 2).collect()
     assert {u.document_id for u in units} == {"1", "3"} and all("stones" in u.text for u in units if u.document_id == "3")
-    spark.createDataFrame([], types).write.parquet(f"{root}/documents/version=3/half")  # a version without its mark
+    spark.createDataFrame([], types).write.parquet(f"{root}/documents/version=3/half")  # a version without its manifest
     assert jobs.latest_version(spark, root) == 2
+    # a batch of one changed page has written one bucket of each table, and files that no kept version uses are gone
+    for name in ("documents", "units"):
+        assert len(glob.glob(f"{root}/{name}/version=2/bucket=*")) == 1
+        live = tables.read_manifest(spark, root)[1][name]
+        assert sorted(live.values()).count(2) == 1
     assert arrive((4, "u4", body("tree"))) == 3
     assert {r.url for r in jobs.read_snapshot(spark, root, "documents", 3).collect()} == {"u1", "u3", "u4"}
+    assert arrive((3, "u3", body("stones again"))) == 4
+    assert not glob.glob(f"{root}/_manifest/[12].json") and glob.glob(f"{root}/_manifest/3.json")
+    assert {r.url for r in jobs.read_snapshot(spark, root, "documents", 3).collect()} == {"u1", "u3", "u4"}
+    units = jobs.read_snapshot(spark, root, "units", 4)
+    assert {u.document_id for u in units.collect()} == {"1", "3", "4"} and units.where("document_id = '3' AND NOT contains(text, 'stones again')").count() == 0
 
 
 def test_sql_functions(spark):
