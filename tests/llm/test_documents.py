@@ -265,9 +265,9 @@ def needed(n):
 
 
 def overlap(item, words):
-    """Best stretch over all shifts, by the definition; a short item is all or nothing."""
+    """Best stretch over all shifts, by the definition; a short item is a whole run or nothing."""
     if len(item) < 5:
-        return 2 * len(item) * (item == words)
+        return 2 * len(item) * any(words[i : i + len(item)] == item for i in range(len(words)))
     best, words = 0, np.array(words, object)
     for_shift = np.zeros(len(words) + len(item), np.int64)  # of shift - len(item), all at once
     padded = np.concatenate((np.full(len(item), None), words, np.full(len(item), None)))
@@ -350,6 +350,30 @@ def test_decontaminate_short_items(spark):
     assert substituted(spark, broken) > 100
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontaminate_runs_inside_texts(monkeypatch, spark, broadcast):
+    """Items of one to four words inside long texts, at their ends, and not across them."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    rng = random.Random(12)
+    filler = lambda n: [f"f{rng.randrange(50)}" for _ in range(n)]
+    items = {k: [f"q{rng.randrange(3)}" for _ in range(1 + k % 4)] for k in range(12)}
+    rows = [(i, filler(200) + items[i % 12][: rng.randrange(1, 5)] + filler(3) + items[(i * 5) % 12]) for i in range(60)]
+    rows += [(100, items[3]), (101, items[2] + filler(2000)), (102, []), (103, items[3][:3])]
+    df = spark.createDataFrame([(i, ", ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v).upper()) for k, v in items.items()], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.digest(df, bench).collect()}
+    assert got == {i: [k for k, v in items.items() if overlap(v, w)] for i, w in rows}
+    assert sum(map(len, got.values())) > 100
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "a" + "\n" * 1_000_000, "a" * 1_000_000, "ab" + "\t \n" * 1300 + " <|endoftext|>  c"])
+def test_token_ids_of_long_runs(text):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    assert packing.token_ids(text) == Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark, docs, rows, none):
     extra = spark.createDataFrame([(99, "<|endoftext|>a  b\n\n c<|endoftext|>")], "doc_id long, text string")
     got = [r.asDict() for r in packing.pack_documents(docs.select("doc_id", "text").union(extra)).collect()]

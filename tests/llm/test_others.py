@@ -84,6 +84,29 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Sit
 <div class="ad">Buy, buy, buy</div><form><p>Mail?</p></form><footer><p>&copy; me</p></footer>"""
 
 
+@pytest.mark.parametrize("name", ["reader-comments", "user-comments", "comment-thread", "discussion-comments", "related-articles", "google-ads", "side-bar", "sidenav", "page-header", "readerComments"])
+def test_html_drops(name):
+    body = "<p>Some real text, with commas, that is long enough to be a paragraph of an article.</p>" * 4
+    gone = f'<div class="{name}"><p>Gone, really, gone.</p></div>'
+    text = "\n\n".join(["Some real text, with commas, that is long enough to be a paragraph of an article."] * 4)
+    assert html.main_text(f"<body><article>{body}{gone}</article></body>") == text
+    assert html.main_text(f"<body><div id=c>{body}{gone}</div></body>") == text
+
+
+@pytest.mark.parametrize("name", ["has-comments", "social-history", "article-body", "alert-level"])
+def test_html_keeps(name):
+    assert "stays" in html.main_text(f'<body><article><p>Text, and more.</p><div class="{name}"><p>This stays, really.</p></div></article></body>')
+
+
+@pytest.mark.parametrize("page, end", [("<div>" * 200_000 + "deep", "deep"), ("<div><p>text, more" * 20_000, "text, more"), ("<p>" * 100_000 + "x", "x"), ("<b>" * 50_000 + "</i>" * 50_000 + "y", "y"), ("<table><tr><td>" * 20_000 + "z", "z"), ("<ul><li>" * 20_000 + "w", "w")])
+def test_html_is_linear_in_depth(page, end):
+    import time
+
+    began = time.process_time()
+    assert html.main_text(page).endswith(end)
+    assert time.process_time() - began < 20
+
+
 def test_html(spark):
     want = "The & title\n\nFirst, with boldness <here>. Second line\n\nUnclosed one\n\nitem a\n\nitem b\n\ncode here\n\na b\n\nc"
     assert html.main_text(PAGE) == want
