@@ -70,6 +70,13 @@ def retrieval_grades(gold: DataFrame, ranked: DataFrame, hit: Column, top: int =
     )
 
 
+def results_with_gold(results: DataFrame, questions: DataFrame) -> DataFrame:
+    """Stored results of runs with what the gold set says of their questions; a question that the set has lost
+    keeps its result.  Both stored in buckets of question_id meet without a shuffle."""
+    gold = questions.select("question_id", *[F.col(c) for c in questions.columns if c not in results.columns])
+    return results.join(gold, "question_id", "left")
+
+
 def topic_hit() -> Column:
     return T.unit_covers(F.col("product"), F.col("heading_path"), F.col("want_product"), F.col("want_heading_path"))
 

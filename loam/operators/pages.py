@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,19 +31,25 @@ def scan_pages(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def top_gram_share(text: Column | str, n: int = 4) -> Column:
     """How many of a text's word n-grams are its commonest one, as a share; null without an
-    n-gram.  The grams of a row are counted in the row: their hashes are sorted, and one
-    fold finds the longest run."""
-    grams = lambda w: F.when(
-        F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
-    )
-    start = F.struct(F.lit(None).cast("long").alias("gram"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s: Column, g: Column) -> Column:
-        run = F.when(g == s["gram"], s["run"] + 1).otherwise(1)
-        return F.struct(g.alias("gram"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    share = lambda g: F.aggregate(g, start, step)["best"] / F.size(g)
-    return T.let(F.sort_array(T.let(F.split(F.lower(T.collapsed(text)), " "), grams)), share)
+    n-gram.  Each row's grams are hashed and counted in its Arrow batch; nothing is shuffled."""
+    words = F.lower(T.collapsed(text))
+
+    @F.pandas_udf("double")
+    def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scale = np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
+        for texts in batches:
+            out = np.full(len(texts), np.nan)
+            for i, t in enumerate(texts):
+                w = [] if t is None else t.split(" ")
+                if len(w) >= n:
+                    h = np.fromiter(map(hash, w), np.int64, len(w)).view(np.uint64)
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    grams = np.sort(sum((h[j : len(h) - n + 1 + j] ^ (h[j : len(h) - n + 1 + j] >> np.uint64(32))) * scale[j] for j in range(n)))
+                    ends = np.flatnonzero(np.append(grams[1:] != grams[:-1], True))
+                    out[i] = np.diff(ends, prepend=-1).max() / len(grams)
+            yield pd.Series(out)
+
+    return share(words)
 
 
 def page_gate(docs: DataFrame, text: str = "text", content_type: str | None = None) -> DataFrame:
@@ -89,22 +98,56 @@ def links(pages: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- blocks
 
+# What is no part of a page's blocks, and what is none of the plain walk's.
 _SKIPPED = {"nav", "header", "footer", "aside", "script", "style", "noscript", "form", "template"}
+_SKIPPED_PLAINLY = {"nav", "header", "footer", "aside", "script", "style", "noscript"}
+#: what holds others; an open one ends with the element around it
+_HOLDERS = {"div", "section", "article", "main", "body"}
 _KIND = {"p": "p", "pre": "code", "table": "table", "blockquote": "quote", "ul": "list", "ol": "list"}
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 
 class _Blocks(HTMLParser):
-    """A page as a flat run of (kind, level, text); hierarchy is made later, in SQL."""
+    """A page as a flat run of (kind, level, text); hierarchy is made later, in SQL.
 
-    def __init__(self):
+    What is skipped ends with its own end or that of the element around it.  The head of an
+    article is part of it, and an article or main part inside a form, menu or page head is not
+    skipped with that.  The plain walk (``plain``) takes every heading and block that does
+    not stand in its fewer skipped elements.
+    """
+
+    def __init__(self, plain: bool = False):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[str, int, str]] = []
-        self.skip: list[str] = []
+        self.plain = plain
+        #: open holders and skipped elements, and whether each is skipped
+        self.path: list[tuple[str, bool]] = []
+        self.where: dict[str, list[int]] = {}
         self.kind: str | None = None
         self.level, self.depth, self.text = 0, 0, []
         self.title = False
 
+    @property
+    def skip(self) -> bool:
+        return bool(self.path) and self.path[-1][1]
+
+    def _open(self, tag: str) -> None:
+        skip = self.skip
+        if tag in (_SKIPPED_PLAINLY if self.plain else _SKIPPED):
+            head = tag == "header" and not self.plain and (self.where.get("article") or self.where.get("main"))
+            skip = skip or not head
+        elif tag in ("article", "main") and skip and not self.plain:
+            skip = any(self.where.get(t) for t in _SKIPPED - {"form", "nav", "header"})
+        self.where.setdefault(tag, []).append(len(self.path))
+        self.path.append((tag, skip))
+
+    def _end(self, tag: str) -> None:
+        if self.where.get(tag):
+            at = self.where[tag][-1]
+            for t, _ in self.path[at:]:
+                self.where[t].pop()
+            del self.path[at:]
+
     def flush(self) -> None:
         joined = "".join(self.text)
         if self.kind == "code":
@@ -116,11 +159,13 @@ class _Blocks(HTMLParser):
         self.kind, self.level, self.depth, self.text = None, 0, 0, []
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIPPED:
-            self.skip.append(tag)
-        elif self.skip:
+        if tag in _SKIPPED | _HOLDERS:
+            if tag in _HOLDERS and not self.skip and self.kind in (None, "p"):
+                self.flush()
+            self._open(tag)
+        if self.skip or tag in _SKIPPED:
             return
-        elif tag == "title":
+        if tag == "title":
             self.title = True
         elif tag in _HEADINGS or tag in _KIND:
             if self.kind in ("list", "table", "quote") and tag not in _HEADINGS:
@@ -134,16 +179,14 @@ class _Blocks(HTMLParser):
             self.text.append("\n")
         elif tag in ("td", "th"):
             self.text.append(" ")
-        elif tag in ("div", "section", "article", "main") and self.kind in (None, "p"):
-            self.flush()
 
     def handle_endtag(self, tag):
-        if tag in _SKIPPED:
-            if tag in self.skip:
-                del self.skip[self.skip.index(tag) :]
-        elif self.skip:
+        was = self.skip
+        if tag in _SKIPPED | _HOLDERS:
+            self._end(tag)
+        if was or self.skip or tag in _SKIPPED:
             return
-        elif tag == "title":
+        if tag == "title":
             self.title = False
         elif tag in _HEADINGS or tag in ("p", "pre"):
             if self.kind not in ("list", "table", "quote"):
@@ -152,7 +195,7 @@ class _Blocks(HTMLParser):
             self.depth -= 1
             if self.depth <= 0:
                 self.flush()
-        elif tag in ("div", "section", "article", "main", "body") and self.kind in (None, "p"):
+        elif tag in _HOLDERS and self.kind in (None, "p"):
             self.flush()
 
     def handle_data(self, data):
@@ -160,6 +203,32 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
 
+def _walk(html: str | None, plain: bool = False) -> list[tuple[str, int, str]]:
+    parser = _Blocks(plain)
+    parser.feed(html or "")
+    if parser.rawdata.startswith("<!--"):  # a comment that is not closed runs to the end
+        parser.rawdata = ""
+    parser.close()
+    parser.flush()
+    return parser.rows
+
+
+_ANY_HEADING = re.compile(r"<h[1-6][\s>]", re.I)
+
+
+def page_blocks(html: str | None) -> list[tuple[str, int, str]]:
+    """Blocks of one page: (block_type, level, text).  A page with headings of which the walk finds
+    none is walked plainly instead."""
+    rows = _walk(html)
+    if html and _ANY_HEADING.search(html) and all(kind != "heading" for kind, *_ in rows):
+        plain = _walk(html, plain=True)
+        return plain if any(kind == "heading" for kind, *_ in plain) else rows
+    return rows
+
+
+BLOCKS = "pos int, block_type string, level int, text string"
+
+
 def flat_blocks(pages: DataFrame) -> DataFrame:
     """``page_id``, ``pos``, ``block_type`` (heading, p, list, table, code, quote), ``level``
     and ``text`` of every block of every page, in page order.
@@ -168,18 +237,23 @@ def flat_blocks(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         for pdf in batches:
-            rows = []
-            for page_id, html in zip(pdf["page_id"], pdf["html"]):
-                parser = _Blocks()
-                parser.feed(html or "")
-                parser.close()
-                parser.flush()
-                rows += [(page_id, i, *row) for i, row in enumerate(parser.rows)]
+            rows = [
+                (page_id, i, *row) for page_id, html in zip(pdf["page_id"], pdf["html"]) for i, row in enumerate(page_blocks(html))
+            ]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "block_type", "level", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(
-        run, "page_id long, pos int, block_type string, level int, text string"
-    )
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id long, {BLOCKS}")
+
+
+def register_blocks(spark: SparkSession, name: str = "loam_blocks") -> str:
+    """Register the table function ``name``(html), for LATERAL joins in SQL: a row (pos, block_type, level,
+    text) for each block of a page."""
+
+    class Blocks:
+        def eval(self, html):
+            for i, row in enumerate(page_blocks(html)):
+                yield (i, *row)
+
+    spark.udtf.register(name, F.udtf(Blocks, returnType=BLOCKS))
+    return name

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
+from collections.abc import Iterator
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,17 +240,64 @@ def lexical_score(query: Column | str, text: Column | str) -> Column:
     return F.coalesce(T.answer_relevance(query, text), F.lit(0.0))
 
 
-def rerank(pool: DataFrame, scores: DataFrame | None = None, score: Column | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+class Scorer(Protocol):
+    """Scores how well texts answer questions, many at once, 0 to 1."""
+
+    def setup(self) -> None:
+        """Called once in each task before the first batch: what is costly to make is made here."""
+
+    def score(self, questions: list[str], texts: list[str]) -> list[float]:
+        """A score for each pair."""
+
+
+class LexicalScorer:
+    """The share of a question's content words that a text holds, as ``lexical_score`` has it."""
+
+    def setup(self) -> None:
+        self.stop = frozenset(T.CONTENT_STOP_WORDS)
+        self.apart = re.compile("[^a-z0-9]+")
+
+    def _words(self, text: str) -> set[str]:
+        return {w for w in self.apart.split(text.lower()) if w and w not in self.stop}
+
+    def score(self, questions: list[str], texts: list[str]) -> list[float]:
+        out = []
+        for q, t in zip(questions, texts):
+            asked = self._words(q)
+            out.append(len(asked & self._words(t)) / len(asked) if asked else 0.0)
+        return out
+
+
+def scored_by(scorer: Scorer, question: Column | str, text: Column | str, batch: int = 64) -> Column:
+    """A column of a scorer's scores: it is set up once in each task and then gets ``batch``
+    pairs at a time.  Null texts are empty."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scorer.setup()
+        for q, t in batches:
+            q, t = (["" if x is None else x for x in c] for c in (q, t))
+            out = [s for at in range(0, len(q), batch) for s in scorer.score(q[at : at + batch], t[at : at + batch])]
+            yield pd.Series(out, dtype="float64")
+
+    return run(question, text)
+
+
+def rerank(
+    pool: DataFrame, scores: DataFrame | None = None, score: Column | None = None, settings: Settings = DEFAULTS, scorer: Scorer | None = None
+) -> DataFrame:
     """Candidates with ``rerank_score`` and ``rerank_rank``, the best ``rerank_size``.
 
     Scores come as a table (question_id, index, score) keyed by the candidate's place in
-    the pool, or as an expression.  Empty texts are dropped first, scores are held to 0
+    the pool, as an expression, or from a ``scorer`` of batches.  Empty texts are dropped first, scores are held to 0
     to 1, places out of range match nothing, and a question without any score keeps its
     retrieval order.
     """
     w = Window.partitionBy("question_id").orderBy("pool_rank")
     rows = pool.where(T.stripped("text") != "").withColumn("index", F.row_number().over(w) - 1)
-    if scores is None:
+    if scorer is not None:
+        rows = rows.withColumn("_s", scored_by(scorer, "question", "text"))
+    elif scores is None:
         rows = rows.withColumn("_s", score if score is not None else lexical_score("question", "text"))
     else:
         rows = rows.join(scores.select("question_id", "index", F.col("score").alias("_s")), ["question_id", "index"], "left")

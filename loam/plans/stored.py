@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..operators import frontier, index
-from ..sources import tables
+from ..operators import evaluate, frontier, index, pages, retrieval
+from ..sources import datasets, tables
 from ..storage import scratch_dir
-from .base import big, query, r6, read
-from .queries import _LINK
+from .base import SQL_CONTENT, SQL_GATE, SQL_INNER_TEXT, big, query, r6, read, sql_grams
+from .queries import _LINK, _results
 
 
 def _path(spark, name: str) -> str:
@@ -85,3 +85,82 @@ def site_crawl(spark, d):
     starts = p.where("page_id % 40 < 10").select(url.alias("start_url"))
     visited, _ = frontier.crawl(starts, found.select("url", href.alias("href"), "pos"), depth=5)
     return visited.select("start_url", "url", big("depth").alias("depth"), "parent")
+
+
+# -- scorers, stored results, pages in SQL ---------------------------------------------
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, text, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations),
+    q AS (SELECT *, list_distinct({SQL_CONTENT.format('asked')}) AS q, {SQL_CONTENT.format('text')} AS a FROM t WHERE turn > 0 AND trim(text, E' \n\t\r') != ''),
+    s AS (SELECT conv_id, turn, CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q) ELSE 0 END AS score FROM q)
+    SELECT conv_id AS question_id, turn, round(score, 6)::DOUBLE AS rerank_score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS rerank_rank
+    FROM s QUALIFY rerank_rank <= 6"""
+)
+def rerank_by_scorer(spark, d):
+    """The later turns of each conversation as candidates for its first, scored by a scorer of batches."""
+    rows = read(spark, d, "conversations")
+    w = retrieval.Window.partitionBy("conv_id").orderBy("turn")
+    pool = rows.select(
+        F.col("conv_id").alias("question_id"), "turn", "text", F.first("text").over(w).alias("question"),
+        F.col("turn").alias("pool_rank"), F.lit(0.0).alias("score"),
+    ).where("turn > 0")
+    out = retrieval.rerank(pool, scorer=retrieval.LexicalScorer())
+    return out.select("question_id", "turn", r6("rerank_score").alias("rerank_score"), big("rerank_rank").alias("rerank_rank"))
+
+
+@query(
+    """SELECT d.source AS run_id, d.doc_id AS question_id, d.n_chars AS latency_ms, quality::DOUBLE AS recall_at_5, b.item_id IS NOT NULL AS known, b.text AS question
+    FROM documents d JOIN labels USING (doc_id) LEFT JOIN benchmark b ON b.item_id = d.doc_id"""
+)
+def stored_results_with_gold(spark, d):
+    """Results of runs and questions, both stored in buckets of the question, joined where they lie."""
+    results = _results(spark, d).withColumnRenamed("doc_id", "question_id").drop("category", "is_unsupported")
+    gold = read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit(True).alias("in_set"))
+    stored = [
+        datasets.save_bucketed(rows, f"loam_{name}_{uuid.uuid4().hex}", "question_id", _path(spark, name), 16)
+        for name, rows in (("results", results), ("gold", gold))
+    ]
+    out = evaluate.results_with_gold(*stored)
+    return out.select("run_id", "question_id", "latency_ms", "recall_at_5", F.col("in_set").isNotNull().alias("known"), "question")
+
+
+_H1 = SQL_INNER_TEXT.format(r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1)")
+
+
+@query(
+    f"""SELECT page_id, count(*) FILTER (h != '') AS n_headings, nullif(any_value(h), '') AS heading FROM (SELECT page_id, {_H1} AS h FROM pages) GROUP BY 1"""
+)
+def headings_in_sql(spark, d):
+    """Blocks of every page by the table function, in a LATERAL join of SQL."""
+    name = pages.register_blocks(spark)
+    read(spark, d, "pages").createOrReplaceTempView("loam_pages")
+    return spark.sql(
+        f"""SELECT page_id, count_if(block_type = 'heading') AS n_headings, max(CASE WHEN block_type = 'heading' THEN text END) AS heading
+        FROM loam_pages LEFT JOIN LATERAL {name}(html) GROUP BY page_id"""
+    )
+
+
+@query("SELECT c_custkey::VARCHAR AS source_id, c_name AS name, NULL::VARCHAR AS scope_prefix, (c_custkey % 3 = 0) AS enabled FROM customer")
+def registry_read(spark, d):
+    """A registry table written with some of its columns and read with all that are declared."""
+    root = _path(spark, "registry")
+    rows = read(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("source_id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 3 == 0).alias("enabled")
+    )
+    rows.write.parquet(f"{root}/sources")
+    return datasets.read_table(spark, root, "sources").select("source_id", "name", "scope_prefix", "enabled")
+
+
+_TYPE = "CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'Text/HTML; charset=utf-8' WHEN 3 THEN ' application/xhtml+xml' ELSE 'text/html' END"
+
+
+@query(
+    sql_grams(f"(SELECT page_id, {SQL_INNER_TEXT.format('html')} AS text FROM pages)", "page_id")
+    + f"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'missing_content_type' WHEN page_id % 5 = 1 THEN 'non_html_content_type' ELSE {SQL_GATE} END AS reject_reason
+    FROM (SELECT page_id, {SQL_INNER_TEXT.format('html')} AS text FROM pages) LEFT JOIN s USING (page_id)"""
+)
+def typed_page_gate(spark, d):
+    """The gate with content types, before the rules of the text."""
+    rows = read(spark, d, "pages").select("page_id", pages.T.inner_text(F.col("html")).alias("text"), F.expr(_TYPE).alias("content_type"))
+    return pages.page_gate(rows, content_type="content_type").select("page_id", "reject_reason")

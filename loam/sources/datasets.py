@@ -123,6 +123,13 @@ def append_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def save_bucketed(rows: DataFrame, table: str, key: str, path: str, buckets: int = 64) -> DataFrame:
+    """Rows written to ``path`` in buckets of ``key``, sorted in each, as a table of the session.  Tables with
+    equal buckets are joined on the key without a shuffle."""
+    rows.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).mode("overwrite").saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def append_logs(logs: DataFrame, path: str) -> None:
     logs.withColumn("log_date", F.to_date("created_at")).write.mode("append").partitionBy("log_date").parquet(path)
 

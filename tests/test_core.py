@@ -299,6 +299,67 @@ def test_partitions_are_dropped(spark, tmp_path):
     assert read.count() == 200 and "PartitionFilters: [isnotnull" in read.where("namespace = 'n 2'")._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><div><nav><a>Home</a></div><h1>T</h1><p>x</p>", [("heading", 1, "T"), ("p", 0, "x")]),
+        ("<body><form><main><h1>T</h1><p>x</p></main><p>mail?</p></form>", [("heading", 1, "T"), ("p", 0, "x")]),
+        ("<body><header>Site</header><article><header><h1>T</h1></header><p>x</p></article>", [("heading", 1, "T"), ("p", 0, "x")]),
+        ("<body><p>x</p><!-- never closed <p>y</p>", [("p", 0, "x")]),
+        ("<body><aside><article><p>teaser</p></article></aside><p>x</p>", [("p", 0, "x")]),
+        # headings that the walk skips: the plain walk takes them
+        ("<body><form><h2>A</h2><p>x</p><ul><li>1<li>2</ul></form><footer><h2>F</h2></footer>", [("heading", 2, "A"), ("p", 0, "x"), ("list", 0, "1\n2")]),
+        ("<body><nav><h2>Menu</h2></nav><p>x</p>", [("p", 0, "x")]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_page_blocks(page, want):
+    assert pages.page_blocks(page) == want
+
+
+def test_blocks_in_sql(spark):
+    name = pages.register_blocks(spark)
+    spark.createDataFrame([(1, "<h1>T</h1><p>a</p>"), (2, None)], "id int, html string").createOrReplaceTempView("some_pages")
+    got = spark.sql(f"SELECT id, b.* FROM some_pages, LATERAL {name}(html) b ORDER BY id, pos").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "heading", 1, "T"), (1, 1, "p", 0, "a")]
+
+
+def test_scorer_of_batches(spark):
+    class Counting:
+        """A scorer that has to be set up, and gives longer texts more."""
+
+        def setup(self):
+            self.most = 100
+
+        def score(self, questions, texts):
+            assert len(questions) == len(texts) <= 2
+            return [len(t) / self.most for t in texts]
+
+    texts = ["a" * n for n in (5, 50, 20, 0, 300)] + [None]
+    pool = spark.createDataFrame([("q", i + 1, t, "why?", 0.5) for i, t in enumerate(texts)], "question_id string, pool_rank int, text string, question string, score double")
+    got = retrieval.rerank(pool.withColumn("s", retrieval.scored_by(Counting(), "question", "text", batch=2)), score=F.col("s")).collect()
+    assert [(r.pool_rank, r.rerank_score) for r in sorted(got, key=lambda r: r.rerank_rank)] == [(5, 1.0), (2, 0.5), (3, 0.2), (1, 0.05)]
+    words = spark.createDataFrame([("q", 1, "The red cat", "red cats, red dog", 0.1)], pool.schema)
+    assert retrieval.rerank(words, scorer=retrieval.LexicalScorer()).first().rerank_score == pytest.approx(1 / 3)
+
+
+def test_stored_results_meet_their_questions_without_a_shuffle(spark, tmp_path):
+    results = spark.createDataFrame([("r", i % 40, float(i)) for i in range(200)], "run_id string, question_id int, mrr double")
+    gold = spark.createDataFrame([(i, f"q{i}") for i in range(30)], "question_id int, question string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        a = datasets.save_bucketed(results, "some_results", "question_id", f"{tmp_path}/results", 8)
+        b = datasets.save_bucketed(gold, "some_gold", "question_id", f"{tmp_path}/gold", 8)
+        out = evaluate.results_with_gold(a, b)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 200 and all((r.question is None) == (r.question_id >= 30) for r in rows)
+
+
 def test_index(spark, tmp_path):
     import numpy as np
 
