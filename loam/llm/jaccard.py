@@ -10,7 +10,9 @@ fragments.  Nothing is estimated: the result is the one of comparing all pairs.
 Of the sets with one indexed n-gram, a few are compared all with all.  Many are first
 compared with one of them; what links so is one component, and after that only sets of
 different components meet, so that a large group of near copies costs a few comparisons
-for each of them.
+for each of them.  Where that would still be many pairs for each set, as with an n-gram that
+many unlike documents share, sets meet only by two n-grams: the first two that two linked
+sets share both stand among their first ones, if one more is indexed.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ BUCKETS = 1 << 16
 FRAGMENTS = 8
 #: sets with one indexed n-gram that are compared all with all at once
 FEW = 64
+#: pairs for each set with one n-gram from which on two n-grams are asked for
+CROWD = 64
 #: bits of the filter that keeps texts not asked for from being sent; a fixed size, and
 #: what passes it wrongly is sorted out by the join behind it
 FILTER_BITS = 1 << 22
@@ -169,6 +173,38 @@ def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.where("overlap >= needed").select("a", "b")
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Keys (``crowded``) of rows (key, component) with many pairs of different components for each row."""
+    n = rows.groupBy("key", "component").agg(F.count("*").cast("double").alias("n")).groupBy("key")
+    n = n.agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return n.select("key", (F.col("all") * F.col("all") - F.col("squares") > 2 * CROWD * F.col("all")).alias("crowded"))
+
+
+def _meeting(many: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x`` and ``y`` of the many sets (key, own, component) that may link, of different components:
+    by their n-gram, or, where that is a crowd, by it and a later one of ``shared``."""
+    many = many.join(written(_crowded(many), "crowded").hint("merge"), "key")
+    plain = many.where("NOT crowded").select("key", "own", "component", F.lit(None).cast("long").alias("next"))
+    later = shared.select(F.col("node").alias("_node"), F.col("key").alias("_key"), F.col("place").alias("next"))
+    crowd = many.where("crowded")
+    both = (F.col("own.node") == F.col("_node")) & (F.col("next") > F.col("own.place"))
+    twos = crowd.join(later.hint("merge"), both).select(F.xxhash64("key", "_key").alias("key"), "own", "component", "next")
+    twos = written(twos, "twos")
+    open_ = twos.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("another"))
+    twos = twos.join(open_.where("one != another").select("key").hint("merge"), "key")
+
+    def met(rows: DataFrame, seen: int) -> DataFrame:
+        x, y = (rows.select("key", F.col("own").alias(k), F.col("component").alias(f"c{k}"), F.col("next").alias(f"n{k}")) for k in "xy")
+        pairs = x.join(y.hint("merge"), "key").where("cx != cy AND x.node > y.node").where(_may_link("x", "y", percent))
+        if seen == 1:
+            return pairs.select("x", "y")
+        # two are shared, and so many are left in both behind the second
+        left = F.least(F.col("x.size") - F.col("nx"), F.col("y.size") - F.col("ny")) + 1
+        return pairs.where(left >= needed("x.size", "y.size", percent)).select("x", "y")
+
+    return met(plain, 1).unionByName(met(twos, 2))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text; others are ignored) to ``doc_id``, ``text_hash``,
     ``n_shingles``, ``component_id`` and ``first_hash``, one row per row.
@@ -206,7 +242,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     order = docs.sparkSession.sparkContext.broadcast(fragment_cuts(counts))  # a fixed size
     sets = sets.where("bucket IS NULL").drop("bucket", "count")
 
-    # the first n-grams of each set, as far as two sets share them
+    # the first n-grams of each set and one more, as far as two sets share them
     def emit(batch: dict) -> Iterator[tuple]:
         rank, _ = order.value
         seen, found = set(), []
@@ -214,7 +250,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             node = _node(s)
             if len(s) and node not in seen:
                 seen.add(node)
-                found.append((node, len(s), np.sort(ordered(s, rank))[: prefix_size(len(s), percent)]))
+                found.append((node, len(s), np.sort(ordered(s, rank))[: prefix_size(len(s), percent) + 1]))
         if found:
             many = [len(p) for *_, p in found]
             yield np.concatenate([p for *_, p in found]).view(np.int64), [
@@ -271,11 +307,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # a few sets with the same n-gram: all pairs; many: each with one, the set that has the
     # fewest n-grams before it in the order, so the fewest of its own: of copies the least changed
-    many = shared.where("many").select("key", F.struct("place", "node", "size").alias("own")).distinct()
+    first_ones = shared.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)))
+    many = first_ones.where("many").select("key", F.struct("place", "node", "size").alias("own")).distinct()
     low = written(many.groupBy("key").agg(F.min("own").alias("low")), "low")
     stars = many.join(low.hint("merge"), "key").where("own.node != low.node").where(_may_link("own", "low", percent))
-    apart = shared.where("many").groupBy("node").agg(F.count("*").alias("n"))
-    pairs = _near(shared.where("NOT many"), apart, percent).union(_pairs(stars, "own", "low")).distinct()
+    apart = first_ones.where("many").groupBy("node").agg(F.count("*").alias("n"))
+    pairs = _near(first_ones.where("NOT many"), apart, percent).union(_pairs(stars, "own", "low")).distinct()
     pairs = written(pairs, "pairs")
     links = written(linked(pairs, segments(pairs), percent), "links")
 
@@ -285,9 +322,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         many = written(many.select("key", "own", F.coalesce("component", "own.node").alias("component")), "many")
         open_ = many.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("another"))
         many = written(many.join(written(open_.where("one != another").select("key"), "open").hint("merge"), "key"), "many")
-        x, y = (many.select("key", F.col("own").alias(k), F.col("component").alias(f"c{k}")) for k in "xy")
-        meet = x.join(y.hint("merge"), "key").where("cx != cy AND x.node > y.node").where(_may_link("x", "y", percent))
-        rest = written(_pairs(meet, "x", "y").join(pairs, list(PAIRS), "left_anti"), "rest")
+        rest = _meeting(many, shared, percent)
+        rest = written(_pairs(rest, "x", "y").join(pairs, list(PAIRS), "left_anti"), "rest")
         links = links.union(written(linked(rest, segments(rest), percent), "links"))
     discard(shared)
 

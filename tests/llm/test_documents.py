@@ -173,11 +173,13 @@ def test_jaccard(docs, rows, none, n, percent):
     assert jaccard.jaccard_components(none).count() == 0
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_jaccard_families(monkeypatch, spark, n, percent):
+@pytest.mark.parametrize("n,percent,crowd,few", [(3, 90, 64, 64), (5, 80, 64, 64), (3, 90, 0, 2), (5, 80, 0, 2), (5, 80, 1, 4)])
+def test_jaccard_families(monkeypatch, spark, n, percent, crowd, few):
     """Families of copies with more and more words replaced, at and around the threshold,
     and texts that share a passage: the result is that of comparing all, and the pairs
     that are compared stay near those that link."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "FEW", few)
     rng = random.Random(n)
     say = lambda k: [f"w{rng.randrange(4000)}" for _ in range(k)]
     passage, texts = say(40), {}
@@ -202,6 +204,24 @@ def test_jaccard_families(monkeypatch, spark, n, percent):
     assert len(set(want.values())) > 60 and sum(compared) < 2 * links
 
 
+def test_jaccard_of_a_crowd(monkeypatch, spark):
+    """Thousands of unlike texts with one n-gram in common, which the order puts first: no pair but the few
+    near copies among them is compared."""
+    rng = random.Random(9)
+    texts = {k: "all have this in common " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(12)) for k in range(3000)}
+    for k in range(0, 30, 3):
+        texts[3000 + k] = texts[k] + " more"
+    frequent_first = lambda counts, real=jaccard.fragment_cuts: (len(counts) - 1 - real(counts)[0], real(counts)[1])
+    monkeypatch.setattr(jaccard, "fragment_cuts", frequent_first)
+    compared = []
+    count = jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, *a: compared.append(pairs.count()) or count(pairs, *a))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, 5, 80).collect()}
+    assert got == {k: k - 3000 if k >= 3000 else k for k in texts}
+    assert sum(compared) < 2 * len(texts)
+
+
 def test_jaccard_compares_little(monkeypatch, spark):
     compared, found = [], []
     count = jaccard.linked
