@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,11 +38,11 @@ IPV4_CLASSES = (
     ("private_range", "240.0.0.0", "255.255.255.255"),
 )
 IPV6_CLASSES = (
-    ("unspecified", "^(::|0(:0){7})$"),
-    ("loopback", "^(::1|0(:0){6}:1)$"),
-    ("link_local", "^fe[89ab][0-9a-f]:"),
-    ("multicast", "^ff[0-9a-f]{2}:"),
-    ("private_range", "^(f[cd][0-9a-f]{2}:|2001:db8:)"),
+    ("unspecified", "^0{4}(:0{4}){7}$"),
+    ("loopback", "^0{4}(:0{4}){6}:0001$"),
+    ("link_local", "^fe[89ab]"),
+    ("multicast", "^ff"),
+    ("private_range", "^(f[cd]|2001:0db8:)"),
 )
 PRODUCT_BY_PATH = (
     ("/confluence-cloud/", "confluence"),
@@ -111,18 +113,46 @@ def _number(address: str) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
+def ipv6_groups(text: Column) -> Column:
+    """The eight groups of four digits of an IPv6 address, in lower case, or null: ``::`` is filled up,
+    and an IPv4 address at its end is two groups."""
+    text = F.lower(F.regexp_replace(text, "%.*$", ""))  # without a zone
+    tail = ipv4_number(F.regexp_extract(text, r":(\d+(?:\.\d+){3})$", 1))
+    hexes = lambda n: F.lower(F.hex(n))
+    as_hex = F.concat(hexes(F.shiftright(tail, 16)), F.lit(":"), hexes(tail % 65536))
+    text = F.when(tail.isNotNull(), F.concat(F.regexp_extract(text, r"^(.*:)[\d.]+$", 1), as_hex)).otherwise(text)
+    of = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    halves = F.split(text, "::")
+    left, right = of(halves[0]), F.coalesce(of(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+    gap = 8 - F.size(left) - F.size(right)
+    short = (F.size(halves) == 2) & (gap >= 1)
+    whole = (F.size(halves) == 1) & (gap == 0) & ~text.rlike("^:|:$")
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
+    padded = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")
+    return F.when(text.rlike("^[0-9a-f:]+$") & F.contains(text, F.lit(":")) & (short | whole) & F.forall(groups, lambda g: F.length(g) <= 4), padded)
+
+
 def ip_class(host_: Column | str) -> Column:
-    """Why a literal address is refused, or null for names and public addresses."""
+    """Why a literal address is refused, or null for names and public addresses.  However an IPv6 address
+    is written, and where it stands for an IPv4 address, that one's class counts."""
     host_ = _c(host_)
-    four = ipv4_number(host_)
-    out = F.when(host_.isin(*METADATA_ADDRESSES), "cloud_metadata")
+    six = ipv6_groups(host_)
+    mapped = F.regexp_extract(six, "^(?:0{4}:){5}ffff:(.{4}:.{4})$", 1)
+    inner = F.when(mapped != "", F.conv(F.replace(mapped, F.lit(":")), 16, 10).cast("long"))
+    four = F.coalesce(ipv4_number(host_), inner)
+    metadata = [_number(a) for a in METADATA_ADDRESSES if ":" not in a]
+    out = F.when(four.isin(*metadata) | six.isin(*[_full(a) for a in METADATA_ADDRESSES if ":" in a]), "cloud_metadata")
     for name, low, high in IPV4_CLASSES:
         out = out.when(four.between(_number(low), _number(high)), name)
     for name, pattern in IPV6_CLASSES:
-        out = out.when(F.contains(host_, F.lit(":")) & host_.rlike(pattern), name)
+        out = out.when(six.rlike(pattern), name)
     return out
 
 
+def _full(address: str) -> str:
+    return ipaddress.IPv6Address(address).exploded
+
+
 def admissibility(url: Column | str, allowed: Column | str) -> Column:
     """The first reason to refuse a URL, or null; ``allowed`` is an array of hosts."""
     url = _c(url)

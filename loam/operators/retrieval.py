@@ -412,8 +412,9 @@ def near_duplicate_pairs(texts: DataFrame, group: str, key: str, threshold: floa
     ``threshold``: ``group``, ``a``, ``b``, the least keys of either text, and ``jaccard``.
 
     Sets are joined on their trigrams, rarest first: a pair over the threshold shares one
-    of the first n - ceil(threshold n) + 1 of them, so only those are exploded.  Groups
-    and keys that are null take no part.
+    of the first n - ceil(threshold n) + 1 of them, so only those are exploded.  Sets of sizes
+    too far apart are no pair, nor are those that the shared trigram leaves too little behind its
+    places, were it the first they share.  Groups and keys that are null take no part.
     """
     some = texts.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col("text").isNotNull())
     some = some.groupBy(F.col(group).alias("grp"), "text").agg(F.min(key).alias("key"))
@@ -423,9 +424,12 @@ def near_duplicate_pairs(texts: DataFrame, group: str, key: str, threshold: floa
     sets = ordered.select("grp", "key", F.transform("s", lambda x: x["g"]).alias("grams"))
     n = F.size("grams")
     prefix = F.slice("grams", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)
-    keyed = sets.select("grp", "key", F.explode(prefix).alias("g"), n.alias("n"))
+    keyed = sets.select("grp", "key", F.posexplode(prefix).alias("p", "g"), n.alias("n"))
     a, b = keyed.alias("a"), keyed.alias("b")
     near = F.expr("a.grp = b.grp AND a.g = b.g AND a.key < b.key") & (F.least("a.n", "b.n") > threshold * F.greatest("a.n", "b.n"))
+    # a Jaccard over the threshold is an overlap over this
+    overlap = (F.col("a.n") + F.col("b.n")) * threshold / (1 + threshold)
+    near = near & (F.least(F.expr("a.n - a.p"), F.expr("b.n - b.p")) > overlap - 1e-9)
     pairs = a.join(b, near).select("a.grp", F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     one = sets.select("grp", F.col("key").alias("a"), F.col("grams").alias("ga"))
     two = sets.select("grp", F.col("key").alias("b"), F.col("grams").alias("gb"))

@@ -299,6 +299,27 @@ def test_partitions_are_dropped(spark, tmp_path):
     assert read.count() == 200 and "PartitionFilters: [isnotnull" in read.where("namespace = 'n 2'")._jdf.queryExecution().toString()
 
 
+def test_addresses_however_they_are_written(spark):
+    import ipaddress
+
+    hosts = ["::1", "0::1", "0:0:0:0:0:0:0:1", "::", "0::0", "::ffff:10.0.0.1", "::ffff:a00:1", "0:0:0:0:0:ffff:7f00:1", "::ffff:8.8.8.8", "fe80::1", "FEBF::9", "ff02::1"]
+    hosts += ["fd00:ec2::254", "fd00:0ec2:0::254", "fc00::", "2001:db8::5", "2001:0db8:0:0:0:0:0:5", "2001:4860:4860::8888", "10.0.0.1", "8.8.8.8", "example.com", "a:b", ":::", "1::2::3", "12345::"]
+    hosts += ["::ffff:169.254.169.254", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8"]
+    got = column(spark, [(h,) for h in hosts], "h string", F.struct(U.ipv6_groups(F.col("h")), U.ip_class("h")))
+    for h, (groups, kind) in zip(hosts, got):
+        try:
+            a = ipaddress.ip_address(h.lower())
+        except ValueError:
+            assert (groups, kind) == (None, None), h
+            continue
+        assert groups == (":".join(a.packed.hex()[i : i + 4] for i in range(0, 32, 4)) if a.version == 6 else None), h
+        inner = a.ipv4_mapped or a if a.version == 6 else a
+        refused = not inner.is_global or inner.is_multicast
+        assert (kind is not None) == refused, (h, kind)
+    kinds = dict(zip(hosts, (k for _, k in got)))
+    assert kinds["::ffff:169.254.169.254"] == kinds["fd00:0ec2:0::254"] == "cloud_metadata" and kinds["::ffff:a00:1"] == "private_range" and kinds["0::1"] == "loopback"
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
