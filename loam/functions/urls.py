@@ -126,10 +126,11 @@ def ipv6_groups(text: Column) -> Column:
     left, right = of(halves[0]), F.coalesce(of(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
     gap = 8 - F.size(left) - F.size(right)
     short = (F.size(halves) == 2) & (gap >= 1)
-    whole = (F.size(halves) == 1) & (gap == 0) & ~text.rlike("^:|:$")
+    whole = (F.size(halves) == 1) & (gap == 0)
     groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
     padded = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")
-    return F.when(text.rlike("^[0-9a-f:]+$") & F.contains(text, F.lit(":")) & (short | whole) & F.forall(groups, lambda g: F.length(g) <= 4), padded)
+    plain = text.rlike("^[0-9a-f:]+$") & F.contains(text, F.lit(":")) & ~text.rlike(":::|^:[^:]|[^:]:$")
+    return F.when(plain & (short | whole) & F.forall(groups, lambda g: F.length(g) <= 4), padded)
 
 
 def ip_class(host_: Column | str) -> Column:

@@ -64,6 +64,10 @@ def bad_transitions(history: DataFrame) -> DataFrame:
 
 def _one_per_key(rows: DataFrame, key: list[str], *first: Column) -> DataFrame:
     """Of the rows with one key one, by ``first`` and then by all they hold as text."""
+    if not first:  # a grouped minimum, of which each task sends one row for each key
+        return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(
+            F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*rows.columns))).alias("_row")
+        ).select("_row.*")
     w = Window.partitionBy(*key).orderBy(*first, F.to_json(F.struct(*rows.columns)))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -259,18 +263,27 @@ def corpus_totals(sources: DataFrame, documents: DataFrame, units: DataFrame) ->
 
 
 def latest_per(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(tie).desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Of each key the row with the greatest ``at``, and of those the greatest ``tie``."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(at, tie)).alias("_row")
+    return rows.groupBy(F.col(key).alias("_key")).agg(last).select("_row.*")
 
 
-def listing(rows: DataFrame, at: str, tie: str, offset: int, limit: int, ascending: bool = False, **equals) -> tuple[DataFrame, DataFrame]:
+def listing(
+    rows: DataFrame, at: str, tie: str, offset: int, limit: int, ascending: bool = False, after: tuple | None = None, **equals
+) -> tuple[DataFrame, DataFrame]:
     """One page of the rows that match, newest first or in ascending order, and how many
-    match in all."""
+    match in all.  ``after`` is the (at, tie) of the row that the page follows: with it, and an offset of
+    0, a page far down costs a filter and the rows of the page, not a sort of all before it."""
     for name, value in equals.items():
         if value is not None:
             rows = rows.where(F.col(name) == value)
     order = [F.col(c).asc() if ascending else F.col(c).desc() for c in (at, tie)]
-    return rows.orderBy(*order).offset(offset).limit(limit), rows.agg(F.count("*").alias("total"))
+    page = rows
+    if after is not None:
+        beyond = (lambda c, v: F.col(c) > F.lit(v)) if ascending else (lambda c, v: F.col(c) < F.lit(v))
+        page = rows.where(beyond(at, after[0]) | (F.col(at) == F.lit(after[0])) & beyond(tie, after[1]))
+    page = page.orderBy(*order)
+    return (page.offset(offset) if offset else page).limit(limit), rows.agg(F.count("*").alias("total"))
 
 
 def source_documents(documents: DataFrame, source_id, include_deleted: bool = False) -> DataFrame:

@@ -303,7 +303,7 @@ def test_addresses_however_they_are_written(spark):
     import ipaddress
 
     hosts = ["::1", "0::1", "0:0:0:0:0:0:0:1", "::", "0::0", "::ffff:10.0.0.1", "::ffff:a00:1", "0:0:0:0:0:ffff:7f00:1", "::ffff:8.8.8.8", "fe80::1", "FEBF::9", "ff02::1"]
-    hosts += ["fd00:ec2::254", "fd00:0ec2:0::254", "fc00::", "2001:db8::5", "2001:0db8:0:0:0:0:0:5", "2001:4860:4860::8888", "10.0.0.1", "8.8.8.8", "example.com", "a:b", ":::", "1::2::3", "12345::"]
+    hosts += ["fd00:ec2::254", "fd00:0ec2:0::254", "fc00::", "2001:db8::5", "2001:0db8:0:0:0:0:0:5", "2001:4860:4860::8888", "10.0.0.1", "8.8.8.8", "example.com", "a:b", ":::", "1::2::3", "12345::", ":1::2", "1::2:", "1:::2"]
     hosts += ["::ffff:169.254.169.254", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8"]
     got = column(spark, [(h,) for h in hosts], "h string", F.struct(U.ipv6_groups(F.col("h")), U.ip_class("h")))
     for h, (groups, kind) in zip(hosts, got):
@@ -666,6 +666,34 @@ def test_ingest_stream_in_versions(spark, tmp_path):
     assert {u.document_id for u in units.collect()} == {"1", "3", "4"} and units.where("document_id = '3' AND NOT contains(text, 'stones again')").count() == 0
 
 
+def test_grades_in_sql(spark):
+    """Claims, coverage and faithfulness by the SQL functions are those of the expressions."""
+    from loam.functions import sql
+
+    sql.register(spark)
+    answers = ["The token rotates every ninety days by default. [E1] Administrators can change the rotation period in settings! [1] [E2] Nothing else.", "", None, " Too short. ", "Rotation of tokens happens automatically\nwithout any downtime for users. [2]"]
+    quotes = [["token rotates every ninety days", "period in settings for administrators"], [], None, ["x"], ["Tokens: rotation happens automatically, users see no downtime"]]
+    topics = [["rotation period", "ninety days"], ["x"], None, ["token rotates"], ["downtime"]]
+    rows = [(i, a, q, t) for i, (a, q, t) in enumerate(zip(answers, quotes, topics))]
+    df = spark.createDataFrame(rows, "i int, a string, q array<string>, t array<string>")
+    df.createOrReplaceTempView("some_answers")
+    got = spark.sql("SELECT i, loam_claims(a) AS c, loam_claim_coverage(t, a) AS v, loam_faithfulness(a, q) AS f FROM some_answers ORDER BY i").collect()
+    want = df.select("i", T.substantive_sentences("a"), T.claim_coverage("t", "a"), T.faithfulness("a", "q")).orderBy("i").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert got[0].f == 1.0 and len(got[0].c) == 2 and got[4].f == 1.0
+
+
+def test_listing_by_seek(spark):
+    rows = spark.createDataFrame([(i, i % 7) for i in range(50)], "id int, at int")
+    for ascending in (False, True):
+        want = [(r.at, r.id) for r in registry.listing(rows, "at", "id", 0, 50, ascending)[0].collect()]
+        got, after = [], None
+        while page := [(r.at, r.id) for r in registry.listing(rows, "at", "id", 0, 8, ascending, after=after)[0].collect()]:
+            got += page
+            after = page[-1]
+        assert got == want and len(got) == 50
+
+
 def test_sql_functions(spark):
     from loam.functions import sql
 
