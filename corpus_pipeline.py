@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import decontaminate, jaccard, lines, packing, quality
-from loam.llm.common import table, written
+from loam.llm.common import discard, table, written
 
 
 def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -84,7 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)  # all that was needed of it is in the new one
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
