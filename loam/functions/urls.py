@@ -113,41 +113,62 @@ def _number(address: str) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, the value being computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def ipv6_groups(text: Column) -> Column:
     """The eight groups of four digits of an IPv6 address, in lower case, or null: ``::`` is filled up,
     and an IPv4 address at its end is two groups."""
-    text = F.lower(F.regexp_replace(text, "%.*$", ""))  # without a zone
-    tail = ipv4_number(F.regexp_extract(text, r":(\d+(?:\.\d+){3})$", 1))
-    hexes = lambda n: F.lower(F.hex(n))
-    as_hex = F.concat(hexes(F.shiftright(tail, 16)), F.lit(":"), hexes(tail % 65536))
-    text = F.when(tail.isNotNull(), F.concat(F.regexp_extract(text, r"^(.*:)[\d.]+$", 1), as_hex)).otherwise(text)
-    of = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
-    halves = F.split(text, "::")
-    left, right = of(halves[0]), F.coalesce(of(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
-    gap = 8 - F.size(left) - F.size(right)
-    short = (F.size(halves) == 2) & (gap >= 1)
-    whole = (F.size(halves) == 1) & (gap == 0)
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-    padded = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")
-    plain = text.rlike("^[0-9a-f:]+$") & F.contains(text, F.lit(":")) & ~text.rlike(":::|^:[^:]|[^:]:$")
-    return F.when(plain & (short | whole) & F.forall(groups, lambda g: F.length(g) <= 4), padded)
+
+    def without_tail(t: Column) -> Column:
+        hexes = lambda n: F.lower(F.hex(n))
+        start = F.regexp_extract(t, r"^(.*:)[\d.]+$", 1)
+        joined = lambda n: F.when(n.isNotNull(), F.concat(start, hexes(F.shiftright(n, 16)), F.lit(":"), hexes(n % 65536))).otherwise(t)
+        return F.when(F.contains(t, F.lit(".")), _let(ipv4_number(F.regexp_extract(t, r":(\d+(?:\.\d+){3})$", 1)), joined)).otherwise(t)
+
+    def filled(t: Column) -> Column:
+        of = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+        halves = lambda h: F.struct(of(h[0]).alias("l"), F.coalesce(of(F.get(h, F.lit(1))), F.array().cast("array<string>")).alias("r"), F.size(h).alias("n"))
+        return _let(_let(F.split(t, "::"), halves), padded)
+
+    def padded(h: Column) -> Column:
+        gap = 8 - F.size(h["l"]) - F.size(h["r"])
+        right_size = F.when(h["n"] == 2, gap >= 1).otherwise((h["n"] == 1) & (gap == 0))
+        short = lambda part: F.forall(part, lambda g: F.length(g) <= 4)
+        groups = F.concat(h["l"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), h["r"])
+        whole = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")
+        return F.when(right_size & short(h["l"]) & short(h["r"]), whole)
+
+    plain = lambda t: F.when(t.rlike("^[0-9a-f:]+$") & ~t.rlike(":::|^:[^:]|[^:]:$"), filled(t))
+    bare = F.lower(F.regexp_replace(text, "%.*$", ""))  # without a zone
+    return F.when(F.contains(text, F.lit(":")), _let(_let(bare, without_tail), plain))
 
 
 def ip_class(host_: Column | str) -> Column:
     """Why a literal address is refused, or null for names and public addresses.  However an IPv6 address
     is written, and where it stands for an IPv4 address, that one's class counts."""
-    host_ = _c(host_)
-    six = ipv6_groups(host_)
-    mapped = F.regexp_extract(six, "^(?:0{4}:){5}ffff:(.{4}:.{4})$", 1)
-    inner = F.when(mapped != "", F.conv(F.replace(mapped, F.lit(":")), 16, 10).cast("long"))
-    four = F.coalesce(ipv4_number(host_), inner)
     metadata = [_number(a) for a in METADATA_ADDRESSES if ":" not in a]
-    out = F.when(four.isin(*metadata) | six.isin(*[_full(a) for a in METADATA_ADDRESSES if ":" in a]), "cloud_metadata")
-    for name, low, high in IPV4_CLASSES:
-        out = out.when(four.between(_number(low), _number(high)), name)
-    for name, pattern in IPV6_CLASSES:
-        out = out.when(six.rlike(pattern), name)
-    return out
+
+    def by_four(four: Column) -> Column:
+        out = F.when(four.isin(*metadata), "cloud_metadata")
+        for name, low, high in IPV4_CLASSES:
+            out = out.when(four.between(_number(low), _number(high)), name)
+        return out
+
+    def by_six(six: Column) -> Column:
+        mapped = r"^(?:0{4}:){5}ffff:(.{4}:.{4})$"
+        inner = F.conv(F.replace(F.regexp_extract(six, mapped, 1), F.lit(":")), 16, 10).cast("long")
+        out = F.when(six.rlike(mapped), _let(inner, by_four)).when(
+            six.isin(*[_full(a) for a in METADATA_ADDRESSES if ":" in a]), "cloud_metadata"
+        )
+        for name, pattern in IPV6_CLASSES:
+            out = out.when(six.rlike(pattern), name)
+        return out
+
+    host_ = _c(host_)
+    return F.when(F.contains(host_, F.lit(":")), _let(ipv6_groups(host_), by_six)).otherwise(_let(ipv4_number(host_), by_four))
 
 
 def _full(address: str) -> str:

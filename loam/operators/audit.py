@@ -145,6 +145,21 @@ def audit_rows(logs: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFr
     return logs, citations.where(good), citations.where(~good)
 
 
+def numbered(events: DataFrame, key: str, at: str, tie: str, unit: str = "hour") -> DataFrame:
+    """Events with ``number``, their place from 1 in the whole log of their key, by ``at`` and ``tie``.
+
+    Places are found within each unit of time, and what came before a unit is added, so that no task
+    sorts the whole log of a busy key.  Rows without a time come first.
+    """
+    rows = events.withColumn("_unit", F.date_trunc(unit, F.col(at)))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col(key).alias("_key"), F.col("_unit").alias("_of")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_unit").orderBy(at, tie)))
+    same = placed[key].eqNullSafe(counts["_key"]) & placed["_unit"].eqNullSafe(counts["_of"])
+    return placed.join(counts, same).select(*events.columns, (F.col("_before") + F.col("_place")).alias("number"))
+
+
 def event_order(events: DataFrame) -> DataFrame:
     """Events (request_id, sequence, name) to one row per request: ``in_order``, ``n_terminal``
     and ``ok``.  Each event follows the one before it in the order; generation may repeat;

@@ -604,9 +604,8 @@ def run_gate(spark, d):
 )
 def event_order_check(spark, d):
     """A user's whole log as requests of eight events each."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     names = F.array(*[F.lit(n) for n in audit.EVENT_ORDER])
-    rows = read(spark, d, "events").withColumn("n", F.row_number().over(w) - 1)
+    rows = audit.numbered(read(spark, d, "events"), "user_id", "ts", "event_id").withColumn("n", F.col("number") - 1)
     name = F.when(F.col("event_type") == "purchase", "error").otherwise(F.element_at(names, (F.col("n") % 8 + 1).cast("int")))
     request = F.struct("user_id", F.floor(F.col("n") / 8).alias("part")).alias("request_id")
     out = audit.event_order(rows.select(request, (F.col("n") % 8 + 1).alias("sequence"), name.alias("name")))
