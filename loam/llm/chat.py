@@ -115,7 +115,9 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT, in_order: bool
     The joined text is parsed by the template's control strings, which no escaped text
     holds; segments arrive turn by turn, so hashes are fed as they come.  ``in_order``
     says that ``formatted`` comes straight from ``format_conversations``, where the
-    turns of a conversation already follow one another, and spares a shuffle.
+    turns of a conversation already follow one another, and spares a shuffle.  A null
+    conversation is one like others; empty texts and repeated turns are read as they were
+    written; no segments give no rows.
     """
     head, _, tail = template.open.partition("{role}")
     turn = re.compile(
@@ -171,7 +173,12 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT, in_order: bool
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """All conversations and conversation -1, whose texts hold the control strings."""
+    """All conversations and conversation -1, whose texts hold the control strings.
+
+    Null texts and roles are empty; rows without a conversation are one conversation; of turns
+    with one number, and of repeated rows, each counts, by role and text; no rows give
+    conversation -1 alone.
+    """
     spark = turns.sparkSession
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame(
