@@ -8,9 +8,13 @@ import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
@@ -166,34 +170,162 @@ def _top(rows: DataFrame, k: int, query: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_units(queries: DataFrame, units: DataFrame, k: int, constraint: Column | None = None) -> DataFrame:
+#: scores that a task holds at once
+SCORES = 4_000_000
+
+
+def _vectors(column) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of an Arrow column as the rows of a matrix, filled up with zeros, and their lengths: -1 for
+    a vector that is null or holds a null, which is zeros there."""
+    column = column.cast(pa.large_list(pa.float64()))
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy().astype(np.int64)
+    length, flat = np.maximum(size, 0), pc.list_flatten(column)
+    row, place = np.repeat(np.arange(len(size)), length), np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    out = np.zeros((len(size), int(length.max(initial=0))))
+    out[row, place] = flat.to_numpy(zero_copy_only=False)
+    size[row[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    out[size < 0] = 0.0
+    return out, size
+
+
+class _Nearest:
+    """The best ``k`` units of each query of a block, over the batches of a task.
+
+    Matrix products find which units may be among them, as each is off by less than ``slack``; those alone are
+    scored component by component, in order, so that a score does not hang on where its unit stands.
+    """
+
+    def __init__(self, queries, k: int, not_self: bool, match: tuple[str, str] | None):
+        self.queries, self.k, self.not_self, self.match = queries, k, not_self, match
+        self.vectors = _vectors(queries["embedding"])
+        with np.errstate(all="ignore"):
+            self.norms = np.sqrt((self.vectors[0] ** 2).sum(1))
+        self.kth = np.full(len(queries), -np.inf)
+        self.at, self.score, self.rows = np.zeros(0, np.int64), np.zeros(0), None
+
+    def _allowed(self, units, rows: slice) -> np.ndarray | None:
+        """Which units each of these queries may have, if it may not have all."""
+        out = None
+        some = self.queries.slice(rows.start, rows.stop - rows.start)
+        if self.not_self:
+            both = pc.unique(pa.chunked_array([*some["query_id"].chunks, *units["unit_id"].chunks]))
+            a, b = (pc.index_in(c, both).to_numpy() for c in (some["query_id"], units["unit_id"]))
+            # no constraint holds of a null
+            out = (a[:, None] != b[None]) & some["query_id"].is_valid().to_numpy()[:, None] & units["unit_id"].is_valid().to_numpy()[None]
+        if self.match:
+            want, got = some[self.match[0]], units[self.match[1]].cast(some[self.match[0]].type)
+            both = pc.unique(pa.chunked_array([*want.chunks, *got.chunks]))
+            a, b = (pc.index_in(c, both).to_numpy() for c in (want, got))
+            fits = (a[:, None] == b[None]) | want.is_null().to_numpy()[:, None]
+            out = fits if out is None else out & fits
+        return out
+
+    def add(self, units) -> None:
+        x, length = _vectors(units["embedding"])
+        q, asked = self.vectors
+        wide = min(x.shape[1], q.shape[1])  # no longer vectors are of one length
+        with np.errstate(all="ignore"):
+            longest = np.sqrt((x**2).sum(1)).max(initial=0.0)
+        step = max(1, SCORES // max(len(x), 1))
+        for start in range(0, len(q), step):
+            rows = slice(start, min(start + step, len(q)))
+            allowed = self._allowed(units, rows)
+            with np.errstate(all="ignore"):
+                scored = (asked[rows, None] == length[None]) & (length >= 0)[None]
+                near = q[rows, :wide] @ x[:, :wide].T
+                # what is no number or endless is looked at by itself, above all others
+                near[~np.isfinite(near)] = np.inf
+                near[~scored] = -np.inf
+                if allowed is not None:
+                    near[~allowed] = -np.inf
+                slack = 1e-15 * (q.shape[1] + 8) * self.norms[rows] * longest
+                slack = np.where(np.isfinite(slack), slack, np.inf)
+                floor = self.kth[rows] - slack
+                new = np.flatnonzero(~(self.kth[rows] > -np.inf))
+                if len(new) and len(x) > self.k:
+                    floor[new] = np.partition(near[new], -self.k, axis=1)[:, -self.k] - 2 * slack[new]
+                floor[np.isnan(floor)] = -np.inf
+                take = (near >= floor[:, None]) & scored
+            if not scored.all():  # units without a score come last, by their id
+                take |= ~scored
+            if allowed is not None:
+                take &= allowed
+            a, b = np.nonzero(take)
+            if len(a):
+                self._merge(a + start, b, scored[a, b], units, x)
+
+    def _merge(self, a: np.ndarray, b: np.ndarray, scored: np.ndarray, units, x: np.ndarray) -> None:
+        q = self.vectors[0]
+        score = np.zeros(len(a))
+        with np.errstate(all="ignore"):
+            for j in range(min(q.shape[1], x.shape[1])):
+                score += q[a, j] * x[b, j]
+        rows = units.drop_columns("embedding").take(pa.array(b)).append_column("_scored", pa.array(scored))
+        mine = np.isin(self.at, np.unique(a))  # only queries with new units are ranked anew
+        if self.rows is not None:
+            rows, a, score = pa.concat_tables([self.rows, rows]), np.concatenate((self.at, a)), np.concatenate((self.score, score))
+            mine = np.concatenate((mine, np.ones(len(a) - len(mine), bool)))
+        there = rows["_scored"].to_numpy()
+        ids = pc.rank(rows["unit_id"], "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        # a score that is no number is above all others, one that is null below
+        high = np.where(np.isnan(score), np.inf, score)
+        order = np.lexsort((ids, ~np.isnan(score), -high, ~there, a))
+        place = np.arange(len(a)) - np.searchsorted(a[order], a[order])
+        keep = order[place < self.k]
+        self.at, self.score, self.rows = a[keep], score[keep], rows.take(pa.array(keep)).combine_chunks()
+        last = order[place == self.k - 1]
+        self.kth[a[last]] = np.where(there[last], high[last], -np.inf)
+
+    def found(self):
+        if self.rows is None:
+            return
+        mine = self.queries.drop_columns("embedding").take(pa.array(self.at))
+        score = pa.array(self.score, mask=~self.rows["_scored"].to_numpy())
+        rows = self.rows.drop_columns("_scored")
+        names = [*mine.column_names, *rows.column_names, "score"]
+        yield from pa.table([*mine.columns, *rows.columns, score], names=names).to_batches(max_chunksize=10_000)
+
+
+def nearest_units(
+    queries: DataFrame, units: DataFrame, k: int, not_self: bool = False, match: tuple[str, str] | None = None
+) -> DataFrame:
     """Exact top ``k`` units per query by inner product, ties by unit id.
 
     ``queries`` (query_id, embedding, ...) is a stated query set: it is compared with all
-    units in blocks.  A set of at most BROADCAST_ROWS rows and BROADCAST_NUMBERS numbers is
-    broadcast, and every task keeps the best ``k`` per query before the shuffle; a larger
-    one is cut into blocks of that size.  These are searched one after the other, each
-    broadcast to all units, so that the units stay spread over all tasks however many blocks
-    there are; what a block found is written, a table of ``k`` rows per query.
+    units, in blocks of at most BROADCAST_ROWS rows and BROADCAST_NUMBERS numbers.  A block is
+    broadcast, and a task takes the products of it with each batch of its units and keeps the best
+    ``k`` per query.  Blocks are searched one after the other, so that the units stay spread over
+    all tasks however many blocks there are; what a block found is written, a table of ``k`` rows per
+    query and task.
+
+    ``not_self`` leaves out the unit with the query's id.  ``match`` names a column of the queries and one of the
+    units: where the first is not null, only units with an equal second one count.  A vector that is null, has a
+    null in it or another length than the query's gives a null score, which comes last.
     """
-    q = queries.withColumnRenamed("embedding", "_qe")
+    spark = queries.sparkSession
     n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
-    blocks = max(math.ceil(n / BROADCAST_ROWS), math.ceil(numbers / BROADCAST_NUMBERS))
-    dot = F.aggregate(
-        F.zip_with("_qe", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x
-    )
+    blocks = max(math.ceil(n / BROADCAST_ROWS), math.ceil(numbers / BROADCAST_NUMBERS), 1)
+    out = StructType([f for f in (*queries.schema, *units.schema) if f.name != "embedding"]).add("score", "double")
 
     def best(block: DataFrame) -> DataFrame:
-        pairs = units.join(F.broadcast(block), constraint if constraint is not None else F.lit(True))
-        return _top(pairs.withColumn("score", dot), k, "query_id").drop("_qe", "embedding")
+        asked = spark.sparkContext.broadcast(block.toArrow())
+
+        def run(batches: Iterator) -> Iterator:
+            near = _Nearest(asked.value, k, not_self, match)
+            if len(near.queries):
+                for batch in batches:
+                    near.add(pa.Table.from_batches([batch]))
+            yield from near.found()
+
+        return units.mapInArrow(run, out)
 
-    if blocks <= 1:
-        return best(q)
-    to = f"{scratch_dir(queries.sparkSession)}/nearest-{uuid.uuid4().hex}"
+    if blocks == 1:
+        return _top(best(queries), k, "query_id")
+    to = f"{scratch_dir(spark)}/nearest-{uuid.uuid4().hex}"
     for block in range(blocks):
-        found = best(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block))
-        found.write.mode("append").parquet(to)
-    return queries.sparkSession.read.schema(found.schema).parquet(to)
+        best(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).write.mode("append").parquet(to)
+    return _top(spark.read.schema(out).parquet(to), k, "query_id")
 
 
 def widened(filtered: DataFrame, unfiltered: DataFrame, plans: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -131,10 +131,9 @@ def widened_hits(spark, d):
     e = read(spark, d, "embeddings")
     wanted = F.when(F.col("label") % 2 == 0, F.col("label")).alias("filter_product")
     plans = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", wanted, F.lit(None).alias("filter_category"))
-    units = e.select(F.col("vec_id").alias("unit_id"), "embedding", F.col("label").alias("product"))
-    other = F.col("unit_id") != F.col("query_id")
-    fits = F.col("filter_product").isNull() | ((F.col("product") == F.col("filter_product")) & (F.col("unit_id") % 40 == 0))
-    filtered, free = (retrieval.nearest_units(plans, units, 5, c) for c in (other & fits, other))
+    tagged = F.when(F.col("vec_id") % 40 == 0, F.col("label")).alias("tag")
+    units = e.select(F.col("vec_id").alias("unit_id"), "embedding", tagged)
+    filtered, free = (retrieval.nearest_units(plans, units, 5, True, m) for m in (("filter_product", "tag"), None))
     return retrieval.widened(filtered, free, plans).select("query_id", "unit_id", big("rank").alias("rank"), "widened")
 
 

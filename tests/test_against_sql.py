@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from loam.operators import retrieval
 from loam.plans import queries
 
 
@@ -42,7 +43,31 @@ def test_verdicts_of_pages_that_share_a_url(held):
 
 
 def test_stream_of_pages_that_share_a_url(held):
-    text = lambda k: "".join(f"<p>Page {k} says that thing {i} differs from matter {i * k} by {i + k}.</p>" for i in range(40))
+    text = lambda k: "".join(f"<p>Thing{i} of page{k + i} differs{i} from{i * k} others.</p>" for i in range(40))
     pages = [(k, "https://a.example.org/x/1", f"<html><body><h1>T</h1>{text(k)}</body></html>") for k in (1, 2)]
     pages += [(3, None, f"<h1>T</h1>{text(3)}"), (4, "https://a.example.org/x/4", "<p>short</p>")]
     assert len(held("stream_ingest", pages=(pages, PAGES))) == 6
+
+
+VECTORS = "vec_id long, embedding array<float>, label long"
+
+
+def test_nearest_units_of_equal_and_odd_vectors(held, spark):
+    rows = [(i, [float(i % 7) / 3, 0.1 * (i % 3), 1.0], i % 4) for i in range(300)]
+    assert len(held("knn_topk", embeddings=(rows, VECTORS))) == 15
+    vectors = [[1.0, 2.0], None, [1.0, None], [3.0], [float("nan"), 1.0], [float("inf"), 0.0], [0.5, 0.5], [2.0, 2.0]]
+    units = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "unit_id int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (7, None), (9, [2.0])], "query_id int, embedding array<double>")
+    for rows in (units, units.repartition(5)):
+        found = retrieval.nearest_units(asked, rows, 7, not_self=True).orderBy("query_id", "rank").collect()
+        assert [r.unit_id for r in found] == [4, 5, 7, 0, 6, 2, 3, 0, 1, 2, 3, 4, 5, 6, 3, 0, 1, 2, 4, 5, 6]
+        assert [r.score for r in found[1:]] == [float("inf"), 4.0, 3.0, 1.0] + [None] * 9 + [6.0] + [None] * 6
+
+
+def test_widened_hits_take_products(held, spark):
+    rows = [(i, [float(i % 7), float(i % 3)], i % 4 if i % 5 else None) for i in range(400)]
+    assert len(held("widened_hits", embeddings=(rows, VECTORS))) == 20
+    e = spark.createDataFrame(rows, VECTORS)
+    q, u = e.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding"), e.selectExpr("vec_id AS unit_id", "embedding")
+    # products of matrices, not one pair at a time
+    assert "zip_with" not in retrieval.nearest_units(q, u, 5)._jdf.queryExecution().toString()
