@@ -309,7 +309,12 @@ def trigrams(text: Column | str) -> Column:
         parts = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
         return F.when(F.length(s) >= 3, F.array_distinct(parts)).otherwise(F.array(s))
 
-    return let(F.trim(F.regexp_replace(F.lower(_c(text)), r"(?U)\W+", " ")), of)
+    return let(trigram_text(text), of)
+
+
+def trigram_text(text: Column | str) -> Column:
+    """What trigrams are taken from: words in lower case, a space between them."""
+    return F.trim(F.regexp_replace(F.lower(_c(text)), r"(?U)\W+", " "))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

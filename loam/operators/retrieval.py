@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
-from ..storage import scratch_dir
+from ..storage import scratch_dir, written
 from .components import connected_components
 
 # Vocabularies and the names that questions use.
@@ -569,17 +569,140 @@ def near_duplicate_pairs(texts: DataFrame, group: str, key: str, threshold: floa
     return scored.where(F.col("jaccard") > threshold).select(F.col("grp").alias(group), "a", "b", "jaccard")
 
 
+#: texts, and trigrams in their sets, that are compared with each other in one task
+GROUP_TEXTS, GROUP_GRAMS = 2048, 2_000_000
+
+
+def _gram_codes(texts: pd.Series) -> pd.Series:
+    """The trigrams of a text as ascending numbers of 63 bits, 21 for each code point; a shorter text is one."""
+
+    def codes(t: str) -> bytes:
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        if len(c) < 3:
+            c = np.concatenate((np.zeros(3 - len(c), np.int64), c))
+        return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]).tobytes()
+
+    return texts.map(codes)
+
+
+def _links(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float, columns: int = 4096) -> np.ndarray:
+    """Which sets of ``a`` and ``b`` (none: ``a`` itself) have a Jaccard over the threshold: overlaps are products
+    of 0-1 matrices, some columns at a time."""
+    flat = [np.concatenate(x) for x in ([a] if b is None else [a, b])]
+    if b is None:
+        grams, n = np.unique(flat[0], return_counts=True)
+        grams = grams[n > 1]  # the others are shared by none
+    else:
+        grams = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    sizes, sides = [], []
+    for sets, all_ in zip([a, b], flat):
+        size = np.array([len(x) for x in sets])
+        at = np.searchsorted(grams, all_)
+        at[at == len(grams)] = 0
+        shared = grams[at] == all_ if len(grams) else np.zeros(len(all_), bool)
+        sizes.append(size)
+        sides.append((np.repeat(np.arange(len(sets)), size)[shared], at[shared]))
+    both = np.zeros((len(sizes[0]), len(sizes[-1])), np.float32)
+    for first in range(0, len(grams), columns):
+        parts = []
+        for size, (row, at) in zip(sizes, sides):
+            part = np.zeros((len(size), min(columns, len(grams) - first)), np.float32)
+            here = (at >= first) & (at < first + columns)
+            part[row[here], at[here] - first] = 1
+            parts.append(part)
+        both += parts[0] @ parts[-1].T
+    both = both.astype(np.float64)
+    return both / (sizes[0][:, None] + sizes[-1][None] - both) > threshold
+
+
+def _least(linked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The least key that each node of a graph, given by its matrix, reaches; a row is looked at once."""
+    out, seen = keys.copy(), np.zeros(len(keys), bool)
+    alone = ~linked.any(1)
+    for i in np.argsort(keys, kind="stable"):
+        if seen[i] or alone[i]:
+            continue
+        new = np.zeros(len(keys), bool)
+        new[i] = True
+        while new.any():
+            seen |= new
+            out[new] = keys[i]
+            new = linked[new].any(0) & ~seen
+    return out
+
+
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+
+
 def near_duplicate_classes(texts: DataFrame, group: str, key: str, threshold: float = 0.6) -> DataFrame:
     """``group``, ``key`` and ``class_id`` of every text: the least key that near duplicates
-    and equal texts of the group reach.  ``key`` is long and of one group.  A group is what
-    one question or conversation holds; in a group of many thousand texts of one language
-    most share their trigrams, and what is compared grows with the square of it."""
+    and equal texts of the group reach.  ``key`` is long and of one group.
+
+    The sets of a group of at most GROUP_TEXTS texts and GROUP_GRAMS trigrams are compared in one task.
+    A larger group is cut, its equal sets once, into blocks of about that size by the size of sets, and pairs
+    of blocks are tasks: two sets over the threshold are less than a factor 1 / ``threshold`` apart.  A
+    task gives a spanning forest of its links, so that what is shuffled after it is a row per text and pair of blocks.
+    Memory is bounded; the work grows with the square of the largest group.
+    """
     texts = texts.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col("text").isNotNull())
-    pairs = near_duplicate_pairs(texts, group, key, threshold)
-    found = connected_components(pairs.select("a", "b"))
-    first = texts.groupBy(group, "text").agg(F.min(key).alias("node"))
-    known = first.join(found, "node", "left").select(group, "text", F.coalesce("component", "node").alias("class_id"))
-    return texts.join(known, [group, "text"]).select(group, key, "class_id")
+    sets = texts.select(F.col(group).alias("grp"), F.col(key).cast("long").alias("key"), F.pandas_udf(_gram_codes, "binary")(T.trigram_text("text")).alias("codes"))
+    sets = written(sets.withColumn("n", (F.octet_length("codes") / 8).cast("int")), "gram-sets")
+    over = (F.count("*") > GROUP_TEXTS) | (F.sum("n") > GROUP_GRAMS)
+    large = written(sets.groupBy("grp").agg(over.alias("over")).where("over").select("grp"), "large-groups")
+    classes = _local_classes(sets.join(F.broadcast(large), "grp", "left_anti").select("grp", "key", "codes"), threshold)
+    if not large.isEmpty():
+        rows = sets.join(F.broadcast(large), "grp").withColumn("hash", F.sha2("codes", 256))
+        nodes = written(rows.groupBy("grp", "hash").agg(F.min("key").alias("node"), F.first("codes").alias("codes"), F.first("n").alias("n")), "gram-nodes")
+        found = connected_components(_block_links(nodes, threshold))
+        known = nodes.join(found, "node", "left").select("grp", "hash", F.coalesce("component", "node").alias("class_id"))
+        classes = classes.union(rows.select("grp", "key", "hash").join(known, ["grp", "hash"]).select("grp", "key", "class_id"))
+    return classes.select(F.col("grp").alias(group), F.col("key").cast(texts.schema[key].dataType).alias(key), "class_id")
+
+
+def _local_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        keys = table["key"].to_numpy()
+        least = _least(_links(_sets(table["codes"]), None, threshold), keys) if len(keys) > 1 else keys
+        return pa.table({"grp": table["grp"], "key": table["key"], "class_id": pa.array(least)})
+
+    return sets.groupBy("grp").applyInArrow(run, sets.select("grp", "key").schema.add("class_id", "long"))
+
+
+def _block_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a``, ``b`` that span the components of large groups, from pairs of blocks of their sets."""
+    steps = 2  # size classes in a factor of 1 / threshold
+    sized = nodes.withColumn("size", F.floor(F.log("n") * (steps / -math.log(threshold))).cast("long"))
+    count = F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_GRAMS)).cast("long")
+    sizes = written(sized.groupBy("grp", "size").agg(count.alias("blocks")), "gram-sizes")
+    name = F.col("size") * (1 << 32) + F.col("part")
+    block = sizes.select("grp", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    one, two = (block.select("grp", F.col("size").alias(f"s{i}"), name.alias(f"b{i}")) for i in (1, 2))
+    pairs = written(one.join(two, "grp").where(f"b1 <= b2 AND s2 - s1 <= {steps}").select("grp", "b1", "b2"), "block-pairs")
+    placed = sized.join(F.broadcast(sizes), ["grp", "size"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.select("grp", name.alias("block"), "node", "codes")
+    sides = [
+        placed.join(F.broadcast(p), ["grp", "block"]).select("grp", "b1", "b2", F.lit(i).alias("side"), "node", "codes")
+        for i, p in enumerate((pairs.withColumn("block", F.col("b1")), pairs.where("b1 < b2").withColumn("block", F.col("b2"))))
+    ]
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = (table.filter(pc.equal(table["side"], i)) for i in (0, 1))
+        keys = np.concatenate((a["node"].to_numpy(), b["node"].to_numpy()))
+        if len(b):
+            n, linked = len(a), np.zeros((len(keys), len(keys)), bool)
+            if n:
+                linked[:n, n:] = _links(_sets(a["codes"]), _sets(b["codes"]), threshold)
+                linked[n:, :n] = linked[:n, n:].T
+        else:
+            linked = _links(_sets(a["codes"]), None, threshold)
+        least = _least(linked, keys)
+        return pa.table({"a": pa.array(keys[least != keys]), "b": pa.array(least[least != keys])})
+
+    # a task for about each pair, however few bytes it has
+    tasks = min(max(3 * pairs.count(), 1), 4000)
+    rows = sides[0].union(sides[1]).repartition(tasks, "grp", "b1", "b2")
+    return rows.groupBy("grp", "b1", "b2").applyInArrow(run, "a long, b long")
 
 
 def with_history(turns: DataFrame, last: int = 10) -> DataFrame:

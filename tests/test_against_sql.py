@@ -11,17 +11,22 @@ from loam.plans import queries
 def held(spark, tmp_path):
     """Runs a query and its SQL on small tables; both have to give the same rows, which are returned."""
 
+    con = duckdb.connect()
+
     def run(name, **tables):
-        con = duckdb.connect()
         for table, (rows, types) in tables.items():
             spark.createDataFrame(rows, types).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+        return again(name)
+
+    def again(name):
         out = queries.QUERIES[name](spark, str(tmp_path))
         got = sorted((tuple(r) for r in out.collect()), key=repr)
         want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({queries.ORACLES[name]})").fetchall()
         assert got == sorted(want, key=repr)
         return got
 
+    run.again = again
     return run
 
 
@@ -71,3 +76,17 @@ def test_widened_hits_take_products(held, spark):
     q, u = e.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding"), e.selectExpr("vec_id AS unit_id", "embedding")
     # products of matrices, not one pair at a time
     assert "zip_with" not in retrieval.nearest_units(q, u, 5)._jdf.queryExecution().toString()
+
+
+def test_near_duplicates_without_a_join_of_pairs(held, monkeypatch):
+    monkeypatch.setattr(retrieval, "near_duplicate_pairs", None)
+    words = "river stone cloud winter market garden window letter planet silver".split()
+    text = lambda i: " ".join(words[(i * j) % 10] + "xyz"[(i // 7 + j) % 3] for j in range(1, 3 + i % 9))
+    odd = [(900, "a", None), (901, "a", ""), (902, "a", "?!"), (904, "a", "ab"), (905, "b", "Ab."), (906, "b", "AB"), (907, "a", "\U0001f600 \u00c4b")]
+    docs = [(i, "ab"[i % 3 == 0], text(i)) for i in range(160)] + odd
+    types = "doc_id long, source string, text string"
+    turns = [(d // 4, d % 4, t) for d, _, t in docs]
+    assert len({r[2] for r in held("near_duplicates", documents=(docs, types))}) > 20
+    assert len(held("turn_duplicates", conversations=(turns, "conv_id long, turn int, text string"))) == 165
+    monkeypatch.setattr(retrieval, "GROUP_TEXTS", 7)
+    held.again("near_duplicates")
