@@ -44,7 +44,7 @@ def robots_rules(robots: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
     best = Window.partitionBy("origin")
     groups = groups.withColumn("best", F.max("rank").over(best)).where("rank = best").select("origin", "grp")
-    governing = lines.where(~agent).join(groups, ["origin", "grp"])
+    governing = lines.where(~agent).join(groups.hint("merge"), ["origin", "grp"])
     slash = F.when(
         F.startswith("value", F.lit("/")) | F.col("value").isin("*", "$"), F.col("value")
     ).otherwise(F.concat(F.lit("/"), F.col("value")))
@@ -73,11 +73,14 @@ def robots_rules(robots: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def robots_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` (origin, path, and others) with ``robots_allowed``: the longest matching rule
-    wins, allow wins ties, no match allows; an origin without any row is denied."""
+    wins, allow wins ties, no match allows; an origin without any row is denied.
+
+    All sides may grow with the crawl, and their sizes are guessed too small by what they are exploded from,
+    so they are joined by sorted shuffles."""
     asked = urls.select("origin", "path").distinct()
     path = F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit("/"), F.col("path")))
     matched = (
-        asked.join(rules.where("pattern IS NOT NULL"), "origin")
+        asked.join(rules.where("pattern IS NOT NULL").hint("merge"), "origin")
         .where(F.expr("CASE WHEN startswith(path, '/') THEN path ELSE concat('/', path) END RLIKE pattern"))
         .groupBy("origin", "path")
         .agg(F.max_by("allow", F.struct("length", "allow")).alias("matched"))
@@ -85,8 +88,8 @@ def robots_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     known = rules.select("origin").distinct().withColumn("known", F.lit(True))
     allowed = F.when(F.col("known").isNull(), False).otherwise(F.coalesce("matched", F.lit(True)))
     return (
-        urls.join(known, "origin", "left")
-        .join(matched, ["origin", "path"], "left")
+        urls.join(known.hint("merge"), "origin", "left")
+        .join(matched.hint("merge"), ["origin", "path"], "left")
         .withColumn("robots_allowed", allowed)
         .drop("known", "matched")
     )
