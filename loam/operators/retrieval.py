@@ -352,9 +352,12 @@ def candidate_pool(hits: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def hydrate(hits: DataFrame, units: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with their unit's and document's provenance; hits without a row or a URL go."""
+def hydrate(hits: DataFrame, units: DataFrame, documents: DataFrame, parts: int | None = None) -> DataFrame:
+    """Hits with their unit's and document's provenance; hits without a row or a URL go.  With ``parts``, hits and
+    units meet in so many tasks, which adaptive execution does not merge, and what comes after stays in them."""
     docs = documents.withColumn("source_url", F.coalesce(F.when(F.col("url") != "", F.col("url")), F.col("canonical_url")))
+    if parts:
+        hits, units = hits.repartition(parts, "unit_id"), units.repartition(parts, "unit_id").hint("merge")
     return hits.join(units, "unit_id").join(docs.where("source_url != ''").drop("url", "canonical_url"), "document_id")
 
 

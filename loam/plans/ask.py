@@ -163,7 +163,9 @@ def hydrated_hits(spark, d):
         url="CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('https://a.example/', c_custkey) END",
         canonical_url="CASE WHEN c_custkey % 6 != 0 THEN concat('https://c.example/', c_custkey) END",
     )
-    return retrieval.hydrate(hits, units, docs).groupBy("question_id", "unit_id", "document_id", "source_url").agg(F.count("*").alias("n"))
+    # a task's sorts and counts hold some 500,000 hits at most, and the lines' number is in their files' footers
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), hits.count() // 500_000)
+    return retrieval.hydrate(hits, units, docs, parts).groupBy("question_id", "unit_id", "document_id", "source_url").agg(F.count("*").alias("n"))
 
 
 @query(
