@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import discard, scratch_dir, written
+from ..storage import BATCH_BYTES, discard, scratch_dir, small_batches, written
 
-__all__ = ["connected_components", "discard", "scratch_dir", "written"]
+__all__ = ["BATCH_BYTES", "connected_components", "discard", "scratch_dir", "small_batches", "written"]
 
 #: bytes that separate words: space, tab, newline, vertical tab, form feed, return
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
@@ -20,21 +20,10 @@ PIECE_BYTES = 1 << 20
 #: rows that a task takes up at once; what Spark hands over in one batch may be much more
 ROWS = 1024
 
-#: bytes that Spark hands a task at once, unless the session says less; a longer row is one batch
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
 #: a null doc_id stands before all others
 NO_ID = -(1 << 63)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of the batches that Python tasks get: with whole texts in them, ten
-    thousand rows are a lot, on both sides of the pipe."""
-    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))) > BATCH_BYTES:
-        spark.conf.set(_BATCH, BATCH_BYTES)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,6 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: bytes that Spark hands a Python task at once, unless the session says less; a longer row is one batch
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that Python tasks get: with whole texts in them, ten
+    thousand rows are a lot, on both sides of the pipe."""
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def located(spark: SparkSession, path: str):
     """A path and the file system that it is on."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

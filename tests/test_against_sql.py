@@ -2,8 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from loam.operators import retrieval
+from loam.operators import frontier, pages, retrieval
 from loam.plans import queries
 
 
@@ -90,3 +91,29 @@ def test_near_duplicates_without_a_join_of_pairs(held, monkeypatch):
     assert len(held("turn_duplicates", conversations=(turns, "conv_id long, turn int, text string"))) == 165
     monkeypatch.setattr(retrieval, "GROUP_TEXTS", 7)
     held.again("near_duplicates")
+
+
+def test_robots_are_joined_by_shuffles(spark):
+    rules = frontier.robots_rules(spark.createDataFrame([("https://a", 200, "User-agent: *\nDisallow: /x")], "origin string, status int, body string"))
+    out = frontier.robots_verdicts(spark.createDataFrame([("https://a", "/x"), ("https://b", "/")], "origin string, path string"), rules)
+    assert {tuple(r) for r in out.select("path", "robots_allowed").collect()} == {("/x", False), ("/", False)}
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hydrated_hits_stay_in_many_tasks(held, spark):
+    lines = [(i % 30, i % 7) for i in range(200)]
+    orders = [(i, i % 11) for i in range(30)]
+    tables = {"lineitem": (lines, "l_orderkey long, l_suppkey long"), "orders": (orders, "o_orderkey long, o_custkey long"), "customer": ([(i,) for i in range(11)], "c_custkey long")}
+    assert len(held("hydrated_hits", **tables)) > 50
+    hits, units = spark.createDataFrame(lines, "unit_id long, q long"), spark.createDataFrame(orders, "unit_id long, document_id long")
+    docs = spark.createDataFrame([(1, "u", None)], "document_id long, url string, canonical_url string")
+    assert "REPARTITION_BY_NUM" in retrieval.hydrate(hits, units, docs, 9)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, 64 << 20)
+    rows = [(i, "<h1>T</h1>" + "<p>a b</p>" * 700) for i in range(5)] + [(9, None)]
+    out = pages.flat_blocks(spark.createDataFrame(rows, "page_id long, html string"))
+    assert int(spark.conf.get(name)) == 4 << 20
+    assert [tuple(r) for r in out.groupBy("page_id").agg(F.max("pos")).orderBy("page_id").collect()] == [(i, 700) for i in range(5)]
