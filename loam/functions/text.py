@@ -157,7 +157,8 @@ def language_guess(text: Column | str) -> Column:
     text = _c(text)
     words = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0), lambda w: F.length(w) > 2)
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    ascii_share = F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / letters
+    # null without letters, where a division would end the query
+    ascii_share = let(letters, lambda n: F.when(n > 0, F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / n))
     result = lambda lang, c: F.struct(F.lit(lang).alias("language"), F.lit(c).alias("confidence"))
 
     def shares(sample: Column) -> Column:

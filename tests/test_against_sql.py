@@ -31,6 +31,12 @@ def held(spark, tmp_path):
     return run
 
 
+def test_language_of_texts_without_letters(held):
+    texts = ["123 !", "", None, " \n", "\u4e2d\u6587", "ab", "the cat and the dog", "the cat \u0436\u0436\u0436", "1 the 2 the 3 cat"]
+    got = held("language_guess", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r[1] for r in got] == ["unknown"] * 6 + ["en", "unknown", "en"]
+
+
 PAGES = "page_id long, url string, html string"
 
 
