@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..settings import DEFAULTS, Settings
-from ..storage import scratch_dir, written
+from ..storage import discard, scratch_dir, small_batches, written
 from .components import connected_components
 
 # Vocabularies and the names that questions use.
@@ -572,50 +572,148 @@ def near_duplicate_pairs(texts: DataFrame, group: str, key: str, threshold: floa
     return scored.where(F.col("jaccard") > threshold).select(F.col("grp").alias(group), "a", "b", "jaccard")
 
 
-#: texts, and trigrams in their sets, that are compared with each other in one task
+#: texts, and trigrams of theirs without a column, that are compared with each other in one task
 GROUP_TEXTS, GROUP_GRAMS = 2048, 2_000_000
+#: common trigrams that have a column, and texts by which they are chosen; results depend on neither
+GRAM_COLUMNS, GRAM_SAMPLE = 4096, 10_000
 
 
-def _gram_codes(texts: pd.Series) -> pd.Series:
+def _gram_codes(text: str) -> np.ndarray:
     """The trigrams of a text as ascending numbers of 63 bits, 21 for each code point; a shorter text is one."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    if len(c) < 3:
+        c = np.concatenate((np.zeros(3 - len(c), np.int64), c))
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
 
-    def codes(t: str) -> bytes:
-        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
-        if len(c) < 3:
-            c = np.concatenate((np.zeros(3 - len(c), np.int64), c))
-        return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]).tobytes()
 
-    return texts.map(codes)
+def _common_grams(texts: DataFrame) -> np.ndarray:
+    """The trigrams that have a column, the commonest first, by about GRAM_SAMPLE of the texts."""
 
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            if batch.num_rows:
+                codes, n = np.unique(np.concatenate([_gram_codes(t) for t in batch["text"].to_pylist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["g", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(max(texts.count() // GRAM_SAMPLE, 1))) == 0)
+    counts = some.select(T.trigram_text("text").alias("text")).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return np.array([r.g for r in counts.orderBy(F.desc("n"), "g").limit(GRAM_COLUMNS).collect()], np.int64)
+
+
+def _gram_sets(texts: DataFrame) -> DataFrame:
+    """Trigram sets of (grp, key, text): their size ``n``, a bit for each column, and the codes without one."""
+    common = _common_grams(texts)
+    order = np.argsort(common)
+    ordered = common[order]
+
+    def of(text: str) -> tuple[int, bytes, bytes]:
+        codes = _gram_codes(text)
+        at = np.minimum(np.searchsorted(ordered, codes), len(ordered) - 1)
+        has = ordered[at] == codes if len(ordered) else np.zeros(len(codes), bool)
+        bits = np.zeros(-(-len(ordered) // 64) * 64, np.uint8)
+        bits[order[at[has]]] = 1
+        return len(codes), np.packbits(bits).tobytes(), codes[~has].tobytes()
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            sets = [of(t) for t in batch["text"].to_pylist()]
+            made = [pa.array([s[i] for s in sets], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch["grp"], batch["key"], *made], ["grp", "key", "n", "bits", "rest"])
+
+    small_batches(texts.sparkSession)
+    schema = texts.select("grp", "key").schema.add("n", "long").add("bits", "binary").add("rest", "binary")
+    return texts.select("grp", "key", T.trigram_text("text").alias("text")).mapInArrow(run, schema)
+
+
+class _Sets:
+    """Trigram sets of a task, from concatenated bytes."""
+
+    def __init__(self, n: np.ndarray, bits: bytes, rest: bytes, lengths: np.ndarray):
+        self.n, self.bits = n, np.frombuffer(bits, np.uint64).reshape(len(n), len(bits) // (8 * max(len(n), 1)))
+        self.rest, self.lengths, self.starts = np.frombuffer(rest, np.int64), lengths, np.cumsum(lengths) - lengths
+        self.size = n.astype(np.float32)
+
+    def first(self, most: int | None) -> _Sets:
+        if most is None or most >= len(self.n):
+            return self
+        lengths = self.lengths[:most]
+        return _Sets(self.n[:most], self.bits[:most].tobytes(), self.rest[: lengths.sum()].tobytes(), lengths)
+
+    def columns(self, first: int, last: int, rows: np.ndarray) -> np.ndarray:
+        return np.unpackbits(self.bits[rows, first // 64 : last // 64].view(np.uint8), axis=1).astype(np.float32)
 
-def _links(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float, columns: int = 4096) -> np.ndarray:
-    """Which sets of ``a`` and ``b`` (none: ``a`` itself) have a Jaccard over the threshold: overlaps are products
-    of 0-1 matrices, some columns at a time."""
-    flat = [np.concatenate(x) for x in ([a] if b is None else [a, b])]
-    if b is None:
-        grams, n = np.unique(flat[0], return_counts=True)
-        grams = grams[n > 1]  # the others are shared by none
-    else:
-        grams = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
-    sizes, sides = [], []
-    for sets, all_ in zip([a, b], flat):
-        size = np.array([len(x) for x in sets])
-        at = np.searchsorted(grams, all_)
-        at[at == len(grams)] = 0
-        shared = grams[at] == all_ if len(grams) else np.zeros(len(all_), bool)
-        sizes.append(size)
-        sides.append((np.repeat(np.arange(len(sets)), size)[shared], at[shared]))
-    both = np.zeros((len(sizes[0]), len(sizes[-1])), np.float32)
-    for first in range(0, len(grams), columns):
-        parts = []
-        for size, (row, at) in zip(sizes, sides):
-            part = np.zeros((len(size), min(columns, len(grams) - first)), np.float32)
-            here = (at >= first) & (at < first + columns)
-            part[row[here], at[here] - first] = 1
-            parts.append(part)
-        both += parts[0] @ parts[-1].T
-    both = both.astype(np.float64)
-    return both / (sizes[0][:, None] + sizes[-1][None] - both) > threshold
+
+def _packed(table: pa.Table) -> tuple[np.ndarray, bytes, bytes, np.ndarray]:
+    bits, rest = (table[c].to_pylist() for c in ("bits", "rest"))
+    return table["n"].to_numpy().astype(np.int64), b"".join(bits), b"".join(rest), np.array([len(r) // 8 for r in rest], np.int64)
+
+
+def _shared_rest(a: _Sets, b: _Sets, r: np.ndarray, c: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """How many codes without a column the sets ``r`` of ``a`` and ``c`` of ``b`` share, pair by pair."""
+    out = np.zeros(len(r), np.int64)
+    if not len(a.rest) or not len(b.rest):
+        return out
+    codes, at = np.unique(b.rest, return_inverse=True)
+    held = np.repeat(np.arange(len(b.n)), b.lengths) * len(codes) + at  # ascending, as sets and their codes are
+    mine = np.minimum(np.searchsorted(codes, a.rest), len(codes) - 1)
+    known = codes[mine] == a.rest
+    steps = np.cumsum(a.lengths[r]) // most
+    for step in np.unique(steps):
+        pairs = np.flatnonzero(steps == step)
+        length = a.lengths[r[pairs]]
+        pair = np.repeat(np.arange(len(pairs)), length)
+        code = np.arange(len(pair)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(a.starts[r[pairs]], length)
+        asked = c[pairs][pair] * len(codes) + mine[code]
+        found = known[code] & (held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked)
+        out[pairs] = np.bincount(pair[found], minlength=len(pairs))
+    return out
+
+
+def _links(a: _Sets, b: _Sets, apart: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sets of ``a`` and ``b`` have a Jaccard over the threshold, among the pairs in ``apart``.
+
+    Overlaps are products of 0-1 matrices, some of the commonest trigrams' columns first.  What is
+    left of the smaller set then bounds the overlap, and sets without an open pair go; when few pairs are
+    open, their bits are compared pair by pair, and last the codes without a column.
+    """
+    share, linked = np.float32(threshold / (1 + threshold)), np.zeros(apart.shape, bool)
+    slack = 0.5 + float(a.size.max(initial=0) + b.size.max(initial=0)) * 1e-6  # of 32-bit floats; the last word is an exact count
+    rows, columns, open_, both = np.arange(len(a.n)), np.arange(len(b.n)), apart, np.zeros(apart.shape, np.float32)
+    left, at, width = [a.size, b.size], 0, a.bits.shape[1] * 64
+    while at < width:
+        to = min(max(512, 2 * at), width)
+        # a pair takes as long by itself as about 16,000 columns of it in a product
+        if np.count_nonzero(open_) <= max(open_.size * (to - at) / 16000, 2048):
+            break
+        x, y = a.columns(at, to, rows), b.columns(at, to, columns)
+        both += x @ y.T
+        at, left = to, [left[0] - x.sum(1), left[1] - y.sum(1)]
+        need = (a.size[rows, None] + b.size[None, columns]) * share
+        sure = open_ & (both > need + slack)
+        r, c = np.nonzero(sure)
+        linked[rows[r], columns[c]] = True
+        open_ = open_ & ~sure & (both + np.minimum(left[0][:, None], left[1][None]) > need - slack)
+        r, c = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if len(r) < len(rows) or len(c) < len(columns):
+            rows, columns, left, kept = rows[r], columns[c], [left[0][r], left[1][c]], np.ix_(r, c)
+            open_, both = open_[kept], both[kept]
+    some = []
+    for r, c in _few(*np.nonzero(open_)):
+        n, r, c = both[r, c].astype(np.int64), rows[r], columns[c]
+        if at < width:
+            n += np.bitwise_count(a.bits[r, at // 64 :] & b.bits[c, at // 64 :]).sum(1, dtype=np.int64)
+        may = n + np.minimum(a.lengths[r], b.lengths[c]) > (a.size[r] + b.size[c]) * share - slack
+        some.append((r[may], c[may], n[may]))
+    if some:
+        r, c, n = map(np.concatenate, zip(*some))
+        n += _shared_rest(a, b, r, c)
+        good = n / (a.n[r] + b.n[c] - n) > threshold
+        linked[r[good], c[good]] = True
+    return linked
+
+
+def _few(rows: np.ndarray, columns: np.ndarray, most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return ((rows[i : i + most], columns[i : i + most]) for i in range(0, len(rows), most))
 
 
 def _least(linked: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -634,78 +732,117 @@ def _least(linked: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
-
-
 def near_duplicate_classes(texts: DataFrame, group: str, key: str, threshold: float = 0.6) -> DataFrame:
     """``group``, ``key`` and ``class_id`` of every text: the least key that near duplicates
     and equal texts of the group reach.  ``key`` is long and of one group.
 
-    The sets of a group of at most GROUP_TEXTS texts and GROUP_GRAMS trigrams are compared in one task.
-    A larger group is cut, its equal sets once, into blocks of about that size by the size of sets, and pairs
-    of blocks are tasks: two sets over the threshold are less than a factor 1 / ``threshold`` apart.  A
-    task gives a spanning forest of its links, so that what is shuffled after it is a row per text and pair of blocks.
-    Memory is bounded; the work grows with the square of the largest group.
+    A set is kept as bits of the common trigrams and codes of the others.  The sets of a group of at most
+    GROUP_TEXTS texts are compared in one task.  The equal sets of a larger group count once and are cut into blocks of
+    about that size; a block is a row, and pairs of rows are compared where tasks read them, so that what is
+    written and shuffled grows with the sets, not with their pairs.  First a block is compared with a few sets
+    of each size near its own, which finds most of the large classes.  Then all pairs of blocks are compared, but for
+    sets that are of one class already.  Memory is bounded; the work grows with the square of the largest group.
     """
-    texts = texts.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col("text").isNotNull())
-    sets = texts.select(F.col(group).alias("grp"), F.col(key).cast("long").alias("key"), F.pandas_udf(_gram_codes, "binary")(T.trigram_text("text")).alias("codes"))
-    sets = written(sets.withColumn("n", (F.octet_length("codes") / 8).cast("int")), "gram-sets")
-    over = (F.count("*") > GROUP_TEXTS) | (F.sum("n") > GROUP_GRAMS)
+    named = texts.select(F.col(group).alias("grp"), F.col(key).cast("long").alias("key"), "text")
+    named = named.where("grp IS NOT NULL AND key IS NOT NULL AND text IS NOT NULL")
+    sets = written(_gram_sets(named), "gram-sets")
+    over = (F.count("*") > GROUP_TEXTS) | (F.sum(F.octet_length("rest")) > 8 * GROUP_GRAMS)
     large = written(sets.groupBy("grp").agg(over.alias("over")).where("over").select("grp"), "large-groups")
-    classes = _local_classes(sets.join(F.broadcast(large), "grp", "left_anti").select("grp", "key", "codes"), threshold)
+    classes = _local_classes(sets.join(F.broadcast(large), "grp", "left_anti"), threshold)
     if not large.isEmpty():
-        rows = sets.join(F.broadcast(large), "grp").withColumn("hash", F.sha2("codes", 256))
-        nodes = written(rows.groupBy("grp", "hash").agg(F.min("key").alias("node"), F.first("codes").alias("codes"), F.first("n").alias("n")), "gram-nodes")
-        found = connected_components(_block_links(nodes, threshold))
-        known = nodes.join(found, "node", "left").select("grp", "hash", F.coalesce("component", "node").alias("class_id"))
+        rows = sets.join(F.broadcast(large), "grp").withColumn("hash", F.sha2(F.concat("bits", "rest"), 256))
+        nodes = rows.groupBy("grp", "hash").agg(F.min("key").alias("node"), *[F.first(c).alias(c) for c in ("n", "bits", "rest")])
+        nodes = written(nodes, "gram-nodes")
+        known = _block_classes(nodes, threshold).select("node", "class_id")
+        known = nodes.select("grp", "hash", "node").join(known, "node").select("grp", "hash", "class_id")
         classes = classes.union(rows.select("grp", "key", "hash").join(known, ["grp", "hash"]).select("grp", "key", "class_id"))
     return classes.select(F.col("grp").alias(group), F.col("key").cast(texts.schema[key].dataType).alias(key), "class_id")
 
 
 def _local_classes(sets: DataFrame, threshold: float) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy()
-        least = _least(_links(_sets(table["codes"]), None, threshold), keys) if len(keys) > 1 else keys
+        least = keys = table["key"].to_numpy()
+        if len(keys) > 1:
+            s = _Sets(*_packed(table))
+            linked = _links(s, s, np.triu(np.ones((len(keys), len(keys)), bool), 1), threshold)
+            least = _least(linked | linked.T, keys)
         return pa.table({"grp": table["grp"], "key": table["key"], "class_id": pa.array(least)})
 
     return sets.groupBy("grp").applyInArrow(run, sets.select("grp", "key").schema.add("class_id", "long"))
 
 
-def _block_links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links ``a``, ``b`` that span the components of large groups, from pairs of blocks of their sets."""
-    steps = 2  # size classes in a factor of 1 / threshold
-    sized = nodes.withColumn("size", F.floor(F.log("n") * (steps / -math.log(threshold))).cast("long"))
-    count = F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_GRAMS)).cast("long")
-    sizes = written(sized.groupBy("grp", "size").agg(count.alias("blocks")), "gram-sizes")
-    name = F.col("size") * (1 << 32) + F.col("part")
-    block = sizes.select("grp", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
-    one, two = (block.select("grp", F.col("size").alias(f"s{i}"), name.alias(f"b{i}")) for i in (1, 2))
-    pairs = written(one.join(two, "grp").where(f"b1 <= b2 AND s2 - s1 <= {steps}").select("grp", "b1", "b2"), "block-pairs")
-    placed = sized.join(F.broadcast(sizes), ["grp", "size"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.select("grp", name.alias("block"), "node", "codes")
-    sides = [
-        placed.join(F.broadcast(p), ["grp", "block"]).select("grp", "b1", "b2", F.lit(i).alias("side"), "node", "codes")
-        for i, p in enumerate((pairs.withColumn("block", F.col("b1")), pairs.where("b1 < b2").withColumn("block", F.col("b2"))))
-    ]
+def _block_classes(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``node`` and ``class_id`` of the sets of large groups."""
+    blocks = _blocks(nodes.withColumn("label", F.col("node")).withColumn("cell", F.lit("")), threshold)
+    first = _block_links(blocks, threshold, "b.part = 0 AND abs(a.size - b.size) <= 1", 128)
+    first = written(connected_components(first), "first-classes")
+    discard(blocks)
+    sizes = written(first.groupBy(F.col("component").alias("label")).agg((F.count("*") * 2 >= GROUP_TEXTS).alias("big")).where("big"), "big-classes")
+    labelled = nodes.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = labelled.join(sizes, "label", "left").withColumn("cell", F.when(F.col("big"), F.col("label").cast("string")).otherwise(""))
+    blocks = _blocks(labelled, threshold)
+    found = written(connected_components(_block_links(blocks, threshold, "a.id <= b.id AND (a.cell = '' OR a.cell != b.cell)")), "all-classes")
+    discard(blocks)
+    found = found.select(F.col("node").alias("label"), "component")
+    return labelled.select("node", "label").join(found, "label", "left").select("node", F.coalesce("component", "label").alias("class_id"))
+
+
+def _blocks(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The sets of a cell that are of about one size, as rows of at most about GROUP_TEXTS of them."""
+    sized = nodes.withColumn("size", F.floor(F.log("n") * (2 / -math.log(threshold))).cast("long"))
+    count = F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum(F.octet_length("rest")) / (8 * GROUP_GRAMS))).cast("long")
+    sizes = written(sized.groupBy("grp", "cell", "size").agg(count.alias("blocks")), "gram-sizes")
+    placed = sized.join(F.broadcast(sizes), ["grp", "cell", "size"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    names = ["grp", "cell", "size", "part"]
+    placed = placed.select(*names, "node", "label", "n", "bits", "rest")
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = (table.filter(pc.equal(table["side"], i)) for i in (0, 1))
-        keys = np.concatenate((a["node"].to_numpy(), b["node"].to_numpy()))
-        if len(b):
-            n, linked = len(a), np.zeros((len(keys), len(keys)), bool)
-            if n:
-                linked[:n, n:] = _links(_sets(a["codes"]), _sets(b["codes"]), threshold)
-                linked[n:, :n] = linked[:n, n:].T
-        else:
-            linked = _links(_sets(a["codes"]), None, threshold)
-        least = _least(linked, keys)
-        return pa.table({"a": pa.array(keys[least != keys]), "b": pa.array(least[least != keys])})
-
-    # a task for about each pair, however few bytes it has
-    tasks = min(max(3 * pairs.count(), 1), 4000)
-    rows = sides[0].union(sides[1]).repartition(tasks, "grp", "b1", "b2")
-    return rows.groupBy("grp", "b1", "b2").applyInArrow(run, "a long, b long")
+        n, bits, rest, lengths = _packed(table)
+        made = {c: [table[c].to_numpy().tobytes()] for c in ("node", "label")}
+        made |= {"n": [n.tobytes()], "bits": [bits], "rest": [rest], "lengths": [lengths.tobytes()]}
+        made |= {"least": pa.array([n.min()], pa.int64()), "most": pa.array([n.max()], pa.int64())}
+        return pa.table({c: table[c].slice(0, 1) for c in names} | made)
+
+    schema = placed.select(*names).schema
+    for c in ("node", "label", "n", "bits", "rest", "lengths"):
+        schema = schema.add(c, "binary")
+    rows = placed.groupBy(*names).applyInArrow(run, schema.add("least", "long").add("most", "long"))
+    return written(rows.withColumn("id", F.struct("cell", "size", "part")), "gram-blocks")
+
+
+def _block_links(blocks: DataFrame, threshold: float, which: str, most: int | None = None) -> DataFrame:
+    """Links ``a``, ``b`` that span what pairs of blocks join of their sets' labels; ``most`` sets of the second count."""
+    spark = blocks.sparkSession
+    # a task reads some blocks of each side, and keeps those of one
+    parts = max(math.ceil(blocks.count() / 32), math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism)))
+    a, b = (blocks.repartition(parts, "grp", "id").alias(s) for s in "ab")
+    sizes = f"a.most >= {threshold - 1e-9} * b.least AND b.most >= {threshold - 1e-9} * a.least"
+    fields = ("label", "n", "bits", "rest", "lengths")
+    pairs = a.join(b.hint("shuffle_replicate_nl"), F.expr(f"a.grp = b.grp AND {sizes} AND ({which})"))
+    pairs = pairs.select(F.expr("a.id = b.id").alias("same"), *[F.col(f"{s}.{c}").alias(s + c) for s in "ab" for c in fields])
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch[c][i].as_py() for c in batch.schema.names}
+                sets, labels = [], []
+                for s, some in (("a", None), ("b", most)):
+                    n, lengths, label = (np.frombuffer(row[s + c], np.int64) for c in ("n", "lengths", "label"))
+                    sets.append(_Sets(n, row[s + "bits"], row[s + "rest"], lengths).first(some))
+                    labels.append(label[:some])
+                apart = labels[0][:, None] != labels[1][None]
+                if row["same"] and most is None:
+                    apart = np.triu(apart)
+                r, c = np.nonzero(_links(*sets, apart, threshold))
+                if len(r):
+                    names, at = np.unique(np.concatenate((labels[0][r], labels[1][c])), return_inverse=True)
+                    linked = np.zeros((len(names), len(names)), bool)
+                    linked[at[: len(r)], at[len(r) :]] = True
+                    least = _least(linked | linked.T, names)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[least != names]), pa.array(least[least != names])], ["a", "b"])
+
+    small_batches(spark)
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def with_history(turns: DataFrame, last: int = 10) -> DataFrame:

@@ -1,5 +1,7 @@
 """Registered queries against their SQL on odd rows."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,26 @@ def test_near_duplicates_without_a_join_of_pairs(held, monkeypatch):
     held.again("near_duplicates")
 
 
+def test_near_duplicates_shuffle_no_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "GROUP_TEXTS", 10)
+    sc, some = spark.sparkContext._jsc.sc(), random.Random(3)
+    texts = ["".join(some.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)) for _ in range(600)]
+
+    def shuffled(n):
+        def total():
+            sc.listenerBus().waitUntilEmpty()
+            executors = sc.statusStore().executorList(False)
+            return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+        before = total()
+        rows = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts[:n])], "grp string, id long, text string")
+        assert retrieval.near_duplicate_classes(rows, "grp", "id").where("class_id = id").count() == n
+        return total() - before
+
+    # written once or twice a text, not once for each block that it meets
+    assert shuffled(600) < 3 * shuffled(200) * 1.2
+
+
 def test_robots_are_joined_by_shuffles(spark):
     rules = frontier.robots_rules(spark.createDataFrame([("https://a", 200, "User-agent: *\nDisallow: /x")], "origin string, status int, body string"))
     out = frontier.robots_verdicts(spark.createDataFrame([("https://a", "/x"), ("https://b", "/")], "origin string, path string"), rules)
