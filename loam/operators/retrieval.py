@@ -576,6 +576,8 @@ def near_duplicate_pairs(texts: DataFrame, group: str, key: str, threshold: floa
 GROUP_TEXTS, GROUP_GRAMS = 2048, 2_000_000
 #: common trigrams that have a column, and texts by which they are chosen; results depend on neither
 GRAM_COLUMNS, GRAM_SAMPLE = 4096, 10_000
+#: times GROUP_TEXTS that a group has to have for its large classes to be sought first
+FEW_BLOCKS = 16
 
 
 def _gram_codes(text: str) -> np.ndarray:
@@ -739,8 +741,8 @@ def near_duplicate_classes(texts: DataFrame, group: str, key: str, threshold: fl
     A set is kept as bits of the common trigrams and codes of the others.  The sets of a group of at most
     GROUP_TEXTS texts are compared in one task.  The equal sets of a larger group count once and are cut into blocks of
     about that size; a block is a row, and pairs of rows are compared where tasks read them, so that what is
-    written and shuffled grows with the sets, not with their pairs.  First a block is compared with a few sets
-    of each size near its own, which finds most of the large classes.  Then all pairs of blocks are compared, but for
+    written and shuffled grows with the sets, not with their pairs.  In a group of many blocks, first a block is compared
+    with a few sets of each size near its own, which finds most of the large classes.  Then all pairs of blocks are compared, but for
     sets that are of one class already.  Memory is bounded; the work grows with the square of the largest group.
     """
     named = texts.select(F.col(group).alias("grp"), F.col(key).cast("long").alias("key"), "text")
@@ -773,13 +775,21 @@ def _local_classes(sets: DataFrame, threshold: float) -> DataFrame:
 
 def _block_classes(nodes: DataFrame, threshold: float) -> DataFrame:
     """``node`` and ``class_id`` of the sets of large groups."""
-    blocks = _blocks(nodes.withColumn("label", F.col("node")).withColumn("cell", F.lit("")), threshold)
+    labelled = nodes.withColumn("label", F.col("node")).withColumn("cell", F.lit(""))
+    if nodes.groupBy("grp").count().where(F.col("count") > FEW_BLOCKS * GROUP_TEXTS).isEmpty():
+        return _all_pairs(labelled, threshold)
+    blocks = _blocks(labelled, threshold)
     first = _block_links(blocks, threshold, "b.part = 0 AND abs(a.size - b.size) <= 1", 128)
     first = written(connected_components(first), "first-classes")
     discard(blocks)
     sizes = written(first.groupBy(F.col("component").alias("label")).agg((F.count("*") * 2 >= GROUP_TEXTS).alias("big")).where("big"), "big-classes")
     labelled = nodes.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     labelled = labelled.join(sizes, "label", "left").withColumn("cell", F.when(F.col("big"), F.col("label").cast("string")).otherwise(""))
+    return _all_pairs(labelled, threshold)
+
+
+def _all_pairs(labelled: DataFrame, threshold: float) -> DataFrame:
+    """Classes of sets from all pairs of their blocks; two blocks of one cell with a name are of one class."""
     blocks = _blocks(labelled, threshold)
     found = written(connected_components(_block_links(blocks, threshold, "a.id <= b.id AND (a.cell = '' OR a.cell != b.cell)")), "all-classes")
     discard(blocks)
@@ -815,7 +825,7 @@ def _block_links(blocks: DataFrame, threshold: float, which: str, most: int | No
     spark = blocks.sparkSession
     # a task reads some blocks of each side, and keeps those of one
     parts = max(math.ceil(blocks.count() / 32), math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism)))
-    a, b = (blocks.repartition(parts, "grp", "id").alias(s) for s in "ab")
+    a, b = (blocks.repartition(parts).alias(s) for s in "ab")
     sizes = f"a.most >= {threshold - 1e-9} * b.least AND b.most >= {threshold - 1e-9} * a.least"
     fields = ("label", "n", "bits", "rest", "lengths")
     pairs = a.join(b.hint("shuffle_replicate_nl"), F.expr(f"a.grp = b.grp AND {sizes} AND ({which})"))

@@ -121,6 +121,16 @@ def test_near_duplicates_shuffle_no_pairs_of_blocks(spark, monkeypatch):
     assert shuffled(600) < 3 * shuffled(200) * 1.2
 
 
+def test_near_duplicates_of_large_classes(held, monkeypatch):
+    monkeypatch.setattr(retrieval, "GROUP_TEXTS", 4)
+    monkeypatch.setattr(retrieval, "FEW_BLOCKS", 1)
+    monkeypatch.setattr(retrieval, "GRAM_COLUMNS", 50)
+    some, words = random.Random(5), ["".join(random.Random(i).choices("abcdefgh", k=5)) for i in range(60)]
+    docs = [(i, "a", " ".join(some.sample(words[: 12 + 12 * (i % 2)], 4 + i % 8))) for i in range(200)]
+    classes = [r[2] for r in held("near_duplicates", documents=(docs, "doc_id long, source string, text string"))]
+    assert max(classes.count(c) for c in set(classes)) > 8 and len(set(classes)) > 20
+
+
 def test_robots_are_joined_by_shuffles(spark):
     rules = frontier.robots_rules(spark.createDataFrame([("https://a", 200, "User-agent: *\nDisallow: /x")], "origin string, status int, body string"))
     out = frontier.robots_verdicts(spark.createDataFrame([("https://a", "/x"), ("https://b", "/")], "origin string, path string"), rules)
